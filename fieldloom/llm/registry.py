@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import substring_dedup
+from fieldloom.llm import decontaminate, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact windows of 10 benchmark words in all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), "text")
+    out = decontaminate.decontaminate(docs, bench, n=10)
+    return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 35 words over all documents; digests of what is kept."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -18,7 +27,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op8_decontaminate, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
