@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, substring_dedup
+from fieldloom.llm import decontaminate, neardup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents at a Jaccard similarity of 0.85 on 3-word shingles."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact windows of 10 benchmark words in all documents."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,7 +32,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_decontaminate, op9_substring_dedup)}
+    return {f.__name__: f for f in (op6_minhash_neardup, op8_decontaminate, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
