@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, substring_dedup
+from fieldloom.llm import decontaminate, neardup, packing, registry, substring_dedup, toxicity
 from fieldloom.llm.shared import Scratch
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labels scores 0.5 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select(*DOCUMENT)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents alike at 0.8 on 5-word shingles that of the smallest doc_id stays."""
+    return neardup.dedup_near(docs, shingle=5, percent=80).select(*DOCUMENT)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words that stand twice; documents of which nothing is left go."""
     out = substring_dedup.dedup_substrings(docs, window=50)
@@ -24,7 +35,18 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, bench, n=10).where("n_hit = 0").select(*DOCUMENT)
 
 
-STAGES = [("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks)]
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 2048."""
+    return packing.pack(docs, registry.tokenizer_path(), capacity=2048, final_id=0)
+
+
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", benchmark_leaks),
+    ("packing", sequences),
+]
 
 #: The stages keep state that one SQL statement cannot express; tests compare them with brute force.
 ORACLE_SQL = None

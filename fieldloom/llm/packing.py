@@ -41,7 +41,6 @@ RATE, STEP = 0.05, 0.34
 MEMO_ENTRIES = 1 << 20
 #: White space of Unicode beyond ASCII, as UTF-8 (fixed values).
 _WIDE_SPACE = re.compile("[\u0085   -     　]")
-_SPACE = " \t\n\v\f\r"
 #: How byte-level BPE splits text before its merges (fixed value of the format).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WIDE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
@@ -93,30 +92,31 @@ class CachedTokenizer:
         fast = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
         return [e.ids for e in fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list:
-        """As ``_encode``; pieces of white space and a word keep their tokens when strung together."""
-        if self.quick is None:
-            return self._encode(pieces)
-        joint = [p[0] in _SPACE and p[-1] not in _SPACE for p in pieces]
-        ids = np.array(self.quick.encode_ordinary("".join(p for p, j in zip(pieces, joint, strict=True) if j)), np.uint32)
-        ends = np.cumsum([len(p.encode()) for p, j in zip(pieces, joint, strict=True) if j])
-        parts = iter(np.split(ids, np.searchsorted(np.cumsum(self.token_bytes[ids]), ends)[:-1] + 1) if len(ends) else ())
-        alone = iter(self._encode([p for p, j in zip(pieces, joint, strict=True) if not j]))
-        return [next(parts) if j else next(alone) for j in joint]
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         if self.n + len(keys) > MEMO_ENTRIES and self.n:
             raise MemoryError  # the caller clears the memo and starts its chunk again
-        for k, ids in zip(keys.tolist(), self._encode_pieces(pieces), strict=True):
-            end = self.off[self.n] + len(ids)
-            if end > len(self.ids):
-                self.ids = np.resize(self.ids, max(2 * len(self.ids), int(end)))
-            if self.n + 2 > len(self.off):
-                self.off = np.resize(self.off, 2 * len(self.off))
-            self.ids[self.off[self.n] : end] = ids
-            self.off[self.n + 1] = end
-            self.number[k] = self.n
-            self.n += 1
+        # pieces of white space and a word keep their tokens when strung together
+        joint = tk.WS_WORD[data[end - 1]] & ~tk.WS_WORD[data[begin]] & (self.quick is not None)
+        if joint.any():
+            size = (end - begin)[joint]
+            text = data[tk.ragged(begin[joint], size)].tobytes().decode()
+            ids = np.array(self.quick.encode_ordinary(text), np.uint32)
+            cut = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(size)) + 1
+            self._append(keys[joint], ids, np.diff(np.r_[0, cut]))
+        if not joint.all():
+            own = self._encode([data[b:e].tobytes().decode() for b, e in zip(begin[~joint].tolist(), end[~joint].tolist(), strict=True)])
+            self._append(keys[~joint], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own]))
+
+    def _append(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        base = int(self.off[self.n])
+        if base + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (base + len(ids)))
+        if self.n + len(keys) + 1 > len(self.off):
+            self.off = np.resize(self.off, 2 * (self.n + len(keys) + 1))
+        self.ids[base : base + len(ids)] = ids
+        self.off[self.n + 1 : self.n + len(keys) + 1] = base + np.cumsum(count)
+        self.number.update(zip(keys.tolist(), range(self.n, self.n + len(keys)), strict=True))
+        self.n += len(keys)
 
     def chunk(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a chunk, their offsets)."""
@@ -144,12 +144,12 @@ class CachedTokenizer:
         h = self._hashes(c, begin, end)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         known = self.number
-        new = np.array([k not in known for k in u.tolist()], bool)
-        if new.any():
-            raw = c.data.tobytes()
+        number = np.array([known.get(k, -1) for k in u.tolist()], np.int64)
+        if (number < 0).any():
+            new = number < 0
             at = first[new]
-            self._learn(u[new], [raw[b:e].decode() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-        number = np.array([known[k] for k in u.tolist()], np.int64)
+            self._learn(u[new], c.data, begin[at], end[at])
+            number[new] = [known[k] for k in u[new].tolist()]
         start, count = self.off[number], self.off[number + 1] - self.off[number]
         n_ids = count[inverse]
         ids = self.ids[tk.ragged(start[inverse], n_ids)]
@@ -257,7 +257,7 @@ def _best_configuration(weight: np.ndarray, limit: np.ndarray, capacity: int) ->
     return np.minimum(out, limit)
 
 
-def solve_configurations(histogram: np.ndarray, rounds: int = 800) -> list[tuple[np.ndarray, int]]:
+def solve_configurations(histogram: np.ndarray, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """[(configuration as counts by length, times used)] that covers a histogram exactly.
 
     histogram[l] is the number of pieces of length l; the capacity is its last index.

@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, neardup, substring_dedup
+from fieldloom.llm import decontaminate, neardup, packing, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that has not seen every fifth label."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents at a Jaccard similarity of 0.85 on 3-word shingles."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, final_id=0)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact windows of 10 benchmark words in all documents."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,7 +52,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_minhash_neardup, op8_decontaminate, op9_substring_dedup)}
+    return {f.__name__: f for f in (op5_toxicity, op6_minhash_neardup, op7_bestfit_packing, op8_decontaminate, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
