@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, chat, decontaminate, neardup, packing, substring_dedup, toxicity, urlrank, warc
+from fieldloom.llm import ann, chat, decontaminate, neardup, ngram_lm, packing, substring_dedup, toxicity, urlrank, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op2_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose fold is not 1."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    model = ngram_lm.train(docs.where(~held_out))
+    return ngram_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page."""
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -79,7 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_windows, op2_multi_index_ann, op4_url_filter, op5_toxicity, op6_minhash_neardup, op7_bestfit_packing, op8_decontaminate, op9_substring_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_multi_index_ann, op3_kneser_ney, op4_url_filter, op5_toxicity, op6_minhash_neardup, op7_bestfit_packing, op8_decontaminate, op9_substring_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
