@@ -39,7 +39,7 @@ def _shards(gap: int):
     """One row per run of documents: row keys, word counts, terms, list ends, positions."""
 
     def run(batches):
-        for b, c in tk.batch_chunks(batches, size=4 * tk.CHUNK_BYTES):
+        for b, c in tk.batch_chunks(batches):
             c.words(tk.ALNUM_WORD)
             h = c.word_hashes(True)
             doc = tk.doc_of_words(c)
@@ -122,7 +122,8 @@ def _match(shard: dict, windows: list[tuple[np.ndarray, np.ndarray]], gap: int,
 def _search(windows, gap: int, slop: int):
     def run(batches):
         for b in batches:
-            for shard in b.to_pylist():
+            for i in range(b.num_rows):
+                shard = {k: b.column(k)[i].as_buffer() for k in b.schema.names}
                 rows = np.frombuffer(shard["rows"], np.int64)
                 for doc, start, end, key in _match(shard, windows.value, gap, slop):
                     order = np.lexsort((key, end, start, doc))  # the same for equal texts
@@ -182,7 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop:
         windows = [(np.array([r.window for r in rows]), np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.uint64).reshape(-1, k)) for k, rows in by_length.items()]
         hits = index.mapInArrow(_search(spark.sparkContext.broadcast(windows), longest, slop), "row long, spans binary, windows binary")
         found = hits if found is None else found.union(hits)
-    words = index.mapInArrow(_counts, "row long, n_words long")
+    words = index.select("rows", "n_words").mapInArrow(_counts, "row long, n_words long")
     if found is None:
         return words.dropDuplicates(["row"]).selectExpr("row", "n_words", "0L n_hit", "array() :: array<bigint> spans", "array() :: array<string> items")
     hit = scratch.table(found.groupBy("row").agg(F.collect_set("spans").alias("spans"), F.collect_set("windows").alias("windows")).mapInArrow(_union, "row long, n_hit long, spans array<long>, windows array<long>"), "hits")
