@@ -27,6 +27,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,7 @@ from fieldloom.llm.shared import Scratch, text_buckets
 #: Difference covers: modulus and cover (fixed values; perfect difference sets).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 RUN_POSTINGS = 1 << 20
-_POSTINGS = "bucket int, kid long, blob binary"
-_REPLY = "kid long, blob binary"
+_POSTINGS = "bucket int, grp int, blob binary"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -67,14 +67,38 @@ def _unpack(blob: memoryview) -> tuple[np.ndarray, ...]:
     return h, own[local], starts, several
 
 
-def _replies(kid: np.ndarray, value: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Values by document."""
+def _replies(kid: np.ndarray, value: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    """Values by document, packed by group of documents: (groups, blobs)."""
     if not len(kid):
         return [], []
-    order = np.argsort(kid, kind="stable")
-    kid, value = kid[order], value[order]
-    at = np.flatnonzero(np.r_[True, kid[1:] != kid[:-1]])
-    return kid[at].tolist(), [x.tobytes() for x in np.split(value, at[1:])]
+    group = (kid.view(tk.U64) % tk.U64(groups)).astype(np.int64)
+    order = np.lexsort((kid, group))
+    group, kid, value = group[order], kid[order], value[order]
+    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    blobs = []
+    for k, v in zip(np.split(kid, at[1:]), np.split(value, at[1:]), strict=True):
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        blobs.append(b"".join(x.tobytes() for x in (np.array([len(first)]), k[first], np.diff(np.r_[first, len(k)]), v)))
+    return group[at].tolist(), blobs
+
+
+def _gather(kind):
+    """One row per document of a group: all values told of it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kids, values = [], []
+        for x in table["blob"]:
+            n = int(np.frombuffer(x.as_buffer(), np.int64, 1)[0])
+            kid, count = np.frombuffer(x.as_buffer(), np.int64, 2 * n, 8).reshape(2, n)
+            kids.append(np.repeat(kid, count))
+            values.append(np.frombuffer(x.as_buffer(), kind, int(count.sum()), 8 + 16 * n))
+        kid, value = np.concatenate(kids), np.concatenate(values)
+        order = np.argsort(kid, kind="stable")
+        kid, value = kid[order], value[order]
+        at = np.flatnonzero(np.r_[True, kid[1:] != kid[:-1]])
+        return pa.table({"kid": pa.array(kid[at]), "told": pa.array([x.tobytes() for x in np.split(value, at[1:])], pa.binary())})
+
+    return run
 
 
 def _post(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], buckets: int, by_hash: bool) -> Iterator[pa.RecordBatch]:
@@ -90,7 +114,7 @@ def _post(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
         first = np.r_[True, h[1:] != h[:-1]]
         count = np.diff(np.r_[np.flatnonzero(first), len(h)])
         several = np.repeat(count > 1, count)
-        k, v = _replies(kids[ords[several]], h[several] if by_hash else starts[several])
+        k, v = _replies(kids[ords[several]], h[several] if by_hash else starts[several], buckets)
         h, ords, starts, several = h[first], ords[first], starts[first], several[first]
         b = ((h >> tk.U64(32)) * tk.U64(buckets)) >> tk.U64(32)
         cut = np.searchsorted(b, np.arange(buckets + 1, dtype=tk.U64))
@@ -98,7 +122,7 @@ def _post(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
         blobs = [_pack(*(x[cut[i] : cut[i + 1]] for x in (h, ords)), kids, *(x[cut[i] : cut[i + 1]] for x in (starts, several))) for i in full]
         near = [(turn + i) % buckets for i in range(len(k))]  # what is answered here rides along, dealt evenly
         held, size, docs, turn = [], 0, 0, turn + len(k)
-        return pa.RecordBatch.from_arrays([pa.array(full + near, pa.int32()), pa.array([None] * len(full) + k, pa.int64()), pa.array(blobs + v, pa.binary())], ["bucket", "kid", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(full + near, pa.int32()), pa.array([None] * len(full) + k, pa.int32()), pa.array(blobs + v, pa.binary())], ["bucket", "grp", "blob"])
 
     for h, ords, starts, kids in found:
         if not len(h):
@@ -111,13 +135,13 @@ def _post(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
         yield flush()
 
 
-def _reduce(by_hash: bool):
+def _reduce(by_hash: bool, buckets: int):
     """For a range of hashes: the documents (and starts, or hashes) of those that occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
-        ready = pa.compute.is_valid(table["kid"])
-        answered = table.filter(ready).select(["kid", "blob"])
-        parts = [_unpack(x.as_buffer()) for x in table.filter(pa.compute.invert(ready))["blob"]]
+        ready = pc.is_valid(table["grp"])
+        answered = table.filter(ready).select(["grp", "blob"])
+        parts = [_unpack(x.as_buffer()) for x in table.filter(pc.invert(ready))["blob"]]
         if not parts:
             return answered
         h, kid, starts, several = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -126,8 +150,8 @@ def _reduce(by_hash: bool):
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[at, len(h)])
         told = np.repeat(count > 1, count)  # of one run's own repeats the run has answered all
-        k, v = _replies(kid[told], h[told] if by_hash else starts[told])
-        return pa.concat_tables([answered, pa.table({"kid": pa.array(k, pa.int64()), "blob": pa.array(v, pa.binary())})])
+        k, v = _replies(kid[told], h[told] if by_hash else starts[told], buckets)
+        return pa.concat_tables([answered, pa.table({"grp": pa.array(k, pa.int32()), "blob": pa.array(v, pa.binary())})])
 
     return run
 
@@ -159,10 +183,10 @@ def _anchor_hashes(c: tk.Chunk, w: int, on: np.ndarray, window: int) -> tuple[np
 
 
 def _blobs(column: pa.Array, kind) -> list[np.ndarray]:
-    """Per row the values of an array of blobs; none where it is null."""
+    """Per row the values packed in it; none where it is null."""
     out = []
     for x in column:
-        out.append(np.frombuffer(b"".join(x.as_py()), kind) if x.is_valid else np.empty(0, kind))
+        out.append(np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.empty(0, kind))
     return out
 
 
@@ -193,7 +217,7 @@ def _windows(window: int, buckets: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, scratch: Scratch | None = None) -> DataFrame:
-    """(kid, starts array<binary>): packed uint32 starts of the repeated windows of each text.
+    """(kid, starts binary): packed uint32 starts of the repeated windows of each text.
 
     ``docs`` has kid (row key, equal only for equal texts) and text.
     """
@@ -203,8 +227,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, scratch: Scratch | None
     buckets = text_buckets(spark, texts)
 
     def exchange(rows, by_hash):
-        replies = rows.groupBy("bucket").applyInArrow(_reduce(by_hash), _REPLY)
-        return scratch.table(replies.groupBy("kid").agg(F.collect_list("blob").alias("told")), "anchors" if by_hash else "windows")
+        replies = rows.groupBy("bucket").applyInArrow(_reduce(by_hash, buckets), "grp int, blob binary")
+        told = replies.groupBy("grp").applyInArrow(_gather(np.uint64 if by_hash else np.uint32), "kid long, told binary")
+        return scratch.table(told, "anchors" if by_hash else "windows")
 
     anchors = exchange(texts.mapInArrow(_anchors(window, buckets), _POSTINGS), True)
     scratch.drop()
