@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fieldloom.plans import named
+
 
 def queries() -> dict:
-    return {}
+    return dict(named.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(named.SQL)
