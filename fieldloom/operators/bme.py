@@ -153,7 +153,7 @@ class Neighbourhood:
         value, axes = np.linalg.eigh((k_is + k_is.T) / 2)
         value = np.maximum(value[::-1], 0)
         axes = axes[:, ::-1]
-        n = int(np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-300), o.kept_variance) + 1)
+        n = min(int(np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-300), o.kept_variance)) + 1, len(value))
         root = axes[:, :n] * np.sqrt(value[:n])
 
         def sample(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

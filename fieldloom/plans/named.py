@@ -118,9 +118,9 @@ def R3_grid_many(spark, d):
     return grid.grid_last(obs(spark, d).withColumn("twice", 2 * F.col("z")), ("z", "twice"))
 
 
-@query(OBS + " SELECT x, y, t, round(avg(z), 4) AS z FROM obs GROUP BY x, y, t")
+@query(OBS + " SELECT x, y, t, round(avg(z), 6) AS z FROM obs GROUP BY x, y, t")
 def R4_grid_mean(spark, d):
-    return rounded(grid.grid_mean(obs(spark, d)))
+    return rounded(grid.grid_mean(obs(spark, d)), 6)
 
 
 @query(CELLS + " SELECT x, y, t, z FROM cells WHERE z IS NOT NULL")
@@ -154,9 +154,9 @@ def R10_bbox(spark, d):
     return grid.bounding_box(obs(spark, d), (2, 9), (1, 6), (3, 20))
 
 
-@query(SOFT + ", cells AS (SELECT x, y, t, arg_max(z, row_id) AS z FROM obs GROUP BY x, y, t) SELECT x, y, t, round(z, 4) AS z, 'hard' AS kind FROM cells UNION ALL SELECT x, y, t, round(mean, 4), 'soft' FROM soft")
+@query(SOFT + ", cells AS (SELECT x, y, t, arg_max(z, row_id) AS z FROM obs GROUP BY x, y, t) SELECT x, y, t, round(z, 6) AS z, 'hard' AS kind FROM cells UNION ALL SELECT x, y, t, round(mean, 6), 'soft' FROM soft")
 def R11_stack(spark, d):
-    return rounded(grid.stack(cells(spark, d), soft(spark, d).select("x", "y", "t", F.col("mean").alias("z"))))
+    return rounded(grid.stack(cells(spark, d), soft(spark, d).select("x", "y", "t", F.col("mean").alias("z"))), 6)
 
 
 @query(OBS + ", s AS (SELECT * FROM obs WHERE t < 3) SELECT a.row_id AS a_id, b.row_id AS b_id FROM s a JOIN s b USING (x, y, t)")
@@ -178,9 +178,9 @@ def R17_significant_digits(spark, d):
     return o.select("o_orderkey", r(grid.significant_digits(F.col("o_totalprice"), 4), "v"))
 
 
-@query(CELLS + " SELECT x, y, count(z) AS n, round(avg(z), 4) AS mean, round(var_pop(z), 3) AS variance FROM cells GROUP BY x, y")
+@query(CELLS + " SELECT x, y, count(z) AS n, round(avg(z), 6) AS mean, round(var_pop(z), 5) AS variance FROM cells GROUP BY x, y")
 def R18_site_summary(spark, d):
-    return grid.site_summary(cells(spark, d)).select("x", "y", "n", r("mean", "mean"), r("variance", "variance", 3))
+    return grid.site_summary(cells(spark, d)).select("x", "y", "n", r("mean", "mean", 6), r("variance", "variance", 5))
 
 
 @query(CELLS + " SELECT count(DISTINCT (x, y)) AS n_sites, count(DISTINCT t) AS n_times, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(t) AS t_min, max(t) AS t_max, min(z) AS z_min, max(z) AS z_max FROM cells")
@@ -218,10 +218,10 @@ def S13_layer(spark, d):
     return observations.layer_at(full, 4.0)
 
 
-@query(SITES + " SELECT x, y, round(CASE WHEN x + y < 12.5 AND x > 1.5 AND y > 0.5 THEN z ELSE -9999.0 END, 4) AS mean FROM sites")
+@query(SITES + " SELECT x, y, round(CASE WHEN x + y < 12.5 AND x > 1.5 AND y > 0.5 THEN z ELSE -9999.0 END, 6) AS mean FROM sites")
 def S15_polygon_mask(spark, d):
     triangle = [(1.5, 0.5), (12.0, 0.5), (1.5, 11.0)]
-    return rounded(observations.mask(site_means(spark, d).withColumnRenamed("z", "mean"), triangle))
+    return rounded(observations.mask(site_means(spark, d).withColumnRenamed("z", "mean"), triangle), 6)
 
 
 @query(SITES + " SELECT x, y, least(1 + CAST(floor((z - 0.0) / 300.0 * 63) AS BIGINT), 63) AS class FROM sites WHERE z < 300")
