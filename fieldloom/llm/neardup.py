@@ -13,10 +13,9 @@ For the default 32 coordinates of 3 and a threshold of 7 matches a pair at J = 0
 with probability 1e-6 (at J = 0.80, with the 4 matches ``matches_for`` gives, 2e-6).
 
 Candidates are never handed on as pairs.  Documents with equal sets are one representative;
-a list of agreeing documents gives a spanning forest of its candidates; their connected
-components are clusters, each a superset of the true groups in it.  Within a cluster the
-full shingle sets are compared exactly, and again only a spanning forest of the confirmed
-links leaves the task.  Long lists and large clusters are cut into blocks and every pair of
+a list of agreeing documents gives its components as stars; the connected components of all
+stars are clusters, each a superset of the true groups in it.  Within a cluster the full
+shingle sets are compared exactly, and again only stars of the confirmed links leave the task.  Long lists and large clusters are cut into blocks and every pair of
 blocks is a task of its own, so no task holds more than two blocks.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; texts with
@@ -134,9 +133,16 @@ class _Forest:
         return i != j
 
 
-def _spanning(n: int, links: np.ndarray) -> list[tuple[int, int]]:
-    f = _Forest(n)
-    return [(i, j) for i, j in links.tolist() if f.join(i, j)]
+def _stars(rep: list[int], links: np.ndarray) -> list[tuple[int, int]]:
+    """(member, smallest member) of every component of the links: equal stars of other tasks fall together."""
+    f = _Forest(len(rep))
+    for i, j in links.tolist():
+        f.join(i, j)
+    low: dict[int, int] = {}
+    roots = [f.find(i) for i in range(len(rep))]
+    for i, r in enumerate(roots):
+        low[r] = min(low.get(r, rep[i]), rep[i])
+    return [(rep[i], low[r]) for i, r in enumerate(roots) if rep[i] != low[r]]
 
 
 def _runs(batches, names: list[str]) -> Iterator[dict[str, list]]:
@@ -168,7 +174,7 @@ def _forest_rows(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _candidates(matches: int):
-    """Spanning forest of the pairs of a list (or of two blocks of one) that agree often enough."""
+    """Components of the pairs of a list (or of two blocks of one) that agree often enough, as stars."""
 
     def run(batches):
         out: list[tuple[int, int]] = []
@@ -189,7 +195,7 @@ def _candidates(matches: int):
                 hit = to[new & (agree.sum(1) >= matches)]
                 links.append(np.stack([np.full(len(hit), i), hit], 1))
             if links:
-                out += [(int(rep[i]), int(rep[j])) for i, j in _spanning(len(rep), np.concatenate(links))]
+                out += _stars(g["rep"], np.concatenate(links))
             if len(out) > 50_000:
                 yield _forest_rows(out)
                 out = []
@@ -198,8 +204,8 @@ def _candidates(matches: int):
     return run
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, two: bool, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs with 100 * intersection >= percent * union."""
+def _links(sets: list[np.ndarray], side: np.ndarray, two: bool, percent: int) -> np.ndarray:
+    """Index pairs with 100 * intersection >= percent * union."""
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -219,7 +225,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, two: bool, percent: int) ->
     ok = np.triu(100 * inter >= percent * (size[:, None] + size[None, :] - inter), 1)
     if two:
         ok &= side[:, None] != side[None, :]
-    return _spanning(len(sets), np.argwhere(ok))
+    return np.argwhere(ok)
 
 
 def _confirm(percent: int):
@@ -228,8 +234,7 @@ def _confirm(percent: int):
         for g in _runs(batches, ["cluster", "b1", "b2", "side", "rep", "shingles"]):
             if len(g["rep"]) > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
-                rep = g["rep"]
-                out += [(rep[i], rep[j]) for i, j in _links(sets, np.array(g["side"]), g["b1"][0] != g["b2"][0], percent)]
+                out += _stars(g["rep"], _links(sets, np.array(g["side"]), g["b1"][0] != g["b2"][0], percent))
             if len(out) > 50_000:
                 yield _forest_rows(out)
                 out = []
