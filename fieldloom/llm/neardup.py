@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).union(heads)
     member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", "first.*"), "members")
     sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    full = texts.join(member.drop("n_shingles"), ["doc_id", "tid"]).select("rep", "cluster", "text")
+    full = texts.join(member.drop("n_shingles").hint("merge"), ["doc_id", "tid"]).select("rep", "cluster", "text")
     full = full.mapInArrow(_shingle_rows(shingle), "rep long, cluster long, shingles binary")
     links = _dealt(_in_blocks(full, "cluster", scratch.table(sizes, "sizes")), "cluster").mapInArrow(_confirm(percent), "u long, v long")
     groups = connected_components(links, scratch, "groups")
