@@ -4,7 +4,7 @@ Host edges are the absolute links in the pages' HTML (links within a host say no
 that a rule allows are trusted seeds, hosts that a rule blocks are blocked seeds.  Trust is
 personalised PageRank along the links from the trusted seeds; distrust is the same against the
 links from the blocked seeds, so it reaches those who link to them.  A seed starts with the
-share of its pages that are so judged; hosts without links on keep what they get.  A host is blocked where its distrust is
+share of its pages that are so judged and keeps it, while ``damping`` of a score moves on.  A host is blocked where its distrust is
 at least ``threshold`` and above its trust; else the default holds.
 
 All of it is DataFrame operations; each iteration is a written table, and stops when no score
@@ -51,17 +51,19 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, what: str, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """(host, score): personalised PageRank from ``seeds`` (host, share) along ``edges`` (src, dst, n)."""
+    """(host, score): personalised PageRank from ``seeds`` (host, share) along ``edges`` (src, dst, n).
+
+    Scores are in units of a seed's own share, that is PageRank divided by 1 - damping.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = scratch.table(edges.join(scratch.table(out, f"{what}-out"), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{what}-edges")
     start = scratch.table(seeds.select("host", F.col("share").alias("score")), f"{what}-0")
     score = start
     if shares.isEmpty():
         return score
-    base = start.select("host", (F.col("score") * (1 - damping)).alias("score"))
     for i in range(1, iterations + 1):
         moved = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        new = scratch.table(base.union(moved).groupBy("host").agg(F.sum("score").alias("score")), f"{what}-{i}")
+        new = scratch.table(start.union(moved).groupBy("host").agg(F.sum("score").alias("score")), f"{what}-{i}")
         step = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
         score = new
         if i > 1:
