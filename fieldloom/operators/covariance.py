@@ -1,27 +1,34 @@
 """Empirical space-time covariance by lag.
 
-Pairs of sites and pairs of times are enumerated first, each with its lags, so a distance is
-computed once per pair of sites and never per pair of cells.  Sums of products then are one
-partial aggregate per lag.
+Pairs of sites and pairs of times are found first, by bucketed self-joins of the distinct ones,
+and get their lags there; occupied cells then meet by equality, so the work per pair of cells is
+one multiplication, and sums leave a task as one partial aggregate per lag.  A pair of sites
+counts in the order of their coordinates, each site with itself too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.grid import sites, times
-from fieldloom.operators.neighbours import pairs_within
+from fieldloom.operators.neighbours import within
+
+Bins = list[tuple[float, float]]
+
+
+def lag_bins(lags: list[float], tol: float | list[float]) -> Bins:
+    """[(lag, tolerance)]; one tolerance for all or one each."""
+    return [(float(a), float(b)) for a, b in zip(lags, [tol] * len(lags) if isinstance(tol, (int, float)) else tol, strict=True)]
 
 
-def lag_table(spark: SparkSession, lags: list[float], tol: float | list[float]) -> DataFrame:
-    """(lag, tol); one tolerance for all or one each."""
-    tols = [tol] * len(lags) if isinstance(tol, (int, float)) else tol
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(lags, tols, strict=True)], "lag double, tol double")
+def _reach(bins: Bins) -> float:
+    return max(lag + tol for lag, tol in bins)
 
 
-def _in_bin(d: Column, kind: str) -> Column:
-    low, high = F.col("lag") - F.col("tol"), F.col("lag") + F.col("tol")
+def _inside(d: Column, lag: float, tol: float, kind: str) -> Column:
+    low, high = F.lit(lag - tol), F.lit(lag + tol)
     if kind == "half":  # [m - r, m + r)
         return (d >= low) & (d < high)
     if kind == "closed":
@@ -29,78 +36,96 @@ def _in_bin(d: Column, kind: str) -> Column:
     return (d > low) & (d <= high)  # open: (m - r, m + r]
 
 
-def binned_pairs(cells: DataFrame, lags_s: DataFrame, lags_t: DataFrame, kind: str, azimuth: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sites (a_si, b_si, lag_s) and of times (a_ti, b_ti, lag_t) by bin.
+def with_lag(pairs: DataFrame, d: Column, bins: Bins, kind: str, name: str) -> DataFrame:
+    """Pairs with their lag: by a chain of conditions where bins are apart, else one row for every bin that fits."""
+    ends = sorted((lag - tol, lag + tol) for lag, tol in bins)
+    touch = kind == "closed"
+    apart = all(a[1] < b[0] or (a[1] == b[0] and not touch) for a, b in zip(ends, ends[1:], strict=False))
+    if apart:
+        (lag, tol), *rest = bins
+        chain = F.when(_inside(d, lag, tol, kind), lag)
+        for lag, tol in rest:
+            chain = chain.when(_inside(d, lag, tol, kind), lag)
+        return pairs.withColumn(name, chain).where(F.col(name).isNotNull())
+    fits = F.array_compact(F.array(*(F.when(_inside(d, lag, tol, kind), F.lit(lag)) for lag, tol in bins)))
+    return pairs.withColumn(name, F.explode(fits))
 
-    ``azimuth`` (radians, tolerance) keeps the site pairs of that direction, modulo half a turn.
-    """
-    top_s, top_t = (x.agg(F.max(F.col("lag") + F.col("tol"))).first()[0] for x in (lags_s, lags_t))
-    sp = pairs_within(sites(cells), top_s, azimuth is not None)
-    if azimuth is not None:
-        turn = F.pmod(F.col("azimuth") - F.lit(azimuth[0]) + F.lit(1.5707963267948966), F.lit(3.141592653589793)) - F.lit(1.5707963267948966)
-        sp = sp.where((F.abs(turn) <= azimuth[1]) | (F.col("ds") == 0))
-    sp = sp.join(F.broadcast(lags_s), _in_bin(F.col("ds"), kind)).select("a_si", "b_si", F.col("lag").alias("lag_s"))
-    tt = times(cells)
-    a, b = (tt.select(F.col("ti").alias(f"{s}_ti"), F.col("t").alias(f"{s}_t")) for s in "ab")
-    dt = F.col("b_t") - F.col("a_t")
-    tp = a.join(F.broadcast(b), (F.col("a_ti") <= F.col("b_ti")) & (dt <= top_t)).join(F.broadcast(lags_t), _in_bin(dt, kind)).select("a_ti", "b_ti", F.col("lag").alias("lag_t"))
-    return sp, tp
+
+def site_pairs(cells: DataFrame, reach: float) -> DataFrame:
+    """(a_x, a_y, b_x, b_y, dx, dy, ds) of sites at most so far apart, the left one first by x, then y."""
+    own = cells.select("x", "y").distinct()
+    a, b = (own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns)) for s in "ab")
+    dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+    near = within(a, b, {"x": reach, "y": reach}).withColumns({"dx": dx, "dy": dy, "ds": F.sqrt(dx * dx + dy * dy)})
+    return near.where((F.col("ds") <= reach) & ((F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") >= 0))))
 
 
-def _products(cells: DataFrame, value: str, sp: DataFrame, tp: DataFrame) -> DataFrame:
-    """(lag_s, lag_t, l, r) for z(i, a) and z(j, b)."""
-    own = cells.join(sites(cells), ["x", "y"]).join(F.broadcast(times(cells)), "t").where(F.col(value).isNotNull()).select("si", "ti", F.col(value).alias("v"))
-    left = own.select(F.col("si").alias("a_si"), F.col("ti").alias("a_ti"), F.col("v").alias("l"))
-    right = own.select(F.col("si").alias("b_si"), F.col("ti").alias("b_ti"), F.col("v").alias("r"))
-    both = left.join(sp, "a_si").join(F.broadcast(tp), "a_ti")
-    return both.join(right, ["b_si", "b_ti"]).select("a_si", "b_si", "a_ti", "b_ti", "lag_s", "lag_t", "l", "r")
+def time_pairs(cells: DataFrame, reach: float) -> DataFrame:
+    """(a_t, b_t, dt) of times at most so far apart, the left one not later."""
+    own = cells.select("t").distinct()
+    if reach == 0:
+        return own.select(F.col("t").alias("a_t"), F.col("t").alias("b_t"), F.lit(0.0).alias("dt"))
+    near = within(own.select(F.col("t").alias("a_t")), own.select(F.col("t").alias("b_t")), {"t": reach})
+    return near.withColumn("dt", F.col("b_t") - F.col("a_t")).where("dt >= 0")
 
 
-def _covariance(products: DataFrame, keys: list[str]) -> DataFrame:
-    return products.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("l").alias("m1"), F.avg("r").alias("m2"), F.covar_pop("l", "r").alias("cov"))
+def products(cells: DataFrame, value: str, sp: DataFrame, tp: DataFrame) -> DataFrame:
+    """Columns of both pair tables with l and r, the values of the left and the right cell."""
+    own = cells.where(F.col(value).isNotNull()).select("x", "y", "t", F.col(value).alias("v"))
+    left, right = (own.select(*(F.col(c).alias(f"{s}_{c}") for c in "xyt"), F.col("v").alias(n)) for s, n in (("a", "l"), ("b", "r")))
+    return left.join(sp, ["a_x", "a_y"]).join(tp, "a_t").join(right, ["b_x", "b_y", "b_t"])
 
 
-def empirical_covariance(cells: DataFrame, lags_s: DataFrame, lags_t: DataFrame, value: str = "residual", bins: str = "half", azimuth: tuple[float, float] | None = None) -> DataFrame:
-    """(lag_s, lag_t, n, m1, m2, cov) over pairs i <= j, a <= b in one orientation; bins without pairs are absent."""
-    return _covariance(_products(cells, value, *binned_pairs(cells, lags_s, lags_t, bins, azimuth)), ["lag_s", "lag_t"])
+def _covariance(pairs: DataFrame, *keys: str) -> DataFrame:
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("l").alias("m1"), F.avg("r").alias("m2"), F.covar_pop("l", "r").alias("cov"))
+
+
+def _azimuth_off(degrees: Column) -> Column:
+    """Angle between a pair's direction and ``degrees``, modulo half a turn, from -90 to 90."""
+    return F.pmod(F.degrees(F.atan2("dy", "dx")) - degrees + 90, F.lit(180.0)) - 90
+
+
+def empirical_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: str = "residual", bins: str = "half", azimuth: tuple[float, float] | None = None) -> DataFrame:
+    """(lag_s, lag_t, n, m1, m2, cov) in one orientation; bins without pairs are absent.
+
+    ``azimuth`` (degrees, tolerance) keeps pairs of sites of that direction, and sites with themselves.
+    """
+    sp = site_pairs(cells, _reach(lags_s))
+    if azimuth is not None:
+        sp = sp.where((F.abs(_azimuth_off(F.lit(azimuth[0]))) <= azimuth[1] + 1e-9) | (F.col("ds") == 0))
+    sp = with_lag(sp, F.col("ds"), lags_s, bins, "lag_s")
+    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, bins, "lag_t")
+    return _covariance(products(cells, value, sp, tp), "lag_s", "lag_t")
 
 
-def symmetric_covariance(cells: DataFrame, lags_s: DataFrame, lags_t: DataFrame, value: str = "residual") -> DataFrame:
+def symmetric_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: str = "residual") -> DataFrame:
     """Closed bins and both orientations, about the square of the pooled mean."""
-    sp, tp = binned_pairs(cells, lags_s, lags_t, "closed")
-    one = _products(cells, value, sp, tp)
-    crossed = tp.where("a_ti < b_ti").select(F.col("b_ti").alias("a_ti"), F.col("a_ti").alias("b_ti"), "lag_t")
-    two = _products(cells, value, sp.where("a_si < b_si"), crossed)
-    both = one.unionByName(two)
+    sp = with_lag(site_pairs(cells, _reach(lags_s)), F.col("ds"), lags_s, "closed", "lag_s").withColumn("self", F.col("ds") == 0)
+    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, "closed", "lag_t").select("a_t", "b_t", "lag_t", F.lit(False).alias("turned"))
+    back = tp.where("a_t < b_t").select(F.col("b_t").alias("a_t"), F.col("a_t").alias("b_t"), "lag_t", F.lit(True).alias("turned"))
+    binned = products(cells, value, sp, tp.union(back)).where("not (self and turned)")
     m = (F.sum("l") + F.sum("r")) / (2 * F.count("*"))
-    return both.groupBy("lag_s", "lag_t").agg((2 * F.count("*")).alias("n"), m.alias("m"), (F.avg(F.col("l") * F.col("r")) - m * m).alias("cov"))
+    return binned.groupBy("lag_s", "lag_t").agg((2 * F.count("*")).alias("n"), m.alias("m"), (F.avg(F.col("l") * F.col("r")) - m * m).alias("cov"))
 
 
-def block_covariance(pairs: DataFrame, bins: dict[str, DataFrame]) -> DataFrame:
+def block_covariance(pairs: DataFrame, bins: dict[str, Bins]) -> DataFrame:
     """Covariance of (l, r) pairs by several delta columns, bins (lag - tol, lag + tol], two pairs at least."""
     x = pairs
     for c, table in bins.items():
-        x = x.join(F.broadcast(table), _in_bin(F.col(c), "open")).withColumnRenamed("lag", f"lag_{c}").drop("tol")
-    return _covariance(x, [f"lag_{c}" for c in bins]).where("n >= 2")
+        x = with_lag(x, F.col(c), table, "open", f"lag_{c}")
+    return _covariance(x, *(f"lag_{c}" for c in bins)).where("n >= 2")
 
 
-def directional_covariance(cells: DataFrame, lags_s: DataFrame, lags_t: DataFrame, step: float = 30.0, tol: float = 15.0, value: str = "residual") -> DataFrame:
+def directional_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, step: float = 30.0, tol: float = 15.0, value: str = "residual") -> DataFrame:
     """Closed-bin covariance for azimuths 0, step, ... below 180 degrees, each +- tol."""
-    spark = cells.sparkSession
-    turns = spark.createDataFrame([(k * step,) for k in range(int(180 / step))], "azimuth_deg double")
-    top_s = lags_s.agg(F.max(F.col("lag") + F.col("tol"))).first()[0]
-    _, tp = binned_pairs(cells, lags_s, lags_t, "closed")
-    sp = pairs_within(sites(cells), top_s, True).join(F.broadcast(lags_s), _in_bin(F.col("ds"), "closed"))
-    off = F.pmod(F.degrees("azimuth") - F.col("azimuth_deg") + 90, F.lit(180.0)) - 90
-    sp = sp.join(F.broadcast(turns), (F.abs(off) <= tol + 1e-9) | (F.col("ds") == 0)).select("a_si", "b_si", F.struct(F.col("lag").alias("lag_s"), "azimuth_deg").alias("lag_s"))
-    out = _covariance(_products(cells, value, sp, tp), ["lag_s", "lag_t"])
-    return out.select("lag_s.azimuth_deg", "lag_s.lag_s", "lag_t", "n", "m1", "m2", "cov")
+    sp = site_pairs(cells, _reach(lags_s))
+    turns = [k * step for k in range(math.ceil(180 / step))]
+    fits = F.array_compact(F.array(*(F.when((F.abs(_azimuth_off(F.lit(a))) <= tol + 1e-9) | (F.col("ds") == 0), F.lit(a)) for a in turns)))
+    sp = with_lag(sp.withColumn("azimuth_deg", F.explode(fits)), F.col("ds"), lags_s, "closed", "lag_s")
+    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, "closed", "lag_t")
+    return _covariance(products(cells, value, sp, tp), "azimuth_deg", "lag_s", "lag_t")
 
 
 def covariance_map(cells: DataFrame, radius: float, value: str = "residual") -> DataFrame:
     """(dx, dy, product) of pairs of cells at one time, at most ``radius`` apart."""
-    own = cells.join(sites(cells), ["x", "y"])
-    sp = pairs_within(sites(cells), radius)
-    a = own.select(F.col("si").alias("a_si"), "t", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col(value).alias("l"))
-    b = own.select(F.col("si").alias("b_si"), "t", F.col("x").alias("bx"), F.col("y").alias("by"), F.col(value).alias("r"))
-    return a.join(sp, "a_si").join(b, ["b_si", "t"]).select((F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy"), (F.col("l") * F.col("r")).alias("product"))
+    return products(cells, value, site_pairs(cells, radius), time_pairs(cells, 0)).select("dx", "dy", (F.col("l") * F.col("r")).alias("product"))

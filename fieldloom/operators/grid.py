@@ -37,6 +37,8 @@ def times(obs: DataFrame) -> DataFrame:
 
 def grid_last(obs: DataFrame, values: tuple[str, ...] = ("z",)) -> DataFrame:
     """(x, y, t, values): of repeated cells the row of the largest row_id stands."""
+    if len(values) == 1:  # a plain value aggregates by hash, a struct by sort
+        return obs.groupBy(*CELL).agg(F.max_by(values[0], "row_id").alias(values[0]))
     one = F.max_by(F.struct(*values), "row_id").alias("_v")
     return obs.groupBy(*CELL).agg(one).select(*CELL, *(F.col(f"_v.{v}").alias(v) for v in values))
 
@@ -48,14 +50,14 @@ def grid_mean(obs: DataFrame) -> DataFrame:
 
 def indexed(cells: DataFrame) -> DataFrame:
     """(si, ti, x, y, t, ...) of cells."""
-    return cells.join(sites(cells), SITE).join(F.broadcast(times(cells)), "t")
+    return cells.join(sites(cells), SITE).join(times(cells), "t")
 
 
 def to_vector(cells: DataFrame, keep_missing: bool = False) -> DataFrame:
     """Cells as rows; with ``keep_missing`` every site at every time, absent ones null."""
     if not keep_missing:
         return cells.where("z is not null")
-    return sites(cells).crossJoin(F.broadcast(times(cells))).join(cells.select(*CELL, "z"), CELL, "left").select("si", "ti", *CELL, "z")
+    return sites(cells).crossJoin(times(cells)).join(cells.select(*CELL, "z"), CELL, "left").select("si", "ti", *CELL, "z")
 
 
 def lookup_unique(raw: DataFrame, cells: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ def regression(x: np.ndarray, z: np.ndarray, k: np.ndarray | None = None) -> tup
     return cov @ x.T @ inv @ z, cov
 
 
+def local_mean(model: list[Component], known: np.ndarray, z: np.ndarray, noise: np.ndarray | None = None) -> tuple[float, float]:
+    """(constant mean, its variance) of exact values and soft means, by generalised least squares.
+
+    ``noise`` holds the soft data's variances, 0 for exact values.
+    """
+    k = covariance_matrix(model, known, known) + np.diag(np.zeros(len(z)) if noise is None else noise)
+    beta, cov = regression(design(0, len(z)), z, k)
+    return float(beta[0]), float(cov[0, 0])
+
+
 def krige(model: list[Component], at: np.ndarray, known: np.ndarray, z: np.ndarray, order: int | None) -> tuple[float, float, np.ndarray]:
     """(estimate, variance, weights) at one point; order None has a zero mean, 0 an unknown constant one."""
     k = covariance_matrix(model, known, known)

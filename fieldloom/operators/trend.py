@@ -27,7 +27,7 @@ def st_means(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def stmean(cells: DataFrame) -> DataFrame:
     """Site mean plus time mean less grand mean, where z is present."""
     ms, mt, m = st_means(cells)
-    both = cells.join(ms, ["x", "y"]).join(F.broadcast(mt), "t").crossJoin(F.broadcast(m))
+    both = cells.join(ms, ["x", "y"]).join(mt, "t").crossJoin(F.broadcast(m))  # m is one row
     return both.withColumn("tr", F.when(F.col("z").isNotNull(), F.col("ms") + F.col("mt") - F.col("m"))).drop("ms", "mt", "m")
 
 
@@ -39,7 +39,7 @@ def interpolate_times(mt: DataFrame, at: DataFrame, value: str = "mt") -> DataFr
     inside = (F.col("_at") >= F.col("t")) & (F.col("_t1").isNull() | (F.col("_at") < F.col("_t1"))) | (F.col("_first") & (F.col("_at") < F.col("t")))
     share = (F.col("_at") - F.col("t")) / (F.col("_t1") - F.col("t"))
     v = F.when(F.col("_t1").isNull() | (F.col("_at") <= F.col("t")), F.col(value)).otherwise(F.col(value) + share * (F.col("_v1") - F.col(value)))
-    return a.join(F.broadcast(knots), inside).select(F.col("_at").alias("t"), v.alias(value))
+    return a.join(knots, inside).select(F.col("_at").alias("t"), v.alias(value))
 
 
 def idw_all(known: DataFrame, at: DataFrame, value: str, power: float = 2.0) -> DataFrame:
@@ -53,7 +53,7 @@ def idw_all(known: DataFrame, at: DataFrame, value: str, power: float = 2.0) ->
 def stmean_at(cells: DataFrame, points: DataFrame) -> DataFrame:
     """The separable trend at new points: site part by inverse distances, time part linear."""
     ms, mt, m = st_means(cells)
-    both = points.join(idw_all(ms, points, "ms"), ["x", "y"]).join(F.broadcast(interpolate_times(mt, points)), "t").crossJoin(F.broadcast(m))
+    both = points.join(idw_all(ms, points, "ms"), ["x", "y"]).join(interpolate_times(mt, points), "t").crossJoin(F.broadcast(m))
     return both.withColumn("tr", F.col("ms") + F.col("mt") - F.col("m")).drop("ms", "mt", "m")
 
 

@@ -437,12 +437,12 @@ LAGS = ", ls AS (SELECT CAST(range AS DOUBLE) AS s FROM range(6)), lt AS (SELECT
 COV = "count(*) AS n, round(avg(l), 3) AS m1, round(avg(r), 3) AS m2, round(covar_pop(l, r), 3) AS cov"
 
 
-def lags(spark):
-    return covariance.lag_table(spark, LAGS_S, 0.5), covariance.lag_table(spark, LAGS_T, 0.5)
+def lags():
+    return covariance.lag_bins(LAGS_S, 0.5), covariance.lag_bins(LAGS_T, 0.5)
 
 
 def c1(spark, d):
-    return covariance.empirical_covariance(resid(spark, d), *lags(spark))
+    return covariance.empirical_covariance(resid(spark, d), *lags())
 
 
 @query(PAIRS + LAGS + f" SELECT s AS lag_s, q AS lag_t, {COV} FROM pair JOIN ls ON ds >= s - 0.5 AND ds < s + 0.5 JOIN lt ON dt >= q - 0.5 AND dt < q + 0.5 GROUP BY s, q")
@@ -452,13 +452,13 @@ def C1_empirical_covariance(spark, d):
 
 @query(PAIRS + LAGS + f" SELECT s AS lag_s, q AS lag_t, {COV} FROM pair JOIN ls ON ds >= s - 0.6 AND ds <= s + 0.6 JOIN lt ON dt >= q - 0.6 AND dt <= q + 0.6 WHERE s < 5 AND q < 4 GROUP BY s, q")
 def C2_closed_bins(spark, d):
-    a, b = covariance.lag_table(spark, LAGS_S[:5], 0.6), covariance.lag_table(spark, LAGS_T[:4], 0.6)
+    a, b = covariance.lag_bins(LAGS_S[:5], 0.6), covariance.lag_bins(LAGS_T[:4], 0.6)
     return rounded(covariance.empirical_covariance(resid(spark, d), a, b, bins="closed"), 3)
 
 
 @query(RESID + LAGS + ", own AS (SELECT *, dense_rank() OVER (ORDER BY x, y) AS si FROM resid), pair AS (SELECT a.r AS l, b.r AS r, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS ds, abs(b.t - a.t) AS dt FROM own a JOIN own b ON (a.si < b.si OR (a.si = b.si AND a.t <= b.t)) AND abs(b.t - a.t) <= 2.5 AND abs(a.x - b.x) <= 3.5 AND abs(a.y - b.y) <= 3.5) SELECT s AS lag_s, q AS lag_t, 2 * count(*) AS n, round((sum(l) + sum(r)) / (2 * count(*)), 3) AS m, round(avg(l * r) - ((sum(l) + sum(r)) / (2 * count(*))) ** 2, 3) AS cov FROM pair JOIN ls ON ds >= s - 0.5 AND ds <= s + 0.5 JOIN lt ON dt >= q - 0.5 AND dt <= q + 0.5 WHERE s < 4 AND q < 3 GROUP BY s, q")
 def C5_symmetric(spark, d):
-    a, b = covariance.lag_table(spark, LAGS_S[:4], 0.5), covariance.lag_table(spark, LAGS_T[:3], 0.5)
+    a, b = covariance.lag_bins(LAGS_S[:4], 0.5), covariance.lag_bins(LAGS_T[:3], 0.5)
     return rounded(covariance.symmetric_covariance(resid(spark, d), a, b), 3)
 
 
@@ -468,13 +468,13 @@ def C6_block(spark, d):
     a, b = (own.select(*(F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "t", "residual"))) for s in "ab")
     near = neighbours.within(a, b, {"x": 2.5, "y": 2.5, "t": 0})
     pairs = near.select(F.col("a_residual").alias("l"), F.col("b_residual").alias("r"), F.abs(F.col("a_x") - F.col("b_x")).alias("dx"), F.abs(F.col("a_y") - F.col("b_y")).alias("dy"))
-    bins = covariance.lag_table(spark, LAGS_S[:3], 0.5)
+    bins = covariance.lag_bins(LAGS_S[:3], 0.5)
     return rounded(covariance.block_covariance(pairs, {"dx": bins, "dy": bins}), 3)
 
 
 @query(PAIRS + LAGS + ", az AS (SELECT 30.0 * range AS a FROM range(6)), dir AS (SELECT *, degrees(atan2(by_ - ay, bx - ax)) AS phi FROM pair), turned AS (SELECT *, (phi - a + 90) - 180 * floor((phi - a + 90) / 180) - 90 AS off FROM dir, az) SELECT CAST(a AS DOUBLE) AS azimuth_deg, s AS lag_s, q AS lag_t, " + COV + " FROM turned JOIN ls ON ds >= s - 0.5 AND ds <= s + 0.5 JOIN lt ON dt >= q - 0.5 AND dt <= q + 0.5 WHERE s < 4 AND q < 2 AND (abs(off) <= 15 + 1e-9 OR ds = 0) GROUP BY a, s, q")
 def C7_directional(spark, d):
-    a, b = covariance.lag_table(spark, LAGS_S[:4], 0.5), covariance.lag_table(spark, LAGS_T[:2], 0.5)
+    a, b = covariance.lag_bins(LAGS_S[:4], 0.5), covariance.lag_bins(LAGS_T[:2], 0.5)
     return rounded(covariance.directional_covariance(resid(spark, d), a, b), 3)
 
 

@@ -50,8 +50,8 @@ def test_kernel_example(spark):
 
 def test_empirical_covariance_example(spark):
     cells = cells_of(spark, [(1, 3), (2, 4), (5, 7)], [1, 4, 6], [[1, 2, 3], [4, None, 6], [7, 8, 9]]).withColumnRenamed("z", "residual")
-    s = covariance.lag_table(spark, [0.0, 1.5, 5.0], [0.5, 0.5, 1.5])
-    t = covariance.lag_table(spark, [0.0, 2.5], [0.5, 1.0])
+    s = covariance.lag_bins([0.0, 1.5, 5.0], [0.5, 0.5, 1.5])
+    t = covariance.lag_bins([0.0, 2.5], [0.5, 1.0])
     got = {(r.lag_s, r.lag_t): (r.n, r.cov) for r in covariance.empirical_covariance(cells, s, t).collect()}
     want = {(0, 0): (8, 7.5), (0, 2.5): (4, 9.25), (1.5, 0): (2, 1.0), (1.5, 2.5): (1, 0.0), (5, 0): (5, 0.8), (5, 2.5): (3, -1 / 9)}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
@@ -78,6 +78,13 @@ def test_exact_at_data_and_weights_sum_to_one():
     assert interpolate.krige(model, np.array([0.4, 0.3, 0.2]), pts, z, 0)[2].sum() == pytest.approx(1)
 
 
+def test_local_mean_is_the_plain_one_without_correlation():
+    model = [Component(1.0, "nugget", 1.0)]
+    pts = np.array([[0, 0, 0], [1, 0, 0], [5, 5, 5]], float)
+    assert interpolate.local_mean(model, pts, np.array([1.0, 2.0, 6.0])) == (pytest.approx(3.0), pytest.approx(1 / 3))
+    assert interpolate.local_mean(model, pts, np.array([1.0, 1.0, 9.0]), np.array([0.0, 0.0, 1e9]))[0] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_soft_gaussian_is_noisy_conditioning_and_qmc_agrees():
     model = [Component(3.0, "exponential", 5.0, "exponential", 4.0)]
     at, hard, zh = np.array([0.5, 0.5, 0.0]), np.array([[0, 0, 0], [2, 1, 1]], float), np.array([0.8, -0.3])
