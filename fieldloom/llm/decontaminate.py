@@ -192,14 +192,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop:
     return words.dropDuplicates(["row"]).join(both, "row", "left").selectExpr("row", "n_words", "coalesce(n_hit, 0L) n_hit", "coalesce(spans, array()) spans", "coalesce(items, array()) items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` plus n_words, n_hit, hit_spans, hit_items.
 
     Columns of these names in the input are replaced.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     keep = [c for c in docs.columns if c not in {"n_words", "n_hit", "hit_spans", "hit_items"}]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(text)).alias("_row"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in keep), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"))
     found = find_contamination(keyed.select(F.col("_row").alias("row"), F.col(text).alias("text")), benchmark, n, slop, scratch)
     found = found.select(F.col("row").alias("_row"), "n_words", "n_hit", F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"))
     return keyed.join(found, "_row", "left").drop("_row")
