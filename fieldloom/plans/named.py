@@ -196,7 +196,7 @@ def R19_envelope(spark, d):
 # Sources and sinks
 
 
-@query("WITH i AS (SELECT range AS k_id FROM range(420)) SELECT k_id, round(2.0 * (k_id % 7), 6) AS x, round(1.5 * ((k_id // 7) % 6), 6) AS y, round(5.0 + 2.5 * (k_id // 42), 6) AS t FROM i")
+@query("WITH i AS (SELECT range AS k_id FROM range(420)) SELECT k_id, CAST(2.0 * (k_id % 7) AS DOUBLE) AS x, CAST(1.5 * ((k_id // 7) % 6) AS DOUBLE) AS y, CAST(5.0 + 2.5 * (k_id // 42) AS DOUBLE) AS t FROM i")
 def S10_grid_generator(spark, d):
     return rounded(observations.generate_grid(spark, (0, 12, 7), (0, 7.5, 6), (5, 27.5, 10)), 6)
 
@@ -207,7 +207,7 @@ def S11_bounds(spark, d):
     return both.select(*(f"{c}_{n}" for c in "xyt" for n in ("min", "max")))
 
 
-@query(CELLS + ", s AS (SELECT DISTINCT x, y FROM cells) SELECT x, y, 1.0 + 0.75 * i.range AS t FROM s, range(5) i")
+@query(CELLS + ", s AS (SELECT DISTINCT x, y FROM cells) SELECT x, y, CAST(1.0 + 0.75 * i.range AS DOUBLE) AS t FROM s, range(5) i")
 def S9_sites_by_times(spark, d):
     return observations.sites_by_times(cells(spark, d).select("x", "y").distinct(), (1, 4, 5))
 
@@ -484,7 +484,7 @@ def C8_covariance_map(spark, d):
     return m.groupBy("dx", "dy").agg(F.count("*").alias("n"), F.round(F.sum("product"), 1).alias("s"))
 
 
-MESH = "WITH m AS (SELECT 0.25 * range AS d FROM range(81)) SELECT d, round({}, 6) AS c FROM m"
+MESH = "WITH m AS (SELECT CAST(0.25 * range AS DOUBLE) AS d FROM range(81)) SELECT d, round({}, 6) AS c FROM m"
 
 
 def _mesh(spark):
@@ -503,17 +503,17 @@ _model_query("M1_exponential", "exponential", "2.5 * exp(-3 * d / 7)")
 _model_query("M2_gaussian", "gaussian", "2.5 * exp(-3 * (d / 7) * (d / 7))")
 _model_query("M3_spherical", "spherical", "CASE WHEN d > 7 THEN 0.0 ELSE 2.5 * (1 - 1.5 * d / 7 + 0.5 * power(d / 7, 3)) END")
 _model_query("M4_hole_cosine", "holecos", "2.5 * cos(pi() * d / 7)")
-_model_query("M5_nugget", "nugget", "CASE WHEN d = 0 THEN 2.5 ELSE 0.0 END")
+_model_query("M5_nugget", "nugget", "CAST(CASE WHEN d = 0 THEN 2.5 ELSE 0.0 END AS DOUBLE)")
 _model_query("M6_matern", "matern", "2.5 * (1 + sqrt(18.0) * power(1.5, 1 / 6.0) * d / 7) * exp(-sqrt(18.0) * power(1.5, 1 / 6.0) * d / 7)", 1.5)
 
 
-@query("WITH m AS (SELECT 0.5 * (range % 20) AS ds, 0.5 * (range // 20) AS dt FROM range(400)) SELECT ds, dt, round(" + MODEL_SQL.format(ds="ds", dt="dt") + ", 4) AS cov FROM m")
+@query("WITH m AS (SELECT CAST(0.5 * (range % 20) AS DOUBLE) AS ds, CAST(0.5 * (range // 20) AS DOUBLE) AS dt FROM range(400)) SELECT ds, dt, round(" + MODEL_SQL.format(ds="ds", dt="dt") + ", 4) AS cov FROM m")
 def M7_nested(spark, d):
     mesh = spark.range(400).select((F.col("id") % 20 * 0.5).alias("ds"), (F.floor(F.col("id") / 20) * 0.5).alias("dt"))
     return mesh.select("ds", "dt", r(models.covariance(MODEL, F.col("ds"), F.col("dt")), "cov"))
 
 
-@query("WITH m AS (SELECT 0.5 * (range % 20) AS ds, 0.5 * (range // 20) AS dt FROM range(400)) SELECT ds, dt, round(900 * exp(-3 * (ds + 1.5 * dt) / 8), 4) AS cov FROM m")
+@query("WITH m AS (SELECT CAST(0.5 * (range % 20) AS DOUBLE) AS ds, CAST(0.5 * (range // 20) AS DOUBLE) AS dt FROM range(400)) SELECT ds, dt, round(900 * exp(-3 * (ds + 1.5 * dt) / 8), 4) AS cov FROM m")
 def M7_metric(spark, d):
     mesh = spark.range(400).select((F.col("id") % 20 * 0.5).alias("ds"), (F.floor(F.col("id") / 20) * 0.5).alias("dt"))
     model = [models.parse("exponentialCST", (900.0, 8.0, 1.5))]
