@@ -3,14 +3,16 @@
 Only the histogram of piece lengths (at most ``capacity`` counts) reaches the driver.  The
 configuration LP over it - choose how often to use each multiset of lengths that fits a
 sequence, so that all pieces are covered by as few as possible - is solved by multiplicative
-weights: lengths carry weights, the best configuration for them is priced by a knapsack
-dynamic program, and covered lengths lose weight.  The averaged solution is rounded down, and
-pieces left over go best-fit into the remaining room.
+weights: lengths carry weights, the best configurations for them are priced by a knapsack
+dynamic program, and covered lengths lose weight, until every length is covered.  The solution
+is rounded down, and pieces left over are packed best-fit.  The sequences, a lower bound for
+them and the share of tokens that the program placed are logged.
 
 Pieces get their places by (length, rank within length).  Ranks come from counts by task and
 length, so a length that a third of all pieces share is never gathered in one task.  The
-places of a length are intervals of ranks; there are at most ``MAX_CONFIGURATIONS`` times the
-entries of a configuration of them, whatever the corpus, so they go to the executors whole.
+places of a length are intervals of ranks; there is one for each piece of each configuration used,
+some thousands of which are used at capacity 2048 whatever the corpus, so they go to the
+executors whole.
 
 Tokens: a text is cut before each run of ASCII white space, where the tokenizer's pattern
 never joins, and each distinct piece is encoded once per task.  Texts with other Unicode white
@@ -23,6 +25,7 @@ each for itself; an empty table gives no pieces.
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from functools import lru_cache
@@ -36,8 +39,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm import textkit as tk
 from fieldloom.llm.shared import Scratch
 
-MAX_CONFIGURATIONS = 4096
+LOG = logging.getLogger(__name__)
 RATE, STEP = 0.05, 0.34
+TINY = 1e-9
 MEMO_ENTRIES = 1 << 20
 #: White space of Unicode beyond ASCII, as UTF-8 (fixed values).
 _WIDE_SPACE = re.compile("[\u0085   -     　]")
@@ -230,38 +234,83 @@ def _rank_in_order(value: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _best_configuration(weight: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Lengths (with repeats) of the configuration of most weight: unbounded knapsack by capacity.
-
-    ``limit`` cuts repeats to the pieces there are.
-    """
-    best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(weight > 0)
-    w = weight[lengths]
+def _knapsack(price: np.ndarray) -> tuple[list[int], list[int]]:
+    """For every room, the last length of the configuration of most price and the room it leaves; 0 where none fits."""
+    capacity = len(price) - 1
+    best, last, rest = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(price > 0)
+    w = price[lengths]
     for c in range(int(lengths[0]), capacity + 1):
         k = np.searchsorted(lengths, c, "right")
         v = best[c - lengths[:k]] + w[:k]
         i = int(v.argmax())
         if v[i] > best[c - 1]:
-            best[c], take[c] = v[i], lengths[i]
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if take[c]:
-            out[take[c]] += 1
-            c -= int(take[c])
+            best[c], last[c], rest[c] = v[i], lengths[i], c - lengths[i]
         else:
-            c -= 1
-    return np.minimum(out, limit)
+            best[c], last[c], rest[c] = best[c - 1], last[c - 1], rest[c - 1]
+    return last.tolist(), rest.tolist()
+
+
+def _cover(demand: np.ndarray, rounds: int | None) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations as (length, count) and their fractional uses, which cover all of ``demand``.
 
+    In a round, every open length in turn gets the configuration of most price that holds it, used
+    until one of its lengths has moved by ``STEP`` of its demand; so a round moves all open lengths,
+    however many, and at least one by the whole step.
+    """
+    limit, size = demand.tolist(), np.arange(len(demand))
+    share, used = np.where(demand > 0, 0.0, 1.0), {}
+    while (share < 1 - TINY).any() and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
+        open_ = share < 1 - TINY
+        # the price of a length starts at its share of a sequence and falls as it is covered
+        last, rest = _knapsack(np.where(open_, size * np.exp(-RATE * share), 0.0))
+        end, at = np.minimum(1.0, share + STEP).tolist(), share.tolist()
+        for k in np.flatnonzero(open_)[::-1].tolist():
+            if end[k] - at[k] <= TINY:
+                continue
+            p, room = {k: 1}, len(demand) - 1 - k
+            while last[room]:
+                p[last[room]] = p.get(last[room], 0) + 1
+                room = rest[room]
+            p = {x: min(n, limit[x]) for x, n in p.items()}  # no more repeats than pieces
+            times = min((end[x] - at[x]) * limit[x] / n for x, n in p.items())
+            if times > TINY:
+                for x, n in p.items():
+                    at[x] += times * n / limit[x]
+                key = tuple(p.items())
+                used[key] = used.get(key, 0.0) + times
+        share = np.array(at)
+    return used
+
+
+def lower_bound(histogram: np.ndarray) -> int:
+    """Sequences that any packing needs: the largest sum of dual feasible functions of the lengths.
+
+    Those are the share of a sequence or its steps of (k + 1)ths, with lengths under some e counted
+    as nothing and those over capacity - e as a whole sequence.
+    """
+    capacity = len(histogram) - 1
+    size, e = np.arange(capacity + 1), np.arange(capacity // 2 + 1)
+    n, bound = np.r_[0, np.cumsum(histogram)], 0.0
+    for k in range(41):
+        f = size / capacity if k == 0 else np.where((k + 1) * size % capacity == 0, size / capacity, (k + 1) * size // capacity / k)
+        s = np.r_[0.0, np.cumsum(histogram * f)]
+        bound = max(bound, float((n[-1] - n[capacity - e + 1] + s[capacity - e + 1] - s[e]).max()))
+    return int(np.ceil(bound - 1e-6))
 
-def solve_configurations(histogram: np.ndarray, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+
+def solve_configurations(histogram: np.ndarray, rounds: int | None = None) -> list[tuple[np.ndarray, int]]:
     """[(configuration as counts by length, times used)] that covers a histogram exactly.
 
-    histogram[l] is the number of pieces of length l; the capacity is its last index.
+    histogram[l] is the number of pieces of length l; the capacity is its last index.  The rounds of
+    the linear program run until it covers every length, or as many as are given.
     """
+    return [use for part in solve_parts(histogram, rounds) for use in part]
+
+
+def solve_parts(histogram: np.ndarray, rounds: int | None = None) -> tuple[list[tuple[np.ndarray, int]], list[tuple[np.ndarray, int]]]:
+    """(uses that the linear program gives, uses of the best-fit for what its rounding leaves over)."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
@@ -270,28 +319,26 @@ def solve_configurations(histogram: np.ndarray, rounds: int = 400) -> list[tuple
         one[capacity] = 1
         plan.append((one, int(left[capacity])))
         left[capacity] = 0
-    demand = left.astype(float)
-    lengths, covered, used = np.arange(capacity + 1), np.zeros(capacity + 1), {}
-    for _ in range(rounds):
-        share = np.divide(covered, demand, out=np.ones(capacity + 1), where=demand > 0)
-        open_ = (demand > 0) & (share < 1)
-        if not open_.any():
-            break
-        # the price of a length starts at its share of a sequence and falls as it is covered
-        price = np.where(open_, lengths * np.exp(-RATE * share), 0.0)
-        p = _best_configuration(price, left, capacity)
-        on = p > 0
-        times = STEP * (demand[on] / p[on]).min()
-        covered += times * p
-        used[p.tobytes()] = used.get(p.tobytes(), 0.0) + times
-    for key, x in sorted(used.items(), key=lambda kv: -kv[1])[: MAX_CONFIGURATIONS // 2]:
-        p = np.frombuffer(key, np.int64)
-        on = p > 0
-        times = int(min(np.floor(x), (left[on] // p[on]).min()))
+    for key, x in sorted(_cover(left, rounds).items(), key=lambda kv: -kv[1]):
+        times = min(int(x + TINY), *(int(left[k]) // n for k, n in key))
         if times:
+            p = np.zeros(capacity + 1, np.int64)
+            for k, n in key:
+                p[k] = n
             plan.append((p, times))
             left -= times * p
-    return plan + _best_fit(left)
+    return plan, _best_fit(left)
+
+
+def figures(histogram: np.ndarray, placed: list[tuple[np.ndarray, int]], rest: list[tuple[np.ndarray, int]]) -> dict[str, float]:
+    """Sequences, the lower bound, the gap between them as a share of the bound, and the share of the
+    tokens in pieces under the capacity that the linear program placed (1 where there are none)."""
+    size = np.arange(len(histogram))
+    size[-1] = 0
+    tokens = int((histogram * size).sum())
+    by_lp = sum(n * int((p * size).sum()) for p, n in placed)
+    sequences, bound = sum(n for _, n in placed + rest), lower_bound(histogram)
+    return {"sequences": sequences, "lower_bound": bound, "gap": (sequences - bound) / max(bound, 1), "lp_share": by_lp / tokens if tokens else 1.0}
 
 
 def _best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -359,12 +406,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, final_id: i
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         histogram[r.length] = r.n
-    intervals = spark.sparkContext.broadcast(_intervals(solve_configurations(histogram)))
+    placed, rest = solve_parts(histogram)
+    LOG.info("packing: %s", json.dumps(figures(histogram, placed, rest)))
+    intervals = spark.sparkContext.broadcast(_intervals(placed + rest))
     from pyspark.sql import Window
 
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = pieces.join(before, ["task", "length"])
+    rows = pieces.join(before, ["task", "length"])
     names = [c for c in pieces.columns if c not in ("task", "rank")]
     types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    return placed.select(*names, "task", "rank", "before").mapInArrow(_place(intervals), ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
+    return rows.select(*names, "task", "rank", "before").mapInArrow(_place(intervals), ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")

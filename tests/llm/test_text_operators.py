@@ -233,6 +233,27 @@ def test_configurations_cover_the_histogram():
     assert sum(n for _, n in plan) <= 1.03 * -(-(h * np.arange(513)).sum() // 512)
 
 
+def test_configurations_of_all_lengths_at_full_capacity():
+    rng = np.random.default_rng(0)
+    h = np.bincount(np.clip(rng.lognormal(np.log(665), 0.3, 300_000).astype(int), 1, 2047), minlength=2049)
+    plan = packing.solve_configurations(h)
+    placed, rest = packing.solve_parts(h)
+    assert (sum(n * p for p, n in plan) == h).all() and all((p * np.arange(2049)).sum() <= 2048 for p, _ in plan)
+    figures = packing.figures(h, placed, rest)
+    assert sum(n for _, n in plan) == figures["sequences"] <= 1.005 * figures["lower_bound"]
+    assert figures["lp_share"] > 0.95 and ((h < 20) | (sum(n * p for p, n in placed) > 0)).all()
+
+
+def test_lower_bound_of_packing():
+    h = np.zeros(11, np.int64)
+    h[[4, 6, 10]] = 3, 2, 1  # 6 + 4, 6 + 4, 4, 10
+    assert packing.lower_bound(h) == 4 == sum(n for _, n in packing.solve_configurations(h))
+    h[:] = 0
+    assert packing.lower_bound(h) == 0
+    h[6] = 5
+    assert packing.lower_bound(h) == 5
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = np.random.default_rng(6)
     bad = ["idiot", "m0ron", "scum"]
