@@ -590,10 +590,17 @@ RES_KNN = RESID + f", h AS (SELECT {KEY} AS h_id, x, y, t, r AS hz FROM resid WH
 
 
 def residual_sides(spark, d):
-    h = keyed(resid(spark, d).where("t between 8 and 12")).select("h_id", "x", "y", "t", F.col("residual").alias("z"))
+    _, h = all_residuals(spark, d)
+    h = h.where("t between 8 and 12")
     return h.where("t = 10").select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
 
 
+def all_residuals(spark, d):
+    """Every cell as a point and as a datum."""
+    h = keyed(resid(spark, d)).select("h_id", "x", "y", "t", F.col("residual").alias("z"))
+    return h.select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
+
+
 @query(RES_KNN + ONE + f" SELECT k_id, round({C_KH} / 2300 * hz, 4) AS zk, round(2300 - {C_KH} * {C_KH} / 2300, 3) AS vk FROM o WHERE rank = 1")
 def I5_kriging_one(spark, d):
     points, data = residual_sides(spark, d)
@@ -603,13 +610,13 @@ def I5_kriging_one(spark, d):
 
 @query()
 def I5_kriging_ordinary(spark, d):
-    points, data = residual_sides(spark, d)
+    points, data = all_residuals(spark, d)
     return interpolate.kriging(data, points, MODEL, 10, 3.2, 2.5, 1.3, order=0, exclude_same=True)
 
 
 @query()
 def I6_factorial_kriging(spark, d):
-    points, data = residual_sides(spark, d)
+    points, data = all_residuals(spark, d)
     return interpolate.factorial_kriging(data, points, MODEL, 8, 3.2, 2.5, 1.3)
 
 
@@ -621,7 +628,11 @@ def B4_bme_hard(spark, d):
 
 
 def gaussian_soft(spark, d):
-    s = keyed(soft(spark, d).where("t between 8 and 12"))
+    return all_gaussian_soft(spark, d).where("t between 8 and 12")
+
+
+def all_gaussian_soft(spark, d):
+    s = keyed(soft(spark, d))
     none = F.lit(None).cast("array<double>")
     return s.select("h_id", "x", "y", "t", F.lit(10).alias("pdf_type"), none.alias("limi"), none.alias("probdens"), (F.col("mean") - 75).alias("mean"), "var")
 
@@ -662,19 +673,19 @@ def B6_nonnegative(spark, d):
 @query()
 def B3_bme_qmc(spark, d):
     """Uniform soft data and exact residuals: moments by quasi-Monte-Carlo."""
-    s = keyed(soft(spark, d).where("t between 9 and 11"))
+    s = keyed(soft(spark, d))
     low, up = F.col("low") - 75, F.col("up") - 75
     limi = softdata.uniform_limits(low, up)
     s = s.select("h_id", "x", "y", "t", F.lit(2).alias("pdf_type"), limi.alias("limi"), softdata.uniform_density(low, up).alias("probdens"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
-    points, data = residual_sides(spark, d)
+    points, data = all_residuals(spark, d)
     return bme.predict(points, data, s, MODEL, 4, 2, 3.2, 2.5, 1.3, exclude="hard")
 
 
 @query()
 def B7_pdf(spark, d):
     """Posterior densities on a mesh of 41 values."""
-    points, data = residual_sides(spark, d)
-    return bme.predict(points.where("x < 5"), data, gaussian_soft(spark, d), MODEL, 4, 2, 3.2, 2.5, 1.3, exclude="hard", mesh=41)
+    points, data = all_residuals(spark, d)
+    return bme.predict(points, data, all_gaussian_soft(spark, d), MODEL, 4, 2, 3.2, 2.5, 1.3, exclude="hard", mesh=41)
 
 
 # Validation

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from fieldloom import catalog
@@ -40,3 +41,42 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() == 30
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def cell_values(duck):
+    """Residuals of all cells by key, in plain SQL."""
+    from fieldloom.plans import named
+
+    rows = duck.execute(f"WITH {named.RESID} SELECT {named.KEY} AS h_id, x, y, t, r FROM resid ORDER BY h_id").fetchall()
+    return np.array(rows, float)
+
+
+@pytest.mark.parametrize("name", ["I5_kriging_ordinary", "I6_factorial_kriging", "B3_bme_qmc", "B7_pdf"])
+def test_every_cell_is_a_point(spark, cell_values, name):
+    got = catalog.queries()[name](spark, SF).select("k_id").collect()
+    assert sorted(r.k_id for r in got) == cell_values[:, 0].astype(int).tolist()
+
+
+def test_ordinary_kriging_of_every_cell_by_brute_force(spark, cell_values):
+    key, xy, t, z = cell_values[:, 0], cell_values[:, 1:3], cell_values[:, 3], cell_values[:, 4]
+    got = {r.k_id: (r.zk, r.vk) for r in catalog.queries()["I5_kriging_ordinary"](spark, SF).collect()}
+
+    def cov(a, b):
+        ds, dt = np.hypot(*(xy[a][:, None] - xy[b][None]).transpose(2, 0, 1)), np.abs(t[a][:, None] - t[b][None])
+        sphere = np.where(ds > 9, 0, 1 - 1.5 * ds / 9 + 0.5 * (ds / 9) ** 3)
+        return 1500 * np.exp(-3 * ds / 6 - 3 * dt / 4) + 800 * sphere * np.exp(-3 * (dt / 7) ** 2)
+
+    days = set()
+    for k in range(len(key)):
+        d = np.sqrt(((xy - xy[k]) ** 2).sum(1) + ((t - t[k]) * 1.3) ** 2)
+        near = np.flatnonzero((d < np.sqrt(3.2**2 + (2.5 * 1.3) ** 2)) & (np.arange(len(key)) != k))
+        near = near[np.lexsort((key[near], np.round(d[near], 9)))][:10]
+        if len(near) > 1:
+            m, one = len(near), np.ones(len(near))
+            left = np.block([[cov(near, near), one[:, None]], [one[None], np.zeros((1, 1))]])
+            right = np.r_[cov(near, np.array([k]))[:, 0], 1]
+            w = np.linalg.solve(left, right)
+            assert np.allclose(got[int(key[k])], (w[:m] @ z[near], 2300 - w @ right), rtol=1e-6, atol=1e-4)
+            days.add(t[k])
+    assert days > {0, 29}
