@@ -139,27 +139,49 @@ def pca(vectors: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray]:
     return value[::-1], fix_signs(axes[:, ::-1])
 
 
-def ica(vectors: DataFrame, n: int, column: str = "v", rounds: int = 200, sample: int = 20_000, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(mixing matrix, unmixing matrix) of n independent parts: whitening by all rows, fixed-point
-    iterations (tanh) on a sample of at most ``sample`` rows by hash."""
-    value, axes = pca(vectors, column)
-    white = axes[:, :n] / np.sqrt(value[:n])
-    rows = vectors.orderBy(F.xxhash64(column)).limit(sample).collect()
-    x = np.array([r[column] for r in rows], float)
-    z = (x - x.mean(0)) @ white
-    w, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))
-    for _ in range(rounds):
-        y = np.tanh(z @ w.T)
-        new = y.T @ z / len(z) - np.diag((1 - y**2).mean(0)) @ w
-        u, _, vt = np.linalg.svd(new)
-        new = u @ vt
-        done = np.abs(np.abs((new * w).sum(1)) - 1).max() < 1e-8
-        w = new
-        if done:
-            break
+def ica(vectors: DataFrame, n: int, column: str = "v", rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(mixing matrix, unmixing matrix) of n independent parts: whitening and fixed-point iterations
+    (tanh) over all rows; an iteration's sums are one pass in Spark."""
+    vectors = vectors.select(column).where(F.col(column).isNotNull()).persist()
+    try:
+        value, axes = pca(vectors, column)
+        white = axes[:, :n] / np.sqrt(value[:n])
+        sums = {r.i: r.s / r.n for r in column_sums(vectors, column).collect()}  # one row a column
+        shift = np.array([sums[i] for i in range(len(axes))]) @ white
+        w, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))
+        for _ in range(rounds):
+            yz, slope = _tanh_means(vectors, column, white, shift, w)
+            u, _, vt = np.linalg.svd(yz - np.diag(slope) @ w)
+            new = u @ vt
+            done = np.abs(np.abs((new * w).sum(1)) - 1).max() < 1e-8
+            w = new
+            if done:
+                break
+    finally:
+        vectors.unpersist()
     return np.linalg.pinv(w @ white.T), w @ white.T
 
 
+def _tanh_means(vectors: DataFrame, column: str, white: np.ndarray, shift: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of y z', mean of 1 - y^2) over all rows, for z the whitened row and y = tanh(w z)."""
+    n = len(w)
+
+    def run(batches):
+        total, rows = np.zeros(n * n + n), 0
+        for b in batches:
+            x = b.column(0)
+            if len(x):
+                z = np.array(x.to_pylist(), float) @ white - shift
+                y = np.tanh(z @ w.T)
+                total += np.r_[(y.T @ z).ravel(), (1 - y**2).sum(0)]
+                rows += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n + n), pa.int32()), pa.array(total), pa.array(np.full(n * n + n, rows), pa.int64())], ["i", "s", "n"])
+
+    got = vectors.select(column).mapInArrow(run, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").collect()
+    mean = np.array([r.s / r.n for r in got])
+    return mean[: n * n].reshape(n, n), mean[n * n :]
+
+
 def classify(values: DataFrame, column: str = "loading") -> DataFrame:
     """Rows with region 1 where the value is beyond 1.96 deviations of the wider of two Gaussians fitted to it."""
     from pyspark.ml.clustering import GaussianMixture

@@ -262,3 +262,26 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("flags").count() == 30
+
+
+def test_ica_takes_every_vector(spark):
+    import numpy as np
+
+    from fieldloom.operators import decompose
+
+    rng = np.random.default_rng(4)
+    source = np.c_[rng.uniform(-1, 1, 24_000), rng.laplace(size=24_000)]
+    x = source @ np.array([[2.0, 1.0], [1.0, -1.5]])
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "v array<double>").repartition(4)
+    mixing, unmixing = decompose.ica(df, 2)
+    value, axes = decompose.pca(df)
+    white = axes / np.sqrt(value)
+    z = (x - x.mean(0)) @ white
+    w, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(2, 2)))
+    for _ in range(200):
+        y = np.tanh(z @ w.T)
+        u, _, vt = np.linalg.svd(y.T @ z / len(z) - np.diag((1 - y**2).mean(0)) @ w)
+        last, w = w, u @ vt
+        if np.abs(np.abs((w * last).sum(1)) - 1).max() < 1e-8:
+            break
+    assert np.allclose(unmixing, w @ white.T, rtol=0, atol=1e-6) and np.allclose(mixing, np.linalg.pinv(w @ white.T), rtol=0, atol=1e-6)
