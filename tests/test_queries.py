@@ -80,3 +80,11 @@ def test_ordinary_kriging_of_every_cell_by_brute_force(spark, cell_values):
             assert np.allclose(got[int(key[k])], (w[:m] @ z[near], 2300 - w @ right), rtol=1e-6, atol=1e-4)
             days.add(t[k])
     assert days > {0, 29}
+
+
+def test_raster_of_every_day(spark, duck):
+    got = {(r.t, r.col): r.value for r in catalog.queries()["I9_raster"](spark, SF).where("row = 63 and col in (0, 63)").collect()}
+    from fieldloom.plans import named
+
+    want = duck.execute(f"WITH {named.CELLS} SELECT t, CASE WHEN x = 0 THEN 0 ELSE 63 END AS col, z FROM cells WHERE x IN (0, 14) AND y = 0").fetchall()
+    assert len({t for t, _, _ in want}) > 2 and all(abs(got[t, c] - z) < 1e-9 for t, c, z in want)
