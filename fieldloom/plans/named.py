@@ -847,10 +847,13 @@ def X5_moments(spark, d):
 
 @query()
 def X4_maximum_entropy(spark, d):
-    """Density of most entropy with the first two moments of scaled event values."""
+    """Density of most entropy with the first two moments of event values, scaled to their own range."""
     import numpy as np
 
-    m = events(spark, d).where("value <= 500").agg(F.avg(F.col("value") / 500), F.avg(F.pow(F.col("value") / 500, F.lit(2.0)))).first()
+    e = events(spark, d)
+    low, high = e.agg(F.min("value"), F.max("value")).first()
+    u = (F.col("value") - low) / (high - low)
+    m = e.agg(F.avg(u), F.avg(u * u)).first()
     x, p = information.maximum_entropy(np.array(m[:2], float), 0.0, 1.0, points=100)
     return spark.createDataFrame(list(zip(x.tolist(), p.tolist(), strict=True)), "x double, density double")
 

@@ -88,3 +88,13 @@ def test_raster_of_every_day(spark, duck):
 
     want = duck.execute(f"WITH {named.CELLS} SELECT t, CASE WHEN x = 0 THEN 0 ELSE 63 END AS col, z FROM cells WHERE x IN (0, 14) AND y = 0").fetchall()
     assert len({t for t, _, _ in want}) > 2 and all(abs(got[t, c] - z) < 1e-9 for t, c, z in want)
+
+
+def test_maximum_entropy_has_the_moments_of_all_values(spark, tmp_path):
+    value = np.random.default_rng(5).gamma(2.0, 150.0, 2000)
+    spark.createDataFrame([(float(v),) for v in value], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    u = (value - value.min()) / (value.max() - value.min())
+    x, p = np.array(sorted((r.x, r.density) for r in catalog.queries()["X4_maximum_entropy"](spark, str(tmp_path)).collect())).T
+    area = np.trapezoid(p, x)
+    assert (value > 500).any() and abs(area - 1) < 0.02
+    assert abs(np.trapezoid(p * x, x) / area - u.mean()) < 0.01 and abs(np.trapezoid(p * x * x, x) / area - (u * u).mean()) < 0.01
