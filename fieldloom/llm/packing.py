@@ -4,22 +4,28 @@ Only the histogram of piece lengths (at most ``capacity`` counts) reaches the dr
 configuration LP over it - choose how often to use each multiset of lengths that fits a
 sequence, so that all pieces are covered by as few as possible - is solved by multiplicative
 weights: lengths carry weights, the best configurations for them are priced by a knapsack
-dynamic program, and covered lengths lose weight, until every length is covered.  The solution
-is rounded down, and pieces left over are packed best-fit.  The sequences, a lower bound for
-them and the share of tokens that the program placed are logged.
+dynamic program, and covered lengths lose weight, until every length is covered.  Rounding goes
+by turns: whole uses of a configuration are placed, then the configurations with a part of a use
+left are placed once each, the fullest first, as long as all of their pieces are still there, and
+the program is solved again for the pieces that remain, until they hold at most ``REST`` of the
+tokens; these few are packed best-fit.  The sequences, a lower bound for them and the share of
+tokens that the program placed are logged.
 
 Pieces get their places by (length, rank within length).  Ranks come from counts by task and
-length, so a length that a third of all pieces share is never gathered in one task.  The
-places of a length are intervals of ranks; there is one for each piece of each configuration used,
-some thousands of which are used at capacity 2048 whatever the corpus, so they go to the
-executors whole.
+length, so a length that a third of all pieces share is never gathered in one task; these counts
+grow with the tasks and meet the pieces in a shuffled join.  The places of a length are intervals
+of ranks; there is one for each piece of each configuration used, some thousands of which are used
+at capacity 2048 whatever the corpus, so they go to the executors whole.
 
 Tokens: a text is cut before each run of ASCII white space, where the tokenizer's pattern
 never joins, and each distinct piece is encoded once per task.  Texts with other Unicode white
 space or with an added token's string are encoded whole, for there such cuts could differ.
 
-Edge cases: null and empty texts are one piece of the final id alone; repeated rows are packed
-each for itself; an empty table gives no pieces.
+Edge cases: null and empty texts are one piece of the final id alone, a null doc_id stays null;
+a text of any length is encoded whole and cut into full pieces from its end; repeated rows are
+packed each for itself and pieces of one length are told apart by their rank, so ties cannot
+collide; other columns of the input, whatever their names, are not read; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -40,7 +46,8 @@ from fieldloom.llm import textkit as tk
 from fieldloom.llm.shared import Scratch
 
 LOG = logging.getLogger(__name__)
-RATE, STEP = 0.05, 0.34
+RATE, STEP = 1.0, 0.34
+REST = 0.05
 TINY = 1e-9
 MEMO_ENTRIES = 1 << 20
 #: White space of Unicode beyond ASCII, as UTF-8 (fixed values).
@@ -310,23 +317,41 @@ def solve_configurations(histogram: np.ndarray, rounds: int | None = None) -> li
 
 
 def solve_parts(histogram: np.ndarray, rounds: int | None = None) -> tuple[list[tuple[np.ndarray, int]], list[tuple[np.ndarray, int]]]:
-    """(uses that the linear program gives, uses of the best-fit for what its rounding leaves over)."""
+    """(uses that the linear program gives, uses of the best-fit for the last ``REST`` of the tokens).
+
+    A turn of rounding places something: if no use is whole, no piece is gone yet and the fullest
+    configuration fits; from turn to turn twice the room may stay empty in those placed once.
+    """
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
+    size = np.arange(capacity + 1)
     plan: list[tuple[np.ndarray, int]] = []
+
+    def place(key: tuple[tuple[int, int], ...], times: int) -> None:
+        p = np.zeros(capacity + 1, np.int64)
+        for k, n in key:
+            p[k] = n
+            left[k] -= n * times
+        plan.append((p, times))
+
     if left[capacity]:  # a full piece is a sequence of its own
-        one = np.zeros(capacity + 1, np.int64)
-        one[capacity] = 1
-        plan.append((one, int(left[capacity])))
-        left[capacity] = 0
-    for key, x in sorted(_cover(left, rounds).items(), key=lambda kv: -kv[1]):
-        times = min(int(x + TINY), *(int(left[k]) // n for k, n in key))
-        if times:
-            p = np.zeros(capacity + 1, np.int64)
-            for k, n in key:
-                p[k] = n
-            plan.append((p, times))
-            left -= times * p
+        place(((capacity, 1),), int(left[capacity]))
+    enough, loose = REST * float((left * size).sum()), 0
+    while (left * size).sum() > enough:
+        parts = []
+        for key, x in sorted(_cover(left, rounds).items(), key=lambda kv: (-kv[1], kv[0])):
+            times = min(int(x + TINY), *(int(left[k]) // n for k, n in key))
+            if times:
+                place(key, times)
+            parts.append((capacity - sum(k * n for k, n in key), times - x, key))
+        once = 0
+        for room, _, key in sorted(parts):
+            if once and (room > loose or (left * size).sum() <= enough):
+                break
+            if all(left[k] >= n for k, n in key):
+                place(key, 1)
+                once += 1
+        loose = 2 * loose + 1  # what may stay empty in a configuration of this turn
     return plan, _best_fit(left)
 
 
@@ -413,7 +438,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, final_id: i
 
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = pieces.join(before, ["task", "length"])
+    rows = pieces.join(before.hint("shuffle_hash"), ["task", "length"])
     names = [c for c in pieces.columns if c not in ("task", "rank")]
     types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     return rows.select(*names, "task", "rank", "before").mapInArrow(_place(intervals), ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
