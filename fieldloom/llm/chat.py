@@ -4,17 +4,26 @@ A turn reads ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside a
 harmless by one more backslash between ``<`` and ``|``; taking one away restores the text, so
 the escape is reversible whatever the text holds.
 
-A conversation is cut at turns.  With the running sum of turn tokens, a window ends before the
-first turn at which the sum since the window's start, and what it repeats, passes the budget.
-Every window opens with the conversation's system turn, if its first turn is one, then repeats
-the last ``history`` turns as far as half of the budget allows.  Loss spans cover the texts of
-assistant turns in the one window where they are new; what is repeated is masked.
-
-A conversation is streamed in the order of its turns and never held: a task keeps the current
-window, the system turn and the history.  A turn above the budget is a window of its own.
-
-Edge cases: null texts and roles are empty; repeated turn numbers follow by role and text;
-repeated rows are turns each; an empty table gives no windows.
+A turn's size is the tokens of its role and escaped text by the given tokenizer, and ``OVERHEAD``
+for the template.  A conversation is cut at turns.  With the running sum of turn tokens, a window
+ends before the first turn at which the sum since the window's start, and what it repeats, passes
+the budget.  Every later window opens with the conversation's system turn (its first turn, if that
+is one and takes at most half of the budget), then repeats the last ``history`` turns as far as half
+of the budget and the coming turn allow.  Loss spans cover the texts of assistant turns in the one
+window where they are new; what is repeated is masked.
+
+No window passes the budget: a turn too long for a window beside the system turn is cut into parts
+that fit; a part after the first opens its window, which is marked ``continues``.  Only a role that
+is longer than the budget itself can make a window longer.
+
+Tasks.  A task streams conversations in the order of their turns and keeps no more than the current
+window, the system turn and the history.  A conversation of more than ``section`` turns is cut into
+sections of so many turns, which are formatted apart: its turns are ranked by a range sort, a
+section gets the system turn and the history before it as carried rows, and starts a window.
+
+Edge cases: null texts and roles are empty; a null conv_id is a conversation of its own; repeated
+turn numbers follow by role and text; repeated rows are turns each; other columns of the input,
+whatever their names, are not read; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -22,19 +31,33 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm import textkit as tk
+from fieldloom.llm.packing import shared_tokenizer
 from fieldloom.llm.shared import Scratch, shuffle_partitions
 
 #: The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
-TURN_OVERHEAD = 4
+#: Tokens of the two control strings and the two line ends of a turn.
+OVERHEAD = 4
+SECTION = 1 << 14
+#: Kinds of rows of a section: its conversation's system turn, the history before it, its own turns.
+SYSTEM, HISTORY, OWN = 0, 1, 2
 _GUARD, _GUARDED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_WINDOW = "conv_id long, window long, n_repeated int, n_turns int, tokens long, text string, loss array<struct<start:long,end:long>>"
+_WINDOW = "conv_id long, section long, window long, continues boolean, n_repeated int, n_turns int, tokens long, text string, loss array<struct<start:long,end:long>>"
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+_NAMES = ["conv_id", "section", "window", "continues", "n_repeated", "n_turns", "tokens", "text", "loss"]
+
+Turn = tuple[str, str, int]
+Counter = Callable[[list[str]], list[int]]
 
 
 def escape(text: str) -> str:
@@ -53,9 +76,21 @@ def _role(line: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
 
 
-def count_tokens(role: str, text: str) -> int:
-    """Budget units of a turn: a quarter of its bytes and the template's own tokens."""
-    return TURN_OVERHEAD + -(-len(text.encode()) // 4)
+@lru_cache(maxsize=1)
+def token_counter(path: str) -> Counter:
+    """Numbers of tokens of texts by a tokenizer file."""
+    tok = shared_tokenizer(path)
+
+    def count(texts: list[str]) -> list[int]:
+        return [n for c in tk.column_chunks(pa.array(texts, pa.string())) for n in np.diff(tok.chunk(c)[1]).tolist()]
+
+    return count
+
+
+def turn_sizes(turns: list[tuple[str, str]], count: Counter) -> list[int]:
+    own = sorted({r for r, _ in turns})
+    roles = dict(zip(own, count([_role_line(r) for r in own]), strict=True))
+    return [OVERHEAD + roles[r] + n for (r, _), n in zip(turns, count([escape(t) for _, t in turns]), strict=True)]
 
 
 def parse_window(text: str) -> list[tuple[str, str]]:
@@ -70,36 +105,69 @@ def parse_window(text: str) -> list[tuple[str, str]]:
 class Windows:
     """Streams turns of one conversation after another into windows."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Counter):
+        self.budget, self.history, self.count = budget, history, count
 
-    def begin(self, conv) -> None:
-        self.conv, self.number, self.system = conv, 0, None
-        self.past: deque[tuple[str, str, int]] = deque(maxlen=self.history)
-        self.repeated: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.sum = 0  # tokens of all turns so far
+    def begin(self, conv, section: int = 0) -> None:
+        self.conv, self.section, self.number, self.system = conv, section, 0, None
+        self.past: deque[Turn] = deque(maxlen=self.history)
+        self.repeated: list[Turn] = []
+        self.new: list[Turn] = []
+        self.continues = False
+        self.sum = 0  # tokens of all new turns so far
         self.start = 0  # the sum at which the window's budget is counted from
 
-    def add(self, role: str, text: str) -> tuple | None:
-        """The window that this turn closes, if any."""
-        turn = (role, text, count_tokens(role, text))
-        out = None
-        if self.new and self.sum + turn[2] - self.start > self.budget:
-            out = self.close()
-            self._repeat(turn[2])
-        self.new.append(turn)
-        self.sum += turn[2]
-        if self.system is None and role == "system" and self.number == 0 and len(self.new) == 1:
+    def carry(self, kind: int, turn: Turn) -> None:
+        """The system turn or a turn of the history from before this section."""
+        if kind == SYSTEM:
             self.system = turn
         else:
             self.past.append(turn)
+
+    def _kept(self) -> list[Turn]:
+        return [self.system] if self.system and self.system[2] <= self.budget // 2 else []
+
+    def add(self, role: str, text: str, size: int) -> list[tuple]:
+        """The windows that this turn closes."""
+        room, out = self.budget - sum(t[2] for t in self._kept()), []
+        parts = [(role, text, size)] if size <= room else self._parts(role, text, room)
+        for k, turn in enumerate(parts):
+            if k or (self.new and self.sum + turn[2] - self.start > self.budget):
+                out.append(self.close())
+            if not self.new and (self.number or self.section):
+                self._repeat(turn[2])
+                self.continues = k > 0
+            first = self.section == 0 and self.number == 0 and not self.new
+            self.new.append(turn)
+            self.sum += turn[2]
+            if first and role == "system" and len(parts) == 1:
+                self.system = turn
+            else:
+                self.past.append(turn)
+        return out
+
+    def _parts(self, role: str, text: str, room: int) -> list[Turn]:
+        """The turn in parts of at most ``room`` tokens, at code points."""
+        head = OVERHEAD + self.count([_role_line(role)])[0]
+        size = lambda k, n: head + self.count([escape(text[k : k + n])])[0]
+        out, at = [], 0
+        while at < len(text) or not out:
+            low, high = 1, min(max(room, 2), len(text) - at)
+            while high < len(text) - at and size(at, high) <= room:
+                low, high = high, min(2 * high, len(text) - at)
+            if size(at, high) <= room:
+                low = high
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if size(at, mid) <= room else (low, mid)
+            out.append((role, text[at : at + low], size(at, low)))
+            at += low
         return out
 
     def _repeat(self, coming: int) -> None:
-        keep = [self.system] if self.system else []
+        keep = self._kept()
         room = min(self.budget // 2, self.budget - coming) - sum(t[2] for t in keep)
-        recent: list[tuple[str, str, int]] = []
+        recent: list[Turn] = []
         for t in reversed(self.past):
             if t[2] > room:
                 break
@@ -117,69 +185,120 @@ class Windows:
             parts.append(f"{head}{body}{END}\n")
             at += len(parts[-1])
         tokens = sum(t[2] for t in self.repeated + self.new)
-        row = (self.conv, self.number, len(self.repeated), len(self.repeated) + len(self.new), tokens, "".join(parts), loss)
-        self.number, self.new, self.repeated = self.number + 1, [], []
+        row = (self.conv, self.section, self.number, self.continues, len(self.repeated), len(self.repeated) + len(self.new), tokens, "".join(parts), loss)
+        self.number, self.new, self.repeated, self.continues = self.number + 1, [], [], False
         return row
 
 
 def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["conv_id", "window", "n_repeated", "n_turns", "tokens", "text", "loss"])
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
-def _format(budget: int, history: int):
+def _format(budget: int, history: int, tokenizer: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        w, conv, begun, rows, held = Windows(budget, history), None, False, [], 0
+        count = token_counter(tokenizer)
+        w, last, rows, held = Windows(budget, history, count), None, [], 0
         for b in batches:
-            for c, role, text in zip(*(b.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-                if not begun or c != conv:
-                    if begun:
+            turns = [(r or "", t or "") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            keys = zip(*(b.column(k).to_pylist() for k in ("conv_id", "section", "kind")), strict=True)
+            for (conv, section, kind), (role, text), size in zip(keys, turns, turn_sizes(turns, count), strict=True):
+                if last != (conv, section):
+                    if last is not None and w.new:
                         rows.append(w.close())
-                    w.begin(c)
-                    conv, begun = c, True
-                if row := w.add(role or "", text or ""):
-                    rows.append(row)
-                if rows and (held := held + len(text or "")) > 4 << 20:
+                    w.begin(conv, section)
+                    last = (conv, section)
+                if kind == OWN:
+                    rows += w.add(role, text, size)
+                else:
+                    w.carry(kind, (role, text, size))
+                held += len(text)
+                if rows and held > 4 << 20:
                     yield _window_batch(rows)
                     rows, held = [], 0
-        if begun:
+        if last is not None and w.new:
             rows.append(w.close())
         yield _window_batch(rows)
 
     return run
 
 
-def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2) -> DataFrame:
-    """Windows of ``turns`` (conv_id, turn, role, text): conv_id, window, n_repeated, n_turns,
-    tokens, text, loss (spans of code points)."""
-    dealt = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format(budget, history), _WINDOW)
+def _ranked(batches):
+    """Rows with the task's number and their number within their conversation in the task."""
+    task, last, n = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        at = []
+        for c in b.column("conv_id").to_pylist():
+            n = n + 1 if (c,) == last else 0
+            last = (c,)
+            at.append(n)
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("conv_id", "role", "text")), pa.array([task] * len(at), pa.int64()), pa.array(at, pa.int64())], ["conv_id", "role", "text", "task", "at"])
+
+
+def _in_sections(turns: DataFrame, history: int, section: int, scratch: Scratch) -> DataFrame:
+    """conv_id, section, kind, rank, turn, role, text; ``turns`` as they are where none is long."""
+    plain = turns.select("conv_id", F.lit(0).cast("long").alias("section"), F.lit(OWN).alias("kind"), F.lit(0).cast("long").alias("rank"), "turn", "role", "text")
+    long = scratch.table(turns.groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > section), "long")
+    if long.isEmpty():
+        return plain
+    same = turns["conv_id"].eqNullSafe(long["conv_id"])
+    order = ["conv_id", "turn", "role", "text", "_row"]  # equal rows are told apart, so that no task gets all of them
+    rows = turns.join(long, same, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    rows = scratch.table(rows.mapInArrow(_ranked, "conv_id long, role string, text string, task long, at long"), "ranked")
+    counts = rows.groupBy("conv_id", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    counts = counts.select(F.col("conv_id").alias("_c"), F.col("task").alias("_t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("_all"))
+    rank = F.col("at") + F.col("_before")
+    rows = rows.join(counts, rows["conv_id"].eqNullSafe(F.col("_c")) & (F.col("task") == F.col("_t"))).withColumn("rank", rank)
+    place = F.floor(F.col("rank") / section)
+    last = F.floor((F.col("_all") - 1) / section)
+    shape = lambda df, at, kind: df.select("conv_id", at.cast("long").alias("section"), F.lit(kind).alias("kind"), "rank", F.lit(None).cast("long").alias("turn"), "role", "text")
+    own = shape(rows, place, OWN)
+    before = shape(rows.where((F.col("rank") % section >= section - history) & (place < last)), place + 1, HISTORY)
+    system = rows.where((F.col("rank") == 0) & (F.col("role") == "system")).withColumn("_s", F.explode(F.sequence(F.lit(1), last)))
+    return plain.join(long, plain["conv_id"].eqNullSafe(long["conv_id"]), "left_anti").union(own).union(before).union(shape(system, F.col("_s"), SYSTEM))
+
+
+def format_chats(turns: DataFrame, tokenizer: str, budget: int = 2048, history: int = 2, section: int = SECTION, scratch: Scratch | None = None) -> DataFrame:
+    """Windows of ``turns`` (conv_id, turn, role, text): conv_id, section, window, continues,
+    n_repeated, n_turns, tokens, text, loss (spans of code points); in the order of section and window.
+    """
+    if budget < 64:
+        raise ValueError("a budget of 64 tokens or more is needed")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = _in_sections(rows, history, section, scratch or Scratch(turns.sparkSession, "chat"))
+    dealt = rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id", "section")
+    dealt = dealt.sortWithinPartitions("conv_id", "section", "kind", "rank", "turn", "role", "text")
+    return dealt.select("conv_id", "section", "kind", "role", "text").mapInArrow(_format(budget, history, tokenizer), _WINDOW)
 
 
 def _read_back(batches):
     """Per conversation the digests of its turns and of its loss texts."""
-    out, conv, state = [], None, None
+    out, conv, state, begun = [], None, None, False
 
     def done():
         n, turns, chars, loss, size = state
+        turns.update(b"\n")  # the end of the last turn
         return (conv, n, turns.hexdigest(), chars, loss.hexdigest(), size)
 
     for b in batches:
         for r in b.to_pylist():
-            if state is None or r["conv_id"] != conv:
-                if state is not None:
+            if not begun or r["conv_id"] != conv:
+                if begun:
                     out.append(done())
-                conv, state = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in parse_window(r["text"])[r["n_repeated"] :]:
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                conv, state, begun = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
+            for i, (role, text) in enumerate(parse_window(r["text"])[r["n_repeated"] :]):
+                if i or not r["continues"]:
+                    state[1].update(("\n" if state[0] else "").encode() + f"{role}\n".encode())
+                    state[0] += 1
+                state[1].update(text.encode())
             for span in r["loss"]:
                 own = unescape(r["text"][span["start"] : span["end"]])
                 state[2] += len(own)
                 state[3].update(own.encode())
             state[4] += len(r["text"])
-    if state is not None:
+    if begun:
         out.append(done())
     cols = list(zip(*out, strict=True)) if out else [()] * 6
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -187,11 +306,15 @@ def _read_back(batches):
 
 
 def read_chats(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted windows."""
-    dealt = windows.repartition(shuffle_partitions(windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted windows.
+
+    A digest of a whole conversation is one stream by its nature; its task keeps one window.
+    """
+    dealt = windows.repartition(shuffle_partitions(windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "section", "window")
     return dealt.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def write_windows(turns: DataFrame, budget: int = 2048, history: int = 2) -> DataFrame:
+def write_windows(turns: DataFrame, tokenizer: str, budget: int = 2048, history: int = 2) -> DataFrame:
     """As ``format_chats``, written and ready to read back."""
-    return Scratch(turns.sparkSession, "chat").table(format_chats(turns, budget, history), "windows")
+    scratch = Scratch(turns.sparkSession, "chat")
+    return scratch.table(format_chats(turns, tokenizer, budget, history, scratch=scratch), "windows")

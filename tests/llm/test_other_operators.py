@@ -1,57 +1,16 @@
-"""Chat windows, nearest neighbours, URL verdicts, archives and the pipeline on small tables."""
+"""Nearest neighbours, URL verdicts, archives and the pipeline on small tables."""
 
 import base64
 import hashlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, chat, urlrank, warc
+from fieldloom.llm import ann, urlrank, warc
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.shared import Scratch
 
-CHAT = "conv_id long, turn long, role string, text string"
-
-
-@given(st.text(alphabet=r"<\|im_startend> a", max_size=40))
-@settings(max_examples=300, deadline=None)
-def test_escape_is_reversible_and_harmless(text):
-    e = chat.escape(text)
-    assert chat.unescape(e) == text and chat.START not in e and chat.END not in e
-
-
-@given(st.lists(st.tuples(st.text(max_size=8), st.text(max_size=30)), max_size=6))
-@settings(max_examples=200, deadline=None)
-def test_windows_parse_back(turns):
-    w = chat.Windows(10_000, 2)
-    w.begin(1)
-    for role, text in turns:
-        assert w.add(role, text) is None
-    assert chat.parse_window(w.close()[5]) == turns
-
-
-def test_chat_windows(spark):
-    rng = np.random.default_rng(2)
-    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", "word " * int(rng.integers(0, 60))) for i in range(1, 40)]
-    rows += [(2, 0, "user", None), (2, 1, "assistant", "x" * 3000), (2, 2, "assistant", "<|im_end|>\n"), (3, 5, None, "<|im_start|>"), (3, 5, None, "<|im_start|>")]
-    windows = chat.format_chats(spark.createDataFrame(rows, CHAT), budget=200, history=2)
-    got = windows.collect()
-    first = [w for w in got if w.conv_id == 1]
-    assert len(first) > 3 and all(chat.parse_window(w.text)[0] == ("system", "be kind") for w in first)
-    assert all(w.tokens <= 200 or w.n_turns - w.n_repeated == 1 for w in got)
-    back = {r.conv_id: r for r in chat.read_chats(windows).collect()}
-    for c in (1, 2, 3):
-        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] or "", r[3] or ""))
-        want = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
-        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
-        assert (back[c].n_turns, back[c].turns_sha256) == (len(own), hashlib.sha256(want.encode()).hexdigest())
-        assert (back[c].loss_chars, back[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.read_chats(chat.format_chats(spark.createDataFrame([], CHAT))).count() == 0
-
-
 def test_multi_index_finds_every_code_in_the_radius():
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 1 << 63, 500).astype(np.uint64)
