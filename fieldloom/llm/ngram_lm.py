@@ -1,29 +1,34 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped to score.
-
-Counting.  Tasks send the distinct (context, word) pairs of a run of training texts, packed by
-ranges of the context's hash, so a very common pair leaves a run once.  Contexts of more than
-about 1/``HOT_SHARE`` of all tokens - there are at most twice that many - are found first and
-dealt over all ranges by word, so that no range gets the whole of one.  The reducer of a range
-writes
-
-* its pairs: one sorted array of 64-bit keys (number of the context, 40 bits of the word's
-  hash) and their counts,
-* its contexts: sorted hashes, with tokens and the numbers of words seen once, twice, oftener,
-
-and passes on per word the number of its distinct contexts; a second exchange, by word, sums
-these into sorted arrays.  Contexts dealt over several ranges are summed where they are read.
-Files are named by attempt and only those named in the committed table are read.
-
-Scoring.  Each worker maps the arrays (from the shared folder, or from a local copy of it that
-is unlinked at once where it is not a file system) and looks sorted runs of pairs up.
-
-The model is p(w|u) = (c(uw) - D)/c(u) + g(u) p(w) with three discounts estimated from the
-pair counts, over p(w) = (N(.w) - D')/N(..) + g' / (V + 1), with discounts of the continuation
-counts; unknown words share one more word's chance each.  Texts start in a context of their own and
-end with an end token.
-
-Edge cases: null and empty texts are one end token; without training texts every count is
-zero and scores are those of the uniform distribution over the one unknown word (0).
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped to score.
+
+Counting, from the highest ``order`` down.  Tasks send the distinct n-grams of a run of training
+texts, packed by ranges of the context's hash, so a very common n-gram leaves a run once; a blob
+lists its words' hashes once and numbers them.  The reducer of a range writes
+
+* its n-grams: sorted 64-bit hashes of context and word, and counts (one byte each, and a second
+  pair of arrays for the counts that need more),
+* its contexts: sorted hashes, with tokens and the numbers of words seen once, twice, oftener;
+  contexts of one n-gram seen once, which are most, are a list of hashes alone,
+
+and sends on, by ranges of the shorter context, how many words stand before each n-gram without its
+first word: these are the counts of the next lower order, down to the words, whose plain counts
+travel too.  Contexts of more than about 1/``HOT_SHARE`` of a run's tokens - some thousands at the
+most - are found first and dealt over all ranges by word, so that no range gets the whole of one;
+their sums are added up where they are read.  Files are named by attempt and only those named in the
+committed table are read.
+
+Scoring.  Each worker maps the arrays of the ranges that it meets (from the shared folder, or from a
+local copy of that file that is unlinked at once where it is not a file system) and looks sorted
+runs of n-grams up.
+
+The model is p(w|u) = (c(uw) - D)/c(u) + g(u) p(w|u without its first word) with three discounts an
+order, estimated from its counts of counts, down to p(w) = (N(.w) - D')/N(..) + g' / (V + 1); unknown
+words share one more word's chance each.  Texts start in a context of their own and end with an end
+token.
+
+Edge cases: null and empty texts are one end token; texts of any length are read whole, in runs;
+repeated rows count each and are scored each; a null doc_id is scored like any other; without
+training texts every count is zero and scores are those of the uniform distribution over the one
+unknown word (0); an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +46,16 @@ from pyspark.sql import functions as F
 from fieldloom.llm import textkit as tk
 from fieldloom.llm.shared import Scratch, fresh_path, text_buckets
 
-RUN_PAIRS = 1 << 20
+ORDER = 3
+RUN_TOKENS = 1 << 20
 HOT_SHARE = 256
 START_HASH, END_HASH = np.uint64(0x5354415254), np.uint64(0x454E44)
-_ROWS = "bucket int, kind int, path string, stats array<long>, blob binary"
-_NAMES = ["bucket", "kind", "path", "stats", "blob"]
-PAIRS, CONTEXTS, WORDS = 1, 2, 3
+#: level: the order that a blob's n-grams have, 0 for plain counts of words; kind: which file, 0 for a blob.
+_ROWS = "bucket int, level int, kind int, path string, stats array<long>, blob binary"
+_NAMES = ["bucket", "level", "kind", "path", "stats", "blob"]
+GRAMS, OFTEN, CONTEXTS, SINGLES, WORDS = 1, 2, 3, 4, 5
+_KINDS = {GRAMS: (np.uint64, np.uint8), OFTEN: (np.uint64, np.int64), CONTEXTS: (np.uint64, np.int64, np.uint32, np.uint32, np.uint32), SINGLES: (np.uint64,), WORDS: (np.uint64, np.int64, np.int64)}
+_TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -67,7 +76,7 @@ def write_arrays(base: str, name: str, arrays: list[np.ndarray]) -> str:
 
 
 def map_arrays(path: str, kinds: tuple) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped."""
+    """The equally long arrays of a file, memory-mapped."""
     fs, own = _filesystem(path)
     if isinstance(fs, pafs.LocalFileSystem):
         raw = np.memmap(own, np.uint8, "r") if os.path.getsize(own) else np.empty(0, np.uint8)
@@ -87,63 +96,104 @@ def map_arrays(path: str, kinds: tuple) -> list[np.ndarray]:
 
 
 def _range_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> tk.U64(32)) * tk.U64(buckets)) >> tk.U64(32)
+    return (((h >> tk.U64(32)) * tk.U64(buckets)) >> tk.U64(32)).astype(np.int64)
+
+
+def _joined(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash of words in order: of a context, or of a context and a word."""
+    h = np.full(len(columns[0]), len(columns), tk.U64)
+    for c in columns:
+        h = tk.mix(h * _TURN + c)
+    return h
 
 
-def token_pairs(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, tokens, offsets by document) of a chunk: words in lower case, then the end."""
+def token_columns(c: tk.Chunk, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the order - 1 tokens before each token, oldest first, and the token; offsets by document) of a
+    chunk: words in lower case, then the end, with starts before the first."""
     h = c.words().word_hashes(True)
+    pad = order - 1
     off = c.word_off + np.arange(c.n + 1)
-    tokens = np.empty(off[-1], tk.U64)
-    ends = off[1:] - 1
-    is_word = np.ones(len(tokens), bool)
-    is_word[ends] = False
-    tokens[is_word], tokens[ends] = h, END_HASH
-    contexts = np.empty_like(tokens)
-    contexts[1:] = tokens[:-1]
-    contexts[off[:-1]] = START_HASH
-    return contexts, tokens, off
+    at = np.arange(off[-1]) + pad * np.repeat(np.arange(1, c.n + 1), np.diff(off))  # in a row with starts
+    row = np.full(off[-1] + pad * c.n, START_HASH, tk.U64)
+    is_word = np.ones(off[-1], bool)
+    is_word[off[1:] - 1] = False
+    row[at[is_word]], row[at[~is_word]] = h, END_HASH
+    return [row[at - k] for k in range(pad, -1, -1)], off
+
+
+def _frequent(order: int):
+    """Contexts, by order, of more than 1/HOT_SHARE of a run's tokens."""
+
+    def run(batches):
+        for _, c in tk.batch_chunks(batches):
+            columns, off = token_columns(c, order)
+            for n in range(2, order + 1):
+                u, count = np.unique(_joined(columns[order - n : -1]), return_counts=True)
+                often = count > max(64, int(off[-1]) // HOT_SHARE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), n), pa.int32()), pa.array(u[often].view(np.int64)), pa.array(count[often])], ["level", "u", "n"])
+
+    return run
+
+
+def _least(limit: int):
+    return np.uint8 if limit < 1 << 8 else np.uint16 if limit < 1 << 16 else np.uint32 if limit < 1 << 32 else np.int64
+
+
+def _pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
+    """n-grams, as numbers in the list of their words' hashes, and counts."""
+    words, number = np.unique(np.concatenate(columns), return_inverse=True)
+    kind, count_kind = _least(len(words)), _least(int(count.max(initial=0)))
+    head = np.array([len(count), len(columns), len(words), np.dtype(kind).itemsize, np.dtype(count_kind).itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, words, number.astype(kind), count.astype(count_kind)))
 
 
-def _frequent(batches):
-    """Contexts of more than 1/HOT_SHARE of a run's tokens."""
-    for _, c in tk.batch_chunks(batches):
-        u, n = np.unique(token_pairs(c)[0], return_counts=True)
-        often = n > max(64, int(n.sum()) // HOT_SHARE)
-        yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often])], ["u", "n"])
+_UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
 
 
-def _count(buckets: int, hot: np.ndarray):
-    """Distinct pairs of runs, by range of the context: kind 0 rows."""
+def _unpack(blob) -> tuple[list[np.ndarray], np.ndarray]:
+    n, k, v, size, count_size = np.frombuffer(blob, np.int64, 5).tolist()
+    words = np.frombuffer(blob, np.uint64, v, 40)
+    number = np.frombuffer(blob, _UNSIGNED[size], n * k, 40 + 8 * v)
+    count = np.frombuffer(blob, _UNSIGNED[count_size], n, 40 + 8 * v + n * k * size)
+    return list(words[number].reshape(k, n)), count
+
+
+def _all_of(blobs) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = [_unpack(x) for x in blobs]
+    return [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1].astype(np.int64) for p in parts])
+
+
+def _blobs(level: int, columns: list[np.ndarray], count: np.ndarray, buckets: int, hot: dict[int, np.ndarray]) -> list[tuple]:
+    """Rows of the ranges that n-grams (or words, by themselves) belong to."""
+    w, u = columns[-1], _joined(columns[:-1]) if len(columns) > 1 else columns[-1]
+    b = np.where(np.isin(u, hot[level]), _range_of(w, buckets), _range_of(u, buckets)) if level > 1 else _range_of(w, buckets)
+    order = np.lexsort((w, u, b))
+    columns, count = [c[order] for c in columns], count[order]
+    cut = np.searchsorted(b[order], np.arange(buckets + 1))
+    return [(i, level, 0, None, None, _pack([c[cut[i] : cut[i + 1]] for c in columns], count[cut[i] : cut[i + 1]])) for i in range(buckets) if cut[i] < cut[i + 1]]
+
+
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary())
+    return [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+
+
+def _count(order: int, buckets: int, hot: dict[int, np.ndarray]):
+    """Distinct n-grams of runs, by range of the context."""
 
     def flush(held):
-        u, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        n = np.diff(np.r_[first, len(u)]).astype(np.uint32)
-        u, w = u[first], w[first]
-        b = np.where(np.isin(u, hot), _range_of(w, buckets), _range_of(u, buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        u, w, n, b = u[order], w[order], n[order], b[order]
-        cut = np.searchsorted(b, np.arange(buckets + 1))
-        full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-        blobs = []
-        for i in full:
-            s = slice(cut[i], cut[i + 1])
-            at = np.flatnonzero(np.r_[True, u[s][1:] != u[s][:-1]])
-            head = np.array([len(at), cut[i + 1] - cut[i]], np.int64)
-            blobs.append(b"".join(x.tobytes() for x in (head, u[s][at], np.diff(np.r_[at, len(u[s])]).astype(np.uint32), w[s], n[s])))
-        k = len(full)
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([0] * k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], _NAMES)
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        _, first, n = np.unique(_joined(columns), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays(_rows(_blobs(order, [c[first] for c in columns], n, buckets, hot)), _NAMES)
 
     def run(batches):
         held, size = [], 0
         for _, c in tk.batch_chunks(batches):
-            u, w, _off = token_pairs(c)
-            held.append((u, w))
-            size += len(u)
-            if size >= RUN_PAIRS:
+            columns, off = token_columns(c, order)
+            held.append(columns)
+            size += int(off[-1])
+            if size >= RUN_TOKENS:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -152,72 +202,69 @@ def _count(buckets: int, hot: np.ndarray):
     return run
 
 
-def _unpack_pairs(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, n = np.frombuffer(blob, np.int64, 2).tolist()
-    u = np.frombuffer(blob, np.uint64, k, 16)
-    size = np.frombuffer(blob, np.uint32, k, 16 + 8 * k)
-    w = np.frombuffer(blob, np.uint8, 8 * n, 16 + 12 * k).view(np.uint64)
-    return np.repeat(u, size), w, np.frombuffer(blob, np.uint32, n, 16 + 12 * k + 8 * n)
-
-
 def _counts_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-    types = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary())
-    return pa.table({k: pa.array(list(c), t) for k, c, t in zip(_NAMES, cols, types, strict=True)})
-
+def _write_level(level: int, top: bool, base: str, buckets: int, hot: dict[int, np.ndarray]):
+    """Writes the n-grams and contexts of a range; sends on the counts of the next lower order.
 
-def _write_pairs(base: str, buckets: int):
-    """Writes the pairs and contexts of a range; passes on each word's number of contexts there."""
+    Rows of other levels pass.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        mine = [k == 0 and own == level for k, own in zip(table["kind"].to_pylist(), table["level"].to_pylist(), strict=True)]
+        rest = table.filter(pa.array([not m for m in mine]))
+        if not any(mine):
+            return rest
         bucket = table["bucket"][0].as_py()
-        u, w, n = (np.concatenate(x) for x in zip(*(_unpack_pairs(x.as_buffer()) for x in table["blob"]), strict=True))
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        u, w, n = u[first], w[first], np.add.reduceat(n, first)
+        columns, n = _all_of([x.as_buffer() for x in table.filter(pa.array(mine))["blob"]])
+        u, key = _joined(columns[:-1]), _joined(columns)
+        order = np.lexsort((key, u))
+        u, key, n = u[order], key[order], n[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        columns = [c[order[first]] for c in columns]
+        u, key, n = u[first], key[first], np.add.reduceat(n, first)
+        del order
         begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        number = np.repeat(np.arange(len(begin), dtype=np.uint64), np.diff(np.r_[begin, len(u)]))
-        keys = (number << tk.U64(40)) | (w >> tk.U64(24))
-        pairs = write_arrays(base, f"pairs-{bucket}", [keys, np.minimum(n, 0xFFFFFFFF).astype(np.uint32)])
         per = [np.add.reduceat(x.astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)]
-        contexts = write_arrays(base, f"contexts-{bucket}", [u[begin], *per])
-        stats = [int(n.sum()), *_counts_of_counts(n)]
-        out = [(bucket, PAIRS, pairs, stats, None), (bucket, CONTEXTS, contexts, None, None)]
-        word, of = np.unique(w, return_inverse=True)
-        count = np.bincount(of, minlength=len(word)).astype(np.uint32)
-        cut = np.searchsorted(_range_of(word, buckets), np.arange(buckets + 1, dtype=tk.U64))
-        for i in range(buckets):
-            if cut[i] < cut[i + 1]:
-                s = slice(cut[i], cut[i + 1])
-                out.append((i, 0, None, None, word[s].tobytes() + count[s].tobytes()))
-        return _rows(out)
+        single, many, contexts = per[0] == 1, per[0] > 1, u[begin]
+        sorted_key = np.argsort(key, kind="stable")
+        often = sorted_key[n[sorted_key] > 0xFF]
+        arrays = {
+            GRAMS: [key[sorted_key], np.minimum(n[sorted_key], 0xFF).astype(np.uint8)],
+            OFTEN: [key[often], n[often]],
+            CONTEXTS: [contexts[many], per[0][many], *(x[many].astype(np.uint32) for x in per[1:])],
+            SINGLES: [contexts[single]],
+        }
+        del sorted_key, key
+        stats = {GRAMS: _counts_of_counts(n)}
+        out = [(bucket, level, k, write_arrays(base, f"order-{level}-{k}-{bucket}", x), stats.get(k), None) for k, x in arrays.items() if len(x[0])]
+        if top:
+            word, of = np.unique(columns[-1], return_inverse=True)
+            out += _blobs(0, [word], np.bincount(of, n, len(word)).astype(np.int64), buckets, hot)
+        _, first, below = np.unique(_joined(columns[1:]), return_index=True, return_counts=True)
+        out += _blobs(level - 1, [c[first] for c in columns[1:]], below, buckets, hot)
+        return pa.concat_tables([rest, pa.Table.from_arrays(_rows(out), _NAMES)])
 
     return run
 
 
 def _write_words(base: str):
-    """Sums the words' numbers of contexts; keeps the rows that name files."""
+    """Sums the words' numbers of contexts and their plain counts; keeps the rows that name files."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, parts, out = table["bucket"][0].as_py(), [], []
-        for r in table.to_pylist():
-            if r["kind"]:
-                out.append(tuple(r[k] for k in _NAMES))
-            else:
-                n = len(r["blob"]) // 12
-                parts.append((np.frombuffer(r["blob"], np.uint64, n), np.frombuffer(r["blob"], np.uint32, n, 8 * n)))
-        if parts:
-            w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket, sums = table["bucket"][0].as_py(), {}
+        named = table.filter(pa.array([k > 0 for k in table["kind"].to_pylist()]))
+        for level in (0, 1):
+            blobs = [x.as_buffer() for x, k, own in zip(table["blob"], table["kind"].to_pylist(), table["level"].to_pylist(), strict=True) if k == 0 and own == level]
+            (w,), n = _all_of(blobs) if blobs else ([np.empty(0, np.uint64)], np.empty(0, np.int64))
             word, of = np.unique(w, return_inverse=True)
-            count = np.bincount(of, n, len(word)).astype(np.int64)
-            path = write_arrays(base, f"words-{bucket}", [word, count])
-            out.append((bucket, WORDS, path, [len(word), int(count.sum()), *_counts_of_counts(count)], None))
-        return _rows(out)
+            sums[level] = word, np.bincount(of, n, len(word)).astype(np.int64)
+        word, count = sums[1]  # the words of both are the same
+        plain = sums[0][1]
+        out = [(bucket, 1, WORDS, write_arrays(base, f"words-{bucket}", [word, count, plain]), [len(word), int(count.sum()), int(plain.sum()), *_counts_of_counts(count)], None)] if len(word) else []
+        return pa.concat_tables([named, pa.Table.from_arrays(_rows(out), _NAMES)])
 
     return run
 
@@ -231,151 +278,147 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True))
 
 
+def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row of each hash in a sorted array, -1 where absent."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[i] == h, i, -1)
+
+
 class Model:
-    """Paths and totals; maps its files when first used in a process."""
+    """Paths and totals; maps a range's files when they are first looked up in a process."""
 
-    def __init__(self, files: dict[int, dict[int, str]], buckets: int, hot: np.ndarray, tokens: int, texts: int, pair_counts: list[int], words: list[int]):
-        self.files, self.buckets, self.hot, self.tokens, self.texts = files, buckets, hot, tokens, texts
-        self.vocabulary, self.continuations = words[0], words[1]
-        self.d2, self.d1 = _discounts(*pair_counts), _discounts(*words[2:])
-        self.word_counts = words[2:]
-        self.maps: dict | None = None
+    def __init__(self, order: int, files: dict[tuple[int, int, int], str], buckets: int, hot: dict[int, np.ndarray], counts: dict[int, list[int]], words: list[int]):
+        self.order, self.files, self.buckets, self.hot = order, files, buckets, hot
+        self.vocabulary, self.continuations, self.tokens = words[:3]
+        self.discounts = {n: _discounts(*counts[n]) for n in range(2, order + 1)} | {1: _discounts(*words[3:])}
+        self.word_counts = words[3:]
+        self.maps: dict = {}
+        self.hot_sums: dict = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": None}
-
-    def _open(self) -> None:
-        kinds = {PAIRS: (np.uint64, np.uint32), CONTEXTS: (np.uint64, *[np.int64] * 4), WORDS: (np.uint64, np.int64)}
-        self.maps = {k: {b: map_arrays(p, kinds[k]) for b, p in own.items()} for k, own in self.files.items()}
-        self.hot_sums = [np.zeros(len(self.hot), np.int64) for _ in range(4)]
-        for b, own in self.maps.get(CONTEXTS, {}).items():  # hot contexts stand in several ranges
-            i = self._at(CONTEXTS, b, self.hot)
-            for o, x in zip(self.hot_sums, own[1:], strict=True):
-                o += np.where(i >= 0, x[np.maximum(i, 0)], 0)
-
-    def _at(self, kind: int, bucket: int, h: np.ndarray) -> np.ndarray:
-        """Row of each hash in the sorted array of a range, -1 where absent."""
-        own = self.maps.get(kind, {}).get(bucket)
-        if own is None or not len(own[0]):
-            return np.full(len(h), -1)
-        i = np.minimum(np.searchsorted(own[0], h), len(own[0]) - 1)
-        return np.where(own[0][i] == h, i, -1)
-
-    def _by_range(self, h: np.ndarray):
-        """(range, slice) of sorted hashes."""
-        b = _range_of(h, self.buckets)
-        cut = np.searchsorted(b, np.arange(self.buckets + 1, dtype=tk.U64))
-        return [(i, slice(cut[i], cut[i + 1])) for i in range(self.buckets) if cut[i] < cut[i + 1]]
-
-    def contexts(self, u: np.ndarray) -> list[np.ndarray]:
-        """Tokens and numbers of words seen once, twice, oftener after each of sorted contexts."""
-        out = [np.zeros(len(u), np.int64) for _ in range(4)]
-        for b, s in self._by_range(u):
-            i = self._at(CONTEXTS, b, u[s])
-            if (i >= 0).any():
-                for o, x in zip(out, self.maps[CONTEXTS][b][1:], strict=True):
-                    o[s] = np.where(i >= 0, x[np.maximum(i, 0)], 0)
-        if len(self.hot):
-            i = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
-            for o, x in zip(out, self.hot_sums, strict=True):
-                o[:] = np.where(self.hot[i] == u, x[i], o)
+        return self.__dict__ | {"maps": {}, "hot_sums": {}}
+
+    def _file(self, level: int, kind: int, bucket: int) -> list[np.ndarray]:
+        at = (level, kind, bucket)
+        if at not in self.maps:
+            self.maps[at] = map_arrays(self.files[at], _KINDS[kind]) if at in self.files else [np.empty(0, k) for k in _KINDS[kind]]
+        return self.maps[at]
+
+    def _by_range(self, b: np.ndarray):
+        """(range, which of the hashes) for hashes in any order."""
+        order = np.argsort(b, kind="stable")
+        cut = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]]) if len(b) else []
+        return [(int(b[i[0]]), i) for i in np.split(order, cut[1:])] if len(b) else []
+
+    def _contexts_in(self, level: int, b: int, u: np.ndarray) -> list[np.ndarray]:
+        own = self._file(level, CONTEXTS, b)
+        i = _find(own[0], u)
+        out = [np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0).astype(np.int64) for x in own[1:]]
+        alone = _find(self._file(level, SINGLES, b)[0], u) >= 0
+        out[0] += alone
+        out[1] += alone
         return out
 
-    def pairs(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of pairs sorted by context and word."""
-        out, hot = np.zeros(len(u), np.int64), np.isin(u, self.hot)
+    def contexts(self, level: int, u: np.ndarray) -> list[np.ndarray]:
+        """Tokens and numbers of words seen once, twice, oftener after each of distinct contexts."""
+        out = [np.zeros(len(u), np.int64) for _ in range(4)]
+        hot = np.isin(u, self.hot[level])
         plain = np.flatnonzero(~hot)
-        for b, s in self._by_range(u[plain]):
-            out[plain[s]] = self._pairs_in(b, u[plain[s]], w[plain[s]])
-        spread = np.flatnonzero(hot)  # these stand in the ranges of their words
-        of = _range_of(w[spread], self.buckets)
-        for b in np.unique(of).tolist():
-            at = spread[of == b]
-            out[at] = self._pairs_in(b, u[at], w[at])
+        for b, at in self._by_range(_range_of(u[plain], self.buckets)):
+            for o, x in zip(out, self._contexts_in(level, b, u[plain[at]]), strict=True):
+                o[plain[at]] = x
+        if hot.any():  # these stand in several ranges
+            if level not in self.hot_sums:
+                self.hot_sums[level] = [np.sum(x, 0) for x in zip(*(self._contexts_in(level, b, self.hot[level]) for b in range(self.buckets)), strict=True)]
+            i = np.searchsorted(self.hot[level], u[hot])
+            for o, x in zip(out, self.hot_sums[level], strict=True):
+                o[hot] = x[i]
         return out
 
-    def _pairs_in(self, b: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        i = self._at(CONTEXTS, b, u)
-        out, known = np.zeros(len(u), np.int64), np.flatnonzero(i >= 0)
-        if len(known):
-            keys, n = self.maps[PAIRS][b]
-            want = (i[known].astype(np.uint64) << tk.U64(40)) | (w[known] >> tk.U64(24))
-            j = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            out[known] = np.where(keys[j] == want, n[j], 0)
+    def grams(self, level: int, u: np.ndarray, w: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams of context u, word w and joint hash key."""
+        out = np.zeros(len(u), np.int64)
+        b = np.where(np.isin(u, self.hot[level]), _range_of(w, self.buckets), _range_of(u, self.buckets))
+        for b, at in self._by_range(b):
+            keys, n = self._file(level, GRAMS, b)
+            i = _find(keys, key[at])
+            found = np.where(i >= 0, n[np.maximum(i, 0)] if len(n) else 0, 0).astype(np.int64)
+            if (top := found == 0xFF).any():
+                keys, n = self._file(level, OFTEN, b)
+                i = _find(keys, key[at][top])
+                found[top] = np.where(i >= 0, n[np.maximum(i, 0)] if len(n) else 0, found[top])
+            out[at] = found
         return out
 
-    def words(self, w: np.ndarray) -> np.ndarray:
-        """Number of distinct contexts of each of sorted words."""
-        out = np.zeros(len(w), np.int64)
-        for b, s in self._by_range(w):
-            i = self._at(WORDS, b, w[s])
-            if (i >= 0).any():
-                out[s] = np.where(i >= 0, self.maps[WORDS][b][1][np.maximum(i, 0)], 0)
+    def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct contexts, and plain counts, of distinct words."""
+        out = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        for b, at in self._by_range(_range_of(w, self.buckets)):
+            own = self._file(1, WORDS, b)
+            i = _find(own[0], w[at])
+            for o, x in zip(out, own[1:], strict=True):
+                o[at] = np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0)
         return out
 
-    @staticmethod
-    def _less(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-        return np.maximum(n - np.array((0.0, *d))[np.minimum(n, 3)], 0)
+    def _less(self, n: np.ndarray, level: int) -> np.ndarray:
+        return np.maximum(n - np.array((0.0, *self.discounts[level]))[np.minimum(n, 3)], 0)
 
-    def word_probability(self, w: np.ndarray) -> np.ndarray:
-        n1, n2, n3, _ = self.word_counts
-        uniform = 1 / (self.vocabulary + 1)
+    def word_probability(self, contexts: np.ndarray) -> np.ndarray:
+        """Chances of words that stand after so many distinct contexts."""
+        n1, n2, _, _ = self.word_counts
+        uniform, d = 1 / (self.vocabulary + 1), self.discounts[1]
         if not self.continuations:
-            return np.full(len(w), uniform)
-        rest = (self.d1[0] * n1 + self.d1[1] * n2 + self.d1[2] * (self.vocabulary - n1 - n2)) / self.continuations
-        return self._less(self.words(w), self.d1) / self.continuations + rest * uniform
+            return np.full(len(contexts), uniform)
+        rest = (d[0] * n1 + d[1] * n2 + d[2] * (self.vocabulary - n1 - n2)) / self.continuations
+        return self._less(contexts, 1) / self.continuations + rest * uniform
 
     def score(self, c: tk.Chunk) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
-        if self.maps is None:
-            self._open()
-        u, w, off = token_pairs(c)
-        n_tokens = np.diff(off)
-        word, of = np.unique(w, return_inverse=True)
-        # a word is the context of what follows it, so its tokens are its context's
-        count = np.where(word == END_HASH, self.texts, self.contexts(word)[0])
-        p_word = self.word_probability(word)
-        order = np.lexsort((w, u))
-        su, sw = u[order], w[order]
-        first = np.r_[True, (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])]
-        pair = np.cumsum(first) - 1
-        pu, pw = su[first], sw[first]
-        n = self.pairs(pu, pw)
-        total, n1, n2, n3 = self.contexts(pu)
-        below = p_word[of[order][first]]
-        seen = np.maximum(total, 1)
-        rest = (self.d2[0] * n1 + self.d2[1] * n2 + self.d2[2] * n3) / seen
-        p = np.where(total > 0, self._less(n, self.d2) / seen + rest * below, below)
-        log_p = np.empty(len(u))
-        log_p[order] = np.log10(p)[pair]
+        columns, off = token_columns(c, self.order)
+        word, of = np.unique(columns[-1], return_inverse=True)
+        contexts, count = self.words(word)
+        p = self.word_probability(contexts)[of]
+        for n in range(2, self.order + 1):
+            own = columns[self.order - n :]
+            u, at_u = np.unique(_joined(own[:-1]), return_inverse=True)
+            key, first, at_key = np.unique(_joined(own), return_index=True, return_inverse=True)
+            total, n1, n2, n3 = (x[at_u] for x in self.contexts(n, u))
+            n_key = self.grams(n, u[at_u[first]], own[-1][first], key)[at_key]
+            d, seen = self.discounts[n], np.maximum(total, 1)
+            p = np.where(total > 0, self._less(n_key, n) / seen + (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen * p, p)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[of]
         add = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every document has a token
-        return n_tokens, add((count[of] > 0).astype(np.int64)), add(base), add(log_p)
+        return np.diff(off), add((count[of] > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
-def train(texts: DataFrame, scratch: Scratch | None = None) -> Model:
-    """A model of ``texts`` (text)."""
+def train(texts: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> Model:
+    """A model of ``texts`` (text) with contexts of up to ``order`` - 1 words."""
+    if order < 2:
+        raise ValueError("the order has to be 2 or more")
     spark = texts.sparkSession
     scratch = scratch or Scratch(spark, "ngram")
     rows = texts.select("text")
-    buckets = text_buckets(spark, rows)
+    buckets = text_buckets(spark, rows, mb_each=24)
     base = fresh_path(spark, "ngram-arrays")
-    often = rows.mapInArrow(_frequent, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    least = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    often = often.orderBy(F.desc("n")).limit(2 * HOT_SHARE).where(F.col("n") > least // (32 * HOT_SHARE)).collect()
-    hot = np.sort(np.array([r.u for r in often], np.int64).view(tk.U64))
-    pairs = rows.mapInArrow(_count(buckets, hot), _ROWS).groupBy("bucket").applyInArrow(_write_pairs(base, buckets), _ROWS)
-    named = scratch.table(pairs.groupBy("bucket").applyInArrow(_write_words(base), _ROWS), "files")
-    files: dict[int, dict[int, str]] = {}
-    tokens, pair_counts, words = 0, [0] * 4, [0] * 6
-    for r in named.select("bucket", "kind", "path", "stats").collect():  # three rows a range
-        files.setdefault(r.kind, {})[r.bucket] = r.path
-        if r.kind == PAIRS:
-            tokens += r.stats[0]
-            pair_counts = [a + b for a, b in zip(pair_counts, r.stats[1:], strict=True)]
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    often = rows.mapInArrow(_frequent(order), "level int, u long, n long").groupBy("level", "u").agg(F.sum("n").alias("n"))
+    often = often.where(F.col("n") > size // (32 * HOT_SHARE)).collect()  # at most 32 * HOT_SHARE an order
+    hot = {n: np.sort(np.array([r.u for r in often if r.level == n], np.int64).view(tk.U64)) for n in range(2, order + 1)}
+    counted = rows.mapInArrow(_count(order, buckets, hot), _ROWS)
+    for n in range(order, 1, -1):
+        counted = counted.groupBy("bucket").applyInArrow(_write_level(n, n == order, base, buckets, hot), _ROWS)
+    named = scratch.table(counted.groupBy("bucket").applyInArrow(_write_words(base), _ROWS).drop("blob"), "files")
+    files: dict[tuple[int, int, int], str] = {}
+    counts, words = {n: [0] * 4 for n in range(2, order + 1)}, [0] * 7
+    for r in named.collect():  # some rows a range and order
+        files[r.level, r.kind, r.bucket] = r.path
+        if r.kind == GRAMS:
+            counts[r.level] = [a + b for a, b in zip(counts[r.level], r.stats, strict=True)]
         elif r.kind == WORDS:
             words = [a + b for a, b in zip(words, r.stats, strict=True)]
-    return Model(files, buckets, hot, tokens, rows.count(), pair_counts, words)
+    return Model(order, files, buckets, hot, counts, words)
 
 
 _OPEN: dict[str, Model] = {}

@@ -161,27 +161,64 @@ def test_proximity_matches(spark):
     assert near == {1: True, 2: True, 3: False} and exact == {1: True, 2: False, 3: False}
 
 
-def test_model_is_a_distribution_and_learns(spark, corpus):
-    docs = spark.createDataFrame(corpus, SCHEMA)
-    train = docs.where("doc_id % 3 <> 0")
-    model = ngram_lm.train(train)
-    rows = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
-    assert rows[0].n_tokens == 1 and rows[7].n_tokens == 2
-    n = sum(len((t or "").split()) + 1 for k, t in corpus if k % 3)
-    assert {r.train_tokens for r in rows.values()} == {n}
-    vocabulary = {x.lower() for k, t in corpus if k % 3 for x in (t or "").encode().split()}
-    probe = spark.createDataFrame([(i, w.decode()) for i, w in enumerate(sorted(vocabulary))] + [(-1, "neverseen")], SCHEMA)
-    end = ngram_lm.score(spark.createDataFrame([(0, "")], SCHEMA), model).first().score
-    # from the start of a text: all known words, the end, and one unknown word share the whole
-    c = model  # word chances by themselves sum to one
-    chunk = next(textkit.column_chunks(__import__("pyarrow").array([" ".join(w.decode() for w in sorted(vocabulary))])))
-    c._open()
-    h = np.unique(np.append(chunk.words().word_hashes(True), ngram_lm.END_HASH))
-    unknown = c.word_probability(np.array([12345], np.uint64))[0]
-    assert c.word_probability(h).sum() + unknown == pytest.approx(1)
-    assert probe.count() == len(vocabulary) + 1 and end < 0
-    held = [r for k, r in rows.items() if 60 <= k < 85 and k % 3 == 0]
-    assert all(r.score > r.base_score for r in held)
+def kneser_ney(train, order):
+    """(words known, log10 p(text), base score) of a plain model: dictionaries, one token at a time."""
+    split = lambda t: [w.lower() for w in (t or "").encode().split()] + [b"</s>"]
+    raw = collections.Counter(w for t in train for w in split(t))
+    level = {order: collections.Counter()}
+    for t in train:
+        row = [b"<s>"] * (order - 1) + split(t)
+        for i in range(order - 1, len(row)):
+            level[order][tuple(row[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        level[n] = collections.Counter(g[1:] for g in level[n + 1])
+    discount, after = {}, {}
+    for n, grams in level.items():
+        c = collections.Counter(grams.values())
+        discount[n] = ngram_lm._discounts(c[1], c[2], c[3], c[4])
+        for g, k in grams.items():
+            after.setdefault((n, g[:-1]), []).append(k)
+    total, v = sum(raw.values()), len(raw)
+
+    def p(n, context, w):
+        if n == 0:
+            return 1 / (v + 1)
+        own, below = after.get((n, context)), p(n - 1, context[1:], w)
+        if not own:
+            return below
+        less = [discount[n][min(k, 3) - 1] for k in own]
+        k = level[n].get((*context, w), 0)
+        return (max(k - discount[n][min(k, 3) - 1], 0) if k else 0) / sum(own) + sum(less) / sum(own) * below
+
+    def score(t):
+        row = [b"<s>"] * (order - 1) + split(t)
+        logs = [np.log10(p(order, tuple(row[i - order + 1 : i]), row[i])) for i in range(order - 1, len(row))]
+        base = sum(np.log10((raw[w] + 0.5) / (total + 0.5 * (v + 1))) for w in split(t))
+        return len(row) - order + 1, sum(raw[w] > 0 for w in split(t)), total, base, sum(logs)
+
+    return score, p, raw
+
+
+@pytest.mark.parametrize(("order", "hot"), [(2, 256), (3, 256), (3, 64), (4, 64)])
+def test_model_against_plain_kneser_ney(spark, corpus, monkeypatch, order, hot):
+    """Every score of every text, with several runs and ranges; ``hot`` 64 deals some contexts over the ranges."""
+    monkeypatch.setattr(ngram_lm, "RUN_TOKENS", 500)
+    monkeypatch.setattr(ngram_lm, "HOT_SHARE", hot)
+    rows = corpus + [(200 + i, "the very same two words the very same two words " * 30) for i in range(20)] + [(300, "x y " * 400)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x")).repartition(3)
+    model = ngram_lm.train(docs.where("doc_id % 3 <> 0"), order)
+    if hot == 64:
+        assert all(len(h) for h in model.hot.values())
+    want, p, raw = kneser_ney([t for k, t in rows if k % 3], order)
+    texts = dict(rows)
+    got = ngram_lm.score(docs, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, known, total, base, score = want(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    context = (b"very", b"same", b"two")[-(order - 1) :]
+    assert sum(p(order, context, w) for w in raw) + p(order, context, b"neverseen") == pytest.approx(1)
 
 
 def test_model_of_nothing(spark, corpus):
