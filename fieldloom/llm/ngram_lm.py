@@ -1,20 +1,23 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped to score.
 
-Counting, from the highest ``order`` down.  Tasks send the distinct n-grams of a run of training
-texts, packed by ranges of the context's hash, so a very common n-gram leaves a run once; a blob
-lists its words' hashes once and numbers them.  The reducer of a range writes
-
-* its n-grams: sorted 64-bit hashes of context and word, and counts (one byte each, and a second
-  pair of arrays for the counts that need more),
+Counting.  Tasks send the distinct n-grams of a run of training texts, packed and compressed by
+ranges of a hash, so a very common n-gram leaves a run once.  An n-gram is at home in the range of its
+context's last word; where that word is very common, in that of the context's last two words, and so
+on, and where the whole context is very common, in that of the n-gram's own last word.  So a range
+sees all words that stand before an n-gram of its own when their number, the count of the next lower
+order, is taken there; only n-grams whose whole context is very common, and the words' own counts,
+go through a second exchange, by the last word.  Contexts count as very common from about
+1/``HOT_SHARE`` of a run's tokens, or half of a range's, whichever is less; they are found first, and
+their sums are added up over the ranges where they are read.  A range writes, by order,
+
+* its n-grams: sorted hashes of context and word, and counts,
 * its contexts: sorted hashes, with tokens and the numbers of words seen once, twice, oftener;
   contexts of one n-gram seen once, which are most, are a list of hashes alone,
+* its words' numbers of contexts, and plain counts.
 
-and sends on, by ranges of the shorter context, how many words stand before each n-gram without its
-first word: these are the counts of the next lower order, down to the words, whose plain counts
-travel too.  Contexts of more than about 1/``HOT_SHARE`` of a run's tokens - some thousands at the
-most - are found first and dealt over all ranges by word, so that no range gets the whole of one;
-their sums are added up where they are read.  Files are named by attempt and only those named in the
-committed table are read.
+Hashes are stored as 32 bits below a directory of their leading bits, about log2(n) + 27 bits in
+all; numbers as single bytes, and once more in full where one does not fit.  Files are named by
+attempt and only those named in the committed table are read.
 
 Scoring.  Each worker maps the arrays of the ranges that it meets (from the shared folder, or from a
 local copy of that file that is unlinked at once where it is not a file system) and looks sorted
@@ -50,12 +53,12 @@ ORDER = 3
 RUN_TOKENS = 1 << 20
 HOT_SHARE = 256
 START_HASH, END_HASH = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: level: the order that a blob's n-grams have, 0 for plain counts of words; kind: which file, 0 for a blob.
+#: level: the order of a blob's n-grams, 0 for plain counts of words; kind: which file, 0 for a blob.
 _ROWS = "bucket int, level int, kind int, path string, stats array<long>, blob binary"
 _NAMES = ["bucket", "level", "kind", "path", "stats", "blob"]
-GRAMS, OFTEN, CONTEXTS, SINGLES, WORDS = 1, 2, 3, 4, 5
-_KINDS = {GRAMS: (np.uint64, np.uint8), OFTEN: (np.uint64, np.int64), CONTEXTS: (np.uint64, np.int64, np.uint32, np.uint32, np.uint32), SINGLES: (np.uint64,), WORDS: (np.uint64, np.int64, np.int64)}
+GRAMS, CONTEXTS, SINGLES, WORDS = 1, 2, 3, 4
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
+_UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -65,33 +68,87 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_arrays(base: str, name: str, arrays: list[np.ndarray]) -> str:
-    """One file of equally long arrays after one another; returns its path."""
+    """One file of arrays after one another, their sizes first; returns its path."""
     fs, root = _filesystem(base)
     fs.create_dir(root, recursive=True)
     path = f"{root}/{name}-{uuid.uuid4().hex}.bin"
     with fs.open_output_stream(path, compression=None) as f:
-        for a in arrays:
-            f.write(a.tobytes())
+        f.write(np.array([len(arrays), *(v for a in arrays for v in (a.itemsize, len(a)))], np.int64).tobytes())
+        for a in sorted(arrays, key=lambda a: -a.itemsize):  # the widest first, so that all are aligned
+            f.write(np.ascontiguousarray(a).tobytes())
     return f"{base}/{os.path.basename(path)}"
 
 
-def map_arrays(path: str, kinds: tuple) -> list[np.ndarray]:
-    """The equally long arrays of a file, memory-mapped."""
+def map_arrays(path: str) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped."""
     fs, own = _filesystem(path)
     if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(own, np.uint8, "r") if os.path.getsize(own) else np.empty(0, np.uint8)
+        raw = np.memmap(own, np.uint8, "r")
     else:
         with tempfile.NamedTemporaryFile() as f:  # the map keeps the data when the name goes
             with fs.open_input_stream(own, compression=None) as g:
                 while block := g.read(16 << 20):
                     f.write(block)
             f.flush()
-            raw = np.memmap(f.name, np.uint8, "r") if os.path.getsize(f.name) else np.empty(0, np.uint8)
-    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(raw[at : at + size].view(k))
-        at += size
+            raw = np.memmap(f.name, np.uint8, "r")
+    n = int(raw[:8].view(np.int64)[0])
+    shape = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2).tolist()
+    out, at = [None] * n, 8 + 16 * n
+    for i in sorted(range(n), key=lambda i: -shape[i][0]):
+        size, length = shape[i]
+        out[i] = raw[at : at + size * length].view(_UNSIGNED[size])
+        at += size * length
+    return out
+
+
+def sorted_table(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays of a look-up table of distinct 64-bit keys: directory, low halves, a byte of each column;
+    and the same for the rows that need more than a byte, with whole columns."""
+    order = np.argsort(keys)
+    keys, columns = keys[order], [c[order] for c in columns]
+    out = [*_directory(keys), *(np.minimum(c, 0xFF).astype(np.uint8) for c in columns)]
+    if columns:
+        wide = np.any([c >= 0xFF for c in columns], 0)
+        out += [*_directory(keys[wide]), *(c[wide].astype(np.int64) for c in columns)]
+    return out
+
+
+def _directory(keys: np.ndarray) -> list[np.ndarray]:
+    bits = (len(keys) // 32).bit_length()
+    lead = (keys >> tk.U64(63 - bits) >> tk.U64(1)).astype(np.int64)
+    begin = np.searchsorted(lead, np.arange((1 << bits) + 1)).astype(np.uint32)
+    return [begin, ((keys << tk.U64(bits)) >> tk.U64(32)).astype(np.uint32)]
+
+
+def _find(begin: np.ndarray, low: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row of each hash in a table, -1 where absent: binary search within its directory entry."""
+    bits = (len(begin) - 1).bit_length() - 1
+    lead = (h >> tk.U64(63 - bits) >> tk.U64(1)).astype(np.int64)
+    want = ((h << tk.U64(bits)) >> tk.U64(32)).astype(np.uint32)
+    lo, hi = begin[lead].astype(np.int64), begin[lead + 1].astype(np.int64)
+    if not len(low) or not len(h):
+        return np.full(len(h), -1)
+    end = hi.copy()
+    for _ in range(int((hi - lo).max()).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    return np.where((lo < end) & (low[np.minimum(lo, len(low) - 1)] == want), lo, -1)
+
+
+def look_up(table: list[np.ndarray], h: np.ndarray) -> list[np.ndarray]:
+    """The columns of a ``sorted_table`` at hashes, 0 where absent."""
+    k = len(table) // 2 - 2
+    i = _find(table[0], table[1], h)
+    there = np.flatnonzero(i >= 0)
+    out = [np.zeros(len(h), np.int64) for _ in range(k)]
+    for o, x in zip(out, table[2 : 2 + k], strict=True):
+        o[there] = x[i[there]]
+    wide = there[np.any([o[there] == 0xFF for o in out], 0)] if len(there) else there
+    if len(wide):
+        j = _find(table[2 + k], table[3 + k], h[wide])
+        for o, x in zip(out, table[4 + k :], strict=True):
+            o[wide] = x[j]
     return out
 
 
@@ -121,15 +178,15 @@ def token_columns(c: tk.Chunk, order: int) -> tuple[list[np.ndarray], np.ndarray
     return [row[at - k] for k in range(pad, -1, -1)], off
 
 
-def _frequent(order: int):
-    """Contexts, by order, of more than 1/HOT_SHARE of a run's tokens."""
+def _frequent(order: int, share: int):
+    """Contexts, by order, of more than 1/share of a run's tokens."""
 
     def run(batches):
         for _, c in tk.batch_chunks(batches):
             columns, off = token_columns(c, order)
             for n in range(2, order + 1):
                 u, count = np.unique(_joined(columns[order - n : -1]), return_counts=True)
-                often = count > max(64, int(off[-1]) // HOT_SHARE)
+                often = count > max(16, int(off[-1]) // share)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), n), pa.int32()), pa.array(u[often].view(np.int64)), pa.array(count[often])], ["level", "u", "n"])
 
     return run
@@ -139,38 +196,56 @@ def _least(limit: int):
     return np.uint8 if limit < 1 << 8 else np.uint16 if limit < 1 << 16 else np.uint32 if limit < 1 << 32 else np.int64
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first, which compress well."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
 def _pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
-    """n-grams, as numbers in the list of their words' hashes, and counts."""
-    words, number = np.unique(np.concatenate(columns), return_inverse=True)
+    """n-grams, sorted from the context's last word on, as numbers in the list of their words' hashes
+    (the commonest first), and counts; compressed."""
+    words, number, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    by_count = np.argsort(-often, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[by_count] = np.arange(len(words))
+    number = rank[number].reshape(len(columns), -1)
+    order = np.lexsort([number[-1], *number[:-1]])
     kind, count_kind = _least(len(words)), _least(int(count.max(initial=0)))
     head = np.array([len(count), len(columns), len(words), np.dtype(kind).itemsize, np.dtype(count_kind).itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, words, number.astype(kind), count.astype(count_kind)))
-
-
-_UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+    body = b"".join((words[by_count].tobytes(), *(_planes(x[order].astype(kind)) for x in number), _planes(count[order].astype(count_kind))))
+    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _unpack(blob) -> tuple[list[np.ndarray], np.ndarray]:
     n, k, v, size, count_size = np.frombuffer(blob, np.int64, 5).tolist()
-    words = np.frombuffer(blob, np.uint64, v, 40)
-    number = np.frombuffer(blob, _UNSIGNED[size], n * k, 40 + 8 * v)
-    count = np.frombuffer(blob, _UNSIGNED[count_size], n, 40 + 8 * v + n * k * size)
-    return list(words[number].reshape(k, n)), count
+    body = pa.decompress(blob.slice(40), decompressed_size=8 * v + n * (k * size + count_size), codec="zstd")
+    words = np.frombuffer(body, np.uint64, v)
+    plane = lambda at, m: np.frombuffer(body, np.uint8, n * m, at).reshape(m, n).T.copy().view(_UNSIGNED[m])[:, 0]
+    return [words[plane(8 * v + i * n * size, size)] for i in range(k)], plane(8 * v + k * n * size, count_size)
 
 
-def _all_of(blobs) -> tuple[list[np.ndarray], np.ndarray]:
+def _all_of(blobs: list) -> tuple[list[np.ndarray], np.ndarray]:
     parts = [_unpack(x) for x in blobs]
     return [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1].astype(np.int64) for p in parts])
 
 
-def _blobs(level: int, columns: list[np.ndarray], count: np.ndarray, buckets: int, hot: dict[int, np.ndarray]) -> list[tuple]:
-    """Rows of the ranges that n-grams (or words, by themselves) belong to."""
-    w, u = columns[-1], _joined(columns[:-1]) if len(columns) > 1 else columns[-1]
-    b = np.where(np.isin(u, hot[level]), _range_of(w, buckets), _range_of(u, buckets)) if level > 1 else _range_of(w, buckets)
-    order = np.lexsort((w, u, b))
-    columns, count = [c[order] for c in columns], count[order]
-    cut = np.searchsorted(b[order], np.arange(buckets + 1))
-    return [(i, level, 0, None, None, _pack([c[cut[i] : cut[i + 1]] for c in columns], count[cut[i] : cut[i + 1]])) for i in range(buckets) if cut[i] < cut[i + 1]]
+def home(columns: list[np.ndarray], buckets: int, hot: dict[int, np.ndarray]) -> np.ndarray:
+    """The range of n-grams: of the context's shortest ending that is not very common; n-grams whose
+    whole context is go by their own last word, in ranges of their own behind the others."""
+    b = _range_of(columns[-1], buckets) + buckets
+    for k in range(len(columns) - 1, 0, -1):
+        u = _joined(columns[-1 - k : -1])
+        plain = ~np.isin(u, hot[k + 1])
+        b[plain] = _range_of(u[plain], buckets)
+    return b
+
+
+def _blobs(level: int, columns: list[np.ndarray], count: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """Rows of the ranges ``b`` that n-grams (or words, by themselves) go to."""
+    order = np.argsort(b, kind="stable")
+    columns, count, b = [c[order] for c in columns], count[order], b[order]
+    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
+    return [(int(b[i]), level, 0, None, None, _pack([c[i:j] for c in columns], count[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _rows(rows: list[tuple]) -> list[pa.Array]:
@@ -180,12 +255,13 @@ def _rows(rows: list[tuple]) -> list[pa.Array]:
 
 
 def _count(order: int, buckets: int, hot: dict[int, np.ndarray]):
-    """Distinct n-grams of runs, by range of the context."""
+    """Distinct n-grams of runs, by home."""
 
     def flush(held):
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         _, first, n = np.unique(_joined(columns), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays(_rows(_blobs(order, [c[first] for c in columns], n, buckets, hot)), _NAMES)
+        columns = [c[first] for c in columns]
+        return pa.RecordBatch.from_arrays(_rows(_blobs(order, columns, n, home(columns, buckets, hot))), _NAMES)
 
     def run(batches):
         held, size = [], 0
@@ -206,65 +282,77 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _write_level(level: int, top: bool, base: str, buckets: int, hot: dict[int, np.ndarray]):
-    """Writes the n-grams and contexts of a range; sends on the counts of the next lower order.
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams, their summed counts and joint hashes."""
+    key, first, of = np.unique(_joined(columns), return_index=True, return_inverse=True)
+    return [c[first] for c in columns], np.bincount(of, n, len(key)).astype(np.int64), key
+
+
+def _write_order(level: int, bucket: int, base: str, columns: list[np.ndarray], n: np.ndarray, key: np.ndarray) -> list[tuple]:
+    """Writes the n-grams of one order and their contexts; the rows that name the files."""
+    u = _joined(columns[:-1])
+    order = np.argsort(u, kind="stable")
+    begin = np.flatnonzero(np.r_[True, u[order][1:] != u[order][:-1]])
+    per = [np.add.reduceat(x[order].astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)]
+    single, contexts = per[0] == 1, u[order][begin]
+    files = {GRAMS: sorted_table(key, [n]), CONTEXTS: sorted_table(contexts[~single], [x[~single] for x in per]), SINGLES: sorted_table(contexts[single], [])}
+    stats = {GRAMS: _counts_of_counts(n)}
+    return [(bucket, level, k, write_arrays(base, f"order-{level}-{k}-{bucket}", x), stats.get(k), None) for k, x in files.items()]
+
 
-    Rows of other levels pass.
-    """
+def _write_home(order: int, base: str, buckets: int, hot: dict[int, np.ndarray]):
+    """Writes all orders of a range; sends on the counts of n-grams of very common contexts, and of words."""
 
     def run(table: pa.Table) -> pa.Table:
-        mine = [k == 0 and own == level for k, own in zip(table["kind"].to_pylist(), table["level"].to_pylist(), strict=True)]
-        rest = table.filter(pa.array([not m for m in mine]))
-        if not any(mine):
-            return rest
-        bucket = table["bucket"][0].as_py()
-        columns, n = _all_of([x.as_buffer() for x in table.filter(pa.array(mine))["blob"]])
-        u, key = _joined(columns[:-1]), _joined(columns)
-        order = np.lexsort((key, u))
-        u, key, n = u[order], key[order], n[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        columns = [c[order[first]] for c in columns]
-        u, key, n = u[first], key[first], np.add.reduceat(n, first)
-        del order
-        begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        per = [np.add.reduceat(x.astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)]
-        single, many, contexts = per[0] == 1, per[0] > 1, u[begin]
-        sorted_key = np.argsort(key, kind="stable")
-        often = sorted_key[n[sorted_key] > 0xFF]
-        arrays = {
-            GRAMS: [key[sorted_key], np.minimum(n[sorted_key], 0xFF).astype(np.uint8)],
-            OFTEN: [key[often], n[often]],
-            CONTEXTS: [contexts[many], per[0][many], *(x[many].astype(np.uint32) for x in per[1:])],
-            SINGLES: [contexts[single]],
-        }
-        del sorted_key, key
-        stats = {GRAMS: _counts_of_counts(n)}
-        out = [(bucket, level, k, write_arrays(base, f"order-{level}-{k}-{bucket}", x), stats.get(k), None) for k, x in arrays.items() if len(x[0])]
-        if top:
-            word, of = np.unique(columns[-1], return_inverse=True)
-            out += _blobs(0, [word], np.bincount(of, n, len(word)).astype(np.int64), buckets, hot)
-        _, first, below = np.unique(_joined(columns[1:]), return_index=True, return_counts=True)
-        out += _blobs(level - 1, [c[first] for c in columns[1:]], below, buckets, hot)
-        return pa.concat_tables([rest, pa.Table.from_arrays(_rows(out), _NAMES)])
+        bucket, out = table["bucket"][0].as_py(), []
+        columns, n, key = _summed(*_all_of([x.as_buffer() for x in table["blob"]]))
+        word, of = np.unique(columns[-1], return_inverse=True)
+        out += _blobs(0, [word], np.bincount(of, n, len(word)).astype(np.int64), _range_of(word, buckets))
+        del word, of
+        for level in range(order, 1, -1):
+            out += _write_order(level, bucket, base, columns, n, key)
+            columns, n, key = _summed(columns[1:], np.ones(len(n), np.int64))
+            if level == 2:
+                out += _blobs(1, columns, n, _range_of(columns[-1], buckets))
+                break
+            b = home(columns, buckets, hot)
+            away = b >= buckets  # these are not whole here; the others are at home here too
+            out += _blobs(level - 1, [c[away] for c in columns], n[away], b[away] - buckets)
+            columns, n, key = [c[~away] for c in columns], n[~away], key[~away]
+            if not len(n):
+                break
+        return pa.Table.from_arrays(_rows(out), _NAMES)
 
     return run
 
 
-def _write_words(base: str):
-    """Sums the words' numbers of contexts and their plain counts; keeps the rows that name files."""
+def _write_words(order: int, base: str, buckets: int):
+    """Writes the n-grams of very common contexts that end in the words of a range, and the words;
+    keeps the rows that name files."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, sums = table["bucket"][0].as_py(), {}
-        named = table.filter(pa.array([k > 0 for k in table["kind"].to_pylist()]))
-        for level in (0, 1):
-            blobs = [x.as_buffer() for x, k, own in zip(table["blob"], table["kind"].to_pylist(), table["level"].to_pylist(), strict=True) if k == 0 and own == level]
-            (w,), n = _all_of(blobs) if blobs else ([np.empty(0, np.uint64)], np.empty(0, np.int64))
-            word, of = np.unique(w, return_inverse=True)
-            sums[level] = word, np.bincount(of, n, len(word)).astype(np.int64)
-        word, count = sums[1]  # the words of both are the same
-        plain = sums[0][1]
-        out = [(bucket, 1, WORDS, write_arrays(base, f"words-{bucket}", [word, count, plain]), [len(word), int(count.sum()), int(plain.sum()), *_counts_of_counts(count)], None)] if len(word) else []
-        return pa.concat_tables([named, pa.Table.from_arrays(_rows(out), _NAMES)])
+        bucket, kinds, levels = table["bucket"][0].as_py() % buckets, table["kind"].to_pylist(), table["level"].to_pylist()
+        blobs: dict[int, list] = {}
+        for x, kind, level in zip(table["blob"], kinds, levels, strict=True):
+            if kind == 0:
+                blobs.setdefault(level, []).append(x.as_buffer())
+        out, above = [], None
+        for level in range(order - 1, 0, -1):
+            parts = [_all_of(blobs.pop(level))] if level in blobs else []
+            if above is not None:
+                parts.append((above[1:], np.ones(len(above[0]), np.int64)))
+            if not parts:
+                continue
+            columns, n, key = _summed([np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
+            if level > 1:
+                out += _write_order(level, bucket + buckets, base, columns, n, key)
+                above = columns
+        if blobs:
+            words, contexts = columns[0], n  # of order 1; those of order 0 are the same
+            _, plain, key = _summed(*_all_of(blobs[0]))
+            stats = [len(words), int(contexts.sum()), int(plain.sum()), *_counts_of_counts(contexts)]
+            out.append((bucket, 1, WORDS, write_arrays(base, f"words-{bucket}", sorted_table(key, [contexts, plain])), stats, None))
+        return pa.concat_tables([table.filter(pa.array([k > 0 for k in kinds])), pa.Table.from_arrays(_rows(out), _NAMES)])
 
     return run
 
@@ -278,14 +366,6 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True))
 
 
-def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Row of each hash in a sorted array, -1 where absent."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[i] == h, i, -1)
-
-
 class Model:
     """Paths and totals; maps a range's files when they are first looked up in a process."""
 
@@ -300,67 +380,54 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"maps": {}, "hot_sums": {}}
 
-    def _file(self, level: int, kind: int, bucket: int) -> list[np.ndarray]:
+    def _file(self, level: int, kind: int, bucket: int) -> list[np.ndarray] | None:
         at = (level, kind, bucket)
         if at not in self.maps:
-            self.maps[at] = map_arrays(self.files[at], _KINDS[kind]) if at in self.files else [np.empty(0, k) for k in _KINDS[kind]]
+            self.maps[at] = map_arrays(self.files[at]) if at in self.files else None
         return self.maps[at]
 
-    def _by_range(self, b: np.ndarray):
-        """(range, which of the hashes) for hashes in any order."""
+    def _look_up(self, level: int, kind: int, columns: int, b: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+        """Columns of the tables of ranges ``b`` at hashes."""
+        out = [np.zeros(len(h), np.int64) for _ in range(columns)]
         order = np.argsort(b, kind="stable")
         cut = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]]) if len(b) else []
-        return [(int(b[i[0]]), i) for i in np.split(order, cut[1:])] if len(b) else []
+        for at in np.split(order, cut[1:]) if len(b) else []:
+            if own := self._file(level, kind, int(b[at[0]])):
+                found = look_up(own, h[at]) if kind != SINGLES else [_find(*own, h[at]) >= 0]
+                for o, x in zip(out, found, strict=True):
+                    o[at] = x
+        return out
 
-    def _contexts_in(self, level: int, b: int, u: np.ndarray) -> list[np.ndarray]:
-        own = self._file(level, CONTEXTS, b)
-        i = _find(own[0], u)
-        out = [np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0).astype(np.int64) for x in own[1:]]
-        alone = _find(self._file(level, SINGLES, b)[0], u) >= 0
+    def _contexts_at(self, level: int, b: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
+        out = self._look_up(level, CONTEXTS, 4, b, u)
+        (alone,) = self._look_up(level, SINGLES, 1, b, u)
         out[0] += alone
         out[1] += alone
         return out
 
-    def contexts(self, level: int, u: np.ndarray) -> list[np.ndarray]:
-        """Tokens and numbers of words seen once, twice, oftener after each of distinct contexts."""
-        out = [np.zeros(len(u), np.int64) for _ in range(4)]
-        hot = np.isin(u, self.hot[level])
-        plain = np.flatnonzero(~hot)
-        for b, at in self._by_range(_range_of(u[plain], self.buckets)):
-            for o, x in zip(out, self._contexts_in(level, b, u[plain[at]]), strict=True):
-                o[plain[at]] = x
-        if hot.any():  # these stand in several ranges
+    def contexts(self, level: int, columns: list[np.ndarray], u: np.ndarray) -> list[np.ndarray]:
+        """Tokens and numbers of words seen once, twice, oftener after each of distinct contexts, given
+        as columns and as hashes."""
+        b = home([*columns, columns[-1]], self.buckets, self.hot)  # the range of a very common one is not used
+        out = self._contexts_at(level, b, u)
+        spread = np.flatnonzero(b >= self.buckets)
+        if len(spread):  # these stand in several ranges
             if level not in self.hot_sums:
-                self.hot_sums[level] = [np.sum(x, 0) for x in zip(*(self._contexts_in(level, b, self.hot[level]) for b in range(self.buckets)), strict=True)]
-            i = np.searchsorted(self.hot[level], u[hot])
+                every = self.hot[level]
+                parts = [self._contexts_at(level, np.full(len(every), self.buckets + i), every) for i in range(self.buckets)]
+                self.hot_sums[level] = [np.sum(x, 0) for x in zip(*parts, strict=True)]
+            i = np.searchsorted(self.hot[level], u[spread])
             for o, x in zip(out, self.hot_sums[level], strict=True):
-                o[hot] = x[i]
+                o[spread] = x[i]
         return out
 
-    def grams(self, level: int, u: np.ndarray, w: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Counts of distinct n-grams of context u, word w and joint hash key."""
-        out = np.zeros(len(u), np.int64)
-        b = np.where(np.isin(u, self.hot[level]), _range_of(w, self.buckets), _range_of(u, self.buckets))
-        for b, at in self._by_range(b):
-            keys, n = self._file(level, GRAMS, b)
-            i = _find(keys, key[at])
-            found = np.where(i >= 0, n[np.maximum(i, 0)] if len(n) else 0, 0).astype(np.int64)
-            if (top := found == 0xFF).any():
-                keys, n = self._file(level, OFTEN, b)
-                i = _find(keys, key[at][top])
-                found[top] = np.where(i >= 0, n[np.maximum(i, 0)] if len(n) else 0, found[top])
-            out[at] = found
-        return out
+    def grams(self, level: int, columns: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams, given as columns and as hashes."""
+        return self._look_up(level, GRAMS, 1, home(columns, self.buckets, self.hot), key)[0]
 
-    def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, w: np.ndarray) -> list[np.ndarray]:
         """Numbers of distinct contexts, and plain counts, of distinct words."""
-        out = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        for b, at in self._by_range(_range_of(w, self.buckets)):
-            own = self._file(1, WORDS, b)
-            i = _find(own[0], w[at])
-            for o, x in zip(out, own[1:], strict=True):
-                o[at] = np.where(i >= 0, x[np.maximum(i, 0)] if len(x) else 0, 0)
-        return out
+        return self._look_up(1, WORDS, 2, _range_of(w, self.buckets), _joined([w]))
 
     def _less(self, n: np.ndarray, level: int) -> np.ndarray:
         return np.maximum(n - np.array((0.0, *self.discounts[level]))[np.minimum(n, 3)], 0)
@@ -382,10 +449,10 @@ class Model:
         p = self.word_probability(contexts)[of]
         for n in range(2, self.order + 1):
             own = columns[self.order - n :]
-            u, at_u = np.unique(_joined(own[:-1]), return_inverse=True)
+            u, first, at_u = np.unique(_joined(own[:-1]), return_index=True, return_inverse=True)
+            total, n1, n2, n3 = (x[at_u] for x in self.contexts(n, [c[first] for c in own[:-1]], u))
             key, first, at_key = np.unique(_joined(own), return_index=True, return_inverse=True)
-            total, n1, n2, n3 = (x[at_u] for x in self.contexts(n, u))
-            n_key = self.grams(n, u[at_u[first]], own[-1][first], key)[at_key]
+            n_key = self.grams(n, [c[first] for c in own], key)[at_key]
             d, seen = self.discounts[n], np.maximum(total, 1)
             p = np.where(total > 0, self._less(n_key, n) / seen + (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen * p, p)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[of]
@@ -403,13 +470,12 @@ def train(texts: DataFrame, order: int = ORDER, scratch: Scratch | None = None)
     buckets = text_buckets(spark, rows, mb_each=24)
     base = fresh_path(spark, "ngram-arrays")
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    often = rows.mapInArrow(_frequent(order), "level int, u long, n long").groupBy("level", "u").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") > size // (32 * HOT_SHARE)).collect()  # at most 32 * HOT_SHARE an order
+    share = max(HOT_SHARE, 2 * buckets)
+    often = rows.mapInArrow(_frequent(order, share), "level int, u long, n long").groupBy("level", "u").agg(F.sum("n").alias("n"))
+    often = often.where(F.col("n") * (8 * share) > size).collect()  # at most 8 * share an order, as a token takes a byte
     hot = {n: np.sort(np.array([r.u for r in often if r.level == n], np.int64).view(tk.U64)) for n in range(2, order + 1)}
-    counted = rows.mapInArrow(_count(order, buckets, hot), _ROWS)
-    for n in range(order, 1, -1):
-        counted = counted.groupBy("bucket").applyInArrow(_write_level(n, n == order, base, buckets, hot), _ROWS)
-    named = scratch.table(counted.groupBy("bucket").applyInArrow(_write_words(base), _ROWS).drop("blob"), "files")
+    counted = rows.mapInArrow(_count(order, buckets, hot), _ROWS).groupBy("bucket").applyInArrow(_write_home(order, base, buckets, hot), _ROWS)
+    named = scratch.table(counted.groupBy(F.col("bucket") % buckets).applyInArrow(_write_words(order, base, buckets), _ROWS).drop("blob"), "files")
     files: dict[tuple[int, int, int], str] = {}
     counts, words = {n: [0] * 4 for n in range(2, order + 1)}, [0] * 7
     for r in named.collect():  # some rows a range and order
