@@ -47,11 +47,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkit as tk
-from fieldloom.llm.shared import Scratch, fresh_path, text_buckets
+from fieldloom.llm.shared import Scratch, fresh_path
 
 ORDER = 3
-RUN_TOKENS = 1 << 20
+RUN_TOKENS = 1 << 21
 HOT_SHARE = 256
+#: Text whose n-grams a range holds.
+RANGE_BYTES = 24 << 20
 START_HASH, END_HASH = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: level: the order of a blob's n-grams, 0 for plain counts of words; kind: which file, 0 for a blob.
 _ROWS = "bucket int, level int, kind int, path string, stats array<long>, blob binary"
@@ -212,16 +214,16 @@ def _pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
     order = np.lexsort([number[-1], *number[:-1]])
     kind, count_kind = _least(len(words)), _least(int(count.max(initial=0)))
     head = np.array([len(count), len(columns), len(words), np.dtype(kind).itemsize, np.dtype(count_kind).itemsize], np.int64)
-    body = b"".join((words[by_count].tobytes(), *(_planes(x[order].astype(kind)) for x in number), _planes(count[order].astype(count_kind))))
+    body = b"".join((_planes(words[by_count]), *(_planes(x[order].astype(kind)) for x in number), _planes(count[order].astype(count_kind))))
     return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _unpack(blob) -> tuple[list[np.ndarray], np.ndarray]:
     n, k, v, size, count_size = np.frombuffer(blob, np.int64, 5).tolist()
     body = pa.decompress(blob.slice(40), decompressed_size=8 * v + n * (k * size + count_size), codec="zstd")
-    words = np.frombuffer(body, np.uint64, v)
-    plane = lambda at, m: np.frombuffer(body, np.uint8, n * m, at).reshape(m, n).T.copy().view(_UNSIGNED[m])[:, 0]
-    return [words[plane(8 * v + i * n * size, size)] for i in range(k)], plane(8 * v + k * n * size, count_size)
+    plane = lambda at, n, m: np.frombuffer(body, np.uint8, n * m, at).reshape(m, n).T.copy().view(_UNSIGNED[m])[:, 0]
+    words = plane(0, v, 8).view(np.uint64)
+    return [words[plane(8 * v + i * n * size, n, size)] for i in range(k)], plane(8 * v + k * n * size, n, count_size)
 
 
 def _all_of(blobs: list) -> tuple[list[np.ndarray], np.ndarray]:
@@ -229,13 +231,19 @@ def _all_of(blobs: list) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1].astype(np.int64) for p in parts])
 
 
+def _among(sorted_keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(h), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, h), len(sorted_keys) - 1)] == h
+
+
 def home(columns: list[np.ndarray], buckets: int, hot: dict[int, np.ndarray]) -> np.ndarray:
     """The range of n-grams: of the context's shortest ending that is not very common; n-grams whose
     whole context is go by their own last word, in ranges of their own behind the others."""
     b = _range_of(columns[-1], buckets) + buckets
     for k in range(len(columns) - 1, 0, -1):
         u = _joined(columns[-1 - k : -1])
-        plain = ~np.isin(u, hot[k + 1])
+        plain = ~_among(hot[k + 1], u)
         b[plain] = _range_of(u[plain], buckets)
     return b
 
@@ -400,9 +408,8 @@ class Model:
 
     def _contexts_at(self, level: int, b: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
         out = self._look_up(level, CONTEXTS, 4, b, u)
-        (alone,) = self._look_up(level, SINGLES, 1, b, u)
-        out[0] += alone
-        out[1] += alone
+        rest = np.flatnonzero(out[0] == 0)
+        out[0][rest] = out[1][rest] = self._look_up(level, SINGLES, 1, b[rest], u[rest])[0]
         return out
 
     def contexts(self, level: int, columns: list[np.ndarray], u: np.ndarray) -> list[np.ndarray]:
@@ -444,17 +451,24 @@ class Model:
     def score(self, c: tk.Chunk) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
         columns, off = token_columns(c, self.order)
-        word, of = np.unique(columns[-1], return_inverse=True)
+        word, first, of = np.unique(columns[-1], return_index=True, return_inverse=True)
         contexts, count = self.words(word)
-        p = self.word_probability(contexts)[of]
+        p, at_key = self.word_probability(contexts)[of], of
+        head = np.zeros(off[-1], bool)
+        head[off[:-1]] = True
         for n in range(2, self.order + 1):
+            # a token's context is the n-gram, of one order less, that ends before it, and all starts at first
+            before = [np.append(x[first], START_HASH) for x in columns[self.order - n + 1 :]]
+            at_u = np.where(head, len(first), np.r_[0, at_key[:-1]])
             own = columns[self.order - n :]
-            u, first, at_u = np.unique(_joined(own[:-1]), return_index=True, return_inverse=True)
-            total, n1, n2, n3 = (x[at_u] for x in self.contexts(n, [c[first] for c in own[:-1]], u))
             key, first, at_key = np.unique(_joined(own), return_index=True, return_inverse=True)
-            n_key = self.grams(n, [c[first] for c in own], key)[at_key]
+            total, n1, n2, n3 = self.contexts(n, before, _joined(before))
+            known = np.flatnonzero(total[at_u[first]] > 0)  # n-grams of other contexts have no count
+            n_key = np.zeros(len(key), np.int64)
+            n_key[known] = self.grams(n, [x[first[known]] for x in own], key[known])
             d, seen = self.discounts[n], np.maximum(total, 1)
-            p = np.where(total > 0, self._less(n_key, n) / seen + (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen * p, p)
+            rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen, 1.0)
+            p = self._less(n_key, n)[at_key] / seen[at_u] + rest[at_u] * p
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[of]
         add = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every document has a token
         return np.diff(off), add((count[of] > 0).astype(np.int64)), add(base), add(np.log10(p))
@@ -467,9 +481,9 @@ def train(texts: DataFrame, order: int = ORDER, scratch: Scratch | None = None)
     spark = texts.sparkSession
     scratch = scratch or Scratch(spark, "ngram")
     rows = texts.select("text")
-    buckets = text_buckets(spark, rows, mb_each=24)
-    base = fresh_path(spark, "ngram-arrays")
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = size // RANGE_BYTES + 1
+    base = fresh_path(spark, "ngram-arrays")
     share = max(HOT_SHARE, 2 * buckets)
     often = rows.mapInArrow(_frequent(order, share), "level int, u long, n long").groupBy("level", "u").agg(F.sum("n").alias("n"))
     often = often.where(F.col("n") * (8 * share) > size).collect()  # at most 8 * share an order, as a token takes a byte
@@ -496,7 +510,7 @@ def _scores(model, key: str):
             _OPEN.clear()
             _OPEN[key] = model.value
         own = _OPEN[key]
-        for b, c in tk.batch_chunks(batches):
+        for b, c in tk.batch_chunks(batches, size=4 * tk.CHUNK_BYTES):
             rest = [k for k in b.schema.names if k != "text"]
             cols = [pa.array(x) for x in own.score(c)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), *cols], [*rest, "n_tokens", "n_known", "base_score", "score"])

@@ -203,6 +203,7 @@ def kneser_ney(train, order):
 def test_model_against_plain_kneser_ney(spark, corpus, monkeypatch, order, hot):
     """Every score of every text, with several runs and ranges; ``hot`` 64 deals some contexts over the ranges."""
     monkeypatch.setattr(ngram_lm, "RUN_TOKENS", 500)
+    monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 10_000)
     monkeypatch.setattr(ngram_lm, "HOT_SHARE", hot)
     rows = corpus + [(200 + i, "the very same two words the very same two words " * 30) for i in range(20)] + [(300, "x y " * 400)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x")).repartition(3)
