@@ -7,11 +7,14 @@ links from the blocked seeds, so it reaches those who link to them.  A seed star
 share of its pages that are so judged and keeps it, while ``damping`` of a score moves on.  A host is blocked where its distrust is
 at least ``threshold`` and above its trust; else the default holds.
 
-All of it is DataFrame operations; each iteration is a written table, and stops when no score
-moves by more than ``tolerance``.
+All of it is DataFrame operations; each iteration is a written table.  As a step shrinks by the
+damping at least, iterations go on until what all later ones can still add is below ``tolerance``.
 
 Edge cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and
-gets the default; repeated rows are judged each; an empty table gives no rows.
+gets the default; a null html has no links, and a text of any length is searched whole; of rules of
+one length the one later in the order of rule and action decides; repeated rows are judged each, and
+a null page_id stays null; other columns, whatever their names, are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -50,26 +53,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(url).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, what: str, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, what: str, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, score): personalised PageRank from ``seeds`` (host, share) along ``edges`` (src, dst, n).
 
-    Scores are in units of a seed's own share, that is PageRank divided by 1 - damping.
+    Scores are in units of a seed's own share, that is PageRank divided by 1 - damping, and all
+    within ``tolerance`` of their limit.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = scratch.table(edges.join(scratch.table(out, f"{what}-out"), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{what}-edges")
     start = scratch.table(seeds.select("host", F.col("share").alias("score")), f"{what}-0")
-    score = start
+    score, i, step = start, 0, 1.0
     if shares.isEmpty():
         return score
-    for i in range(1, iterations + 1):
+    while step * damping > tolerance * (1 - damping):
+        i += 1
         moved = score.join(shares, score["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         new = scratch.table(start.union(moved).groupBy("host").agg(F.sum("score").alias("score")), f"{what}-{i}")
-        step = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        step = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         score = new
         if i > 1:
             scratch.drop(f"{what}-{i - 1}")
-        if step is None or step <= tolerance:
-            break
     return score
 
 
