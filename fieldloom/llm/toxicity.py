@@ -7,12 +7,14 @@ usual letter substitutions; it holds at most ``LEXICON_LIMIT`` entries.
 
 The trees, the lexicon and the calibration are fitted on at most ``max_rows`` labelled rows,
 those of the smallest hash of doc_id (the documented bound of the sample); a fifth of them, by
-another hash, is kept from the trees and used for the calibration.  Scoring reads every
-document and nothing but its text.
+another hash, is kept from the lexicon and the trees and used for the calibration.  Scoring reads
+every document, whole texts of any length, and nothing but its text.
 
 Edge cases: null and empty texts have all features zero and get the score of such a text;
 with no labels every score is 0, with labels of one kind it is that kind; several labels of
-one document count as their majority (toxic on a tie); null labels are ignored.
+one document count as their majority (toxic on a tie); null labels are ignored; of several
+texts of one labelled doc_id the first in their order is learned from; repeated rows are scored
+each; columns named score and predicted are replaced, all others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -273,20 +275,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_document
     scratch = Scratch(docs.sparkSession, "toxicity")
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])  # at most max_rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # at most max_rows
     rows = scratch.table(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0).cast("int").alias("part")), "sample")
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if bad in (0, n):
         scratch.drop("sample")
         return Constant(bad / n if n else 0.0)
-    lexicon = _learn_lexicon(rows, bad, n, min(min_documents, max(1, bad // 4)))
+    counts = {r.part: (r.n, r.bad) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()}
+    whole = len(counts) < 2 or any(b in (0, k) for k, b in counts.values())  # too few labels to part them
+    own, (n_own, bad_own) = (rows, (n, bad)) if whole else (rows.where("part = 0"), counts[0])
+    lexicon = _learn_lexicon(own, bad_own, n_own, min(min_documents, max(1, bad_own // 4)))
     got = rows.mapInArrow(_feature_rows(lexicon), "toxic int, part int, x binary").collect()  # at most max_rows
     x = np.frombuffer(b"".join(bytes(r.x) for r in got)).reshape(-1, len(FEATURES))
     y, part = np.array([r.toxic for r in got], float), np.array([r.part for r in got], bool)
     order = np.lexsort((*x.T, y))  # the same trees whatever the order of rows
     x, y, part = x[order], y[order], part[order]
-    if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
-        part = np.zeros(len(y), bool)  # too few labels to part them
+    if whole:
+        part = np.zeros(len(y), bool)
     trees = Trees(min_leaf=max(1, min(10, n // 20))).fit(x[~part], y[~part])
     held = part if part.any() else ~part
     scratch.drop("sample")
