@@ -12,15 +12,20 @@ a pair is a candidate when at least ``matches`` coordinates agree.
 For the default 32 coordinates of 3 and a threshold of 7 matches a pair at J = 0.85 is missed
 with probability 1e-6 (at J = 0.80, with the 4 matches ``matches_for`` gives, 2e-6).
 
-Candidates are never handed on as pairs.  Documents with equal sets are one representative;
+Candidates are never handed on as pairs.  Documents with equal sets - of one size and two equal
+64-bit sums over all shingles - are one representative; should two of these get one number of 64
+bits, all are numbered anew;
 a list of agreeing documents gives its components as stars; the connected components of all
 stars are clusters, each a superset of the true groups in it.  Within a cluster the full
 shingle sets are compared exactly, and again only stars of the confirmed links leave the task.  Long lists and large clusters are cut into blocks and every pair of
 blocks is a task of its own, so no task holds more than two blocks.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; texts with
-fewer words than a shingle are one shingle of all their words; repeated rows form one group
-with the smallest doc_id.
+fewer words than a shingle are one shingle of all their words; texts of any length are taken
+whole; repeated rows form one group with the smallest doc_id, and their text is compared once; rows
+without a doc_id link like others but are kept only where their whole group has none; other columns,
+whatever their names, are not read by ``near_duplicates`` and not changed by ``dedup_near``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -180,7 +185,7 @@ def _candidates(matches: int):
         out: list[tuple[int, int]] = []
         for g in _runs(batches, ["key", "b1", "b2", "side", "rep", "sig"]):
             rep = np.array(g["rep"])
-            if len(rep) < 2:
+            if len(rep) < 2:  # sorted by side, then rep
                 continue
             sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, COORDINATES)
             side, coordinate = np.array(g["side"]), g["key"][0] >> 32
@@ -268,19 +273,26 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(4 * shuffle_partitions(spark), group, "b1", "b2").sortWithinPartitions(group, "b1", "b2", "side", "rep")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def _representatives(sketch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(sketch with rep, a number of its set; one row a set: rep, its first row that has a doc_id, size, signature)."""
+    salt = 0
+    while True:
+        numbered = sketch.withColumn("rep", F.xxhash64("n_shingles", "f1", "f2", F.lit(salt)))
+        one = F.struct("n_shingles", "f1", "f2")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "tid")).alias("first")
+        reps = numbered.where("n_shingles > 0").groupBy("rep").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), (F.min(one) != F.max(one)).alias("_two"))
+        reps = scratch.table(reps, f"reps-{salt}")
+        if reps.where("_two").isEmpty():
+            return numbered, reps.drop("_two")
+        salt += 1
 
-    component_id is the smallest doc_id reachable over links of similarity percent / 100 or more.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "neardup")
+
+def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, tid, n_shingles, component_id, kept): as ``near_duplicates``, with a hash of the text."""
     matches = matches_for(percent / 100)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
     sketch = texts.mapInArrow(_sketch(shingle), "doc_id long, tid long, n_shingles long, f1 long, f2 long, sig binary")
-    sketch = scratch.table(sketch.withColumn("rep", F.xxhash64("n_shingles", "f1", "f2")), "sketch")
-    reps = sketch.where("n_shingles > 0").groupBy("rep").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = scratch.table(reps, "reps")
+    sketch, reps = _representatives(scratch.table(sketch, "sketch"), scratch)
 
     posted = reps.select("rep", "sig").mapInArrow(_postings(COORDINATES - matches + 1), "key long, rep long")
     posted = scratch.table(posted, "postings")
@@ -291,9 +303,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
 
     heads = clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()
     member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).union(heads)
-    member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", "first.*"), "members")
+    member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.tid").alias("_tid")), "members")
     sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    full = texts.join(member.drop("n_shingles").hint("merge"), ["doc_id", "tid"]).select("rep", "cluster", "text")
+    # repeated rows are one row before the exchange
+    once = texts.groupBy("doc_id", "tid").agg(F.first("text").alias("text"))
+    full = once.join(member.drop("n_shingles").hint("merge"), once["doc_id"].eqNullSafe(F.col("_id")) & (once["tid"] == F.col("_tid"))).select("rep", "cluster", "text")
     full = full.mapInArrow(_shingle_rows(shingle), "rep long, cluster long, shingles binary")
     links = _dealt(_in_blocks(full, "cluster", scratch.table(sizes, "sizes")), "cluster").mapInArrow(_confirm(percent), "u long, v long")
     groups = connected_components(links, scratch, "groups")
@@ -302,9 +316,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     named = reps.select("rep", F.col("first.doc_id").alias("low")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = scratch.table(named.join(lowest, "component").select("rep", "component_id"), "named")
-    out = sketch.select("doc_id", "n_shingles", "rep").join(named, "rep", "left")
+    out = sketch.select("doc_id", "tid", "n_shingles", "rep").join(named, "rep", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "tid", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links of similarity percent / 100 or more.
+    """
+    return _judged(docs, shingle, percent, scratch or Scratch(docs.sparkSession, "neardup")).drop("tid")
 
 
 def dedup_near(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -312,5 +334,6 @@ def dedup_near(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
     Repeated rows of the kept doc_id stay together.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = _judged(docs, shingle, percent, Scratch(docs.sparkSession, "neardup")).where("kept")
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("tid").alias("_tid")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["_tid"]), "left_semi")
