@@ -14,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir; one of our own only where it is unset, in local mode.
+
+    On a cluster a folder of the driver's machine would not be the executors', so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jvm_dir.get() if jvm_dir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()

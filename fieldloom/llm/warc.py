@@ -7,11 +7,18 @@ its own name; the index holds path, offset, length, URL and digest per record, a
 attempt that Spark commits puts rows there, what a lost attempt left is never read.
 
 Reading: selected index rows are sorted by path and offset; ranges at most ``gap`` bytes apart
-are read at once, up to ``READ_BYTES`` per read, and the members within are decoded.
+are read at once, up to ``READ_BYTES`` per read, and the members within are decoded.  Tasks
+are as many as the selected bytes need at ``TASK_BYTES`` each, since the index alone, which is all
+that Spark sees of them, is small; a body's digest is computed again and compared with its header.
+
+A response holds an HTTP message, a status line and headers before the payload, as other readers
+expect; the payload digest and length are those of the payload alone.
 
 Edge cases: a null html is an empty payload, a null url an empty one; repeated rows of one
 page_id and equal payload are records each, of the type that page_id has; payloads below
-``min_revisit_bytes`` are all responses; an empty table writes nothing.
+``min_revisit_bytes`` are all responses; payloads of any size are one record; records
+without a page_id revisit the one that has the smallest, or are all responses where none has; other columns,
+whatever their names, are not read; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +38,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Scratch, fresh_path
 
-READ_BYTES = 8 << 20
+READ_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ROWS_PER_BATCH = 2000
 _INDEX = "page_id long, path string, offset long, length long, url string, digest string"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -46,13 +54,13 @@ def _unclean(url: str) -> str:
     return url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def encode_record(page_id: int, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member; a revisit has no body, its headers tell the payload's size."""
+def encode_record(page_id: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One record as a gzip member; a revisit has no payload, its headers tell the payload's size."""
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {_clean(url)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -60,8 +68,8 @@ def encode_record(page_id: int, url: str, payload: bytes, size: int, digest: str
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    else:
-        head.append("Content-Type: text/html; charset=utf-8")
+    head.append("Content-Type: application/http; msgtype=response")
+    payload = HTTP_HEAD + payload
     head.append(f"Content-Length: {len(payload)}")
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + z.flush()
@@ -72,11 +80,15 @@ def decode_record(raw: bytes) -> tuple:
     text = zlib.decompress(raw, 31)
     head, _, rest = text.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    payload = rest[: int(fields["Content-Length"])]
-    page = int(fields["WARC-Record-ID"][10:-1])
-    if fields["WARC-Type"] == "response":
-        return page, _unclean(fields["WARC-Target-URI"]), "response", None, base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), payload
+    payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
+    name = fields["WARC-Record-ID"][10:-1]
+    page = int(name) if name else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response":
+        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if own != digest:
+            raise ValueError(f"record {page}: payload digest {own}, header {digest}")
+        return page, _unclean(fields["WARC-Target-URI"]), "response", None, own, len(payload), payload
     return page, _unclean(fields["WARC-Target-URI"]), "revisit", int(fields["WARC-Refers-To"][10:-1]), digest, int(fields["X-Payload-Length"]), None
 
 
@@ -131,7 +143,7 @@ def write_archives(pages: DataFrame, base: str, min_revisit_bytes: int = 0, scra
     hashed = plain.select("page_id", "url", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("sha"), "payload")
     shared = hashed.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     marked = hashed.join(scratch.table(shared, "shared"), "sha", "left")
-    refers = F.when((F.col("size") >= min_revisit_bytes) & (F.col("page_id") != F.col("first")), F.col("first"))
+    refers = F.when((F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = marked.select("page_id", "url", "size", "sha", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers.alias("refers_to"))
     return scratch.table(rows.mapInArrow(_writer(_uri(base)), _INDEX), "index")
 
@@ -182,7 +194,8 @@ def _record_batch(rows: list[tuple], bodies: bool) -> pa.RecordBatch:
 
 def read_records(selected: DataFrame, gap: int = 4096, bodies: bool = True) -> DataFrame:
     """The records that rows of an index name; reads are sorted and coalesced."""
-    spread = selected.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    parts = int((selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES) + selected.sparkSession.sparkContext.defaultParallelism
+    spread = selected.select("path", "offset", "length").repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
     return spread.mapInArrow(_reader(gap, bodies), _RECORD)
 
 

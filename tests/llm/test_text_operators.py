@@ -58,6 +58,38 @@ def near_groups(rows, n, percent):
     return {k: (len(s), find(k)) for k, s in sets}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without a doc_id carry links between others, and are kept where their group has no id at all."""
+    rng = np.random.default_rng(3)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, a), (5, a), (9, a + " more"), (None, b), (None, b + " end"), (7, c), (7, a), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_id", F.lit("x")).withColumn("rep", F.lit("y"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect()), key=str)
+    size = {t: len(shingles(t, 3)) for _, t in rows}
+    want = [(None, size[a], 5, False), (5, size[a], 5, True), (9, size[a + " more"], 5, False), (None, size[b], None, True), (None, size[b + " end"], None, True), (7, size[c], 7, True), (7, size[a], 5, False), (None, 0, None, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=str)
+    left = sorted(((r.doc_id, r.text) for r in neardup.dedup_near(docs, 3, 85).collect()), key=str)
+    assert left == sorted([(5, a), (None, b), (None, b + " end"), (7, c), (None, None), (8, "")], key=str)
+    assert neardup.near_duplicates(docs.limit(0), 3, 85).count() == 0 and neardup.dedup_near(docs.limit(0)).count() == 0
+
+
+def test_sets_with_one_number_are_numbered_anew(spark, corpus, monkeypatch):
+    """Different sets whose 64-bit numbers collide are told apart."""
+    real = neardup.F.xxhash64
+    calls = []
+
+    def narrow(*c):
+        if c[0] == "n_shingles" and not calls:
+            calls.append(1)
+            return F.pmod(real(*c), F.lit(3))
+        return real(*c)
+
+    monkeypatch.setattr(neardup.F, "xxhash64", narrow)
+    got = neardup.near_duplicates(spark.createDataFrame(corpus, SCHEMA), 3, 85).collect()
+    want = near_groups(corpus, 3, 85)
+    assert calls and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, corpus, n, percent):
     got = neardup.near_duplicates(spark.createDataFrame(corpus, SCHEMA), n, percent).collect()
