@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, correlation_np, covariance_matrix, covariance_np
@@ -40,9 +40,9 @@ def surface(spark, model: list[Component], max_s: float, max_t: float, n: int =
     return mesh.select("lag_s", "lag_t", covariance(model, F.col("lag_s"), F.col("lag_t")).alias("cov"))
 
 
-def aic(obj: float, n_models: int, n: int = 900) -> float:
-    """2 k + N ln(obj / N); N is the plotting mesh's 900 as the reports have it, or the number of lags."""
-    return 2 * n_models + n * math.log(obj / n)
+def aic(obj, n_models: int, n: int = 900):
+    """2 k + N ln(obj / N) of a number or a column; N is the plotting mesh's 900 as the reports have it, or the number of lags."""
+    return 2 * n_models + n * (F.log(obj / n) if isinstance(obj, Column) else math.log(obj / n))
 
 
 def pso(f: Callable[[np.ndarray], float], low: np.ndarray, high: np.ndarray, particles: int = 100, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:

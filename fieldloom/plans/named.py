@@ -159,9 +159,9 @@ def R11_stack(spark, d):
     return rounded(grid.stack(cells(spark, d), soft(spark, d).select("x", "y", "t", F.col("mean").alias("z"))), 6)
 
 
-@query(OBS + ", s AS (SELECT * FROM obs WHERE t < 3) SELECT a.row_id AS a_id, b.row_id AS b_id FROM s a JOIN s b USING (x, y, t)")
+@query(OBS + " SELECT a.row_id AS a_id, b.row_id AS b_id FROM obs a JOIN obs b USING (x, y, t)")
 def R12_identical_pairs(spark, d):
-    o = obs(spark, d).where("t < 3")
+    o = obs(spark, d)
     return grid.identical_pairs(o, o)
 
 
@@ -224,16 +224,25 @@ def S15_polygon_mask(spark, d):
     return rounded(observations.mask(site_means(spark, d).withColumnRenamed("z", "mean"), triangle), 6)
 
 
-@query(SITES + " SELECT x, y, least(1 + CAST(floor((z - 0.0) / 300.0 * 63) AS BIGINT), 63) AS class FROM sites WHERE z < 300")
+@query(SITES + " SELECT x, y, CASE WHEN z < 60 THEN 0 ELSE least(1 + CAST(floor((z - 60.0) / 30.0 * 63) AS BIGINT), 63) END AS class FROM sites")
 def S19_colour_class(spark, d):
-    return site_means(spark, d).where("z < 300").select("x", "y", observations.colour_class(F.col("z"), 0.0, 300.0).alias("class"))
-
-
-@query()
+    """Site means below, in and above the range of the classes."""
+    return site_means(spark, d).select("x", "y", observations.colour_class(F.col("z"), 60.0, 90.0).alias("class"))
+
+
+@query(
+    CELLS
+    + """, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny FROM cells),
+px AS (SELECT CAST(range // 64 AS INT) AS row, CAST(range % 64 AS INT) AS col, (nx - 1) * (range % 64) / 63 AS u, (ny - 1) * (1 - (range // 64) / 63) AS v, nx, ny FROM range(4096), box),
+ij AS (SELECT *, greatest(0, least(CAST(floor(u) AS BIGINT), nx - 2)) AS i0, greatest(0, least(CAST(floor(v) AS BIGINT), ny - 2)) AS j0 FROM px),
+c AS (SELECT row, col, i0 + a AS i, j0 + b AS j, (1 - abs(u - i0 - a)) * (1 - abs(v - j0 - b)) AS w FROM ij, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)),
+lat AS (SELECT t, z, coalesce(round((x - x0) / nullif(x1 - x0, 0) * (nx - 1)), 0) AS i, coalesce(round((y - y0) / nullif(y1 - y0, 0) * (ny - 1)), 0) AS j FROM cells, box)
+SELECT t, row, col, CASE WHEN sum(w) > 1 - 1e-9 THEN round(sum(w * z), 4) ELSE CAST(-9999 AS DOUBLE) END AS value FROM c JOIN lat USING (i, j) WHERE w > 0 GROUP BY t, row, col"""
+)
 def I9_raster(spark, d):
     """Every day's values, as rasters of 64 x 64 pixels."""
     lattice = cells(spark, d).withColumnRenamed("z", "mean")
-    return observations.resample(lattice, 64, 64)
+    return rounded(observations.resample(lattice, 64, 64))
 
 
 # Soft data
@@ -284,17 +293,42 @@ def P6_cdf(spark, d):
 
 
 @query(SOFT + " SELECT x, y, t, round(low + 0.3 * (up - low), 4) AS v FROM soft")
-def P7_inverse_cdf(spark, d):
+def P7_inverse_cdf_flat(spark, d):
     low, up = F.col("low"), F.col("up")
     return soft(spark, d).select("x", "y", "t", r(softdata.inverse_cdf(softdata.uniform_limits(low, up), softdata.uniform_density(low, up), 0.3), "v"))
 
 
-@query(POLYGON + ", v AS (SELECT x, y, t, mean + 1 AS v FROM soft) SELECT x, y, t, round(p + (p1 - p) * (v - l) / (l1 - l), 5) AS density FROM poly JOIN v USING (x, y, t) WHERE l <= v AND v < l1")
+@query(CDF + ", e AS (SELECT *, lead(c) OVER (PARTITION BY x, y, t ORDER BY i) AS c1, (p1 - p) / (l1 - l) AS s FROM c), q(q) AS (VALUES (0.02), (0.3), (0.9)) SELECT x, y, t, CAST(q AS DOUBLE) AS q, round(l + (sqrt(greatest(p * p + 2 * s * (CAST(q AS DOUBLE) - c), 0)) - p) / s, 3) AS v FROM e, q WHERE c <= q AND q < c1")
+def P7_inverse_cdf(spark, d):
+    """The root of the quadratic in sloping segments: lower tail, rising and falling part."""
+    s = polygons(spark, d)
+    at = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), softdata.inverse_cdf(F.col("limi"), F.col("probdens"), q).alias("v")) for q in (0.02, 0.3, 0.9))))
+    return s.select("x", "y", "t", at.alias("p")).select("x", "y", "t", F.col("p.q").alias("q"), r("p.v", "v", 3))
+
+
+@query(POLYGON + ", v AS (SELECT x, y, t, mean + sqrt(var) * (x - 7) AS v FROM soft) SELECT v.x, v.y, v.t, round(coalesce(p + (p1 - p) * (v - l) / (l1 - l), 0), 5) AS density FROM v LEFT JOIN poly ON poly.x = v.x AND poly.y = v.y AND poly.t = v.t AND l <= v AND v < l1")
 def P8_density(spark, d):
-    s = polygons(spark, d).withColumn("v", F.col("mean") + 1).where("v < limi[12]")
+    """Within the limits and, where the shift is large, outside them."""
+    s = polygons(spark, d).withColumn("v", F.col("mean") + F.sqrt("var") * (F.col("x") - 7))
     return s.select("x", "y", "t", r(softdata.density_at(F.col("limi"), F.col("probdens"), F.col("v")), "density", 5))
 
 
+@query(SOFT + ", v AS (SELECT *, low + (up - low) * (x - 2) / 10 AS v FROM soft) SELECT x, y, t, round(CASE WHEN v < low OR v > up THEN 0 WHEN v < mean THEN 0.4 / (mean - low) ELSE 0.6 / (up - mean) END, 5) AS density FROM v")
+def P8_density_histogram(spark, d):
+    """Type 1 densities, constant between the limits."""
+    low, up, mean = F.col("low"), F.col("up"), F.col("mean")
+    s = soft(spark, d).withColumn("v", low + (up - low) * (F.col("x") - 2) / 10)
+    return s.select("x", "y", "t", r(softdata.density_at(F.array(low, mean, up), F.array(0.4 / (mean - low), 0.6 / (up - mean)), F.col("v"), kind=1), "density", 5))
+
+
+@query(SOFT + ", m AS (SELECT x, y, t, 0.4 * (low + mean) / 2 + 0.6 * (mean + up) / 2 AS m1, 0.4 * (low * low + low * mean + mean * mean) / 3 + 0.6 * (mean * mean + mean * up + up * up) / 3 AS m2 FROM soft) SELECT x, y, t, round(m1, 5) AS mean, round(m2 - m1 * m1, 2) AS variance FROM m")
+def P4_moments_histogram(spark, d):
+    """Moments of type 1 densities."""
+    low, up, mid = F.col("low"), F.col("up"), F.col("mid")  # a result's name would hide a column of that name
+    limi, p = F.array(low, mid, up), F.array(0.4 / (mid - low), 0.6 / (up - mid))
+    return soft(spark, d).withColumnRenamed("mean", "mid").select("x", "y", "t", r(softdata.mean(limi, p, 1), "mean", 5), r(softdata.variance(limi, p, 1), "variance", 2))
+
+
 @query(SOFT + " SELECT x, y, t, low AS l0, up AS l1, round(1 / (up - low), 6) AS p FROM soft")
 def P9_uniform_two_nodes(spark, d):
     limi, p = softdata.uniform_two_nodes(F.col("low"), F.col("up"))
@@ -304,9 +338,9 @@ def P9_uniform_two_nodes(spark, d):
 # Neighbours
 
 
-@query(SITES + ", s AS (SELECT * FROM sites WHERE x < 5 AND y < 10) SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM s a, s b")
+@query(SITES + " SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM sites a, sites b")
 def N1_distance(spark, d):
-    s = site_means(spark, d).where("x < 5 and y < 10").select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "x", "y")
+    s = site_means(spark, d).select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "x", "y")
     both = neighbours.distances(s, s)
     part = lambda c, n: ((F.col(c) % 15).cast("double").alias(f"{n}x"), F.floor(F.col(c) / 15).cast("double").alias(f"{n}y" if n == "a" else "by_"))
     return both.select(*part("a_id", "a"), *part("b_id", "b"), r("d", "d", 6))
@@ -317,21 +351,16 @@ def N4_pairs_radius(spark, d):
     return rounded(neighbours.pairs_within(grid.sites(cells(spark, d)), 3.3, azimuth=True), 6)
 
 
-@query(SITES + ", n AS (SELECT CAST(y * 15 + x AS BIGINT) AS id, x, y FROM sites) SELECT a.id AS a_id, b.id AS b_id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS ds FROM n a, n b WHERE a.id % 3 = 0 AND b.id % 3 = 1 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.2")
-def N6_pairs_between(spark, d):
-    s = site_means(spark, d).select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "x", "y")
-    return rounded(neighbours.pairs_between(s.where("id % 3 = 0"), s.where("id % 3 = 1"), 2.2).drop("azimuth"), 6)
-
-
-KNN = CELLS + f", h AS (SELECT {KEY} AS h_id, x, y, t, z FROM cells WHERE t BETWEEN 8 AND 12), k AS (SELECT h_id AS k_id, x, y, t FROM h WHERE t = 10)"
+KNN = CELLS + f", h AS (SELECT {KEY} AS h_id, x, y, t, z FROM cells), k AS (SELECT h_id AS k_id, x, y, t FROM h)"
 
 
 def knn_sides(spark, d):
-    h = keyed(cells(spark, d).where("t between 8 and 12"))
-    return h.where("t = 10").select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
+    """Every cell as a point and as a datum."""
+    h = keyed(cells(spark, d))
+    return h.select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
 
 
-SPHERE_SQL = "SELECT k_id, h_id, h.z AS z, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * (1.3 * 1.3)) AS d FROM k, h WHERE sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * (1.3 * 1.3)) < sqrt(3.2 * 3.2 + 2.5 * 1.3 * 2.5 * 1.3)"
+SPHERE_SQL = "SELECT k_id, h_id, h.z AS z, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * (1.3 * 1.3)) AS d FROM k JOIN h ON abs(k.x - h.x) < 4.6 AND abs(k.y - h.y) < 4.6 AND abs(k.t - h.t) < 3.6 WHERE sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * (1.3 * 1.3)) < sqrt(3.2 * 3.2 + 2.5 * 1.3 * 2.5 * 1.3)"
 
 
 @query(KNN + f", n AS ({SPHERE_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY k_id ORDER BY round(d, 9), h_id) AS rank FROM n) SELECT k_id, h_id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM o WHERE rank <= 8")
@@ -340,7 +369,7 @@ def N8_knn(spark, d):
     return rounded(neighbours.nearest(points, data, 8, 3.2, 2.5, 1.3), 6)
 
 
-@query(KNN + ", n AS (SELECT k_id, h_id, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y)) AS ds, abs(k.t - h.t) AS dt FROM k, h), o AS (SELECT *, ds + 1.3 * dt AS d, row_number() OVER (PARTITION BY k_id ORDER BY round(ds + 1.3 * dt, 9), h_id) AS rank FROM n WHERE ds <= 3.2 AND dt <= 1.5) SELECT k_id, h_id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM o WHERE rank <= 8")
+@query(KNN + ", n AS (SELECT k_id, h_id, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y)) AS ds, abs(k.t - h.t) AS dt FROM k JOIN h ON abs(k.x - h.x) <= 3.2 AND abs(k.t - h.t) <= 1.5), o AS (SELECT *, ds + 1.3 * dt AS d, row_number() OVER (PARTITION BY k_id ORDER BY round(ds + 1.3 * dt, 9), h_id) AS rank FROM n WHERE ds <= 3.2 AND dt <= 1.5) SELECT k_id, h_id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM o WHERE rank <= 8")
 def N9_knn_prism(spark, d):
     points, data = knn_sides(spark, d)
     return rounded(neighbours.nearest_prism(points, data, 8, 3.2, 1.5, 1.3), 6)
@@ -365,19 +394,26 @@ def N14_duplicates(spark, d):
     return neighbours.duplicates(points, data)
 
 
-# Trends
+GRID7 = "g AS (SELECT range AS k_id, 2.25 * (range % 7) AS x, 1.25 * ((range // 7) % 6) AS y, 0.6 + 3.3 * (range // 42) AS t FROM range(168))"
 
 
-@query(CELLS + " SELECT x, y, t, round(avg(z) OVER (PARTITION BY x, y) + avg(z) OVER (PARTITION BY t) - avg(z) OVER (), 4) AS tr FROM cells")
-def T2_stmean(spark, d):
-    return rounded(trend.stmean(cells(spark, d)).select("x", "y", "t", "tr"))
+def grid7(spark):
+    return observations.generate_grid(spark, (0, 13.5, 7), (0, 6.25, 6), (0.6, 10.5, 4))
 
 
-GRID7 = "g AS (SELECT range AS k_id, 2.25 * (range % 7) AS x, 1.25 * ((range // 7) % 6) AS y, 0.6 + 3.3 * (range // 42) AS t FROM range(168))"
+@query(SITES + ", " + GRID7 + ", n AS (SELECT CAST(y * 15 + x AS BIGINT) AS id, x, y FROM sites) SELECT a.id AS a_id, b.k_id AS b_id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS ds, round(atan2(b.y - a.y, b.x - a.x), 6) AS azimuth FROM n a, g b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.2")
+def N6_pairs_between(spark, d):
+    """All sites against all points of a grid."""
+    s = site_means(spark, d).select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "x", "y")
+    return rounded(neighbours.pairs_between(s, grid7(spark).select(F.col("k_id").alias("id"), "x", "y"), 2.2), 6)
 
 
-def grid7(spark):
-    return observations.generate_grid(spark, (0, 13.5, 7), (0, 6.25, 6), (0.6, 10.5, 4))
+# Trends
+
+
+@query(CELLS + " SELECT x, y, t, round(avg(z) OVER (PARTITION BY x, y) + avg(z) OVER (PARTITION BY t) - avg(z) OVER (), 4) AS tr FROM cells")
+def T2_stmean(spark, d):
+    return rounded(trend.stmean(cells(spark, d)).select("x", "y", "t", "tr"))
 
 
 @query(CELLS + ", ms AS (SELECT x, y, avg(z) AS m FROM cells GROUP BY x, y), mt AS (SELECT t, avg(z) AS m, lead(t) OVER (ORDER BY t) AS t1, lead(avg(z)) OVER (ORDER BY t) AS m1 FROM cells GROUP BY t), " + GRID7 + ", w AS (SELECT k_id, sum(ms.m / power(sqrt((g.x - ms.x) ** 2 + (g.y - ms.y) ** 2) + 1e-10, 2)) / sum(1 / power(sqrt((g.x - ms.x) ** 2 + (g.y - ms.y) ** 2) + 1e-10, 2)) AS s FROM g, ms GROUP BY k_id) SELECT k_id, round(s + mt.m + (g.t - mt.t) / (mt.t1 - mt.t) * (mt.m1 - mt.m) - (SELECT avg(z) FROM cells), 4) AS tr FROM g JOIN w USING (k_id) JOIN mt ON g.t >= mt.t AND g.t < mt.t1")
@@ -404,10 +440,10 @@ def T9_kernel_est(spark, d):
     return rounded(trend.kernel_at(cells(spark, d), grid7(spark), 2.0, 2.0).select("k_id", "tr"))
 
 
-@query(CELLS + " SELECT a.x, a.y, a.t, round(sum((1 - (((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9.0 + (a.t - b.t) ** 2 / 16.0)) * b.z) / sum(1 - (((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9.0 + (a.t - b.t) ** 2 / 16.0)), 3) AS tr FROM cells a, cells b WHERE a.t < 6 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3 AND abs(a.t - b.t) <= 4 GROUP BY a.x, a.y, a.t")
+@query(CELLS + " SELECT a.x, a.y, a.t, round(sum((1 - (((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9.0 + (a.t - b.t) ** 2 / 16.0)) * b.z) / sum(1 - (((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9.0 + (a.t - b.t) ** 2 / 16.0)), 2) AS tr FROM cells a, cells b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3 AND abs(a.t - b.t) <= 4 GROUP BY a.x, a.y, a.t")
 def T10_kernel_truncated(spark, d):
     c = cells(spark, d)
-    return rounded(trend.kernel_truncated(c, c.where("t < 6").select("x", "y", "t"), 3.0, 4.0, "quadratic"), 3)
+    return rounded(trend.kernel_truncated(c, c.select("x", "y", "t"), 3.0, 4.0, "quadratic"), 2)
 
 
 @query()
@@ -462,9 +498,9 @@ def C5_symmetric(spark, d):
     return rounded(covariance.symmetric_covariance(resid(spark, d), a, b), 3)
 
 
-@query(RESID + LAGS + ", pair AS (SELECT a.r AS l, b.r AS r, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM resid a JOIN resid b ON a.t = b.t AND abs(a.x - b.x) <= 2.5 AND abs(a.y - b.y) <= 2.5 WHERE a.t < 5) SELECT u.s AS lag_dx, v.s AS lag_dy, " + COV + " FROM pair JOIN ls u ON dx > u.s - 0.5 AND dx <= u.s + 0.5 JOIN ls v ON dy > v.s - 0.5 AND dy <= v.s + 0.5 WHERE u.s < 3 AND v.s < 3 GROUP BY u.s, v.s HAVING count(*) >= 2")
+@query(RESID + LAGS + ", pair AS (SELECT a.r AS l, b.r AS r, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM resid a JOIN resid b ON a.t = b.t AND abs(a.x - b.x) <= 2.5 AND abs(a.y - b.y) <= 2.5) SELECT u.s AS lag_dx, v.s AS lag_dy, " + COV + " FROM pair JOIN ls u ON dx > u.s - 0.5 AND dx <= u.s + 0.5 JOIN ls v ON dy > v.s - 0.5 AND dy <= v.s + 0.5 WHERE u.s < 3 AND v.s < 3 GROUP BY u.s, v.s HAVING count(*) >= 2")
 def C6_block(spark, d):
-    own = resid(spark, d).where("t < 5").select("x", "y", "t", "residual")
+    own = resid(spark, d).select("x", "y", "t", "residual")
     a, b = (own.select(*(F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "t", "residual"))) for s in "ab")
     near = neighbours.within(a, b, {"x": 2.5, "y": 2.5, "t": 0})
     pairs = near.select(F.col("a_residual").alias("l"), F.col("b_residual").alias("r"), F.abs(F.col("a_x") - F.col("b_x")).alias("dx"), F.abs(F.col("a_y") - F.col("b_y")).alias("dy"))
@@ -478,9 +514,9 @@ def C7_directional(spark, d):
     return rounded(covariance.directional_covariance(resid(spark, d), a, b), 3)
 
 
-@query(RESID + ", own AS (SELECT *, dense_rank() OVER (ORDER BY x, y) AS si FROM resid WHERE t < 3) SELECT b.x - a.x AS dx, b.y - a.y AS dy, count(*) AS n, round(sum(a.r * b.r), 1) AS s FROM own a JOIN own b ON a.t = b.t AND a.si <= b.si AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.2 GROUP BY 1, 2")
+@query(RESID + ", own AS (SELECT *, dense_rank() OVER (ORDER BY x, y) AS si FROM resid) SELECT b.x - a.x AS dx, b.y - a.y AS dy, count(*) AS n, round(sum(a.r * b.r), 1) AS s FROM own a JOIN own b ON a.t = b.t AND a.si <= b.si AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.2 GROUP BY 1, 2")
 def C8_covariance_map(spark, d):
-    m = covariance.covariance_map(resid(spark, d).where("t < 3"), 2.2)
+    m = covariance.covariance_map(resid(spark, d), 2.2)
     return m.groupBy("dx", "dy").agg(F.count("*").alias("n"), F.round(F.sum("product"), 1).alias("s"))
 
 
@@ -537,7 +573,7 @@ def F2_surface(spark, d):
 @query(C1_SQL + ", w AS (SELECT *, n / ((SELECT cov FROM emp WHERE lag_s = 0 AND lag_t = 0) ** 2 + cov ** 2) AS w FROM emp), o AS (SELECT sum(w * (" + MODEL_SQL.format(ds="lag_s", dt="lag_t") + " - cov) ** 2) / sum(w) AS v FROM w) SELECT round(4 + 900 * ln(v / 900), 3) AS aic_mesh, round(4 + 30 * ln(v / 30), 3) AS aic_lags FROM o")
 def F3_aic(spark, d):
     o = fit.objective_frame(c1(spark, d), MODEL)
-    return o.select(r(4 + 900 * F.log(F.col("objective") / 900), "aic_mesh", 3), r(4 + 30 * F.log(F.col("objective") / 30), "aic_lags", 3))
+    return o.select(r(fit.aic(F.col("objective"), 2), "aic_mesh", 3), r(fit.aic(F.col("objective"), 2, 30), "aic_lags", 3))
 
 
 @query()
@@ -585,14 +621,17 @@ def I3_idw_knn(spark, d):
 
 
 C_KH = MODEL_SQL.format(ds="ds", dt="dt")
-ONE = ", n AS (SELECT k_id, h_id, hz, sqrt((k.x - h.x) ** 2 + (k.y - h.y) ** 2) AS ds, abs(k.t - h.t) AS dt, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * 1.69) AS d FROM k, h WHERE k_id <> h_id), o AS (SELECT *, row_number() OVER (PARTITION BY k_id ORDER BY round(d, 9), h_id) AS rank FROM n WHERE d < sqrt(3.2 * 3.2 + 2.5 * 1.3 * 2.5 * 1.3))"
-RES_KNN = RESID + f", h AS (SELECT {KEY} AS h_id, x, y, t, r AS hz FROM resid WHERE t BETWEEN 8 AND 12), k AS (SELECT h_id AS k_id, x, y, t FROM h WHERE t = 10)"
-
-
-def residual_sides(spark, d):
-    _, h = all_residuals(spark, d)
-    h = h.where("t between 8 and 12")
-    return h.where("t = 10").select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
+NEAR = ", n AS (SELECT k_id, h.*, " + C_KH.replace("ds", "sqrt((k.x - h.x) ** 2 + (k.y - h.y) ** 2)").replace("dt", "abs(k.t - h.t)") + " AS c, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * 1.69) AS d FROM k JOIN h ON abs(k.x - h.x) < 4.6 AND abs(k.y - h.y) < 4.6 AND abs(k.t - h.t) < 3.6{}), o AS (SELECT *, row_number() OVER (PARTITION BY k_id ORDER BY round(d, 9), h_id) AS rank FROM n WHERE d < sqrt(3.2 * 3.2 + 2.5 * 1.3 * 2.5 * 1.3))"
+NEAR_OTHER = NEAR.format(" AND k_id <> h_id")
+#: The two nearest of a point: their values, noise, covariances with the point and with each other; one where there is but one.
+TWO = (
+    ", pr AS (SELECT a.k_id, a.hz AS z1, b.hz AS z2, a.c AS c1, b.c AS c2, 2300 + a.var AS k1, 2300 + b.var AS k2, "
+    + C_KH.replace("ds", "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)").replace("dt", "abs(a.t - b.t)")
+    + " AS c12 FROM o a LEFT JOIN o b ON b.k_id = a.k_id AND b.rank = 2 WHERE a.rank = 1), wt AS (SELECT *, coalesce((k2 * c1 - c12 * c2) / (k1 * k2 - c12 * c12), c1 / k1) AS w1, coalesce((k1 * c2 - c12 * c1) / (k1 * k2 - c12 * c12), 0) AS w2 FROM pr)"
+)
+SIMPLE = " SELECT k_id, round(w1 * z1 + w2 * coalesce(z2, 0), 3) AS {}, round(greatest(2300 - w1 * c1 - w2 * coalesce(c2, 0), 0), 3) AS {} FROM wt"
+RES_KNN = RESID + f", h AS (SELECT {KEY} AS h_id, x, y, t, r AS hz, 0 AS var FROM resid), k AS (SELECT h_id AS k_id, x, y, t FROM h)"
+SOFT_KNN = SOFT + f", h AS (SELECT {KEY} AS h_id, x, y, t, mean - 75 AS hz, var FROM soft), k AS (SELECT h_id AS k_id, x, y, t FROM h)"
 
 
 def all_residuals(spark, d):
@@ -601,13 +640,29 @@ def all_residuals(spark, d):
     return h.select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
 
 
-@query(RES_KNN + ONE + f" SELECT k_id, round({C_KH} / 2300 * hz, 4) AS zk, round(2300 - {C_KH} * {C_KH} / 2300, 3) AS vk FROM o WHERE rank = 1")
+@query(RES_KNN + NEAR_OTHER + " SELECT k_id, round(c / 2300 * hz, 4) AS zk, round(2300 - c * c / 2300, 3) AS vk FROM o WHERE rank = 1")
 def I5_kriging_one(spark, d):
-    points, data = residual_sides(spark, d)
+    points, data = all_residuals(spark, d)
     k = interpolate.kriging(data, points, MODEL, 1, 3.2, 2.5, 1.3, exclude_same=True).where("zk is not null")
     return k.select("k_id", r("zk", "zk"), r("vk", "vk", 3))
 
 
+@query(RES_KNN + NEAR_OTHER + TWO + SIMPLE.format("zk", "vk"))
+def I5_kriging_two(spark, d):
+    """Simple kriging of every cell from its two nearest others: a linear system each."""
+    points, data = all_residuals(spark, d)
+    k = interpolate.kriging(data, points, MODEL, 2, 3.2, 2.5, 1.3, exclude_same=True).where("zk is not null")
+    return k.select("k_id", r("zk", "zk", 3), r("vk", "vk", 3))
+
+
+@query(RES_KNN + NEAR_OTHER + TWO + ", ok AS (SELECT *, CASE WHEN z2 IS NULL THEN 1 ELSE 0.5 + (c1 - c2) / (2 * (2300 - c12)) END AS a1 FROM wt) SELECT k_id, round(a1 * z1 + (1 - a1) * coalesce(z2, 0), 3) AS zk, round(2300 - 2 * (a1 * c1 + (1 - a1) * coalesce(c2, 0)) + 2300 * (a1 * a1 + (1 - a1) * (1 - a1)) + 2 * a1 * (1 - a1) * coalesce(c12, 0), 3) AS vk FROM ok")
+def I5_kriging_ordinary_two(spark, d):
+    """Ordinary kriging from the two nearest others: weights that sum to one."""
+    points, data = all_residuals(spark, d)
+    k = interpolate.kriging(data, points, MODEL, 2, 3.2, 2.5, 1.3, order=0, exclude_same=True).where("zk is not null")
+    return k.select("k_id", r("zk", "zk", 3), r("vk", "vk", 3))
+
+
 @query()
 def I5_kriging_ordinary(spark, d):
     points, data = all_residuals(spark, d)
@@ -620,15 +675,12 @@ def I6_factorial_kriging(spark, d):
     return interpolate.factorial_kriging(data, points, MODEL, 8, 3.2, 2.5, 1.3)
 
 
-@query(RES_KNN + ONE + f" SELECT k_id, round({C_KH} / 2300 * hz, 4) AS mean, round(2300 - {C_KH} * {C_KH} / 2300, 3) AS variance FROM o WHERE rank = 1")
+@query(RES_KNN + NEAR_OTHER + TWO + SIMPLE.format("mean", "variance"))
 def B4_bme_hard(spark, d):
-    points, data = residual_sides(spark, d)
-    b = bme.predict(points, data, None, MODEL, 1, 0, 3.2, 2.5, 1.3, exclude="hard").where("mean is not null")
-    return b.select("k_id", r("mean", "mean"), r("variance", "variance", 3))
-
-
-def gaussian_soft(spark, d):
-    return all_gaussian_soft(spark, d).where("t between 8 and 12")
+    """Two exact data each."""
+    points, data = all_residuals(spark, d)
+    b = bme.predict(points, data, None, MODEL, 2, 0, 3.2, 2.5, 1.3, exclude="hard").where("mean is not null")
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
 
 
 def all_gaussian_soft(spark, d):
@@ -637,20 +689,55 @@ def all_gaussian_soft(spark, d):
     return s.select("h_id", "x", "y", "t", F.lit(10).alias("pdf_type"), none.alias("limi"), none.alias("probdens"), (F.col("mean") - 75).alias("mean"), "var")
 
 
-@query(SOFT + f", h AS (SELECT {KEY} AS h_id, x, y, t, mean - 75 AS hz, var FROM soft WHERE t BETWEEN 8 AND 12), k AS (SELECT h_id AS k_id, x, y, t FROM h WHERE t = 10)" + ONE.replace("hz, sqrt", "hz, var, sqrt", 1) + f" SELECT k_id, round({C_KH} / (2300 + var) * hz, 4) AS mean, round(2300 - {C_KH} * {C_KH} / (2300 + var), 3) AS variance FROM o WHERE rank = 1")
+@query(SOFT_KNN + NEAR_OTHER + TWO + SIMPLE.format("mean", "variance"))
 def B4_bme_soft(spark, d):
-    s = gaussian_soft(spark, d)
-    points = s.where("t = 10").select(F.col("h_id").alias("k_id"), "x", "y", "t")
-    b = bme.predict(points, None, s, MODEL, 0, 1, 3.2, 2.5, 1.3, exclude="soft").where("mean is not null")
-    return b.select("k_id", r("mean", "mean"), r("variance", "variance", 3))
+    """Two Gaussian soft data each."""
+    s = all_gaussian_soft(spark, d)
+    points = s.select(F.col("h_id").alias("k_id"), "x", "y", "t")
+    b = bme.predict(points, None, s, MODEL, 0, 2, 3.2, 2.5, 1.3, exclude="soft").where("mean is not null")
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
 
 
-@query(SOFT + f" SELECT {KEY} AS k_id, round(2300 / (2300 + var) * (mean - 75), 4) AS mean, round(2300 - 2300 * 2300 / (2300 + var), 3) AS variance FROM soft WHERE t = 10")
+@query(SOFT_KNN + NEAR.format("") + TWO + SIMPLE.format("mean", "variance"))
 def B5_bme_at_soft(spark, d):
-    s = gaussian_soft(spark, d)
-    points = s.where("t = 10").select(F.col("h_id").alias("k_id"), "x", "y", "t")
-    b = bme.predict(points, None, s, MODEL, 0, 1, 3.2, 2.5, 1.3)
-    return b.select("k_id", r("mean", "mean"), r("variance", "variance", 3))
+    """At every soft datum, from itself and the nearest other."""
+    s = all_gaussian_soft(spark, d)
+    points = s.select(F.col("h_id").alias("k_id"), "x", "y", "t")
+    b = bme.predict(points, None, s, MODEL, 0, 2, 3.2, 2.5, 1.3)
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
+
+
+MIXED = (
+    RESID
+    + f", soft AS (SELECT x, y, t, avg(z) AS mean, var_pop(z) AS var FROM obs GROUP BY x, y, t HAVING count(*) >= 2 AND var_pop(z) > 0.01), k AS (SELECT {KEY} AS k_id, x, y, t FROM resid), h AS (SELECT {KEY} AS h_id, x, y, t, r AS hz, 0 AS var FROM resid)"
+    + NEAR_OTHER
+    + f", o1 AS (SELECT * FROM o WHERE rank = 1), sd AS (SELECT {KEY} AS h_id, x, y, t, mean - 75 AS hz, var FROM soft)"
+    + NEAR_OTHER.replace("n AS", "n2 AS").replace("FROM n ", "FROM n2 ").replace(" o AS", " o2 AS").replace("JOIN h ON", "JOIN sd AS h ON").replace(" AND k_id <> h_id", "")
+    + ", pp AS (SELECT k.k_id, a.hz AS z1, a.c AS c1, b.hz AS zs, b.c AS cs, b.var AS vs, "
+    + C_KH.replace("ds", "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)").replace("dt", "abs(a.t - b.t)")
+    + " AS c12 FROM k LEFT JOIN o1 a ON a.k_id = k.k_id LEFT JOIN o2 b ON b.k_id = k.k_id AND b.rank = 1 WHERE a.k_id IS NOT NULL OR b.k_id IS NOT NULL),"
+    " kp AS (SELECT *, zs IS NOT NULL AND (z1 IS NULL OR abs(c12 / 2300 * z1 - zs) <= 3 * (sqrt(greatest(2300 - c12 * c12 / 2300, 0)) + sqrt(vs))) AS on_ FROM pp),"
+    " wt AS (SELECT k_id, CASE WHEN z1 IS NOT NULL THEN z1 ELSE zs END AS z1, CASE WHEN z1 IS NOT NULL THEN c1 ELSE cs END AS c1, CASE WHEN z1 IS NOT NULL THEN 2300 ELSE 2300 + vs END AS k1, CASE WHEN z1 IS NOT NULL AND on_ THEN zs END AS z2, CASE WHEN z1 IS NOT NULL AND on_ THEN cs END AS c2, 2300 + vs AS k2, c12 FROM kp)"
+    " SELECT k_id, round(coalesce((k2 * c1 - c12 * c2) / (k1 * k2 - c12 * c12), c1 / k1) * z1 + coalesce((k1 * c2 - c12 * c1) / (k1 * k2 - c12 * c12) * z2, 0), 3) AS mean,"
+    " round(greatest(2300 - coalesce((k2 * c1 - c12 * c2) / (k1 * k2 - c12 * c12), c1 / k1) * c1 - coalesce((k1 * c2 - c12 * c1) / (k1 * k2 - c12 * c12) * c2, 0), 0), 3) AS variance FROM wt"
+)
+
+
+@query(MIXED)
+def B4_bme_mixed(spark, d):
+    """One exact and one Gaussian soft datum; soft data that the exact one contradicts are left out."""
+    points, data = all_residuals(spark, d)
+    b = bme.predict(points, data, all_gaussian_soft(spark, d), MODEL, 1, 1, 3.2, 2.5, 1.3, exclude="hard").where("mean is not null")
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
+
+
+@query(RES_KNN + NEAR_OTHER + TWO + ", mv AS (SELECT k_id, w1 * z1 + w2 * coalesce(z2, 0) AS m, greatest(2300 - w1 * c1 - w2 * coalesce(c2, 0), 1e-12) AS v FROM wt) SELECT k_id, i.range AS i, round(m + (i.range * 0.6 - 6) * sqrt(v), 3) AS pdf_x, round(exp(-(i.range * 0.6 - 6) * (i.range * 0.6 - 6) / 2) / sqrt(2 * pi() * v), 7) AS pdf_p FROM mv, range(21) i")
+def B7_pdf_hard(spark, d):
+    """Posterior densities of exact data, which are Gaussian."""
+    points, data = all_residuals(spark, d)
+    b = bme.predict(points, data, None, MODEL, 2, 0, 3.2, 2.5, 1.3, exclude="hard", mesh=21).where("mean is not null")
+    b = b.select("k_id", F.posexplode(F.arrays_zip("pdf_x", "pdf_p")).alias("i", "p"))
+    return b.select("k_id", F.col("i").cast("long").alias("i"), r("p.pdf_x", "pdf_x", 3), r("p.pdf_p", "pdf_p", 7))
 
 
 _PHI = "(CASE WHEN z > 0 THEN 1 - q ELSE q END)"
@@ -663,10 +750,10 @@ def _horner_sql(coefficients) -> str:
     return out
 
 
-@query(SITES + f", s AS (SELECT x, y, z - 75 AS m, 100.0 AS v, (z - 75) / 10 AS z FROM sites), a AS (SELECT *, abs(z) AS a FROM s), q AS (SELECT *, exp(-a * a / 2) * {_horner_sql(normal._TOP)} / {_horner_sql(normal._BOTTOM)} AS q FROM a), f AS (SELECT x, y, m, v, z, {_PHI} AS p, exp(-z * z / 2) / sqrt(2 * pi()) AS g FROM q) SELECT x, y, round(greatest(m, 0), 4) AS mean, round(v * (1 - g / p * (g / p + z)), 3) AS variance FROM f WHERE abs(z) < 5")
+@query(SITES + f", s AS (SELECT x, y, z - 75 AS m, 4.0 AS v, (z - 75) / 2 AS z FROM sites), a AS (SELECT *, abs(z) AS a FROM s), q AS (SELECT *, CASE WHEN a > 7.07 THEN exp(-a * a / 2) / sqrt(2 * pi()) / a ELSE exp(-a * a / 2) * {_horner_sql(normal._TOP)} / {_horner_sql(normal._BOTTOM)} END AS q FROM a), f AS (SELECT x, y, m, v, z, {_PHI} AS p, exp(-z * z / 2) / sqrt(2 * pi()) AS g FROM q) SELECT x, y, round(CASE WHEN p < 1e-12 THEN 0 ELSE greatest(m, 0) END, 4) AS mean, round(CASE WHEN p < 1e-12 THEN 0 ELSE v * (1 - g / p * (g / p + z)) END, 3) AS variance FROM f")
 def B6_nonnegative(spark, d):
-    s = site_means(spark, d).select("x", "y", (F.col("z") - 75).alias("m")).where("abs(m) < 50")
-    mean, var = normal.nonnegative(F.col("m"), F.lit(100.0))
+    s = site_means(spark, d).select("x", "y", (F.col("z") - 75).alias("m"))
+    mean, var = normal.nonnegative(F.col("m"), F.lit(4.0))
     return s.select("x", "y", r(mean, "mean"), r(var, "variance", 3))
 
 
@@ -733,11 +820,18 @@ def V7_histogram(spark, d):
 
 @query()
 def V1_loo_bme(spark, d):
-    """Residuals of a fortieth of all cells from their neighbours by the model."""
+    """Residuals of all cells from their neighbours by the model."""
     data = keyed(resid(spark, d)).select("h_id", "x", "y", "t", F.col("residual").alias("z"))
     return validate.loo_bme(data, None, MODEL, nh=8, dmax_s=3.2, dmax_t=2.5, ratio=1.3)
 
 
+@query(RES_KNN + NEAR_OTHER + TWO + " SELECT k_id, round(r - w1 * z1 - w2 * coalesce(z2, 0), 3) AS error FROM wt JOIN (SELECT " + KEY + " AS k_id, r FROM resid) USING (k_id)")
+def V1_loo_bme_two(spark, d):
+    """Errors of all cells estimated from their two nearest others."""
+    data = all_residuals(spark, d)[1]
+    return rounded(validate.loo_bme(data, None, MODEL, nh=2, dmax_s=3.2, dmax_t=2.5, ratio=1.3).where("error is not null").select("k_id", "error"), 3)
+
+
 # Outliers
 
 
@@ -747,12 +841,12 @@ def O1_time_outliers(spark, d):
     return outliers.time_outliers(s, 1.0, 5.0)
 
 
-O2 = CELLS + f", h AS (SELECT {KEY} AS h_id, x, y, t, z FROM cells WHERE t < 10), n AS (SELECT a.h_id AS k_id, a.z, b.h_id, b.z AS bz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM h a JOIN h b ON a.t = b.t AND abs(a.x - b.x) <= 4.3 AND abs(a.y - b.y) <= 4.3), o AS (SELECT * FROM n WHERE d < 4.3), g AS (SELECT k_id, any_value(z) AS z, sum(CASE WHEN d > 0 THEN bz / power(d, 1.5) END) / sum(CASE WHEN d > 0 THEN 1 / power(d, 1.5) END) AS zhat, stddev_pop(bz) AS s, max(d) > 0 AS spread FROM o GROUP BY k_id)"
+O2 = CELLS + f", h AS (SELECT {KEY} AS h_id, x, y, t, z FROM cells), n AS (SELECT a.h_id AS k_id, a.z, b.h_id, b.z AS bz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM h a JOIN h b ON a.t = b.t AND abs(a.x - b.x) <= 4.3 AND abs(a.y - b.y) <= 4.3), o AS (SELECT * FROM n WHERE d < 4.3), g AS (SELECT k_id, any_value(z) AS z, sum(CASE WHEN d > 0 THEN bz / power(d, 1.5) END) / sum(CASE WHEN d > 0 THEN 1 / power(d, 1.5) END) AS zhat, stddev_pop(bz) AS s, max(d) > 0 AS spread FROM o GROUP BY k_id)"
 
 
 @query(O2 + " SELECT k_id AS h_id, round(zhat, 4) AS zhat, coalesce(spread AND abs(z - zhat) > 3 * s, false) AS outlier FROM g")
 def O2_spatial_outliers(spark, d):
-    h = keyed(cells(spark, d).where("t < 10"))
+    h = keyed(cells(spark, d))
     return rounded(outliers.spatial_outliers(h, 4.3, by="t").select("h_id", "zhat", "outlier"))
 
 
