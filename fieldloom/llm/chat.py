@@ -13,8 +13,9 @@ of the budget and the coming turn allow.  Loss spans cover the texts of assistan
 window where they are new; what is repeated is masked.
 
 No window passes the budget: a turn too long for a window beside the system turn is cut into parts
-that fit; a part after the first opens its window, which is marked ``continues``.  Only a role that
-is longer than the budget itself can make a window longer.
+that fit, before white space or, in a word longer than that, at a character; a part after the first
+opens its window, which is marked ``continues``.  Only a role that is longer than the budget itself
+can make a window longer.
 
 Tasks.  A task streams conversations in the order of their turns and keeps no more than the current
 window, the system turn and the history.  A conversation of more than ``section`` turns is cut into
@@ -57,6 +58,8 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()
 _NAMES = ["conv_id", "section", "window", "continues", "n_repeated", "n_turns", "tokens", "text", "loss"]
 
 Turn = tuple[str, str, int]
+#: Ends in bytes of the pieces of an escaped text, and their tokens, which add up; None where they may not.
+Pieces = tuple[np.ndarray, np.ndarray] | None
 Counter = Callable[[list[str]], list[int]]
 
 
@@ -84,6 +87,7 @@ def token_counter(path: str) -> Counter:
     def count(texts: list[str]) -> list[int]:
         return [n for c in tk.column_chunks(pa.array(texts, pa.string())) for n in np.diff(tok.chunk(c)[1]).tolist()]
 
+    count.pieces = lambda texts: [x for c in tk.column_chunks(pa.array(texts, pa.string())) for x in tok.piece_sizes(c)]
     return count
 
 
@@ -127,10 +131,10 @@ class Windows:
     def _kept(self) -> list[Turn]:
         return [self.system] if self.system and self.system[2] <= self.budget // 2 else []
 
-    def add(self, role: str, text: str, size: int) -> list[tuple]:
-        """The windows that this turn closes."""
+    def add(self, role: str, text: str, size: int, pieces: Pieces = None) -> list[tuple]:
+        """The windows that this turn closes; ``pieces`` are those of a long text, if they are known."""
         room, out = self.budget - sum(t[2] for t in self._kept()), []
-        parts = [(role, text, size)] if size <= room else self._parts(role, text, room)
+        parts = [(role, text, size)] if size <= room else self._parts(role, text, room, pieces)
         for k, turn in enumerate(parts):
             if k or (self.new and self.sum + turn[2] - self.start > self.budget):
                 out.append(self.close())
@@ -146,9 +150,22 @@ class Windows:
                 self.past.append(turn)
         return out
 
-    def _parts(self, role: str, text: str, room: int) -> list[Turn]:
-        """The turn in parts of at most ``room`` tokens, at code points."""
+    def _parts(self, role: str, text: str, room: int, pieces: Pieces) -> list[Turn]:
+        """The turn in parts of at most ``room`` tokens."""
         head = OVERHEAD + self.count([_role_line(role)])[0]
+        if pieces is None or head + pieces[1].max() > room:
+            return self._parts_of_characters(role, text, room, head)
+        raw, (ends, n) = escape(text).encode(), pieces
+        total, out, at = np.cumsum(n), [], 0
+        while at < len(n):
+            before = total[at] - n[at]
+            to = int(np.searchsorted(total, before + room - head, "right"))
+            own = raw[ends[at - 1] if at else 0 : ends[to - 1]]
+            out.append((role, unescape(own.decode()), head + int(total[to - 1] - before)))
+            at = to
+        return out
+
+    def _parts_of_characters(self, role: str, text: str, room: int, head: int) -> list[Turn]:
         size = lambda k, n: head + self.count([escape(text[k : k + n])])[0]
         out, at = [], 0
         while at < len(text) or not out:
@@ -202,14 +219,17 @@ def _format(budget: int, history: int, tokenizer: str):
         for b in batches:
             turns = [(r or "", t or "") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
             keys = zip(*(b.column(k).to_pylist() for k in ("conv_id", "section", "kind")), strict=True)
-            for (conv, section, kind), (role, text), size in zip(keys, turns, turn_sizes(turns, count), strict=True):
+            sizes = turn_sizes(turns, count)
+            long = [i for i, n in enumerate(sizes) if n > budget // 2]  # others fit beside any system turn
+            pieces = dict(zip(long, count.pieces([escape(turns[i][1]) for i in long]), strict=True))
+            for i, ((conv, section, kind), (role, text), size) in enumerate(zip(keys, turns, sizes, strict=True)):
                 if last != (conv, section):
                     if last is not None and w.new:
                         rows.append(w.close())
                     w.begin(conv, section)
                     last = (conv, section)
                 if kind == OWN:
-                    rows += w.add(role, text, size)
+                    rows += w.add(role, text, size, pieces.get(i))
                 else:
                     w.carry(kind, (role, text, size))
                 held += len(text)

@@ -137,7 +137,20 @@ class CachedTokenizer:
             self._clear()
             return self._chunk(c)
 
-    def _chunk(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    def piece_sizes(self, c: tk.Chunk) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Per document (ends of its pieces in bytes, their tokens); None where it is encoded whole."""
+        try:
+            begin, end, doc, odd, number = self._looked_up(c)
+        except MemoryError:
+            self._clear()
+            begin, end, doc, odd, number = self._looked_up(c)
+        n = self.off[number + 1] - self.off[number]
+        cut = np.searchsorted(doc, np.arange(c.n + 1))
+        own = set(odd)
+        return [None if d in own else (end[cut[d] : cut[d + 1]] - c.offsets[d], n[cut[d] : cut[d + 1]]) for d in range(c.n)]
+
+    def _looked_up(self, c: tk.Chunk) -> tuple:
+        """(begin, end, document, of the pieces; documents encoded whole; numbers of the pieces)."""
         c.words()
         # pieces: white space and the word after it; what follows a document's last word is one more
         begin, end = np.r_[0, c.ends[:-1]] if len(c.ends) else c.ends, c.ends
@@ -161,9 +174,12 @@ class CachedTokenizer:
             at = first[new]
             self._learn(u[new], c.data, begin[at], end[at])
             number[new] = [known[k] for k in u[new].tolist()]
-        start, count = self.off[number], self.off[number + 1] - self.off[number]
-        n_ids = count[inverse]
-        ids = self.ids[tk.ragged(start[inverse], n_ids)]
+        return begin, end, doc, odd, number[inverse]
+
+    def _chunk(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        begin, end, doc, odd, number = self._looked_up(c)
+        n_ids = self.off[number + 1] - self.off[number]
+        ids = self.ids[tk.ragged(self.off[number], n_ids)]
         size = np.bincount(doc, n_ids, c.n).astype(np.int64)
         if not odd:
             return ids, np.r_[0, np.cumsum(size)]
