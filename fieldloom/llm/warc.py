@@ -40,7 +40,7 @@ from fieldloom.llm.shared import Scratch, fresh_path
 
 READ_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-ROWS_PER_BATCH = 2000
+ROWS_PER_BATCH, ROWS_AT_ONCE = 2000, 128
 _INDEX = "page_id long, path string, offset long, length long, url string, digest string"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -109,7 +109,7 @@ def _writer(base: str):
         fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         offset, index, out = 0, [], None
-        for b in batches:
+        for b in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
             for page, url, payload, size, sha, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "sha", "refers_to")), strict=True):
                 digest = base64.b32encode(sha).decode()
                 raw = encode_record(page, url or "", (payload or b"") if refers is None else b"", size, digest, refers)
