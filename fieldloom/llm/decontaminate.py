@@ -11,17 +11,22 @@ each next list holds the position that the offset asks for (exact phrase), or on
 ``slop`` words from it (proximity match).  Positions leave a gap between documents wider than
 any window with its slop, so that no match spans two.
 
-The windows go to every shard in blocks of at most ``WINDOW_BLOCK``, so that what is sent to
-the executors has a fixed bound however large the benchmark grows.
-
-Edge cases: null and empty texts and texts without words have no hit; an item without words
-has no window; repeated items count each by its own id; an empty table gives no hits.
+The windows go to every shard in blocks of at most ``WINDOW_BLOCK``, one after the other: what
+a block finds is written and the block is released before the next is sent, so that what the driver
+and the executors hold has a fixed bound however large the benchmark grows.
+
+Edge cases: null and empty texts and texts without words have no hit; texts of any length are
+indexed whole, a longer one than a run as a shard of its own; an item without words or id has no
+window; repeated items count each by its own id, equal windows of several items count for each;
+repeated rows and rows of one doc_id are judged each by its own text; columns named n_words, n_hit,
+hit_spans and hit_items are replaced, all others stay; an empty table of either kind gives no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,22 +176,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop:
     scratch = scratch or Scratch(spark, "decontaminate")
     longest = n + slop + 1
     index = build_index(docs, scratch, longest)
-    items = scratch.table(benchmark.select("item", "text").where("text is not null").mapInArrow(_windows(n), "item string, window long, terms binary"), "windows")
+    items = scratch.table(benchmark.select("item", "text").where("text is not null and item is not null").mapInArrow(_windows(n), "item string, window long, terms binary"), "windows")
     distinct = items.groupBy("window").agg(F.first("terms").alias("terms"))
     blocks = -(-items.count() // WINDOW_BLOCK)
-    found = None
+    found = []
     for i in range(blocks):
         part = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i)
         by_length: dict[int, list] = {}
         for r in part.toLocalIterator():
             by_length.setdefault(len(r.terms) // 8, []).append(r)
         windows = [(np.array([r.window for r in rows]), np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.uint64).reshape(-1, k)) for k, rows in by_length.items()]
-        hits = index.mapInArrow(_search(spark.sparkContext.broadcast(windows), longest, slop), "row long, spans binary, windows binary")
-        found = hits if found is None else found.union(hits)
+        sent = spark.sparkContext.broadcast(windows)
+        hits = index.mapInArrow(_search(sent, longest, slop), "row long, spans binary, windows binary")
+        found.append(scratch.table(hits, f"found-{i}"))
+        sent.destroy()
     words = index.select("rows", "n_words").mapInArrow(_counts, "row long, n_words long")
-    if found is None:
+    if not found:
         return words.dropDuplicates(["row"]).selectExpr("row", "n_words", "0L n_hit", "array() :: array<bigint> spans", "array() :: array<string> items")
-    hit = scratch.table(found.groupBy("row").agg(F.collect_set("spans").alias("spans"), F.collect_set("windows").alias("windows")).mapInArrow(_union, "row long, n_hit long, spans array<long>, windows array<long>"), "hits")
+    hit = scratch.table(reduce(DataFrame.union, found).groupBy("row").agg(F.collect_set("spans").alias("spans"), F.collect_set("windows").alias("windows")).mapInArrow(_union, "row long, n_hit long, spans array<long>, windows array<long>"), "hits")
     named = hit.select("row", F.explode("windows").alias("window")).join(items.select("item", "window"), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = hit.select("row", "n_hit", "spans").join(named, "row", "left")
     return words.dropDuplicates(["row"]).join(both, "row", "left").selectExpr("row", "n_words", "coalesce(n_hit, 0L) n_hit", "coalesce(spans, array()) spans", "coalesce(items, array()) items")
