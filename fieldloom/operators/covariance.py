@@ -1,15 +1,17 @@
 """Empirical space-time covariance by lag.
 
-Pairs of sites and pairs of times are found first, by bucketed self-joins of the distinct ones,
-and get their lags there; occupied cells then meet by equality, so the work per pair of cells is
-one multiplication, and sums leave a task as one partial aggregate per lag.  A pair of sites
-counts in the order of their coordinates, each site with itself too.
+Pairs of sites are found first, by a bucketed self-join of the distinct ones, and get their lags
+there.  Each side brings its whole series in one row, so what is exchanged grows with the pairs of
+sites and not with those of cells; a task matches the series' times in arrays and passes on sums by
+lag.  A pair of sites counts in the order of their coordinates, each site with itself too.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,85 @@ def products(cells: DataFrame, value: str, sp: DataFrame, tp: DataFrame) -> Data
     return left.join(sp, ["a_x", "a_y"]).join(tp, "a_t").join(right, ["b_x", "b_y", "b_t"])
 
 
+PAIRS_AT_ONCE = 2048
+
+
+def _fits(d: np.ndarray, lag: float, tol: float, kind: str) -> np.ndarray:
+    if kind == "half":
+        return (d >= lag - tol) & (d < lag + tol)
+    return (d >= lag - tol) & (d <= lag + tol)
+
+
+def _slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of an array column."""
+    off = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), off - off[0]
+
+
+def _lag_sums(keys: list[str], bins: Bins, kind: str, both: bool):
+    """Sums by keys and time lag over pairs of series (a_t, a_v, b_t, b_v, same).
+
+    Left values count with right ones of the same time or later, with ``both`` earlier ones too, but
+    not where the two sites are the same.
+    """
+    reach = _reach(bins)
+
+    def part(group, same, at, av, bt, bv, out):
+        """at and bt: (times, offsets); sums of some pairs."""
+        n = len(group)
+        pair_a, pair_b = (np.repeat(np.arange(n), np.diff(off)) for _, off in (at, bt))
+        times, place = np.unique(bt[0], return_inverse=True)
+        step = len(times) + 1
+        where = pair_b * step + place
+        back = np.where(same[pair_a] | (not both), 0.0, reach)
+        first = np.searchsorted(where, pair_a * step + np.searchsorted(times, at[0] - back, "left"))
+        last = np.searchsorted(where, pair_a * step + np.searchsorted(times, at[0] + reach, "right"))
+        count = last - first
+        i = np.repeat(np.arange(len(count)), count)
+        j = np.arange(len(i)) + np.repeat(first - (np.cumsum(count) - count), count)
+        dt, l, r, g = np.abs(bt[0][j] - at[0][i]), av[i], bv[j], group[pair_a[i]]
+        for k, (lag, tol) in enumerate(bins):
+            on = _fits(dt, lag, tol, kind)
+            for m, w in enumerate((None, l[on], r[on], l[on] * r[on])):
+                out[m, :, k] += np.bincount(g[on], w, out.shape[1])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, group = np.unique(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in keys], 1), axis=0, return_inverse=True)
+            same = b.column("same").to_numpy(zero_copy_only=False).astype(bool)
+            (ta, oa), (tb, ob) = _slices(b.column("a_t")), _slices(b.column("b_t"))
+            va, vb = _slices(b.column("a_v"))[0], _slices(b.column("b_v"))[0]
+            out = np.zeros((4, len(rows), len(bins)))
+            for lo in range(0, b.num_rows, PAIRS_AT_ONCE):
+                hi = min(lo + PAIRS_AT_ONCE, b.num_rows)
+                x, y = slice(oa[lo], oa[hi]), slice(ob[lo], ob[hi])
+                part(group.ravel()[lo:hi], same[lo:hi], (ta[x], oa[lo : hi + 1] - oa[lo]), va[x], (tb[y], ob[lo : hi + 1] - ob[lo]), vb[y], out)
+            g, k = np.nonzero(out[0])
+            cells = [*rows[g].T, np.array([bins[i][0] for i in k.tolist()], float), out[0, g, k].astype(np.int64), *(out[m, g, k] for m in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], [*keys, "lag_t", "n", "sl", "sr", "slr"])
+
+    return run
+
+
+def lag_sums(cells: DataFrame, value: str, sp: DataFrame, lags_t: Bins, kind: str, keys: list[str], both: bool = False) -> DataFrame:
+    """(keys, lag_t, n, sl, sr, slr): numbers of pairs of cells, sums of the left and right values and
+    of their products, over the pairs of sites ``sp`` (a_x, a_y, b_x, b_y, ds, keys)."""
+    series = cells.where(F.col(value).isNotNull()).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("_p"))
+    sides = [series.select(F.col("x").alias(f"{k}_x"), F.col("y").alias(f"{k}_y"), F.col("_p.t").alias(f"{k}_t"), F.col("_p.v").alias(f"{k}_v")) for k in "ab"]
+    both_sides = sp.join(sides[0], ["a_x", "a_y"]).join(sides[1], ["b_x", "b_y"])
+    rows = both_sides.select(*keys, (F.col("ds") == 0).alias("same"), "a_t", "a_v", "b_t", "b_v")
+    names = ", ".join(f"{k} double" for k in keys)
+    sums = rows.mapInArrow(_lag_sums(keys, lags_t, kind, both), f"{names}, lag_t double, n long, sl double, sr double, slr double")
+    return sums.groupBy(*keys, "lag_t").agg(*(F.sum(c).alias(c) for c in ("n", "sl", "sr", "slr")))
+
+
+def _from_sums(sums: DataFrame, *keys: str) -> DataFrame:
+    m1, m2 = F.col("sl") / F.col("n"), F.col("sr") / F.col("n")
+    return sums.select(*keys, "n", m1.alias("m1"), m2.alias("m2"), (F.col("slr") / F.col("n") - m1 * m2).alias("cov"))
+
+
 def _covariance(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("l").alias("m1"), F.avg("r").alias("m2"), F.covar_pop("l", "r").alias("cov"))
 
@@ -94,18 +175,15 @@ def empirical_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: st
     if azimuth is not None:
         sp = sp.where((F.abs(_azimuth_off(F.lit(azimuth[0]))) <= azimuth[1] + 1e-9) | (F.col("ds") == 0))
     sp = with_lag(sp, F.col("ds"), lags_s, bins, "lag_s")
-    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, bins, "lag_t")
-    return _covariance(products(cells, value, sp, tp), "lag_s", "lag_t")
+    return _from_sums(lag_sums(cells, value, sp, lags_t, bins, ["lag_s"]), "lag_s", "lag_t")
 
 
 def symmetric_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: str = "residual") -> DataFrame:
     """Closed bins and both orientations, about the square of the pooled mean."""
-    sp = with_lag(site_pairs(cells, _reach(lags_s)), F.col("ds"), lags_s, "closed", "lag_s").withColumn("self", F.col("ds") == 0)
-    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, "closed", "lag_t").select("a_t", "b_t", "lag_t", F.lit(False).alias("turned"))
-    back = tp.where("a_t < b_t").select(F.col("b_t").alias("a_t"), F.col("a_t").alias("b_t"), "lag_t", F.lit(True).alias("turned"))
-    binned = products(cells, value, sp, tp.union(back)).where("not (self and turned)")
-    m = (F.sum("l") + F.sum("r")) / (2 * F.count("*"))
-    return binned.groupBy("lag_s", "lag_t").agg((2 * F.count("*")).alias("n"), m.alias("m"), (F.avg(F.col("l") * F.col("r")) - m * m).alias("cov"))
+    sp = with_lag(site_pairs(cells, _reach(lags_s)), F.col("ds"), lags_s, "closed", "lag_s")
+    sums = lag_sums(cells, value, sp, lags_t, "closed", ["lag_s"], both=True)
+    m = (F.col("sl") + F.col("sr")) / (2 * F.col("n"))
+    return sums.select("lag_s", "lag_t", (2 * F.col("n")).alias("n"), m.alias("m"), (F.col("slr") / F.col("n") - m * m).alias("cov"))
 
 
 def block_covariance(pairs: DataFrame, bins: dict[str, Bins]) -> DataFrame:
@@ -122,8 +200,7 @@ def directional_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, step: f
     turns = [k * step for k in range(math.ceil(180 / step))]
     fits = F.array_compact(F.array(*(F.when((F.abs(_azimuth_off(F.lit(a))) <= tol + 1e-9) | (F.col("ds") == 0), F.lit(a)) for a in turns)))
     sp = with_lag(sp.withColumn("azimuth_deg", F.explode(fits)), F.col("ds"), lags_s, "closed", "lag_s")
-    tp = with_lag(time_pairs(cells, _reach(lags_t)), F.col("dt"), lags_t, "closed", "lag_t")
-    return _covariance(products(cells, value, sp, tp), "azimuth_deg", "lag_s", "lag_t")
+    return _from_sums(lag_sums(cells, value, sp, lags_t, "closed", ["azimuth_deg", "lag_s"]), "azimuth_deg", "lag_s", "lag_t")
 
 
 def covariance_map(cells: DataFrame, radius: float, value: str = "residual") -> DataFrame:

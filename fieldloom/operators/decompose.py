@@ -14,29 +14,43 @@ from pyspark.sql import functions as F
 CELL = ["x", "y", "t"]
 
 
+def complete(vectors: DataFrame, column: str = "v") -> DataFrame:
+    """The rows whose array has no missing component; null, empty, and NaN ones are left out."""
+    v = F.col(column).cast("array<double>")
+    return vectors.withColumn(column, v).where(F.col(column).isNotNull() & (F.size(column) > 0) & ~F.exists(column, lambda c: c.isNull() | F.isnan(c)))
+
+
+def _dense(column: pa.Array) -> np.ndarray:
+    """Rows of an array column of one length as a matrix, from its buffer; other lengths are an error."""
+    n = np.diff(column.offsets.to_numpy())
+    if len(n) and (n != n[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def gram(vectors: DataFrame, column: str = "v") -> DataFrame:
     """(i, j, g) for i <= j: sums of products of the components (from 0) of an array column.
 
     Every batch of rows becomes one outer product, so what is shuffled is a few matrices a task.
+    Incomplete rows do not count.
     """
 
     def run(batches):
         total = None
         for b in batches:
-            x = [np.array(r, float) for r in b.column(0).to_pylist() if r is not None]
-            if x:
-                m = np.stack(x)
+            if b.num_rows:
+                m = _dense(b.column(0))
                 total = m.T @ m if total is None else total + m.T @ m
         if total is not None:
             i, j = np.triu_indices(len(total))
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
 
-    return vectors.select(column).mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    return complete(vectors, column).select(column).mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def column_sums(vectors: DataFrame, column: str = "v") -> DataFrame:
     """(i, s, n) of the components."""
-    return vectors.select(F.posexplode(column).alias("i", "c")).groupBy("i").agg(F.sum("c").alias("s"), F.count("*").alias("n"))
+    return complete(vectors, column).select(F.posexplode(column).alias("i", "c")).groupBy("i").agg(F.sum("c").alias("s"), F.count("*").alias("n"))
 
 
 def covariance(vectors: DataFrame, column: str = "v") -> DataFrame:
@@ -63,7 +77,7 @@ def fix_signs(v: np.ndarray) -> np.ndarray:
 
 def eof_vectors(vectors: DataFrame, column: str = "v", n: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(L, singular values, EOFs as columns) of the rows, not centred; L is divided by rows - 1."""
-    m = vectors.count()
+    m = complete(vectors, column).count()
     value, axes = np.linalg.eigh(_matrix(gram(vectors, column), "g"))
     order = np.argsort(-value, kind="stable")[: n or len(value)]
     s = np.sqrt(np.maximum(value[order], 0))
@@ -76,10 +90,10 @@ def project(vectors: DataFrame, eofs: np.ndarray, id_col: str, column: str = "v"
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x @ own.value), pa.list_(pa.float64()))] if b.num_rows else [b.column(0), pa.array([], pa.list_(pa.float64()))], [id_col, "ecs"])
+            ecs = list(_dense(b.column(1)) @ own.value) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ecs, pa.list_(pa.float64()))], [id_col, "ecs"])
 
-    return vectors.select(F.col(id_col).cast("long").alias(id_col), column).mapInArrow(run, f"{id_col} long, ecs array<double>")
+    return complete(vectors, column).select(F.col(id_col).cast("long").alias(id_col), column).mapInArrow(run, f"{id_col} long, ecs array<double>")
 
 
 def grid_rows(cells: DataFrame) -> tuple[DataFrame, list[float]]:
@@ -112,18 +126,35 @@ def extended_eof(series: DataFrame, window: int, n: int) -> tuple[np.ndarray, np
     return rotated_eof(lag_embedding(series, window), n)
 
 
-def varimax(loadings: np.ndarray, gamma: float = 1.0, rounds: int = 100, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """(rotated loadings, rotation) of largest variance of squared loadings."""
-    p, k = loadings.shape
-    turn, last = np.eye(k), 0.0
-    for _ in range(rounds):
-        a = loadings @ turn
-        u, s, vt = np.linalg.svd(loadings.T @ (a**3 - gamma / p * a * (a**2).sum(0)))
-        turn = u @ vt
-        if last and s.sum() / last < 1 + tol:
+def varimax_criterion(loadings: np.ndarray) -> float:
+    """Sum over the columns of the variance of their squared loadings."""
+    return float((loadings**2).var(0).sum())
+
+
+def varimax(loadings: np.ndarray, sweeps: int = 200, gain: float = 1e-13) -> tuple[np.ndarray, np.ndarray]:
+    """(rotated loadings, rotation) of the largest criterion, by planar rotations.
+
+    A sweep turns every pair of columns by the angle that is best for the two; sweeps end when one
+    raises the criterion by no more than ``gain`` of it.
+    """
+    turned, turn = loadings.astype(float).copy(), np.eye(loadings.shape[1])
+    best, rows = varimax_criterion(turned), len(loadings)
+    for _ in range(sweeps):
+        for i in range(turned.shape[1]):
+            for j in range(i + 1, turned.shape[1]):
+                x, y = turned[:, i], turned[:, j]
+                u, v = x * x - y * y, 2 * x * y
+                rise = 2 * (rows * (u @ v) - u.sum() * v.sum())
+                run = rows * (u @ u - v @ v) - u.sum() ** 2 + v.sum() ** 2
+                angle = np.arctan2(rise, run) / 4
+                plane = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+                turned[:, [i, j]] = turned[:, [i, j]] @ plane
+                turn[:, [i, j]] = turn[:, [i, j]] @ plane
+        now = varimax_criterion(turned)
+        if now - best <= gain * now:
             break
-        last = s.sum()
-    return loadings @ turn, turn
+        best = now
+    return turned, turn
 
 
 def rotated_eof(vectors: DataFrame, n: int, column: str = "v") -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +173,7 @@ def pca(vectors: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray]:
 def ica(vectors: DataFrame, n: int, column: str = "v", rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(mixing matrix, unmixing matrix) of n independent parts: whitening and fixed-point iterations
     (tanh) over all rows; an iteration's sums are one pass in Spark."""
-    vectors = vectors.select(column).where(F.col(column).isNotNull()).persist()
+    vectors = complete(vectors.select(column), column).persist()
     try:
         value, axes = pca(vectors, column)
         white = axes[:, :n] / np.sqrt(value[:n])
@@ -171,7 +202,7 @@ def _tanh_means(vectors: DataFrame, column: str, white: np.ndarray, shift: np.nd
         for b in batches:
             x = b.column(0)
             if len(x):
-                z = np.array(x.to_pylist(), float) @ white - shift
+                z = _dense(x) @ white - shift
                 y = np.tanh(z @ w.T)
                 total += np.r_[(y.T @ z).ravel(), (1 - y**2).sum(0)]
                 rows += len(x)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SITE, CELL = ["x", "y"], ["x", "y", "t"]
+SLICES = 128
 
 
 def clean_values(obs: DataFrame, *cols: str) -> DataFrame:
@@ -16,13 +17,17 @@ def clean_values(obs: DataFrame, *cols: str) -> DataFrame:
 def _numbered(keys: DataFrame, major: str, minor: str | None, name: str) -> DataFrame:
     """Dense 1-based number in the order (major, minor).
 
-    The only global window runs over the distinct values of ``major``, already counted.
+    Keys are parted into ``SLICES`` by approximate quantiles of ``major`` and numbered within their
+    part; the only global window runs over the counts of the parts.
     """
-    counts = keys.groupBy(major).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(major).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(major, F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(major).orderBy(minor or major))
-    return keys.withColumn("_own", own).join(counts, major).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own")
+    ends = keys.agg(F.percentile_approx(major, F.array(*(F.lit(k / SLICES) for k in range(1, SLICES))), 10 * SLICES).alias("_ends"))
+    parted = keys.crossJoin(F.broadcast(ends))  # one row
+    parted = parted.withColumn("_part", F.size(F.filter("_ends", lambda e: e < F.col(major)))).drop("_ends")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*([major, minor] if minor else [major])))
+    numbered = parted.withColumn("_own", own).join(F.broadcast(counts), "_part")  # at most SLICES rows
+    return numbered.withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own", "_part")
 
 
 def sites(obs: DataFrame) -> DataFrame:

@@ -321,11 +321,11 @@ def P8_density_histogram(spark, d):
     return s.select("x", "y", "t", r(softdata.density_at(F.array(low, mean, up), F.array(0.4 / (mean - low), 0.6 / (up - mean)), F.col("v"), kind=1), "density", 5))
 
 
-@query(SOFT + ", m AS (SELECT x, y, t, 0.4 * (low + mean) / 2 + 0.6 * (mean + up) / 2 AS m1, 0.4 * (low * low + low * mean + mean * mean) / 3 + 0.6 * (mean * mean + mean * up + up * up) / 3 AS m2 FROM soft) SELECT x, y, t, round(m1, 5) AS mean, round(m2 - m1 * m1, 2) AS variance FROM m")
+@query(SOFT + ", m AS (SELECT x, y, t, 0.41373129 * (low + mean) / 2 + 0.58626871 * (mean + up) / 2 AS m1, 0.41373129 * (low * low + low * mean + mean * mean) / 3 + 0.58626871 * (mean * mean + mean * up + up * up) / 3 AS m2 FROM soft) SELECT x, y, t, round(m1, 5) AS mean, round(m2 - m1 * m1, 2) AS variance FROM m")
 def P4_moments_histogram(spark, d):
     """Moments of type 1 densities."""
     low, up, mid = F.col("low"), F.col("up"), F.col("mid")  # a result's name would hide a column of that name
-    limi, p = F.array(low, mid, up), F.array(0.4 / (mid - low), 0.6 / (up - mid))
+    limi, p = F.array(low, mid, up), F.array(0.41373129 / (mid - low), 0.58626871 / (up - mid))
     return soft(spark, d).withColumnRenamed("mean", "mid").select("x", "y", "t", r(softdata.mean(limi, p, 1), "mean", 5), r(softdata.variance(limi, p, 1), "variance", 2))
 
 

@@ -33,10 +33,8 @@ def loo_bme(hard: DataFrame, soft: DataFrame | None, model, nh: int = 10, ns: in
 
 def loo_stmean(cells: DataFrame) -> DataFrame:
     """The separable trend at every cell from all cells but itself, in closed form from sums and counts."""
-    from pyspark.sql import Window
-
-    site, time, every = Window.partitionBy("x", "y"), Window.partitionBy("t"), cells.agg(F.sum("z").alias("_s"), F.count("z").alias("_n"))
-    own = cells.withColumns({"_ss": F.sum("z").over(site), "_sn": F.count("z").over(site), "_ts": F.sum("z").over(time), "_tn": F.count("z").over(time)}).crossJoin(F.broadcast(every))
+    sums = lambda *by, s, n: cells.groupBy(*by).agg(F.sum("z").alias(s), F.count("z").alias(n))
+    own = cells.join(sums("x", "y", s="_ss", n="_sn"), ["x", "y"]).join(sums("t", s="_ts", n="_tn"), "t").crossJoin(F.broadcast(sums(s="_s", n="_n")))
     mean = lambda s, n: F.try_divide(F.col(s) - F.col("z"), F.col(n) - 1)
     return own.withColumn("tr", mean("_ss", "_sn") + mean("_ts", "_tn") - mean("_s", "_n")).select(*CELL, "z", "tr")
 
@@ -53,11 +51,67 @@ def loo_kernel(cells: DataFrame, bs: float, bt: float, reach: float = 3.5) -> Da
     return near.groupBy(*(F.col(f"a_{c}").alias(c) for c in CELL)).agg(F.first("a_z").alias("z"), (F.sum(F.col("w") * F.col("b_z")) / F.sum("w")).alias("tr"))
 
 
-def error_statistics(errors: DataFrame, *by: str) -> DataFrame:
-    """rmse, mean, std (population), p25, median, p75, min, max of ``error``, over all or by columns; nulls do not count."""
+def _from_rank(values: DataFrame, rank: int, n: int, most: int) -> list[float]:
+    """The values of ranks ``rank`` and ``rank`` + 1 (from 0) of a column v of n values.
+
+    The range that holds them is narrowed by approximate quantiles until at most ``most`` values
+    are in it, which the driver sorts.
+    """
+    part, below, count = values, 0, n
+    while count > most:
+        share, near = (rank - below) / (count - 1), 1e-3
+        ends = F.array(F.lit(max(share - near, 0.0)), F.lit(min(share + near + 1 / count, 1.0)))
+        low, high = part.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+        under, inside = part.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not below + under <= rank < below + under + inside - 1 and not (low == high and below + under <= rank < below + under + inside):
+            low, high, under, inside = *part.agg(F.min("v"), F.max("v")).first(), 0, count  # the sketch was off
+        if low == high and rank + 1 < below + under + inside:
+            return [low, low]
+        if inside == count or low == high:  # no narrower: the values of two ranks by counting those in reach
+            first = part.where(F.col("v") >= low).agg(F.min("v")).first()[0]
+            while below + (up := part.where(F.col("v") <= first).count()) <= rank:
+                first = part.where(F.col("v") > first).agg(F.min("v")).first()[0]
+            return [first, first if below + up > rank + 1 else part.where(F.col("v") > first).agg(F.min("v")).first()[0]]
+        part, below, count = part.where(F.col("v").between(low, high)), below + under, inside
+    own = sorted(r.v for r in part.collect())
+    return own[rank - below : rank - below + 2]
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: tuple[float, ...], most: int = 100_000) -> list[float | None]:
+    """Quantiles, linear between ranks, without gathering the column in one place."""
+    values = rows.select(F.col(column).alias("v")).where("v is not null").persist()
+    try:
+        n, out = values.count(), []
+        for share in shares:
+            if not n:
+                out.append(None)
+                continue
+            rank = min(int(share * (n - 1)), max(n - 2, 0))
+            pair = _from_rank(values, rank, n, most)
+            out.append(pair[0] + (share * (n - 1) - rank) * (pair[-1] - pair[0]))
+        return out
+    finally:
+        values.unpersist()
+
+
+def error_statistics(errors: DataFrame, *by: str, most: int = 100_000) -> DataFrame:
+    """rmse, mean, std (population), p25, median, p75, min, max of ``error``, over all or by columns; nulls do not count.
+
+    By columns a group's errors meet in one task; over all, quantiles are found by ranges of values,
+    of which at most ``most`` are looked at together.
+    """
     e = F.col("error")
-    stats = [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.percentile(e, 0.25).alias("p25"), F.percentile(e, 0.5).alias("median"), F.percentile(e, 0.75).alias("p75"), F.min(e).alias("min"), F.max(e).alias("max")]
-    return errors.groupBy(*by).agg(*stats) if by else errors.agg(*stats)
+    names = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    if by:
+        quantiles = {k: F.percentile(e, q) for k, q in names.items()}
+    else:
+        errors = errors.select("error")
+        quantiles = {k: F.lit(v).cast("double") for k, v in zip(names, exact_quantiles(errors, "error", tuple(names.values()), most), strict=True)}
+    stats = [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max")]
+    order = ["rmse", "mean", "std", "p25", "median", "p75", "min", "max"]
+    if by:
+        return errors.groupBy(*by).agg(*stats, *(q.alias(k) for k, q in quantiles.items())).select(*by, *order)
+    return errors.agg(*stats).withColumns(quantiles).select(*order)
 
 
 def histogram(cells: DataFrame, bins: int = 10, value: str = "z") -> DataFrame:
