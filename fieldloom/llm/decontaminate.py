@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is sharded by document: one shard is a run of whole training documents, and holds
-for every term of the run the sorted positions at which it stands.  Shards are written to the
-shared folder once and can serve any number of test sets.
+for every term of the run the sorted positions at which it stands.  Tasks write shards to files in
+the shared folder, named by attempt; the index table, whose committed rows alone are read, names
+them by place, and can serve any number of test sets.
 
 A query is a window of consecutive test words.  In each shard the window's terms are taken
 from the rarest on: a term without postings ends the window at once, and otherwise the rarest
@@ -25,6 +26,7 @@ hit_spans and hit_items are replaced, all others stay; an empty table of either
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,16 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkit as tk
-from fieldloom.llm.shared import Scratch
+from fieldloom.llm.ngram_lm import filesystem
+from fieldloom.llm.shared import Scratch, fresh_path
 
 WINDOW_BLOCK = 1 << 18
-_SHARD = "rows binary, n_words binary, terms binary, ends binary, positions binary"
+#: Bytes of shards that a task searches.
+TASK_BYTES = 32 << 20
+_SHARD = "path string, offset long, length long"
 
 
-def _shards(gap: int):
-    """One row per run of documents: row keys, word counts, terms, list ends, positions."""
+def _shards(gap: int, base: str):
+    """Writes one shard for each run of documents: row keys, word counts, terms, list ends, positions."""
 
     def run(batches):
+        fs, root = filesystem(base)
+        fs.create_dir(root, recursive=True)
+        name, offset, out = f"shards-{uuid.uuid4().hex}", 0, None
         for b, c in tk.batch_chunks(batches):
             c.words(tk.ALNUM_WORD)
             h = c.word_hashes(True)
@@ -52,15 +60,48 @@ def _shards(gap: int):
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order].astype(np.uint32)
             last = np.flatnonzero(np.r_[h[1:] != h[:-1], True]) if len(h) else np.empty(0, np.int64)
-            cells = (b.column("row").to_numpy(), np.diff(c.word_off), h[last], last + 1, at)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], ["rows", "n_words", "terms", "ends", "positions"])
+            head = np.array([c.n, len(last), len(at)], np.int64)
+            cells = (head, b.column("row").to_numpy(), np.diff(c.word_off), h[last], (last + 1).astype(np.uint32), at)
+            raw = b"".join(x.tobytes() for x in cells)
+            out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
+            out.write(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{base}/{name}"]), pa.array([offset]), pa.array([len(raw)])], ["path", "offset", "length"])
+            offset += len(raw)
+        if out is not None:
+            out.close()
 
     return run
 
 
+def _read_shards(b: pa.RecordBatch, whole: bool) -> Iterator[dict[str, np.ndarray]]:
+    """The arrays of shards; without ``whole`` those of the documents alone."""
+    last, f = None, None
+    for path, offset, length in zip(*(b.column(k).to_pylist() for k in ("path", "offset", "length")), strict=True):
+        if path != last:
+            fs, own = filesystem(path)
+            last, f = path, fs.open_input_file(own)
+        n, terms, positions = np.frombuffer(f.read_at(24, offset), np.int64).tolist()
+        raw = f.read_at(length - 24 if whole else 16 * n, offset + 24)
+        shard = {"rows": np.frombuffer(raw, np.int64, n), "n_words": np.frombuffer(raw, np.int64, n, 8 * n)}
+        if whole:
+            at = 16 * n
+            shard["terms"] = np.frombuffer(raw, np.uint64, terms, at)
+            shard["ends"] = np.frombuffer(raw, np.uint32, terms, at + 8 * terms)
+            shard["positions"] = np.frombuffer(raw, np.uint32, positions, at + 12 * terms)
+        yield shard
+
+
 def build_index(docs: DataFrame, scratch: Scratch, longest: int) -> DataFrame:
-    """Written index of all texts; ``docs`` has row (long key) and text."""
-    return scratch.table(docs.select("row", "text").mapInArrow(_shards(longest), _SHARD), "index")
+    """Written index of all texts (path, offset, length of shards); ``docs`` has row (long key) and text."""
+    base = fresh_path(docs.sparkSession, "postings")
+    return scratch.table(docs.select("row", "text").mapInArrow(_shards(longest, base), _SHARD), "index")
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """Shards dealt by place to as many tasks as their bytes need."""
+    spark = index.sparkSession
+    parts = int((index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES) + spark.sparkContext.defaultParallelism
+    return index.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
 
 
 def _windows(n: int):
@@ -92,8 +133,7 @@ def _near(keys: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
 
 def _match(shard: dict, windows: list[tuple[np.ndarray, np.ndarray]], gap: int, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, first word, end, window key) of the matches; windows by length: (keys, terms)."""
-    terms, ends, positions = (np.frombuffer(shard[k], t) for k, t in (("terms", np.uint64), ("ends", np.int64), ("positions", np.uint32)))
-    n_words = np.frombuffer(shard["n_words"], np.int64)
+    terms, ends, positions, n_words = shard["terms"], shard["ends"].astype(np.int64), shard["positions"], shard["n_words"]
     if not len(terms):
         return
     begins = np.r_[0, ends[:-1]]
@@ -127,9 +167,8 @@ def _match(shard: dict, windows: list[tuple[np.ndarray, np.ndarray]], gap: int,
 def _search(windows, gap: int, slop: int):
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                shard = {k: b.column(k)[i].as_buffer() for k in b.schema.names}
-                rows = np.frombuffer(shard["rows"], np.int64)
+            for shard in _read_shards(b, True):
+                rows = shard["rows"]
                 for doc, start, end, key in _match(shard, windows.value, gap, slop):
                     order = np.lexsort((key, end, start, doc))  # the same for equal texts
                     doc, start, end, key = doc[order], start[order], end[order], key[order]
@@ -144,10 +183,8 @@ def _search(windows, gap: int, slop: int):
 
 def _counts(batches):
     for b in batches:
-        rows = [np.frombuffer(x.as_py(), np.int64) for x in b.column("rows")]
-        words = [np.frombuffer(x.as_py(), np.int64) for x in b.column("n_words")]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(words))], ["row", "n_words"])
+        for shard in _read_shards(b, False):
+            yield pa.RecordBatch.from_arrays([pa.array(shard["rows"]), pa.array(shard["n_words"])], ["row", "n_words"])
 
 
 def _union(batches):
@@ -175,7 +212,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
     longest = n + slop + 1
-    index = build_index(docs, scratch, longest)
+    index = _dealt(build_index(docs, scratch, longest))
     items = scratch.table(benchmark.select("item", "text").where("text is not null and item is not null").mapInArrow(_windows(n), "item string, window long, terms binary"), "windows")
     distinct = items.groupBy("window").agg(F.first("terms").alias("terms"))
     blocks = -(-items.count() // WINDOW_BLOCK)
@@ -190,7 +227,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop:
         hits = index.mapInArrow(_search(sent, longest, slop), "row long, spans binary, windows binary")
         found.append(scratch.table(hits, f"found-{i}"))
         sent.destroy()
-    words = index.select("rows", "n_words").mapInArrow(_counts, "row long, n_words long")
+    words = index.mapInArrow(_counts, "row long, n_words long")
     if not found:
         return words.dropDuplicates(["row"]).selectExpr("row", "n_words", "0L n_hit", "array() :: array<bigint> spans", "array() :: array<string> items")
     hit = scratch.table(reduce(DataFrame.union, found).groupBy("row").agg(F.collect_set("spans").alias("spans"), F.collect_set("windows").alias("windows")).mapInArrow(_union, "row long, n_hit long, spans array<long>, windows array<long>"), "hits")

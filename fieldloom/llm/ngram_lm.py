@@ -63,7 +63,7 @@ _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 _UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri.removeprefix("file:")
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
@@ -71,7 +71,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_arrays(base: str, name: str, arrays: list[np.ndarray]) -> str:
     """One file of arrays after one another, their sizes first; returns its path."""
-    fs, root = _filesystem(base)
+    fs, root = filesystem(base)
     fs.create_dir(root, recursive=True)
     path = f"{root}/{name}-{uuid.uuid4().hex}.bin"
     with fs.open_output_stream(path, compression=None) as f:
@@ -83,7 +83,7 @@ def write_arrays(base: str, name: str, arrays: list[np.ndarray]) -> str:
 
 def map_arrays(path: str) -> list[np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    fs, own = _filesystem(path)
+    fs, own = filesystem(path)
     if isinstance(fs, pafs.LocalFileSystem):
         raw = np.memmap(own, np.uint8, "r")
     else:
