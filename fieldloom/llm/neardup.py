@@ -303,11 +303,11 @@ def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> Da
 
     heads = clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()
     member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).union(heads)
-    member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.tid").alias("_tid")), "members")
+    member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.tid").alias("tid")).alias("row")), "members")
     sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    # repeated rows are one row before the exchange
-    once = texts.groupBy("doc_id", "tid").agg(F.first("text").alias("text"))
-    full = once.join(member.drop("n_shingles").hint("merge"), once["doc_id"].eqNullSafe(F.col("_id")) & (once["tid"] == F.col("_tid"))).select("rep", "cluster", "text")
+    own = texts.select(F.struct("doc_id", "tid").alias("row"), "text")  # a struct may hold a null
+    full = own.join(member.drop("n_shingles").hint("merge"), "row")
+    full = full.groupBy("rep", "cluster").agg(F.first("text").alias("text"))  # of repeated rows one
     full = full.mapInArrow(_shingle_rows(shingle), "rep long, cluster long, shingles binary")
     links = _dealt(_in_blocks(full, "cluster", scratch.table(sizes, "sizes")), "cluster").mapInArrow(_confirm(percent), "u long, v long")
     groups = connected_components(links, scratch, "groups")
