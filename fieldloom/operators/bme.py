@@ -12,14 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix
+from fieldloom.operators.interpolate import each_or_none, krige_many, neighbour_stacks
 from fieldloom.operators.neighbours import nearest
 
 CELL = ["x", "y", "t"]
 SOFT = ["pdf_type", "limi", "probdens", "mean", "var"]
+TINY = 1e-12
 
 
 @dataclass(frozen=True)
@@ -111,8 +114,13 @@ class Neighbourhood:
     """Conditional Gaussian quantities of one point and its data."""
 
     def __init__(self, model: list[Component], at: np.ndarray, hard: np.ndarray, zh: np.ndarray, softs: list[dict], order: int | None):
-        self.model, self.at, self.hard = model, at, hard
         stats = [soft_moments(s) for s in softs]
+        exact = [i for i, (_, v) in enumerate(stats) if not v > TINY]  # soft data without variance are exact ones
+        if exact:
+            hard = np.concatenate([hard, [[softs[i][c] for c in CELL] for i in exact]])
+            zh = np.r_[zh, [stats[i][0] for i in exact]]
+            softs, stats = ([x for i, x in enumerate(own) if i not in exact] for own in (softs, stats))
+        self.model, self.at, self.hard = model, at, hard
         ms = np.array([m for m, _ in stats])
         self.prior = 0.0 if order is None or not len(zh) + len(ms) else float(np.r_[zh, ms].mean())
         self.zh = zh - self.prior
@@ -237,23 +245,44 @@ def near_duplicate(model: list[Component], at: np.ndarray, data: np.ndarray) ->
     return i if r[i] > 1 - 1e-6 else None
 
 
+def _one(model: list[Component], o: Options, mesh: int | None, at: np.ndarray, hard: list, soft: list) -> tuple:
+    """(moments, mesh, densities) at one point; NaN and empty where the neighbourhood cannot be solved."""
+    try:
+        known = np.array([[h[c] for c in CELL] for h in hard], float).reshape(-1, 3)
+        n = Neighbourhood(model, at, known, np.array([h["z"] for h in hard], float), soft, o.order)
+        row = n.posterior(o)
+        x, p = n.pdf(o, mesh) if mesh and not math.isnan(row[0]) else ([], [])
+        return row, x, p
+    except (np.linalg.LinAlgError, FloatingPointError, ZeroDivisionError):
+        return (math.nan,) * 3, [], []
+
+
 def _rows(model: list[Component], o: Options, mesh: int | None):
     names = ["mean", "variance", "skewness"]
+    spread = np.linspace(-6, 6, mesh or 0)
+
+    def exact(at, known, z):
+        """Exact data alone make one Gaussian: simple kriging about the prior mean, in stacks."""
+        prior = np.zeros(len(z)) if o.order is None else z.mean(1)
+        e, v, _ = krige_many(model, at, known, z - prior[:, None], None)
+        return np.column_stack([prior + e, np.maximum(v, 0), np.zeros(len(z))])
 
     def run(batches):
         for b in batches:
-            out, xs, ps = [], [], []
-            for x, y, t, hard, soft in zip(*(b.column(c).to_pylist() for c in (*CELL, "hard", "soft")), strict=True):
-                hard, soft = hard or [], soft or []
-                known = np.array([[h[c] for c in CELL] for h in hard], float).reshape(-1, 3)
-                n = Neighbourhood(model, np.array([x, y, t], float), known, np.array([h["z"] for h in hard], float), soft, o.order)
-                row = n.posterior(o)
-                out.append([None if math.isnan(v) else v for v in row])
-                if mesh:
-                    px, pp = n.pdf(o, mesh) if out[-1][0] is not None else ([], [])
-                    xs.append(list(map(float, px)))
-                    ps.append(list(map(float, pp)))
-            cols = [pa.array([r[i] for r in out], pa.float64()) for i in range(3)]
+            out = np.full((b.num_rows, 3), np.nan)
+            xs, ps = [[]] * b.num_rows, [[]] * b.num_rows
+            soft = pc.fill_null(pc.list_value_length(b.column("soft")), 0).to_numpy() > 0
+            plain = b.filter(pa.array(~soft))
+            numbers = np.flatnonzero(~soft)
+            for rows, *stacks in neighbour_stacks(plain, "hard"):
+                out[numbers[rows]] = each_or_none(exact, *stacks)
+            for i in numbers[~np.isnan(out[numbers, 0])].tolist() if mesh else []:
+                sd = math.sqrt(max(out[i, 1], TINY))
+                xs[i], ps[i] = out[i, 0] + spread * sd, np.exp(-(spread**2) / 2) / (sd * math.sqrt(2 * math.pi))
+            mixed, own = b.filter(pa.array(soft)), np.flatnonzero(soft).tolist()
+            for i, x, y, t, h, g in zip(own, *(mixed.column(c).to_pylist() for c in (*CELL, "hard", "soft")), strict=True):
+                out[i], xs[i], ps[i] = _one(model, o, mesh, np.array([x, y, t], float), h or [], g)
+            cols = [pa.array(c, from_pandas=True) for c in out.T]  # NaN becomes null
             more = [pa.array(xs, pa.list_(pa.float64())), pa.array(ps, pa.list_(pa.float64()))] if mesh else []
             keep = ["k_id", *CELL]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols, *more], [*keep, *names, *(["pdf_x", "pdf_p"] if mesh else [])])
@@ -273,7 +302,8 @@ def predict(points: DataFrame, hard: DataFrame | None, soft: DataFrame | None, m
     """k_id, x, y, t, mean, variance, skewness (and pdf_x, pdf_p with ``mesh``) at points (k_id, x, y, t).
 
     ``hard`` has h_id, x, y, t, z; ``soft`` has h_id, x, y, t, pdf_type, limi, probdens, mean, var.
-    ``exclude`` 'hard' or 'soft' leaves out the datum of the point's own id.
+    ``exclude`` 'hard' or 'soft' leaves out the datum of the point's own id.  Points without neighbours
+    and neighbourhoods that cannot be solved have null moments.
     """
     rows = points.select("k_id", *CELL)
     rows = _neighbour_arrays(rows, hard, ["z"], "hard", nh, dmax_s, dmax_t, ratio, exclude == "hard")

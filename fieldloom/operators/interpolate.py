@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.models import Component, covariance_matrix
+from fieldloom.functions.models import Component, covariance_matrix, covariance_np
 from fieldloom.operators.neighbours import nearest
 
 CELL = ["x", "y", "t"]
@@ -61,52 +64,89 @@ def local_mean(model: list[Component], known: np.ndarray, z: np.ndarray, noise:
     return float(beta[0]), float(cov[0, 0])
 
 
-def krige(model: list[Component], at: np.ndarray, known: np.ndarray, z: np.ndarray, order: int | None) -> tuple[float, float, np.ndarray]:
-    """(estimate, variance, weights) at one point; order None has a zero mean, 0 an unknown constant one."""
-    k = covariance_matrix(model, known, known)
-    c = covariance_matrix(model, known, at[None])[:, 0]
-    c0 = float(covariance_matrix(model, at[None], at[None])[0, 0])
-    f = design(order, len(z))
-    p = f.shape[1]
-    a = np.block([[k, f], [f.T, np.zeros((p, p))]])
-    w = (np.linalg.pinv(a) @ np.r_[c, np.ones(p)])[: len(z)]
-    return float(w @ z), float(c0 - 2 * w @ c + w @ k @ w), w
+def covariance_stack(model: list[Component], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Covariance matrices between stacks (m, n, 3) and (m, k, 3) of points."""
+    d = a[:, :, None, :] - b[:, None, :, :]
+    return covariance_np(model, np.hypot(d[..., 0], d[..., 1]), np.abs(d[..., 2]))
+
+
+def krige_many(model: list[Component], at: np.ndarray, known: np.ndarray, z: np.ndarray, order: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimates, variances, weights) at m points with n neighbours each: at (m, 3), known (m, n, 3), z (m, n).
+
+    Order None has a zero mean, 0 an unknown constant one.
+    """
+    m, n = z.shape
+    k, c = covariance_stack(model, known, known), covariance_stack(model, known, at[:, None])[:, :, 0]
+    c0 = covariance_stack(model, at[:, None], at[:, None])[:, 0, 0]
+    p = design(order, n).shape[1]
+    left = np.ones((m, n + p, n + p))
+    left[:, :n, :n] = k
+    left[:, n:, n:] = 0
+    w = (np.linalg.pinv(left, hermitian=True) @ np.concatenate([c, np.ones((m, p))], 1)[:, :, None])[:, :n, 0]
+    return (w * z).sum(1), c0 - 2 * (w * c).sum(1) + np.einsum("mi,mij,mj->m", w, k, w), w
 
 
-def _arrays(row: list | None) -> tuple[np.ndarray, np.ndarray]:
-    row = row or []
-    return np.array([[h[c] for c in CELL] for h in row], float).reshape(-1, 3), np.array([h["z"] for h in row], float)
+def krige(model: list[Component], at: np.ndarray, known: np.ndarray, z: np.ndarray, order: int | None) -> tuple[float, float, np.ndarray]:
+    """As ``krige_many`` at one point."""
+    e, v, w = krige_many(model, at[None], known[None], z[None], order)
+    return float(e[0]), float(v[0]), w[0]
+
+
+def factors_many(model: list[Component], at: np.ndarray, known: np.ndarray, z: np.ndarray, order: int | None) -> np.ndarray:
+    """The estimates' parts of each nested component, then the local means."""
+    k = np.linalg.pinv(covariance_stack(model, known, known), hermitian=True)
+    mean = np.zeros(len(z))
+    if order == 0:  # generalised least squares of a constant
+        mean = np.einsum("mij,mj->m", k, z) / k.sum((1, 2))
+    own = np.einsum("mij,mj->mi", k, z - mean[:, None])
+    return np.stack([*((covariance_stack([c], at[:, None], known)[:, 0] * own).sum(1) for c in model), mean], 1)
+
+
+def neighbour_stacks(b: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, points (m, 3), neighbours (m, n, 3), their values (m, n)) of rows with equally many neighbours."""
+    cell = b.column(column)
+    off, count = cell.offsets.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(cell), 0).to_numpy()
+    start, parts = off[:-1] - off[0], cell.flatten()
+    fields = [parts.field(c).to_numpy(zero_copy_only=False).astype(float) for c in (*CELL, "z")]
+    at = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in CELL], 1) if b.num_rows else np.empty((0, 3))
+    for n in np.unique(count[count > 0]).tolist():
+        rows = np.flatnonzero(count == n)
+        pick = start[rows][:, None] + np.arange(n)
+        yield rows, at[rows], np.stack([f[pick] for f in fields[:3]], -1), fields[3][pick]
+
+
+def each_or_none(f: Callable[..., np.ndarray], *stacks: np.ndarray) -> np.ndarray:
+    """f of stacks; where a system of the stack fails, f of each row, NaN for the rows that fail."""
+    try:
+        return f(*stacks)
+    except np.linalg.LinAlgError:
+        out = []
+        for row in zip(*stacks, strict=True):
+            try:
+                out.append(f(*(x[None] for x in row))[0])
+            except np.linalg.LinAlgError:
+                out.append(None)
+        width = next((len(x) for x in out if x is not None), 2)
+        return np.array([np.full(width, np.nan) if x is None else x for x in out])
 
 
 def _krige_rows(model: list[Component], order: int | None, parts: bool):
+    def solve(at, known, z):
+        e, v, _ = krige_many(model, at, known, z, order)
+        return np.column_stack([e, v, *([factors_many(model, at, known, z, order)] if parts else [])])
+
     def run(batches):
         for b in batches:
-            zk, vk, each = [], [], []
-            for x, y, t, hard in zip(*(b.column(c).to_pylist() for c in (*CELL, "hard")), strict=True):
-                known, z = _arrays(hard)
-                if not len(z):
-                    zk.append(None)
-                    vk.append(None)
-                    each.append(None)
-                    continue
-                at = np.array([x, y, t], float)
-                e, v, w = krige(model, at, known, z, order)
-                zk.append(e)
-                vk.append(v)
-                each.append(_factors(model, at, known, z, order) if parts else None)
-            yield pa.RecordBatch.from_arrays([b.column("k_id"), pa.array(zk, pa.float64()), pa.array(vk, pa.float64()), pa.array(each, pa.list_(pa.float64()))], ["k_id", "zk", "vk", "factors"])
+            out = np.full((b.num_rows, 2 + (len(model) + 1) * parts), np.nan)
+            for rows, *stacks in neighbour_stacks(b, "hard"):
+                out[rows] = each_or_none(solve, *stacks)
+            zk, vk = (pa.array(c, from_pandas=True) for c in out[:, :2].T)  # NaN becomes null
+            each = [None if not parts or np.isnan(x).any() else x for x in out[:, 2:]]
+            yield pa.RecordBatch.from_arrays([b.column("k_id"), zk, vk, pa.array(each, pa.list_(pa.float64()))], ["k_id", "zk", "vk", "factors"])
 
     return run
 
 
-def _factors(model, at, known, z, order) -> list[float]:
-    """The estimate's part of each nested component, then the local mean."""
-    k = np.linalg.pinv(covariance_matrix(model, known, known))
-    f = design(order, len(z))
-    mean = float(regression(f, z, covariance_matrix(model, known, known))[0][0]) if f.shape[1] else 0.0
-    return [float(covariance_matrix([c], at[None], known)[0] @ k @ (z - mean)) for c in model] + [mean]
-
-
 def kriging(data: DataFrame, points: DataFrame, model: list[Component], nmax: int, dmax_s: float, dmax_t: float | None = None, ratio: float = 0.0, order: int | None = None, exclude_same: bool = False) -> DataFrame:
     """k_id, zk, vk from the nearest data (h_id, x, y, t, z); null without neighbours."""
     rows = with_neighbours(data, points, nmax, dmax_s, dmax_t, ratio, exclude_same)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +46,21 @@ def aic(obj, n_models: int, n: int = 900):
     return 2 * n_models + n * (F.log(obj / n) if isinstance(obj, Column) else math.log(obj / n))
 
 
-def pso(f: Callable[[np.ndarray], float], low: np.ndarray, high: np.ndarray, particles: int = 100, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Particle swarm within bounds: inertia 0.3, own pull 1.0, common pull 1.3; seeded."""
+def pso(f: Callable[[np.ndarray], float], low: np.ndarray, high: np.ndarray, particles: int = 100, rounds: int = 10, seed: int = 1, together: bool = False) -> tuple[np.ndarray, float]:
+    """Particle swarm within bounds: inertia 0.3, own pull 1.0, common pull 1.3; seeded.
+
+    With ``together`` f takes all particles, as rows, and gives a value each.
+    """
     rng = np.random.default_rng(seed)
+    every = f if together else lambda rows: np.array([f(p) for p in rows])
     x = low + rng.random((particles, len(low))) * (high - low)
     v = np.zeros_like(x)
-    best, score = x.copy(), np.array([f(p) for p in x])
+    best, score = x.copy(), every(x)
     for _ in range(rounds):
         g = best[score.argmin()]
         v = 0.3 * v + 1.0 * rng.random(x.shape) * (best - x) + 1.3 * rng.random(x.shape) * (g - x)
         x = np.clip(x + v, low, high)
-        now = np.array([f(p) for p in x])
+        now = every(x)
         better = now < score
         best[better], score[better] = x[better], now[better]
     i = int(score.argmin())
@@ -170,15 +175,43 @@ def log_likelihood(model: list[Component], points: np.ndarray, z: np.ndarray, ta
     return float(-0.5 * ((z * np.linalg.solve(k, z)).sum() + z.shape[1] * (det + len(points) * math.log(2 * math.pi))))
 
 
-def fit_likelihood(cells: DataFrame, kinds: list[tuple[str, str]], value: str = "residual", most: int = 800, seed: int = 1) -> tuple[list[Component], float]:
-    """Maximum likelihood on the ``most`` cells of the smallest hash (the likelihood is dense in them)."""
-    rows = cells.where(F.col(value).isNotNull()).orderBy(F.xxhash64("x", "y", "t")).limit(most).collect()
-    pts = np.array([[r.x, r.y, r.t] for r in rows])
-    z = np.array([r[value] for r in rows])
-    sill, rs, rt = float(z.var()), float(np.ptp(pts[:, :2])) / 2, float(np.ptp(pts[:, 2])) / 2
-    low, high = np.tile([0.01 * sill, 0.01 * rs, 0.01 * max(rt, 1)], len(kinds)), np.tile([3 * sill, 4 * rs, 4 * max(rt, 1)], len(kinds))
-    build = lambda p: [Component(float(p[3 * i]), s, float(p[3 * i + 1]), t, float(p[3 * i + 2])) for i, (s, t) in enumerate(kinds)]
-    p, v = pso(lambda q: -log_likelihood(build(q), pts, z), low, high, particles=20, rounds=6, seed=seed)
-    return build(p), -v
-
-
+def in_blocks(cells: DataFrame, value: str, most: int) -> DataFrame:
+    """(block, x, y, t, z) of all cells with a value: squares of the plane with about ``most`` cells, and
+    crowded squares dealt into several blocks by a hash."""
+    own = cells.where(F.col(value).isNotNull()).select("x", "y", "t", F.col(value).cast("double").alias("z"))
+    box = own.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.ceil(F.sqrt(F.count("*") / most)).alias("side"))
+    place = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"{c}0")) * F.col("side")), F.col("side") - 1), F.lit(0))
+    own = own.crossJoin(F.broadcast(box)).select("x", "y", "t", "z", place("x").alias("i"), place("y").alias("j"))
+    parts = own.groupBy("i", "j").agg(F.ceil(F.count("*") / most).alias("parts"))
+    return own.join(parts, ["i", "j"]).select(F.struct("i", "j", F.pmod(F.xxhash64("x", "y", "t"), F.col("parts")).alias("k")).alias("block"), "x", "y", "t", "z")
+
+
+def block_likelihood(blocks: DataFrame, models: list[list[Component]], taper: float = 1e-5) -> np.ndarray:
+    """Sum over the blocks of the log-likelihood of every model, in one pass over all cells."""
+
+    def one(table: pa.Table) -> pa.Table:
+        pts = np.stack([table[c].to_numpy() for c in "xyt"], 1)
+        return pa.table({"m": pa.array(range(len(models)), pa.int32()), "v": pa.array([log_likelihood(m, pts, table["z"].to_numpy(), taper) for m in models])})
+
+    got = blocks.groupBy("block").applyInArrow(one, "m int, v double").groupBy("m").agg(F.sum("v").alias("v")).collect()
+    out = np.full(len(models), -math.inf)
+    for r in got:
+        out[r.m] = r.v
+    return out
+
+
+def fit_likelihood(cells: DataFrame, kinds: list[tuple[str, str]], value: str = "residual", most: int = 400, particles: int = 20, rounds: int = 6, seed: int = 1) -> tuple[list[Component], float]:
+    """Maximum composite likelihood over all cells: the sum over blocks of about ``most`` cells, which are dense within.
+
+    A round of the swarm is one pass that tries all its particles.
+    """
+    blocks = in_blocks(cells, value, most).persist()
+    try:
+        own = blocks.agg(F.var_pop("z"), F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("t") - F.min("t")).first()
+        sill, rs, rt = float(own[0]), max(own[1], own[2], 1e-6) / 2, float(own[3]) / 2
+        low, high = np.tile([0.01 * sill, 0.01 * rs, 0.01 * max(rt, 1)], len(kinds)), np.tile([3 * sill, 4 * rs, 4 * max(rt, 1)], len(kinds))
+        build = lambda p: [Component(float(p[3 * i]), s, float(p[3 * i + 1]), t, float(p[3 * i + 2])) for i, (s, t) in enumerate(kinds)]
+        p, v = pso(lambda x: -block_likelihood(blocks, [build(q) for q in x]), low, high, particles=particles, rounds=rounds, seed=seed, together=True)
+        return build(p), -v
+    finally:
+        blocks.unpersist()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import softdata
+
 #: Fixed value: what missing values become in tables for maps.
 NO_DATA = -9999.0
 
@@ -17,19 +19,44 @@ def from_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("row_id"), (u % 15).cast("double").alias("x"), F.floor(u / 15).cast("double").alias("y"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("double").alias("t"), F.col("value").alias("z"))
 
 
+def lines_of(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """(row_id, value): non-blank lines in the order of file names and of places in a file.
+
+    row_id counts all lines from 0; the first ``skip`` of every file are left out.  A block of a file
+    is read in order, so a line's place is that in its block and the lines of the blocks before,
+    which are counted first: one small row a block.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"))
+    blocks = raw.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0))
+    blocks = blocks.select("_file", "_block", "_first", before(order).alias("_before"), before(in_file).alias("_above"))
+    at = F.col("_mid") - F.col("_first")
+    lines = raw.join(F.broadcast(blocks), ["_file", "_block"])  # a row a block of the files
+    kept = lines.where((at + F.col("_above") >= skip) & (F.trim("value") != ""))
+    return kept.select((at + F.col("_before")).alias("row_id"), "value")
+
+
+def numbers_of(token: Column) -> Column:
+    """A number, null for NaN and empty tokens; any other token is an error."""
+    text = F.trim(token)
+    v = F.when(text != "", text).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def read_delimited(spark: SparkSession, path: str, columns: dict[str, int], sep: str = ",", header: bool = False, skip: int = 0) -> DataFrame:
     """Chosen columns, by position from 0, of delimited numbers; any other token is an error.
 
-    row_id is the line's place in the file.  ``skip`` lines are left out before the header.
+    row_id is the line's place in the files, in the order of their names.  ``skip`` lines and then
+    the header are left out of every file.
     """
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("row_id"))
-    if skip or header:
-        first = skip + int(header)
-        head = lines.orderBy("row_id").limit(first).agg(F.max("row_id")).first()[0]
-        lines = lines.where(F.col("row_id") > F.lit(head if head is not None else -1))
-    parts = F.split("value", r"\s+" if sep == " " else rf"\s*{_quoted(sep)}\s*")
-    rows = lines.where(F.trim("value") != "")
-    return rows.select("row_id", *(F.trim(parts[i]).cast("double").alias(c) for c, i in columns.items()))
+    parts = F.split("value", _pattern(sep))
+    return lines_of(spark, path, skip + int(header)).select("row_id", *(numbers_of(parts[i]).alias(c) for c, i in columns.items()))
+
+
+def _pattern(sep: str) -> str:
+    return r"\s+" if sep == " " else rf"\s*{_quoted(sep)}\s*"
 
 
 def _quoted(sep: str) -> str:
@@ -52,16 +79,32 @@ def sniff(spark: SparkSession, path: str, sep: str = ",") -> tuple[bool, list[li
     return title, top[int(title) :][:50], lines.count() - int(title)
 
 
-def read_user_defined_soft(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_user_defined_soft(spark: SparkSession, path: str, sep: str = ",", header: bool = False, skip: int = 0) -> DataFrame:
     """Ragged rows x, y, t, k, then k + 1 limits, then k + 1 densities."""
-    p = F.split("value", sep)
+    p = F.split(F.trim("value"), _pattern(sep))
     k = p[3].cast("int")
-    number = lambda a: F.transform(a, lambda s: F.trim(s).cast("double"))
-    return (
-        spark.read.text(path)
-        .where(F.trim("value") != "")
-        .select(F.monotonically_increasing_id().alias("row_id"), *(p[i].cast("double").alias(c) for i, c in enumerate("xyt")), (k + 1).alias("nl"), number(F.slice(p, F.lit(5), k + 1)).alias("limi"), number(F.slice(p, k + 6, k + 1)).alias("probdens"))
-    )
+    number = lambda a: F.transform(a, numbers_of)
+    rows = lines_of(spark, path, skip + int(header))
+    return rows.select("row_id", *(numbers_of(p[i]).alias(c) for i, c in enumerate("xyt")), (k + 1).alias("nl"), number(F.slice(p, F.lit(5), k + 1)).alias("limi"), number(F.slice(p, k + 6, k + 1)).alias("probdens"))
+
+
+def load_soft(spark: SparkSession, path: str, kind: str, sep: str = ",", header: bool = False, skip: int = 0) -> DataFrame:
+    """(row_id, x, y, t, pdf, quantile) of a file of soft data: the normalised record and its quantiles.
+
+    ``kind`` is gaussian (x, y, t, mean, variance), uniform (x, y, t, low, up) or user (ragged rows of
+    limits and densities, which are made to sum to one).
+    """
+    if kind == "user":
+        rows = read_user_defined_soft(spark, path, sep, header, skip)
+        rows = rows.withColumn("p", softdata.normalise(F.col("limi"), F.col("probdens")))
+    elif kind in ("gaussian", "uniform"):
+        rows = read_delimited(spark, path, {"x": 0, "y": 1, "t": 2, "a": 3, "b": 4}, sep, header, skip)
+        limits, density = (softdata.gaussian_limits, softdata.gaussian_density) if kind == "gaussian" else (softdata.uniform_limits, softdata.uniform_density)
+        rows = rows.withColumns({"limi": limits(F.col("a"), F.col("b")), "p": density(F.col("a"), F.col("b"))})
+    else:
+        raise ValueError(f"unknown kind of soft data {kind!r}")
+    limi, p = F.col("limi"), F.col("p")
+    return rows.select("row_id", "x", "y", "t", softdata.record(F.lit(2), limi, p).alias("pdf"), softdata.quantiles(limi, p).alias("quantile"))
 
 
 def generate_grid(spark: SparkSession, x: tuple[float, float, int], y: tuple[float, float, int], t: tuple[float, float, int]) -> DataFrame:
@@ -83,9 +126,16 @@ def sites_by_times(sites: DataFrame, t: tuple[float, float, int]) -> DataFrame:
     return sites.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * F.lit(step))))
 
 
-def write_result(result: DataFrame, path: str, sep: str = ",") -> None:
-    """x, y, t, mean, variance as delimited text."""
-    result.select("x", "y", "t", "mean", "variance").write.csv(path, header=True, sep=sep, mode="overwrite")
+def write_result(result: DataFrame, path: str, sep: str = ",", leading: list[str] = ()) -> None:
+    """x, y, t, mean, variance as delimited text, every file after its header; ``leading`` lines go before
+    the header, for which the result is written as one file of text."""
+    names = ["x", "y", "t", "mean", "variance"]
+    if not leading:
+        result.select(*names).write.csv(path, header=True, sep=sep, mode="overwrite")
+        return
+    head = result.sparkSession.createDataFrame([(i, v) for i, v in enumerate([*leading, sep.join(names)])], "i int, value string")
+    body = result.select(F.lit(len(leading) + 1).alias("i"), F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
 
 
 def layer_at(result: DataFrame, t: float) -> DataFrame:
