@@ -3,6 +3,9 @@
 Each round hangs every neighbourhood on its smallest member; hubs only ever meet a partial
 aggregate and a join whose large side Spark may split.  Each round is a written table, so a
 lost executor costs one round at most.
+
+Edge cases: edges with a null end are left out; nodes that only meet themselves are not listed; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, what: str = "compon
 
     ``edges`` has u and v (long); self edges and repeated edges do no harm.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()  # no null passes
     e = scratch.table(e, f"{what}-0")
     turn, before = 0, None
     while True:

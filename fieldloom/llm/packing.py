@@ -238,7 +238,8 @@ def _pieces(path: str, capacity: int, final_id: int, with_ids: bool):
             cells = [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(np.full(len(doc), task), pa.int64()), pa.array(rank)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
             if with_ids:
-                cells.append(pa.array([x.view("<u4").tolist() for x in own], pa.list_(pa.int32())))
+                ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))  # pieces follow each other
+                cells.append(pa.ListArray.from_arrays(ends, pa.array(full.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cells, names)
 

@@ -15,8 +15,14 @@ input; a hash met twice within a run is known to be repeated, so the run answers
 documents and sends one occurrence on.  A very common passage thus reaches a reducer once per
 run, not once per document.
 
-Edge cases: null and empty texts, and texts with fewer words than a window, keep all words;
-repeated rows (even of one doc_id) repeat each other's windows and both lose them.
+Windows are told apart by 64-bit hashes of their words, anchors first and windows then, so two
+different windows count as equal with a probability of about 2**-64 a pair that already shares an
+anchor's hash; rows by a 64-bit hash of doc_id and text, and starts beyond a text are left out.
+
+Edge cases: null and empty texts, and texts with fewer words than a window, keep all words; texts
+of any length are taken whole; repeated rows (even of one doc_id, or of none) repeat each other's
+windows and both lose them; columns named as the results are replaced, all others stay; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -245,6 +251,7 @@ def _remove(window: int, digest: bool):
             gone = np.zeros(len(c.starts) + 1, np.int64)
             starts = _blobs(b.column("starts"), np.uint32)
             for d, s in enumerate(starts):
+                s = s[s + np.int64(window) <= c.word_off[d + 1] - c.word_off[d]]
                 if len(s):
                     at = np.unique(s).astype(np.int64) + c.word_off[d]
                     gone[at] += 1

@@ -3,6 +3,9 @@
 A chunk is a run of whole documents of about ``CHUNK_BYTES`` of UTF-8; one longer document
 is a chunk of its own.  Hashes are 64-bit and polynomial over table-mapped bytes, finished
 with a mixer, so equal words have equal hashes in every task.
+
+Edge cases: null and empty texts are documents without words; a text of any length is one
+document, whose arrays take some 40 bytes a byte; an empty batch has no chunk.
 """
 
 from __future__ import annotations

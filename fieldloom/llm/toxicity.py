@@ -116,6 +116,8 @@ def features(c: tk.Chunk, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     shouted = (up[c.ends] - up[c.starts] == c.ends - c.starts) & (c.ends - c.starts > 2)
     same = np.zeros(len(c.data), bool)
     same[2:] = (c.data[2:] == c.data[1:-1]) & (c.data[2:] == c.data[:-2]) & letters[2:]
+    edge = (c.offsets[:-1, None] + [0, 1]).ravel()  # two letters of the document before do not count
+    same[edge[edge < len(same)]] = False
     distinct = np.zeros(c.n)
     where = np.flatnonzero(hit)
     if len(where):
