@@ -36,8 +36,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 2048."""
-    return packing.pack(docs, registry.tokenizer_path(), capacity=2048, final_id=0)
+    """Token pieces, with their ids, in sequences of at most 2048."""
+    return packing.pack(docs, registry.tokenizer_path(), capacity=2048, final_id=0, with_ids=True)
 
 
 STAGES = [
