@@ -10,7 +10,6 @@ from fieldloom import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("R2_grid_last_wins", "R7_grid_lookup_unique", "R17_significant_digits", "P4_moments", "P5_quantiles", "N8_knn", "N9_knn_prism", "T2_stmean", "T3_stmean_est", "T8_kernel", "C1_empirical_covariance", "M7_nested", "I3_idw_knn", "I5_kriging_one", "B4_bme_soft", "B6_nonnegative", "V4_error_stats", "O2_spatial_outliers", "E1_gram", "X3_mutual_information")
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def _rows(rows):
     return sorted(tuple((v is not None, round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows_as_sql(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     cols = sorted(df.columns)
