@@ -300,12 +300,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_document
     return Model(lexicon, trees, Isotonic().fit(trees.margin(x[held]), y[held]))
 
 
-def _scores(model):
+def _scores(model, text: str):
     def run(batches):
         own = model.value
-        for b, c in tk.batch_chunks(batches, "_text"):
-            rest = [k for k in b.schema.names if k != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(own.score(c))], [*rest, "score"])
+        for b, c in tk.batch_chunks(batches, text):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(c))], [*b.schema.names, "score"])
 
     return run
 
@@ -314,7 +313,7 @@ def score(docs: DataFrame, model: Model | Constant, text: str = "text") -> DataF
     """All rows and columns of ``docs`` plus score and predicted (1 where score >= 0.5)."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ", score double"
-    out = plain.mapInArrow(_scores(spark.sparkContext.broadcast(model)), schema)
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))  # the text goes once
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", score double"
+    out = plain.mapInArrow(_scores(spark.sparkContext.broadcast(model), f"c{keep.index(text)}"), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
