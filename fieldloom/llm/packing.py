@@ -12,8 +12,9 @@ tokens; these few are packed best-fit.  The sequences, a lower bound for them an
 tokens that the program placed are logged.
 
 Pieces get their places by (length, rank within length).  Ranks come from counts by task and
-length, so a length that a third of all pieces share is never gathered in one task; these counts
-grow with the tasks and meet the pieces in a shuffled join.  The places of a length are intervals
+length, so a length that a third of all pieces share is never gathered in one task; what the tasks
+before one hold is a small file of that task's in the shared folder, which whoever places its pieces
+reads, so the pieces themselves are not exchanged.  The places of a length are intervals
 of ranks; there is one for each piece of each configuration used, some thousands of which are used
 at capacity 2048 whatever the corpus, so they go to the executors whole.
 
@@ -39,11 +40,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkit as tk
-from fieldloom.llm.shared import Scratch
+from fieldloom.llm.ngram_lm import filesystem
+from fieldloom.llm.shared import Scratch, fresh_path
 
 LOG = logging.getLogger(__name__)
 RATE, STEP = 1.0, 0.34
@@ -238,8 +240,8 @@ def _pieces(path: str, capacity: int, final_id: int, with_ids: bool):
             cells = [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(np.full(len(doc), task), pa.int64()), pa.array(rank)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
             if with_ids:
-                ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))  # pieces follow each other
-                cells.append(pa.ListArray.from_arrays(ends, pa.array(full.astype(np.int32))))
+                ends = np.r_[0, 4 * np.cumsum(length)].astype(np.int32)  # pieces follow each other
+                cells.append(pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cells, names)
 
@@ -420,16 +422,46 @@ def _intervals(plan: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
 
 
-def _place(intervals):
+def _write_before(base: str, capacity: int):
+    """Per task a file of the pieces that the tasks before it have, by length; the same at every attempt."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fs, root = filesystem(base)
+        fs.create_dir(root, recursive=True)
+        own = np.zeros(capacity + 1, np.int64)
+        own[table["length"].to_numpy()] = table["before"].to_numpy()
+        with fs.open_output_stream(f"{root}/{table['task'][0].as_py()}", compression=None) as f:
+            f.write(own.tobytes())
+        return pa.table({"task": table["task"][:1]})
+
+    return run
+
+
+def _place(intervals, base: str):
     def run(batches):
         key, sequence, offset = intervals.value
+        fs, root = filesystem(base)
+        before: dict[int, np.ndarray] = {}
         for b in batches:
-            length, before, rank = (b.column(k).to_numpy() for k in ("length", "before", "rank"))
-            want = (length << 44) + before + rank
+            length, task, rank = (b.column(k).to_numpy() for k in ("length", "task", "rank"))
+            want = (length << 44) + rank
+            for t in np.unique(task).tolist():
+                if t not in before:
+                    with fs.open_input_stream(f"{root}/{t}", compression=None) as f:
+                        before[t] = np.frombuffer(f.read(), np.int64)
+                own = task == t
+                want[own] += before[t][length[own]]
             i = np.searchsorted(key, want, "right") - 1
-            rest = [x for x in b.schema.names if x not in ("before", "rank", "task")]
-            cells = [b.column(x) for x in rest]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(sequence[i] + want - key[i]), pa.array(offset[i])], [*rest, "sequence_id", "offset"])
+            rest = [x for x in b.schema.names if x not in ("rank", "task", "ids")]
+            cells, names = [b.column(x) for x in rest], list(rest)
+            if "ids" in b.schema.names:
+                ids = b.column("ids")
+                _, ends, raw = ids.buffers()
+                ends = np.frombuffer(ends, np.int32, b.num_rows + 1, 4 * ids.offset)
+                values = np.frombuffer(raw, np.int32, (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
+                cells.append(pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4, pa.int32()), pa.array(values)))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(sequence[i] + want - key[i]), pa.array(offset[i])], [*names, "sequence_id", "offset"])
 
     return run
 
@@ -442,7 +474,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, final_id: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long" + (", ids binary" if with_ids else "")
     pieces = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer_path, capacity, final_id, with_ids), schema), "pieces")
     counts = scratch.table(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(capacity + 1, np.int64)
@@ -451,11 +483,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, final_id: i
     placed, rest = solve_parts(histogram)
     LOG.info("packing: %s", json.dumps(figures(histogram, placed, rest)))
     intervals = spark.sparkContext.broadcast(_intervals(placed + rest))
-    from pyspark.sql import Window
-
+    base = fresh_path(spark, "packing-before")
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = pieces.join(before.hint("shuffle_hash"), ["task", "length"])
+    before.groupBy("task").applyInArrow(_write_before(base, capacity), "task long").count()
     names = [c for c in pieces.columns if c not in ("task", "rank")]
-    types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    return rows.select(*names, "task", "rank", "before").mapInArrow(_place(intervals), ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
+    types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields} | {"ids": "array<int>"}
+    return pieces.mapInArrow(_place(intervals, base), ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
