@@ -205,6 +205,7 @@ def _candidates(matches: int):
                 yield _forest_rows(out)
                 out = []
         yield _forest_rows(out)
+        tk.release()
 
     return run
 
@@ -244,6 +245,7 @@ def _confirm(percent: int):
                 yield _forest_rows(out)
                 out = []
         yield _forest_rows(out)
+        tk.release()
 
     return run
 

@@ -102,6 +102,7 @@ def _gather(kind):
         order = np.argsort(kid, kind="stable")
         kid, value = kid[order], value[order]
         at = np.flatnonzero(np.r_[True, kid[1:] != kid[:-1]])
+        tk.release()
         return pa.table({"kid": pa.array(kid[at]), "told": pa.array([x.tobytes() for x in np.split(value, at[1:])], pa.binary())})
 
     return run
@@ -157,6 +158,8 @@ def _reduce(by_hash: bool, buckets: int):
         count = np.diff(np.r_[at, len(h)])
         told = np.repeat(count > 1, count)  # of one run's own repeats the run has answered all
         k, v = _replies(kid[told], h[told] if by_hash else starts[told], buckets)
+        del h, kid, starts, several, order, parts
+        tk.release()
         return pa.concat_tables([answered, pa.table({"grp": pa.array(k, pa.int32()), "blob": pa.array(v, pa.binary())})])
 
     return run

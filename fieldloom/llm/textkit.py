@@ -10,7 +10,9 @@ document, whose arrays take some 40 bytes a byte; an empty batch has no chunk.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -134,10 +136,20 @@ def column_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on idle after its task, and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     for b in batches:
         for c in column_chunks(b.column(column), size):
             yield b.slice(c.first_row, c.n), c
+            c = None  # the last chunk of a task is not held while it is idle
+    b = None
+    release()
 
 
 def doc_of_words(c: Chunk) -> np.ndarray:
