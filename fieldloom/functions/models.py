@@ -166,5 +166,29 @@ def to_isotropic(x: Column, y: Column, degrees: float, ratio: float) -> tuple[Co
     return u, v / ratio
 
 
+def axes_3d(azimuth: float, dip: float, plunge: float) -> np.ndarray:
+    """Rows: the principal axes after turns by azimuth about z, dip about the new y and plunge about the new x (degrees)."""
+    a, d, p = map(math.radians, (azimuth, dip, plunge))
+    about_z = np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    about_y = np.array([[math.cos(d), 0, -math.sin(d)], [0, 1, 0], [math.sin(d), 0, math.cos(d)]])
+    about_x = np.array([[1, 0, 0], [0, math.cos(p), math.sin(p)], [0, -math.sin(p), math.cos(p)]])
+    return about_x @ about_y @ about_z
+
+
+def _combined(rows: np.ndarray, c: tuple[Column, Column, Column]) -> tuple[Column, ...]:
+    return tuple(sum((F.lit(float(k)) * v for k, v in zip(row[1:], c[1:], strict=True)), F.lit(float(row[0])) * c[0]) for row in rows)
+
+
+def to_isotropic_3d(x: Column, y: Column, z: Column, angles: tuple[float, float, float], ratios: tuple[float, float]) -> tuple[Column, ...]:
+    """Coordinates on the principal axes, the second and third stretched by 1 / their ratio to the first."""
+    u, v, w = _combined(axes_3d(*angles), (x, y, z))
+    return u, v / ratios[0], w / ratios[1]
+
+
+def to_anisotropic_3d(u: Column, v: Column, w: Column, angles: tuple[float, float, float], ratios: tuple[float, float]) -> tuple[Column, ...]:
+    """What ``to_isotropic_3d`` takes, back from what it gives."""
+    return _combined(axes_3d(*angles).T, (u, v * ratios[0], w * ratios[1]))
+
+
 def to_anisotropic(u: Column, v: Column, degrees: float, ratio: float) -> tuple[Column, Column]:
     return rotate(u, v * ratio, degrees)

@@ -31,14 +31,28 @@ def stmean(cells: DataFrame) -> DataFrame:
     return both.withColumn("tr", F.when(F.col("z").isNotNull(), F.col("ms") + F.col("mt") - F.col("m"))).drop("ms", "mt", "m")
 
 
-def interpolate_times(mt: DataFrame, at: DataFrame, value: str = "mt") -> DataFrame:
-    """(t, value): linear between the known times, constant beyond the ends."""
+def interpolate_times(mt: DataFrame, at: DataFrame, value: str = "mt", method: str = "linear") -> DataFrame:
+    """(t, value): constant beyond the ends, and between the known times linear, that of the nearest (the
+    earlier of two), or cubic: Hermite pieces whose slopes are those of the chords to both sides."""
     w = Window.orderBy("t")
     knots = mt.withColumns({"_t1": F.lead("t").over(w), "_v1": F.lead(value).over(w), "_first": F.lag("t").over(w).isNull()})
+    chord = (F.col("_v1") - F.col(value)) / (F.col("_t1") - F.col("t"))
+    around = (F.lead(value).over(w) - F.lag(value).over(w)) / (F.lead("t").over(w) - F.lag("t").over(w))
+    knots = knots.withColumn("_m0", F.coalesce(around, chord, F.lag(chord).over(w)))
+    knots = knots.withColumn("_m1", F.lead("_m0").over(w))
     a = at.select("t").distinct().withColumnRenamed("t", "_at")
     inside = (F.col("_at") >= F.col("t")) & (F.col("_t1").isNull() | (F.col("_at") < F.col("_t1"))) | (F.col("_first") & (F.col("_at") < F.col("t")))
     share = (F.col("_at") - F.col("t")) / (F.col("_t1") - F.col("t"))
-    v = F.when(F.col("_t1").isNull() | (F.col("_at") <= F.col("t")), F.col(value)).otherwise(F.col(value) + share * (F.col("_v1") - F.col(value)))
+    if method == "nearest":
+        between = F.when(share <= 0.5, F.col(value)).otherwise(F.col("_v1"))
+    elif method == "cubic":
+        h, rest = F.col("_t1") - F.col("t"), 1 - share
+        between = rest * rest * ((1 + 2 * share) * F.col(value) + share * h * F.col("_m0")) + share * share * ((1 + 2 * rest) * F.col("_v1") - rest * h * F.col("_m1"))
+    elif method == "linear":
+        between = F.col(value) + share * (F.col("_v1") - F.col(value))
+    else:
+        raise ValueError(f"unknown interpolation {method!r}")
+    v = F.when(F.col("_t1").isNull() | (F.col("_at") <= F.col("t")), F.col(value)).otherwise(between)
     return a.join(knots, inside).select(F.col("_at").alias("t"), v.alias(value))
 
 
@@ -50,10 +64,10 @@ def idw_all(known: DataFrame, at: DataFrame, value: str, power: float = 2.0) ->
     return at.select("x", "y").distinct().crossJoin(k).groupBy("x", "y").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(value))
 
 
-def stmean_at(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """The separable trend at new points: site part by inverse distances, time part linear."""
+def stmean_at(cells: DataFrame, points: DataFrame, times: str = "linear") -> DataFrame:
+    """The separable trend at new points: site part by inverse distances, time part by ``times``."""
     ms, mt, m = st_means(cells)
-    both = points.join(idw_all(ms, points, "ms"), ["x", "y"]).join(interpolate_times(mt, points), "t").crossJoin(F.broadcast(m))
+    both = points.join(idw_all(ms, points, "ms"), ["x", "y"]).join(interpolate_times(mt, points, method=times), "t").crossJoin(F.broadcast(m))
     return both.withColumn("tr", F.col("ms") + F.col("mt") - F.col("m")).drop("ms", "mt", "m")
 
 
@@ -98,14 +112,17 @@ def _scaled(bs: float, bt: float) -> Column:
 
 
 def _smooth(pairs: DataFrame, w: Column) -> DataFrame:
-    return pairs.withColumn("w", w).groupBy("a_x", "a_y", "a_t").agg((F.sum(F.col("w") * F.col("b_z")) / F.sum("w")).alias("tr")).select(*(F.col(f"a_{c}").alias(c) for c in CELL), "tr")
+    return pairs.withColumn("w", w).groupBy("a_x", "a_y", "a_t").agg(F.try_divide(F.sum(F.col("w") * F.col("b_z")), F.sum("w")).alias("tr")).select(*(F.col(f"a_{c}").alias(c) for c in CELL), "tr")
 
 
 def kernel_at(cells: DataFrame, points: DataFrame, bs: float, bt: float, kernel: str = "gaussian") -> DataFrame:
     """Weighted mean of all cells at points; the weights reach every cell, as the definition has it.
 
     A Gaussian weight beyond sqrt(r2) of 5 is below 1e-32 of the centre's; ``kernel_cut`` leaves such cells out.
+    The quadratic kernel ends at one bandwidth, so it is a bucketed join; points out of reach of all cells are null.
     """
+    if kernel != "gaussian":
+        return kernel_cut(cells, points, bs, bt, 1.0, kernel)
     return points.join(_smooth(_pairs(cells, points), _kernel_weight(_scaled(bs, bt), kernel)), CELL, "left")
 
 

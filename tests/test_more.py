@@ -260,3 +260,44 @@ def test_soft_record(spark):
     limi, p = F.array(*map(F.lit, (0.0, 1.0))), F.array(*map(F.lit, (1.0, 1.0)))
     r = spark.range(1).select(softdata.record(F.lit(2), limi, p).alias("r")).first().r
     assert (r.pdf_type, r.nl, r["mean"]) == (2, 2, pytest.approx(0.5))
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest", "cubic"])
+def test_interpolation_of_time_means(spark, method):
+    t, v = np.array([0.0, 1.0, 3.0, 4.0, 7.0]), np.array([1.0, 4.0, 2.0, 2.5, 9.0])
+    at = np.array([-1.0, 0.0, 0.5, 0.75, 1.0, 2.0, 2.5, 3.0, 5.5, 6.9, 7.0, 8.0])
+    mt = spark.createDataFrame(list(zip(t.tolist(), v.tolist(), strict=True)), "t double, mt double")
+    got = {r.t: r.mt for r in trend.interpolate_times(mt, spark.createDataFrame([(a,) for a in at.tolist()], "t double"), method=method).collect()}
+    slopes = np.r_[(v[1] - v[0]) / (t[1] - t[0]), (v[2:] - v[:-2]) / (t[2:] - t[:-2]), (v[-1] - v[-2]) / (t[-1] - t[-2])]
+    for a in at.tolist():
+        if a <= t[0] or a >= t[-1]:
+            want = v[0] if a <= t[0] else v[-1]
+        else:
+            i = int(np.searchsorted(t, a, "right")) - 1
+            h, s = t[i + 1] - t[i], (a - t[i]) / (t[i + 1] - t[i])
+            want = {
+                "linear": v[i] + s * (v[i + 1] - v[i]),
+                "nearest": v[i] if s <= 0.5 else v[i + 1],
+                "cubic": (2 * s**3 - 3 * s**2 + 1) * v[i] + (s**3 - 2 * s**2 + s) * h * slopes[i] + (3 * s**2 - 2 * s**3) * v[i + 1] + (s**3 - s**2) * h * slopes[i + 1],
+            }[method]
+        assert got[a] == pytest.approx(want)
+
+
+def test_quadratic_kernel_meets_what_it_reaches(spark):
+    pts, z, cells = lattice(spark)
+    got = {(r.x, r.y, r.t): r.tr for r in trend.kernel_at(cells, cells.select("x", "y", "t"), 2.5, 2.5, "quadratic").collect()}
+    w = np.maximum(1 - ((pts[:, None] - pts[None]) ** 2).sum(2) / 2.5**2, 0)
+    assert all(got[tuple(p)] == pytest.approx(v, abs=1e-9) for p, v in zip(pts.tolist(), w @ z / w.sum(1), strict=True))
+    far = spark.createDataFrame([(99.0, 99.0, 99.0)], "x double, y double, t double")
+    assert trend.kernel_at(cells, far, 2.5, 2.5, "quadratic").first().tr is None
+
+
+def test_three_dimensional_anisotropy(spark):
+    angles, ratios = (30.0, 20.0, -10.0), (0.5, 0.25)
+    axes = models.axes_3d(*angles)
+    assert np.allclose(axes @ axes.T, np.eye(3)) and np.allclose(models.axes_3d(30, 0, 0) @ [math.cos(math.pi / 6), 0.5, 0], [1, 0, 0])
+    p = spark.createDataFrame([(1.0, -2.0, 3.0)], "x double, y double, z double")
+    u = p.select(*(c.alias(n) for c, n in zip(models.to_isotropic_3d(F.col("x"), F.col("y"), F.col("z"), angles, ratios), "uvw", strict=True)))
+    assert list(u.first()) == pytest.approx((axes @ [1, -2, 3] / [1, 0.5, 0.25]).tolist())
+    back = u.select(*models.to_anisotropic_3d(F.col("u"), F.col("v"), F.col("w"), angles, ratios)).first()
+    assert list(back) == pytest.approx([1, -2, 3])
