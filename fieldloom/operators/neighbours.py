@@ -38,7 +38,10 @@ def within(a: DataFrame, b: DataFrame, radii: dict[str, float]) -> DataFrame:
     """
     flat = {c: r for c, r in radii.items() if r > 0}
     keys = [f"_k_{c}" for c in flat]
-    left = a.withColumns({f"_k_{c}": _cell(F.col(f"a_{c}"), r) for c, r in flat.items()})
+    # pairs are many more than rows: a small side that would be one partition is dealt to all cores first,
+    # by its rows and not by the cells, so that the join's own exchange may still be split where cells are crowded
+    spread = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *a.columns)
+    left = spread.withColumns({f"_k_{c}": _cell(F.col(f"a_{c}"), r) for c, r in flat.items()})
     right = b
     for c, r in flat.items():
         k = _cell(F.col(f"b_{c}"), r)
