@@ -31,11 +31,11 @@ table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkit as tk
@@ -43,7 +43,10 @@ from fieldloom.llm.components import connected_components
 from fieldloom.llm.shared import Scratch, shuffle_partitions
 
 COORDINATES, ROWS = 32, 3
-LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 192, 1 << 20
+#: Members of a block of a list and of a cluster; a block of a cluster has BLOCK_WEIGHT shingles at most.
+LIST_BLOCK, CLUSTER_BLOCK, BLOCK_WEIGHT = 256, 192, 1 << 20
+#: Members of a large group with which all others of it are compared first.
+PIVOTS = 16
 MATRIX_COLUMNS = 4096
 _MULTIPLIERS = tk.mix(np.arange(1, COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -259,15 +262,62 @@ def _shingle_rows(n: int):
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
-    """Rows of the groups in ``blocks``, once for every pair of blocks that they are in.
+def _spread(placed: DataFrame) -> DataFrame:
+    """Rows once for every pair of blocks that they are in: their own and each in their ranges."""
+    x = placed.withColumn("_c", F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"]))))).drop("ranges")
+    return x.withColumns({"b1": F.least("own", "_c"), "b2": F.greatest("own", "_c"), "side": (F.col("own") > F.col("_c")).cast("int")}).drop("own", "_c")
 
-    A group of one block stays whole; those of more are dealt by a hash of rep.
-    """
+
+def _range(low: Column, high: Column) -> Column:
+    return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / BLOCK_WEIGHT).cast("int")
+
+
+def _first_places(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """Groups of one block stay whole; those of more meet only their pivots, which are block 0."""
     n = F.col("blocks")
-    x = rows.join(blocks, group).withColumn("_b", F.when(n > 1, F.pmod(F.xxhash64("rep"), n).cast("int")).otherwise(0))
-    x = x.withColumn("_c", F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
-    return x.withColumns({"b1": F.least("_b", "_c"), "b2": F.greatest("_b", "_c"), "side": (F.col("_b") > F.col("_c")).cast("int")}).drop("_b", "_c")
+    sized = rows.join(sizes, group)
+    own = F.when(n > 1, F.pmod(F.xxhash64("rep"), n) + 1).otherwise(0).cast("int")
+    members = sized.select(group, "rep", own.alias("own"), F.array(_range(F.lit(0), F.lit(0))).alias("ranges"))
+    light = sized.where((n > 1) & (F.col("weight") <= BLOCK_WEIGHT // PIVOTS))
+    light = light.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("rep"))).where(F.col("_k") <= PIVOTS)
+    return members.union(light.select(group, "rep", F.lit(0).alias("own"), F.array(_range(F.lit(1), n)).alias("ranges")))
+
+
+def _later_places(rows: DataFrame, group: str, many: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups of several blocks, dealt so that rows of one label, once they fill a block, are not compared again."""
+    keys = [group, "large", "label"]
+    named = rows.join(many.select(group), group).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(group, "rep", "weight", F.coalesce("component", "rep").alias("label"))
+    weights = named.groupBy(group, "label").agg(F.sum("weight").alias("weight")).withColumn("large", F.col("weight") >= BLOCK_WEIGHT)
+    label = F.when(F.col("large"), F.col("label")).otherwise(0).alias("label")
+    sections = weights.select(group, "large", label, "weight").groupBy(*keys).agg(_blocks(F.sum("weight")).alias("blocks"))
+    before = F.sum("blocks").over(Window.partitionBy(group).orderBy("large", "label")) - F.col("blocks")
+    sections = sections.withColumn("start", before.cast("int"))
+    other = sections.select(group, F.col("large").alias("_large"), F.col("label").alias("_label"), _range(F.col("start"), F.col("start") + F.col("blocks") - 1).alias("_range"))
+    meet = sections.join(other, group).where(~(F.col("large") & F.col("_large") & (F.col("label") == F.col("_label"))))
+    meet = meet.groupBy(*keys, "start", "blocks").agg(F.collect_list("_range").alias("ranges"))
+    placed = named.join(weights.select(group, "label", "large"), [group, "label"]).select(group, "rep", "large", label).join(meet, keys)
+    return placed.select(group, "rep", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int").alias("own"), "ranges")
+
+
+def _components(rows: DataFrame, group: str, compare: Callable[[DataFrame], DataFrame], scratch: Scratch, what: str) -> DataFrame:
+    """(node, component) of the links that ``compare`` finds in the groups of ``rows`` (group, rep, weight).
+
+    Large groups are first compared with their pivots only; what this joins is not compared again.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), _blocks(F.sum("weight")).alias("blocks")).where("n > 1").drop("n")
+    sizes = scratch.table(sizes, f"{what}-sizes")
+    first = connected_components(compare(_first_places(rows, group, sizes)), scratch, f"{what}-first")
+    many = sizes.where("blocks > 1")
+    if many.isEmpty():
+        return first
+    links = scratch.table(compare(_later_places(rows, group, many, first)), f"{what}-links")
+    if links.isEmpty():
+        return first
+    return connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), scratch, what)
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
@@ -297,23 +347,31 @@ def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> Da
     sketch, reps = _representatives(scratch.table(sketch, "sketch"), scratch)
 
     posted = reps.select("rep", "sig").mapInArrow(_postings(COORDINATES - matches + 1), "key long, rep long")
-    posted = scratch.table(posted, "postings")
-    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int")).drop("n")
-    lists = _in_blocks(posted, "key", scratch.table(sizes, "lists")).join(reps.select("rep", "sig"), "rep")
-    clusters = connected_components(_dealt(lists, "key").mapInArrow(_candidates(matches), "u long, v long"), scratch, "clusters")
-    scratch.drop("postings", "lists")
+    posted = scratch.table(posted, "postings").withColumn("weight", F.lit(BLOCK_WEIGHT // LIST_BLOCK).cast("long"))
+
+    def agreeing(placed: DataFrame) -> DataFrame:
+        lists = _spread(placed).join(reps.select("rep", "sig"), "rep")
+        return _dealt(lists, "key").mapInArrow(_candidates(matches), "u long, v long")
+
+    clusters = _components(posted, "key", agreeing, scratch, "clusters")
+    scratch.drop("postings", "clusters-sizes")
 
     heads = clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()
     member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).union(heads)
     member = scratch.table(member.join(reps.drop("sig"), "rep").select("rep", "cluster", "n_shingles", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.tid").alias("tid")).alias("row")), "members")
-    sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
     own = texts.select(F.struct("doc_id", "tid").alias("row"), "text")  # a struct may hold a null
-    full = own.join(member.drop("n_shingles").hint("merge"), "row")
-    full = full.groupBy("rep", "cluster").agg(F.first("text").alias("text"))  # of repeated rows one
-    full = full.mapInArrow(_shingle_rows(shingle), "rep long, cluster long, shingles binary")
-    links = _dealt(_in_blocks(full, "cluster", scratch.table(sizes, "sizes")), "cluster").mapInArrow(_confirm(percent), "u long, v long")
-    groups = connected_components(links, scratch, "groups")
-    scratch.drop("sizes", "members")
+    weighed = member.select("cluster", "rep", F.greatest(F.lit(BLOCK_WEIGHT // CLUSTER_BLOCK), "n_shingles").alias("weight"))
+
+    def alike(placed: DataFrame) -> DataFrame:
+        spots = placed.groupBy("rep").agg(F.collect_list(F.struct("own", "ranges")).alias("spots"))  # two at most
+        full = own.join(member.select("rep", "cluster", "row").join(spots, "rep").hint("merge"), "row")
+        full = full.groupBy("rep", "cluster").agg(F.first("text").alias("text"), F.first("spots").alias("spots"))  # of repeated rows one
+        full = full.mapInArrow(_shingle_rows(shingle), f"rep long, cluster long, spots {spots.schema['spots'].dataType.simpleString()}, shingles binary")
+        blocks = _spread(full.select("rep", "cluster", "shingles", F.inline("spots")))
+        return _dealt(blocks, "cluster").mapInArrow(_confirm(percent), "u long, v long")
+
+    groups = _components(weighed, "cluster", alike, scratch, "groups")
+    scratch.drop("groups-sizes", "members")
 
     named = reps.select("rep", F.col("first.doc_id").alias("low")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
