@@ -114,8 +114,8 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert got == {k: v[1] for k, v in near_groups(rows, 3, 85).items()}
 
 
-def test_groups_that_no_pivot_joins_lose_no_link(spark, monkeypatch):
-    """A chain of small steps and two templates, in blocks smaller than any of them, with one pivot."""
+def test_a_chain_and_two_templates_in_small_blocks_lose_no_link(spark, monkeypatch):
+    """A chain of small steps and two templates, in blocks smaller than any of them."""
     rng = np.random.default_rng(5)
     rows, w = [], words(rng, 120).split()
     for i in range(50):  # each is alike to its neighbours in the chain only
@@ -129,35 +129,12 @@ def test_groups_that_no_pivot_joins_lose_no_link(spark, monkeypatch):
             for k in rng.integers(0, len(x), rng.integers(0, 4)):
                 x[k] = f"e{t}_{i}_{k}"
             rows.append((100 * (t + 1) + i, " ".join(x)))
-    for name, value in (("LIST_BLOCK", 4), ("CLUSTER_BLOCK", 4), ("PIVOTS", 1)):
+    for name, value in (("LIST_BLOCK", 4), ("CLUSTER_BLOCK", 4)):
         monkeypatch.setattr(neardup, name, value)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
     assert got == {k: v[1] for k, v in near_groups(rows, 3, 85).items()}
 
 
-def test_later_places_leave_out_joined_parts_only(spark):
-    """Every pair of rows of different labels meets once; blocks of one large label never meet."""
-    heavy = neardup.BLOCK_WEIGHT // 4
-    labels = {r: (0 if r < 20 else 20 if r < 32 else r) for r in range(40)}
-    rows = spark.createDataFrame([(7, r, heavy) for r in labels], "key long, rep long, weight long")
-    many = spark.createDataFrame([(7, 10)], "key long, blocks int")
-    named = spark.createDataFrame([(r, c) for r, c in labels.items() if r != c], "node long, component long")
-    placed = neardup._spread(neardup._later_places(rows, "key", many, named)).collect()
-    tasks = collections.defaultdict(list)
-    for r in placed:
-        tasks[r.b1, r.b2].append((r.side, r.rep))
-    met = collections.Counter()
-    for (b1, b2), members in tasks.items():
-        for i, (s, a) in enumerate(members):
-            met.update(frozenset((a, b)) for t, b in members[:i] if b1 == b2 or s != t)
-    for a in labels:
-        for b in range(a):
-            n = met[frozenset((a, b))]
-            assert n == 1 if labels[a] != labels[b] else n == 0 and labels[a] in (0, 20)
-    one = spark.createDataFrame([(r, 0) for r in range(1, 40)], "node long, component long")
-    assert neardup._later_places(rows, "key", many, one).isEmpty()
-
-
 def test_dedup_keeps_one_of_each_group_and_all_columns(spark, corpus):
     docs = spark.createDataFrame(corpus, SCHEMA).withColumn("component_id", F.lit("mine")).withColumn("kept", F.lit(7))
     out = neardup.dedup_near(docs, 3, 85)
