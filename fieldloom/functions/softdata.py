@@ -47,8 +47,10 @@ def area(limi: Column, p: Column) -> Column:
 
 
 def normalise(limi: Column, p: Column) -> Column:
-    a = area(limi, p)
-    return F.transform(p, lambda v: v / a)
+    def each(q: Column) -> Column:
+        return _once(_once(limi, lambda m: area(m, q)), lambda a: F.transform(q, lambda v: v / a))
+
+    return _once(p, each)
 
 
 def gaussian_limits(mean: Column, var: Column) -> Column:
@@ -149,11 +151,29 @@ def density_at(limi: Column, p: Column, v: Column, kind: int = 2) -> Column:
     return F.when(inside, value).otherwise(0.0)
 
 
-def offset(limi: Column, by: Column) -> Column:
-    """Limits less a trend."""
+def offset(limi: Column, by: Column, kind: int = 2) -> Column:
+    """Limits less a trend; those of types 3 and 4 are start, step and end, and the step stays."""
+    if kind in (3, 4):
+        return F.transform(limi, lambda v, i: F.when(i == 1, v).otherwise(v - by))
     return F.transform(limi, lambda v: v - by)
 
 
+def even_limits(limi: Column) -> Column:
+    """All limits of types 3 and 4 (start, step, end), which makes them types 1 and 2."""
+    start, step, end = (F.get(limi, F.lit(i)) for i in range(3))
+    return F.transform(F.sequence(F.lit(0), F.round((end - start) / step).cast("int")), lambda i: start + i * step)
+
+
+def as_linear(kind: Column, limi: Column, p: Column, mean_: Column, var: Column) -> Column:
+    """The normalised record of type 2 of a datum of type 2 (its limits) or 10 (its mean and variance)."""
+    gaussian = record(F.lit(2), gaussian_limits(mean_, var), gaussian_density(mean_, var))
+    return F.when(kind == 10, gaussian).when(kind == 2, record(F.lit(2), limi, normalise(limi, p)))
+
+
 def record(kind: Column, limi: Column, p: Column) -> Column:
     """The normalised record of a soft datum."""
-    return F.struct(kind.cast("int").alias("pdf_type"), F.size(limi).alias("nl"), limi.alias("limi"), p.alias("probdens"), mean(limi, p).alias("mean"), variance(limi, p).alias("var"))
+
+    def made(m: Column, q: Column) -> Column:
+        return F.struct(kind.cast("int").alias("pdf_type"), F.size(m).alias("nl"), m.alias("limi"), q.alias("probdens"), mean(m, q).alias("mean"), variance(m, q).alias("var"))
+
+    return _once(limi, lambda m: _once(p, lambda q: made(m, q)))

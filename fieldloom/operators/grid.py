@@ -85,6 +85,14 @@ def stack(hard: DataFrame, soft: DataFrame) -> DataFrame:
     return hard.withColumn("kind", F.lit("hard")).unionByName(soft.withColumn("kind", F.lit("soft")), allowMissingColumns=True)
 
 
+def stack_soft(a: DataFrame, b: DataFrame, kind_a: int, kind_b: int) -> DataFrame:
+    """Two sets of soft data of one type, first ``a``; arrays keep their own width, which ``nl`` tells."""
+    if kind_a != kind_b:
+        raise ValueError(f"soft data of types {kind_a} and {kind_b} cannot be one set")
+    both = a.withColumn("part", F.lit(1)).unionByName(b.withColumn("part", F.lit(2)))
+    return both.withColumns({"pdf_type": F.lit(kind_a), "nl": F.size("limi")})
+
+
 def identical_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Ids of rows of equal coordinates in two sets."""
     return a.select(F.col("row_id").alias("a_id"), *CELL).join(b.select(F.col("row_id").alias("b_id"), *CELL), CELL).select("a_id", "b_id")

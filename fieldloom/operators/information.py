@@ -87,6 +87,16 @@ def maximum_entropy(target: np.ndarray, low: float, high: float, points: int = 4
     return x, p / w
 
 
+def density_cdf(x: np.ndarray, p: np.ndarray, at: np.ndarray, low: float) -> np.ndarray:
+    """Distribution function at values of a density known at sorted ``x`` above ``low``, linear between and level before the first."""
+    if x[0] > low:
+        x, p = np.r_[low, x], np.r_[p[0], p]
+    area = np.r_[0, np.cumsum((p[1:] + p[:-1]) / 2 * np.diff(x))]
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    d = np.clip(at, x[0], x[-1]) - x[i]
+    return (area[i] + d * (p[i] + d * (p[i + 1] - p[i]) / (x[i + 1] - x[i]) / 2)) / area[-1]
+
+
 def maximum_entropy_pair(mean: np.ndarray, cov: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bivariate density of most entropy with given means and covariances (a Gaussian) on a mesh."""
     d = np.stack([x[:, None] - mean[0] + 0 * y[None, :], 0 * x[:, None] + y[None, :] - mean[1]], -1)

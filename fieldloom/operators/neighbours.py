@@ -77,6 +77,17 @@ def pairs_between(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return both.select("a_id", "b_id", F.sqrt(dx * dx + dy * dy).alias("ds"), F.atan2(dy, dx).alias("azimuth")).where(F.col("ds") <= radius)
 
 
+def pair_products(rows: DataFrame, keys: list[str], order: str, value: str, include: bool = True) -> DataFrame:
+    """(keys, a_order, b_order, product) of all pairs of values of one key, with themselves too if ``include``.
+
+    The pairs of a key are as many as asked for; whole tables are paired within keys by an equi-join.
+    """
+    a = rows.select(*keys, F.col(order).alias(f"a_{order}"), F.col(value).alias("_a"))
+    b = rows.select(*keys, F.col(order).alias(f"b_{order}"), F.col(value).alias("_b"))
+    low, high = F.col(f"a_{order}"), F.col(f"b_{order}")
+    return a.join(b, keys).where(low <= high if include else low < high).select(*keys, low, high, (F.col("_a") * F.col("_b")).alias("product"))
+
+
 def sphere_radius(dmax_s: float, dmax_t: float, ratio: float) -> float:
     return (dmax_s**2 + (dmax_t * ratio) ** 2) ** 0.5
 

@@ -149,6 +149,35 @@ def R9_soft_residual(spark, d):
     return rounded(s, 7)
 
 
+@query(SOFT + " SELECT x, y, t, round(low - 10.5, 6) AS start, round((up - low) / 8, 6) AS step, round(up - 10.5, 6) AS stop, 9 AS nl, round((low + up) / 2 - 10.5, 6) AS middle FROM soft")
+def R15_soft_offset_even(spark, d):
+    """Densities on even limits: start, step, end; all limits of the shifted ones."""
+    limi = softdata.offset(F.array("low", (F.col("up") - F.col("low")) / 8, "up"), F.lit(10.5), 3)
+    s = soft(spark, d).select("x", "y", "t", limi.alias("limi")).withColumn("all", softdata.even_limits(F.col("limi")))
+    return rounded(s.select("x", "y", "t", *(F.get("limi", F.lit(i)).alias(n) for i, n in enumerate(("start", "step", "stop"))), F.size("all").alias("nl"), F.get("all", F.lit(4)).alias("middle")), 6)
+
+
+@query(SOFT + " SELECT 1 AS part, x, y, t, 2 AS pdf_type, 13 AS nl, round(mean - 3.719 * sqrt(var), 6) AS low, round(mean + 3.719 * sqrt(var), 6) AS up FROM soft UNION ALL SELECT 2, x, y, t, 2, 5, round(low, 6), round(up, 6) FROM soft")
+def R14_soft_stack(spark, d):
+    """Gaussian and uniform densities of 13 and 5 limits in one set."""
+    s = soft(spark, d)
+    cell = ["x", "y", "t"]
+    m, v, low, up = (F.col(c) for c in ("mean", "var", "low", "up"))
+    a = s.select(*cell, softdata.gaussian_limits(m, v).alias("limi"), softdata.gaussian_density(m, v).alias("probdens"))
+    b = s.select(*cell, softdata.uniform_limits(low, up).alias("limi"), softdata.uniform_density(low, up).alias("probdens"))
+    both = grid.stack_soft(a, b, 2, 2)
+    return rounded(both.select("part", *cell, "pdf_type", "nl", F.element_at("limi", 1).alias("low"), F.element_at("limi", -1).alias("up")), 6)
+
+
+@query(POLYGON + " SELECT x, y, t, 10 AS was, count(*) AS nl, round(min(l), 6) AS low, round(max(l), 6) AS up, round(max(p), 6) AS peak FROM poly GROUP BY x, y, t UNION ALL SELECT x, y, t, 2, 2, round(low, 6), round(up, 6), round(1 / (up - low), 6) FROM soft")
+def P10_as_linear(spark, d):
+    """Gaussian data and uniform data of two limits as records of linear densities."""
+    s = soft(spark, d).withColumns({"was": F.explode(F.array(F.lit(10), F.lit(2))), "limi": F.array("low", "up"), "p": F.array(F.lit(7.0), F.lit(7.0))})
+    s = s.withColumn("pdf", softdata.as_linear(F.col("was"), F.col("limi"), F.col("p"), F.col("mean"), F.col("var")))
+    limi = F.col("pdf.limi")
+    return rounded(s.select("x", "y", "t", "was", F.col("pdf.nl").cast("long").alias("nl"), F.element_at(limi, 1).alias("low"), F.element_at(limi, -1).alias("up"), F.array_max("pdf.probdens").alias("peak")), 6)
+
+
 @query(OBS + " SELECT row_id, x, y, t, z FROM obs WHERE x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 6 AND t BETWEEN 3 AND 20")
 def R10_bbox(spark, d):
     return grid.bounding_box(obs(spark, d), (2, 9), (1, 6), (3, 20))
@@ -408,6 +437,12 @@ def N6_pairs_between(spark, d):
     return rounded(neighbours.pairs_between(s, grid7(spark).select(F.col("k_id").alias("id"), "x", "y"), 2.2), 6)
 
 
+@query(CELLS + " SELECT x, y, a.t AS a_t, b.t AS b_t, round(a.z * b.z, 4) AS product FROM cells a JOIN cells b USING (x, y) WHERE a.t <= b.t")
+def N7_pair_products(spark, d):
+    """Products of the values of all pairs of days of a site, each with itself too."""
+    return rounded(neighbours.pair_products(cells(spark, d), ["x", "y"], "t", "z"))
+
+
 # Trends
 
 
@@ -426,6 +461,16 @@ def T4_stmean_smoothed(spark, d):
     return rounded(trend.stmean_smoothed(cells(spark, d), 3.3, 4.0, 4.0, 5.0)[0].select("x", "y", "mss"))
 
 
+@query(CELLS + ", m AS (SELECT t, avg(z) AS m FROM cells GROUP BY t) SELECT a.t, round(any_value(a.m), 4) AS mt, round(sum(power(1 - power(abs(a.t - b.t) / 5.0, 3), 3) * b.m) / sum(power(1 - power(abs(a.t - b.t) / 5.0, 3), 3)), 4) AS mts FROM m a, m b WHERE abs(a.t - b.t) <= 4 GROUP BY a.t")
+def T4_time_means_smoothed(spark, d):
+    return rounded(trend.stmean_smoothed(cells(spark, d), 3.3, 4.0, 4.0, 5.0)[1])
+
+
+@query(SITES + " SELECT a.x, a.y, round(sum(power(1 - ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 16.0, 2) * b.z) / sum(power(1 - ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 16.0, 2)), 4) AS mss FROM sites a, sites b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3.3 GROUP BY a.x, a.y")
+def T4_site_means_bicube(spark, d):
+    return rounded(trend.stmean_smoothed(cells(spark, d), 3.3, 4.0, 4.0, 5.0, "bicube")[0].select("x", "y", "mss"))
+
+
 KERNEL_SQL = "exp(-3 * (((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4.0 + (a.t - b.t) ** 2 / 4.0))"
 
 
@@ -459,10 +504,22 @@ def T15_additive_linear(spark, d):
     return rounded(trend.additive_fit(c, "z", linear=["t"], ridge=0.0)[1](c).select("x", "y", "t", "fit"), 2)
 
 
-@query(CELLS + ", s AS (SELECT CAST(y * 15 + x AS BIGINT) AS id, t, z FROM cells), l AS (SELECT id, t, z AS l0, lag(z, 1) OVER w AS l1, lag(z, 2) OVER w AS l2 FROM s WINDOW w AS (PARTITION BY id ORDER BY t)) SELECT id, t, round(l0 + l1 + l2, 4) AS cb_0_0, round(0.5 * l1 + l2, 4) AS cb_0_1 FROM l WHERE l2 IS NOT NULL")
+@query(CELLS + " SELECT x, y, t, round(avg(z) OVER (PARTITION BY CAST(t AS INT) % 7), 3) AS fit FROM cells")
+def T15_additive_factor(spark, d):
+    """One factor without penalty: the fit is the mean of its level."""
+    c = cells(spark, d).withColumn("day", F.col("t").cast("int") % 7)
+    return rounded(trend.additive_fit(c, "z", factors={"day": list(range(7))}, ridge=0.0)[1](c).select("x", "y", "t", "fit"), 3)
+
+
+_BASIS_SQL = ("{v}", "{v} * {v}", "{v} * {v} * {v}", "power(greatest({v} - 0.5, 0), 3)")
+_CROSS_SQL = ", ".join("round(" + " + ".join(f"{f.format(v=f'l{k}')} * {float((k / 2) ** j)}" for k in range(3)) + f", 5) AS cb_{i}_{j}" for j in range(3) for i, f in enumerate(_BASIS_SQL))
+
+
+@query(CELLS + f", s AS (SELECT CAST(y * 15 + x AS BIGINT) AS id, t, z / 97.0 AS z FROM cells), l AS (SELECT id, t, z AS l0, lag(z, 1) OVER w AS l1, lag(z, 2) OVER w AS l2 FROM s WINDOW w AS (PARTITION BY id ORDER BY t)) SELECT id, t, {_CROSS_SQL} FROM l WHERE l2 IS NOT NULL")
 def T16_cross_basis(spark, d):
-    s = cells(spark, d).select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "t", "z")
-    return rounded(trend.cross_basis(s, "z", 2, [50.0]).where("lag2 is not null").select("id", "t", "cb_0_0", "cb_0_1"))
+    """All twelve columns, four splines of the value by three powers of the lag; in units that leave no ties to round."""
+    s = cells(spark, d).select((F.col("y") * 15 + F.col("x")).cast("long").alias("id"), "t", (F.col("z") / 97.0).alias("z"))
+    return rounded(trend.cross_basis(s, "z", 2, [0.5]).where("lag2 is not null").select("id", "t", *(f"cb_{i}_{j}" for j in range(3) for i in range(4))), 5)
 
 
 # Covariance
@@ -939,6 +996,13 @@ def X5_moments(spark, d):
     return m.select(r("m1", "m1", 5), r("c2", "c2"), r("c3", "c3", 2), r("c4", "c4", 1), r("mean_log", "mean_log", 5), r("cross", "cross", 5))
 
 
+@query("WITH m AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem) SELECT " + ", ".join(f"round(avg(power((l_quantity - m) / s, {k})), 4) AS s{k}" for k in range(3, 11)) + " FROM lineitem, m")
+def X5_moments_to_ten(spark, d):
+    """Central moments 3 to 10 in units of the standard deviation."""
+    m = information.moments(spark.read.parquet(f"{d}/lineitem.parquet"), "l_quantity")
+    return m.select(*(r(F.col(f"c{k}") / F.pow("c2", F.lit(k / 2)), f"s{k}") for k in range(3, 11)))
+
+
 @query()
 def X4_maximum_entropy(spark, d):
     """Density of most entropy with the first two moments of event values, scaled to their own range."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import models, softdata
 from fieldloom.functions.models import Component
-from fieldloom.operators import bme, covariance, decompose, grid, information, interpolate, trend
+from fieldloom.operators import bme, covariance, decompose, grid, information, interpolate, neighbours, trend
 from fieldloom.plans import fit, validate
 from fieldloom.sources import observations
 
@@ -301,3 +301,37 @@ def test_three_dimensional_anisotropy(spark):
     assert list(u.first()) == pytest.approx((axes @ [1, -2, 3] / [1, 0.5, 0.25]).tolist())
     back = u.select(*models.to_anisotropic_3d(F.col("u"), F.col("v"), F.col("w"), angles, ratios)).first()
     assert list(back) == pytest.approx([1, -2, 3])
+
+
+def test_distribution_function_of_a_density():
+    x = np.linspace(0.05, 1, 20)
+    at = np.array([-1.0, 0.0, 0.03, 0.3, 0.77, 1.0, 2.0])
+    assert information.density_cdf(x, np.full(20, 3.0), at, 0.0) == pytest.approx(np.clip(at, 0, 1))
+    x = np.linspace(0.0, 1, 400)
+    assert information.density_cdf(x, 2 * x, at, 0.0) == pytest.approx(np.clip(at, 0, 1) ** 2, abs=1e-9)
+
+
+def test_soft_sets_of_two_types_are_refused(spark):
+    a = spark.createDataFrame([(1, [0.0, 1.0])], "row_id long, limi array<double>")
+    assert grid.stack_soft(a, a.limit(0), 1, 1).count() == 1
+    with pytest.raises(ValueError):
+        grid.stack_soft(a, a, 1, 2)
+
+
+def test_pair_products_without_self(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 4, None), ("b", 1, 5.0)], "k string, t int, z double")
+    got = sorted((r.k, r.a_t, r.b_t, r.product) for r in neighbours.pair_products(rows, ["k"], "t", "z", include=False).collect())
+    assert got == [("a", 1, 2, 6.0), ("a", 1, 4, None), ("a", 2, 4, None)]
+
+
+def test_additive_model_with_spline_factor_and_penalty_by_dense_equations(spark):
+    rng = np.random.default_rng(3)
+    u, v, f = rng.uniform(0, 1, 300), rng.uniform(0, 4, 300), rng.integers(0, 3, 300)
+    z = 2 * u + np.sin(v) + np.array([0.0, 0.7, -0.4])[f] + rng.normal(0, 0.05, 300)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c), float(d)) for i, (a, b, c, d) in enumerate(zip(u, v, f, z, strict=True))], "i long, u double, v double, f int, z double")
+    x = np.stack([np.ones(300), u, v, v * v, v**3, np.maximum(v - 1.5, 0) ** 3, np.maximum(v - 3, 0) ** 3, f == 1, f == 2], 1)
+    g = x.T @ x
+    want = np.linalg.solve(g + 0.01 * np.diag(np.diag(g)), x.T @ z)
+    beta, predict = trend.additive_fit(df, "z", ["u"], {"v": [1.5, 3.0]}, {"f": [0, 1, 2]}, ridge=0.01)
+    assert beta == pytest.approx(want, rel=1e-6, abs=1e-8)
+    assert [r.fit for r in predict(df).orderBy("i").collect()] == pytest.approx(x @ want, rel=1e-6)
