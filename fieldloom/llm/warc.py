@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Scratch, fresh_path
+from fieldloom.llm.textkit import release
 
 READ_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -123,6 +124,8 @@ def _writer(base: str):
         if out is not None:
             out.close()
         yield _index_batch(index)
+        index, b = [], None
+        release()
 
     return run
 
@@ -179,7 +182,9 @@ def _reader(gap: int, bodies: bool):
                         raw = f.read_at(end - start, start)
                         rows = [decode_record(raw[offsets[i + k] - start : offsets[i + k] - start + lengths[i + k]]) for k in own]
                         yield _record_batch(rows, bodies)
+                        raw, rows = b"", []
                 i = j
+        release()
 
     return run
 
