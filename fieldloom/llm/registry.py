@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, chat, decontaminate, neardup, ngram_lm, oracles, packing, substring_dedup, toxicity, urlrank, warc
+from fieldloom.llm import ann, chat, decontaminate, filter_audit, hard_negatives, neardup, ngram_lm, oracles, packing, quality, substring_dedup, toxicity, urlrank, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,10 +86,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for all documents; the target is those labelled as of quality."""
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters removes, for each language."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("part"))
+    return filter_audit.audit(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for every vector whose id is divisible by 100; labels of every seventh are shifted first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.clean_rows(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+_QUERIES = (
+    op1_chat_windows, op2_multi_index_ann, op3_kneser_ney, op4_url_filter, op5_toxicity, op6_minhash_neardup, op7_bestfit_packing,
+    op8_decontaminate, op9_substring_dedup, op10_warc, op11_quality_rules, op12_filter_audit, op13_hard_negatives,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_windows, op2_multi_index_ann, op3_kneser_ney, op4_url_filter, op5_toxicity, op6_minhash_neardup, op7_bestfit_packing, op8_decontaminate, op9_substring_dedup, op10_warc)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the operators whose results SQL can express; tests compare the others with brute force."""
-    return {"op6_minhash_neardup": oracles.OP6, "op8_decontaminate": oracles.OP8, "op9_substring_dedup": oracles.OP9, "op10_warc": oracles.OP10}
+    return {"op6_minhash_neardup": oracles.OP6, "op8_decontaminate": oracles.OP8, "op9_substring_dedup": oracles.OP9, "op10_warc": oracles.OP10, "op11_quality_rules": oracles.OP11, "op12_filter_audit": oracles.OP12, "op13_hard_negatives": oracles.OP13}

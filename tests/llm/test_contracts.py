@@ -21,7 +21,7 @@ def table(spark, sf, name, *columns):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = registry.queries()[name](spark, SMALL)
     cur = con.execute(registry.oracle_sql()[name])
