@@ -13,8 +13,7 @@ For the default 32 coordinates of 3 and a threshold of 7 matches a pair at J = 0
 with probability 1e-6 (at J = 0.80, with the 4 matches ``matches_for`` gives, 2e-6).
 
 Candidates are never handed on as pairs.  Documents with equal sets - of one size and two equal
-64-bit sums over all shingles - are one representative; should two of these get one number of 64
-bits, all are numbered anew;
+64-bit sums over all shingles - are one representative, with a number of its own;
 a list of agreeing documents gives its components as stars; the connected components of all
 stars are clusters, each a superset of the true groups in it.  Within a cluster the full
 shingle sets are compared exactly, and again only stars of the confirmed links leave the task.  Long lists and large clusters are cut into blocks and every pair of
@@ -45,6 +44,8 @@ from fieldloom.llm.shared import Scratch, shuffle_partitions
 COORDINATES, ROWS = 32, 3
 LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 192, 1 << 20
 MATRIX_COLUMNS = 4096
+#: Equal of equal sets alone, but for a chance of 2**-128 a pair.
+_KEY = ("n_shingles", "f1", "f2")
 _MULTIPLIERS = tk.mix(np.arange(1, COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -275,18 +276,11 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(4 * shuffle_partitions(spark), group, "b1", "b2").sortWithinPartitions(group, "b1", "b2", "side", "rep")
 
 
-def _representatives(sketch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(sketch with rep, a number of its set; one row a set: rep, its first row that has a doc_id, size, signature)."""
-    salt = 0
-    while True:
-        numbered = sketch.withColumn("rep", F.xxhash64("n_shingles", "f1", "f2", F.lit(salt)))
-        one = F.struct("n_shingles", "f1", "f2")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "tid")).alias("first")
-        reps = numbered.where("n_shingles > 0").groupBy("rep").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), (F.min(one) != F.max(one)).alias("_two"))
-        reps = scratch.table(reps, f"reps-{salt}")
-        if reps.where("_two").isEmpty():
-            return numbered, reps.drop("_two")
-        salt += 1
+def _representatives(sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row a set: its key, ``rep`` (any number of its own), its first row that has a doc_id, signature."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "tid")).alias("first")
+    reps = sketch.where("n_shingles > 0").groupBy(*_KEY).agg(first, F.first("sig").alias("sig"))
+    return scratch.table(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # written, so a number stays
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -294,7 +288,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> Da
     matches = matches_for(percent / 100)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
     sketch = texts.mapInArrow(_sketch(shingle), "doc_id long, tid long, n_shingles long, f1 long, f2 long, sig binary")
-    sketch, reps = _representatives(scratch.table(sketch, "sketch"), scratch)
+    sketch = scratch.table(sketch, "sketch")
+    reps = _representatives(sketch, scratch)
 
     posted = reps.select("rep", "sig").mapInArrow(_postings(COORDINATES - matches + 1), "key long, rep long")
     posted = scratch.table(posted, "postings")
@@ -315,10 +310,10 @@ def _judged(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> Da
     groups = connected_components(links, scratch, "groups")
     scratch.drop("sizes", "members")
 
-    named = reps.select("rep", F.col("first.doc_id").alias("low")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
+    named = reps.select("rep", *_KEY, F.col("first.doc_id").alias("low")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*_KEY, "low", F.coalesce("component", "rep").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = scratch.table(named.join(lowest, "component").select("rep", "component_id"), "named")
-    out = sketch.select("doc_id", "tid", "n_shingles", "rep").join(named, "rep", "left")
+    named = scratch.table(named.join(lowest, "component").select(*_KEY, "component_id"), "named")
+    out = sketch.select("doc_id", "tid", *_KEY).join(named, list(_KEY), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "tid", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

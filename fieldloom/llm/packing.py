@@ -99,6 +99,7 @@ class CachedTokenizer:
     def _clear(self) -> None:
         self.number: dict[int, int] = {}
         self.ids, self.off = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.raw, self.raw_off = np.empty(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
         self.n = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -115,21 +116,23 @@ class CachedTokenizer:
             text = data[tk.ragged(begin[joint], size)].tobytes().decode()
             ids = np.array(self.quick.encode_ordinary(text), np.uint32)
             cut = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(size)) + 1
-            self._append(keys[joint], ids, np.diff(np.r_[0, cut]))
+            self._append(keys[joint], ids, np.diff(np.r_[0, cut]), data, begin[joint], end[joint])
         if not joint.all():
             own = self._encode([data[b:e].tobytes().decode() for b, e in zip(begin[~joint].tolist(), end[~joint].tolist(), strict=True)])
-            self._append(keys[~joint], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own]))
-
-    def _append(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        base = int(self.off[self.n])
-        if base + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (base + len(ids)))
-        if self.n + len(keys) + 1 > len(self.off):
-            self.off = np.resize(self.off, 2 * (self.n + len(keys) + 1))
-        self.ids[base : base + len(ids)] = ids
-        self.off[self.n + 1 : self.n + len(keys) + 1] = base + np.cumsum(count)
-        self.number.update(zip(keys.tolist(), range(self.n, self.n + len(keys)), strict=True))
-        self.n += len(keys)
+            self._append(keys[~joint], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own]), data, begin[~joint], end[~joint])
+
+    def _append(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        last = self.n + len(keys)
+        for values, off, new, size in (("ids", "off", ids, count), ("raw", "raw_off", data[tk.ragged(begin, end - begin)], end - begin)):
+            base = int(getattr(self, off)[self.n])
+            if base + len(new) > len(getattr(self, values)):
+                setattr(self, values, np.resize(getattr(self, values), 2 * (base + len(new))))
+            if last + 1 > len(getattr(self, off)):
+                setattr(self, off, np.resize(getattr(self, off), 2 * (last + 1)))
+            getattr(self, values)[base : base + len(new)] = new
+            getattr(self, off)[self.n + 1 : last + 1] = base + np.cumsum(size)
+        self.number.update(zip(keys.tolist(), range(self.n, last), strict=True))
+        self.n = last
 
     def chunk(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a chunk, their offsets)."""
@@ -176,7 +179,24 @@ class CachedTokenizer:
             at = first[new]
             self._learn(u[new], c.data, begin[at], end[at])
             number[new] = [known[k] for k in u[new].tolist()]
-        return begin, end, doc, odd, number[inverse]
+        number = number[inverse]
+        other = self._differs(c, begin, end, number)
+        if other.any():  # a hash that two pieces share
+            odd = sorted({*odd, *doc[other].tolist()})
+            plain = ~np.isin(doc, odd)
+            begin, end, doc, number = begin[plain], end[plain], doc[plain], number[plain]
+        return begin, end, doc, odd, number
+
+    def _differs(self, c: tk.Chunk, begin: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the bytes of pieces are not those kept under their numbers."""
+        size = end - begin
+        out = self.raw_off[number + 1] - self.raw_off[number] != size
+        same = np.flatnonzero(~out & (size > 0))
+        if len(same):
+            size = size[same]
+            wrong = c.data[tk.ragged(begin[same], size)] != self.raw[tk.ragged(self.raw_off[number[same]], size)]
+            out[same] = np.add.reduceat(wrong, np.r_[0, np.cumsum(size)[:-1]]) > 0
+        return out
 
     def _chunk(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
         begin, end, doc, odd, number = self._looked_up(c)

@@ -1,8 +1,12 @@
 """Word positions and hashes of whole texts, vectorised over Arrow buffers.
 
 A chunk is a run of whole documents of about ``CHUNK_BYTES`` of UTF-8; one longer document
-is a chunk of its own.  Hashes are 64-bit and polynomial over table-mapped bytes, finished
-with a mixer, so equal words have equal hashes in every task.
+is a chunk of its own.  Hashes are 64-bit: a word's eight-byte lanes go one after the other
+through a mixer that permutes all 64-bit values (words of up to eight bytes and one length never
+collide), words beyond ``LONG_WORD`` bytes through a cryptographic digest; windows of words
+by joining hashes of half as many, mixed each time.  Equal words have equal hashes in every task.  No
+sum of powers is involved, so patterns of few letters are as far apart as any others: a pair of
+different words shares a hash with a chance of 2**-64, or 2**-64 for each of their lanes.
 
 Edge cases: null and empty texts are documents without words; a text of any length is one
 document, whose arrays take some 40 bytes a byte; an empty batch has no chunk.
@@ -11,6 +15,7 @@ document, whose arrays take some 40 bytes a byte; an empty batch has no chunk.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 from contextlib import suppress
 
@@ -19,14 +24,13 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
-_BASE, _WBASE = 0x9E3779B97F4A7C55, 0xD1B54A32D192ED03  # odd, so invertible modulo 2**64
-
-
-def _byte_table(lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-    if lower:
-        t[65:91] = t[97:123]
-    return t
+#: Longer words are hashed by a digest.
+LONG_WORD = 256
+_LENGTH, _LEFT, _STEP = U64(0xA24BAED4963EE407), U64(0x9E3779B97F4A7C55), U64(0xD1B54A32D192ED03)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of a lane that reaches beyond a word's end the bytes that belong to it.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,27 +43,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown when asked for more."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = U64(base), U64(pow(base, -1, 1 << 64)), 0
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            out = []
-            for b in (self.base, self.inverse):
-                p = np.full(self.n, b, U64)
-                p[0] = 1
-                out.append(np.multiply.accumulate(p))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WBASE)
-_TABLES = {lower: _byte_table(lower) for lower in (False, True)}
-
 #: Which bytes of UTF-8 belong to words.
 WS_WORD = np.ones(256, bool)
 WS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -89,13 +72,21 @@ class Chunk:
 
     def word_hashes(self, lower: bool) -> np.ndarray:
         """64-bit hash of each word's bytes; ``lower`` maps A-Z to a-z."""
-        if not len(self.starts):
-            return np.empty(0, U64)
-        up, down = _BYTES.get(len(self.data))
-        s = np.empty(len(self.data) + 1, U64)
-        s[0] = 0
-        np.cumsum(_TABLES[lower][self.data] * up, out=s[1:])
-        return mix((s[self.ends] - s[self.starts]) * down[self.starts])
+        size = self.ends - self.starts
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        lanes = np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))
+        h = mix(size.astype(U64) * _LENGTH)
+        far = size > LONG_WORD
+        todo, at = (np.flatnonzero(~far), 0) if far.any() else (slice(None), 0)
+        while len(left := size[todo] - at):
+            h[todo] = mix(h[todo] ^ (lanes[self.starts[todo] + at] & _MASKS[np.minimum(left, 8)]))
+            at += 8
+            todo = np.flatnonzero((size > at) & ~far) if at == 8 else todo[left > 8]
+        for i in np.flatnonzero(far).tolist():
+            digest = hashlib.blake2b(data[self.starts[i] : self.ends[i]], digest_size=8).digest()
+            h[i] = int.from_bytes(digest, "little")
+        return h
 
     def bytes_of(self, doc: int) -> bytes:
         return self.data[self.offsets[doc] : self.offsets[doc + 1]].tobytes()
@@ -105,11 +96,12 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive values; entry i covers i to i + n - 1."""
     if len(h) < n:
         return np.empty(0, U64)
-    up, down = _WORDS.get(len(h))
-    s = np.empty(len(h) + 1, U64)
-    s[0] = 0
-    np.cumsum(h * up, out=s[1:])
-    return mix((s[n:] - s[:-n]) * down[: len(h) - n + 1] + U64(n))
+    width = 1
+    while width < n:  # windows of the width and of step more share all but their ends
+        step = min(width, n - width)
+        h = mix(h[:-step] * _LEFT + mix(h[step:] ^ _STEP))
+        width += step
+    return mix(h + U64(n))
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:

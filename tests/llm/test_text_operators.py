@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -73,21 +74,81 @@ def test_near_duplicates_without_ids(spark):
     assert neardup.near_duplicates(docs.limit(0), 3, 85).count() == 0 and neardup.dedup_near(docs.limit(0)).count() == 0
 
 
-def test_sets_with_one_number_are_numbered_anew(spark, corpus, monkeypatch):
-    """Different sets whose 64-bit numbers collide are told apart."""
-    real = neardup.F.xxhash64
-    calls = []
+def test_sets_are_told_apart_by_size_and_both_sums(spark):
+    """Sets that clash in all but one part of their key get numbers of their own, in one round."""
+    keys = [(3, 7, 9), (3, 7, 8), (3, 6, 9), (4, 7, 9)]
+    rows = [(i, 100 + i, *keys[i % 4], b"x") for i in range(40)] + [(None, 1, 3, 7, 9, b"x"), (99, 2, 0, 0, 0, b"")]
+    sketch = spark.createDataFrame(rows, "doc_id long, tid long, n_shingles long, f1 long, f2 long, sig binary")
+    got = neardup._representatives(sketch, neardup.Scratch(spark, "test")).collect()
+    assert sorted((r.n_shingles, r.f1, r.f2, r.first.doc_id) for r in got) == sorted((*k, i) for i, k in enumerate(keys))
+    assert len({r.rep for r in got}) == 4
 
-    def narrow(*c):
-        if c[0] == "n_shingles" and not calls:
-            calls.append(1)
-            return F.pmod(real(*c), F.lit(3))
-        return real(*c)
 
-    monkeypatch.setattr(neardup.F, "xxhash64", narrow)
-    got = neardup.near_duplicates(spark.createDataFrame(corpus, SCHEMA), 3, 85).collect()
-    want = near_groups(corpus, 3, 85)
-    assert calls and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+def twins(n=1024):
+    """Two words of two letters that collide under every sum of powers modulo 2**64."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("length", [64, 255, 256, 257, 1024, 2048])
+def test_words_of_few_letters_have_their_own_hashes(length):
+    import pyarrow as pa
+
+    a, b = twins(length)
+    (c,) = textkit.column_chunks(pa.array([f"{a} {b} {a.upper()} ab{a} {a}"]))
+    h, low = c.words().word_hashes(False).tolist(), c.word_hashes(True).tolist()
+    assert h[0] == h[4] and len(set(h)) == 4 and low[0] == low[2] == low[4] and len(set(low)) == 3
+    x = np.array([1, 2], textkit.U64)[[i.bit_count() % 2 for i in range(4096)]]
+    w = textkit.window_hashes(textkit.mix(np.r_[x, x[::-1], 3 - x, x]), 1024)
+    assert w[0] == w[3 * 4096] and w[0] != w[2 * 4096]
+
+
+def test_hashes_of_words_by_place_and_length():
+    """A word's hash does not depend on what stands around it; all words of a page have their own."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    own = sorted({"".join(rng.choice(list("abé漢"), rng.integers(1, 40))) for _ in range(3000)})
+    (a,) = textkit.column_chunks(pa.array([" ".join(own)]))
+    (b,) = textkit.column_chunks(pa.array(["\t\n" + "  ".join(own[::-1])]))
+    ha, hb = a.words().word_hashes(False), b.words().word_hashes(False)
+    assert len(set(ha.tolist())) == len(own) and ha.tolist() == hb.tolist()[::-1]
+
+
+def test_words_of_few_letters_in_every_operator(spark):
+    """Documents that differ in one such word are different for all operators."""
+    a, b = twins()
+    frame = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*frame[:17], w, *frame[17:]]) for w in (a, b)]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], SCHEMA)
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(docs, window=35, digest=True).collect()] == [0, 0]
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()} == {(1, 1), (2, 2)}
+    item = spark.createDataFrame([("x", " ".join([*frame[15:17], a, *frame[17:20]]))], "item string, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, item, n=6).collect()} == {1: 6, 2: 0}
+    inner = packing.CachedTokenizer(registry.tokenizer_path()).inner
+    got = {r.doc_id: r for r in packing.pack(docs, registry.tokenizer_path(), with_ids=True).collect()}
+    for k, t in zip((1, 2), texts, strict=True):
+        want = np.array([*inner.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[k].length == len(want) and zlib.crc32(want.tobytes()) == got[k].ids_crc32
+    model = ngram_lm.train(docs.where("doc_id = 1"))
+    want, _, _ = kneser_ney([texts[0]], ngram_lm.ORDER)
+    for r in ngram_lm.score(docs, model).collect():
+        n, known, total, base, score = want(texts[r.doc_id - 1])
+        assert (r.n_tokens, r.n_known) == (n, known) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """The memo of pieces compares their bytes, so a shared hash changes no ids."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing.CachedTokenizer, "_hashes", lambda self, c, begin, end: (end - begin).astype(textkit.U64))
+    tok = packing.CachedTokenizer(registry.tokenizer_path())
+    texts = ["one two six", "ten two one", "", "a longer text of words", " one  one"]
+    for _ in range(2):
+        (c,) = textkit.column_chunks(pa.array(texts))
+        ids, off = tok.chunk(c)
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == tok.inner.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
