@@ -70,7 +70,7 @@ again AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5
 word AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
 hashed AS (SELECT s, {_crc32("s")} % 16384 AS h FROM (SELECT w AS s FROM word UNION SELECT right(w, 1) FROM word), tab),
 cell AS (SELECT r, i, a.h AS uni, b.h AS tail FROM word JOIN hashed a ON a.s = word.w JOIN hashed b ON b.s = right(word.w, 1)),
-feature AS (SELECT r, uni AS cell FROM cell UNION ALL SELECT a.r, (a.tail * 31321 + b.tail) % 16384 FROM cell a JOIN cell b ON b.r = a.r AND b.i = a.i + 1),
+feature AS (SELECT r, uni AS cell FROM cell UNION ALL SELECT a.r, (a.tail % 128) * 128 + b.tail % 128 FROM cell a JOIN cell b ON b.r = a.r AND b.i = a.i + 1),
 good AS (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 total AS (SELECT count(*) AS n_raw, count(*) FILTER (r IN (SELECT r FROM good)) AS n_own FROM feature),
 counted AS (SELECT cell, count(*) AS raw, count(*) FILTER (r IN (SELECT r FROM good)) AS own FROM feature GROUP BY cell),

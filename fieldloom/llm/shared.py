@@ -47,9 +47,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
-    def table(self, df: DataFrame, what: str) -> DataFrame:
+    def table(self, df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
         path = fresh_path(self.spark, f"{self.name}-{what}")
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         self.paths[what] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

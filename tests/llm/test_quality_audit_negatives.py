@@ -52,8 +52,8 @@ def base_counts(text):
 def features(text, buckets):
     w = SPACED.findall(text or "")
     cell = lambda x: zlib.crc32(x.encode()) % buckets
-    ends = [cell(x[-1]) for x in w]
-    return [cell(x) for x in w] + [(a * 31_321 + b) % buckets for a, b in itertools.pairwise(ends)]
+    ends = [cell(x[-1]) % 128 for x in w]
+    return [cell(x) for x in w] + [a * 128 + b for a, b in itertools.pairwise(ends)]
 
 
 def test_quality_by_brute_force(spark, rows, marks):
