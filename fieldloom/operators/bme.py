@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix
-from fieldloom.operators.interpolate import each_or_none, krige_many, neighbour_stacks
+from fieldloom.operators.interpolate import covariance_stack, each_or_none, krige_many, neighbour_stacks
 from fieldloom.operators.neighbours import nearest
 
 CELL = ["x", "y", "t"]
 SOFT = ["pdf_type", "limi", "probdens", "mean", "var"]
 TINY = 1e-12
+_LEGENDRE = np.polynomial.legendre.leggauss(12)
 
 
 @dataclass(frozen=True)
@@ -175,12 +176,38 @@ class Neighbourhood:
 
         return sample, var, n
 
+    def _quadrature(self) -> tuple[np.ndarray, np.ndarray, float] | None:
+        """(conditional means, their weights, conditional variance) for one soft datum: Gauss-Legendre sums between
+        the limits of its density and whole deviations of what the exact data say of it; None where these exclude it."""
+        h, s = self.n_hard, self.softs[0]
+        w = self.c @ np.linalg.pinv(self.k)
+        var = max(self.c0 - float(w @ self.c), 0.0)
+        g = self.k[h:, :h] @ np.linalg.pinv(self.k[:h, :h])
+        m = float((g @ self.zh)[0])
+        sd = math.sqrt(max(float((self.k[h:, h:] - g @ self.k[:h, h:])[0, 0]), TINY))
+        a = np.array(s["limi"], float) - self.prior
+        cuts = np.unique(np.clip(np.r_[a, m + sd * np.arange(-9, 10)], a[0], a[-1]))
+        node, weight = _LEGENDRE
+        half = np.diff(cuts)[:, None] / 2
+        x = (cuts[:-1, None] + half * (1 + node)).ravel()
+        log = -((x - m) ** 2) / (2 * sd * sd)
+        p = density(s, x + self.prior) * (half * weight).ravel() * np.exp(log - log.max(initial=-np.inf))
+        if not p.sum() > 0 or log.max() < -40:
+            return None
+        return self.prior + float(w[:h] @ self.zh) + x * w[h], p / p.sum(), var
+
     def posterior(self, o: Options) -> tuple[float, float, float]:
         """(mean, variance, third central moment)."""
         if not len(self.zh) + len(self.ms):
             return math.nan, math.nan, math.nan
         if o.gaussian or not self.softs or len(self.softs) > o.max_soft or all(s["pdf_type"] == 10 for s in self.softs):
             return self.gaussian()
+        if len(self.softs) == 1:
+            if (one := self._quadrature()) is None:
+                return self.gaussian()
+            x, p, var = one
+            mean = float(p @ x)
+            return mean, var + float(p @ (x - mean) ** 2), float(p @ (x - mean) ** 3)
         sample, var, n = self._mixture(o)
         centre = self.gaussian()[0]
 
@@ -203,6 +230,8 @@ class Neighbourhood:
         x = mean + np.linspace(-6, 6, points) * math.sqrt(max(var, 1e-12))
         if o.gaussian or not self.softs or len(self.softs) > o.max_soft or all(s["pdf_type"] == 10 for s in self.softs):
             centres, weights, spread = np.array([mean]), np.ones(1), var
+        elif len(self.softs) == 1 and (one := self._quadrature()) is not None:
+            centres, weights, spread = one
         else:
             sample, spread, dim = self._mixture(o)
             centres, log = sample(lattice_points(n, dim))
@@ -249,6 +278,9 @@ def _one(model: list[Component], o: Options, mesh: int | None, at: np.ndarray, h
     """(moments, mesh, densities) at one point; NaN and empty where the neighbourhood cannot be solved."""
     try:
         known = np.array([[h[c] for c in CELL] for h in hard], float).reshape(-1, 3)
+        where = np.array([[s[c] for c in CELL] for s in soft], float).reshape(-1, 3)
+        if (same := near_duplicate(model, at, np.concatenate([known, where]))) is not None and same >= len(known):
+            at = where[same - len(known)]  # a point all but on a soft datum stands on it, so the system keeps its rank
         n = Neighbourhood(model, at, known, np.array([h["z"] for h in hard], float), soft, o.order)
         row = n.posterior(o)
         x, p = n.pdf(o, mesh) if mesh and not math.isnan(row[0]) else ([], [])
@@ -257,6 +289,15 @@ def _one(model: list[Component], o: Options, mesh: int | None, at: np.ndarray, h
         return (math.nan,) * 3, [], []
 
 
+def _all_normal(cell: pa.Array, count: np.ndarray) -> np.ndarray:
+    """Whether all soft data of a row are Gaussians with a variance."""
+    parts = cell.flatten()
+    bad = (parts.field("pdf_type").to_numpy(zero_copy_only=False) != 10) | ~(parts.field("var").to_numpy(zero_copy_only=False).astype(float) > TINY)
+    ends = np.cumsum(count)
+    sums = np.r_[0, np.cumsum(bad)]
+    return sums[ends] == sums[ends - count]
+
+
 def _rows(model: list[Component], o: Options, mesh: int | None):
     names = ["mean", "variance", "skewness"]
     spread = np.linspace(-6, 6, mesh or 0)
@@ -267,11 +308,27 @@ def _rows(model: list[Component], o: Options, mesh: int | None):
         e, v, _ = krige_many(model, at, known, z - prior[:, None], None)
         return np.column_stack([prior + e, np.maximum(v, 0), np.zeros(len(z))])
 
+    def normal(at, where, mean, var):
+        """Soft data alone, all Gaussian: kriging of their means with their variances as noise."""
+        prior = np.zeros(len(mean)) if o.order is None else mean.mean(1)
+        k, c = covariance_stack(model, where, where), covariance_stack(model, where, at[:, None])[:, :, 0]
+        k[:, range(k.shape[1]), range(k.shape[1])] += var
+        w = np.einsum("mij,mj->mi", np.linalg.pinv(k, hermitian=True), c)
+        c0 = covariance_stack(model, at[:, None], at[:, None])[:, 0, 0]
+        return np.column_stack([prior + (w * (mean - prior[:, None])).sum(1), np.maximum(c0 - (w * c).sum(1), 0), np.zeros(len(mean))])
+
     def run(batches):
         for b in batches:
             out = np.full((b.num_rows, 3), np.nan)
             xs, ps = [[]] * b.num_rows, [[]] * b.num_rows
-            soft = pc.fill_null(pc.list_value_length(b.column("soft")), 0).to_numpy() > 0
+            count, known = (pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy() for c in ("soft", "hard"))
+            soft = count > 0
+            easy = np.flatnonzero(soft & (known == 0) & _all_normal(b.column("soft"), count))
+            for rows, at, where, mean, var in neighbour_stacks(b.take(pa.array(easy)), "soft", ("mean", "var")) if len(easy) else ():
+                out[easy[rows]] = each_or_none(normal, at, where, mean, var)
+            for i in easy[~np.isnan(out[easy, 0])].tolist() if mesh else []:
+                sd = math.sqrt(max(out[i, 1], TINY))
+                xs[i], ps[i] = out[i, 0] + spread * sd, np.exp(-(spread**2) / 2) / (sd * math.sqrt(2 * math.pi))
             plain = b.filter(pa.array(~soft))
             numbers = np.flatnonzero(~soft)
             for rows, *stacks in neighbour_stacks(plain, "hard"):
@@ -279,6 +336,7 @@ def _rows(model: list[Component], o: Options, mesh: int | None):
             for i in numbers[~np.isnan(out[numbers, 0])].tolist() if mesh else []:
                 sd = math.sqrt(max(out[i, 1], TINY))
                 xs[i], ps[i] = out[i, 0] + spread * sd, np.exp(-(spread**2) / 2) / (sd * math.sqrt(2 * math.pi))
+            soft[easy] = False
             mixed, own = b.filter(pa.array(soft)), np.flatnonzero(soft).tolist()
             for i, x, y, t, h, g in zip(own, *(mixed.column(c).to_pylist() for c in (*CELL, "hard", "soft")), strict=True):
                 out[i], xs[i], ps[i] = _one(model, o, mesh, np.array([x, y, t], float), h or [], g)
@@ -293,8 +351,8 @@ def _rows(model: list[Component], o: Options, mesh: int | None):
 def _neighbour_arrays(points: DataFrame, data: DataFrame | None, columns: list[str], name: str, nmax: int, dmax_s: float, dmax_t: float, ratio: float, exclude_same: bool) -> DataFrame:
     if data is None:
         return points
-    near = nearest(points, data, nmax, dmax_s, dmax_t, ratio, exclude_same)
-    found = near.join(data.select("h_id", *CELL, *columns), "h_id").groupBy("k_id").agg(F.array_sort(F.collect_list(F.struct("rank", *CELL, *columns))).alias(name))
+    near = nearest(points, data, nmax, dmax_s, dmax_t, ratio, exclude_same, (*CELL, *columns))
+    found = near.groupBy("k_id").agg(F.array_sort(F.collect_list(F.struct("rank", *CELL, *columns))).alias(name))
     return points.join(found, "k_id", "left")
 
 

@@ -11,24 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix, covariance_np
+from fieldloom.operators.farfield import far_sums, inverse_power
 from fieldloom.operators.neighbours import nearest
 
 CELL = ["x", "y", "t"]
 
 
 def idw(data: DataFrame, points: DataFrame, power: float = 2.0, exclude_hits: bool = False) -> DataFrame:
-    """k_id, zhat from all data (x, y, z): weights 1 / (d + 1e-10)**p, or 1 / d**p without co-located data."""
-    b = data.where("z is not null").select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"))
-    d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
-    w = F.when(d == 0, 0.0).otherwise(1 / F.pow(d, F.lit(power))) if exclude_hits else 1 / F.pow(d + 1e-10, F.lit(power))
-    both = points.select("k_id", "x", "y").crossJoin(b).withColumn("w", w)
-    return both.groupBy("k_id").agg(F.try_divide(F.sum(F.col("w") * F.col("_z")), F.sum("w")).alias("zhat"))
+    """k_id, zhat from all data (x, y, z): weights 1 / (d + 1e-10)**p, or 1 / d**p without co-located data.
+
+    Far data count through the cells of ``far_sums``, with a relative error of their weights below 1e-8.
+    """
+    sums = far_sums(data, points, inverse_power(power, exclude_hits)).select("x", "y", F.try_divide("wz", "w").alias("zhat"))
+    return points.select("k_id", "x", "y").join(sums, ["x", "y"], "left").select("k_id", "zhat")
 
 
 def idw_nearest(data: DataFrame, points: DataFrame, k: int = 10, power: float = 2.0, dmax_s: float = 1e6, dmax_t: float | None = None, ratio: float = 0.0, exclude_same: bool = False) -> DataFrame:
     """k_id, zhat, n from the k nearest data (h_id, x, y, t, z); data nearer than 1e-10 stand alone."""
     known = data.where("z is not null")
-    near = nearest(points, known, k, dmax_s, dmax_t, ratio, exclude_same).join(known.select("h_id", "z"), "h_id")
+    near = nearest(points, known, k, dmax_s, dmax_t, ratio, exclude_same, ("z",))
     hit = F.col("d") < 1e-10
     w = F.when(~hit, 1 / F.pow(F.col("d"), F.lit(power)))
     got = near.groupBy("k_id").agg(F.avg(F.when(hit, F.col("z"))).alias("_hit"), (F.sum(w * F.col("z")) / F.sum(w)).alias("_w"), F.count("*").alias("n"))
@@ -37,8 +38,8 @@ def idw_nearest(data: DataFrame, points: DataFrame, k: int = 10, power: float =
 
 def with_neighbours(data: DataFrame, points: DataFrame, nmax: int, dmax_s: float, dmax_t: float | None, ratio: float, exclude_same: bool = False) -> DataFrame:
     """Points with ``hard``: their neighbours as an array of structs (rank, x, y, t, z)."""
-    near = nearest(points, data, nmax, dmax_s, dmax_t, ratio, exclude_same)
-    found = near.join(data.select("h_id", *CELL, "z"), "h_id").groupBy("k_id").agg(F.array_sort(F.collect_list(F.struct("rank", *CELL, "z"))).alias("hard"))
+    near = nearest(points, data, nmax, dmax_s, dmax_t, ratio, exclude_same, (*CELL, "z"))
+    found = near.groupBy("k_id").agg(F.array_sort(F.collect_list(F.struct("rank", *CELL, "z"))).alias("hard"))
     return points.select("k_id", *CELL).join(found, "k_id", "left")
 
 
@@ -102,17 +103,17 @@ def factors_many(model: list[Component], at: np.ndarray, known: np.ndarray, z: n
     return np.stack([*((covariance_stack([c], at[:, None], known)[:, 0] * own).sum(1) for c in model), mean], 1)
 
 
-def neighbour_stacks(b: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, points (m, 3), neighbours (m, n, 3), their values (m, n)) of rows with equally many neighbours."""
+def neighbour_stacks(b: pa.RecordBatch, column: str, values: tuple[str, ...] = ("z",)) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row numbers, points (m, 3), neighbours (m, n, 3), their values (m, n) each) of rows with equally many neighbours."""
     cell = b.column(column)
     off, count = cell.offsets.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(cell), 0).to_numpy()
     start, parts = off[:-1] - off[0], cell.flatten()
-    fields = [parts.field(c).to_numpy(zero_copy_only=False).astype(float) for c in (*CELL, "z")]
+    fields = [parts.field(c).to_numpy(zero_copy_only=False).astype(float) for c in (*CELL, *values)]
     at = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in CELL], 1) if b.num_rows else np.empty((0, 3))
     for n in np.unique(count[count > 0]).tolist():
         rows = np.flatnonzero(count == n)
         pick = start[rows][:, None] + np.arange(n)
-        yield rows, at[rows], np.stack([f[pick] for f in fields[:3]], -1), fields[3][pick]
+        yield rows, at[rows], np.stack([f[pick] for f in fields[:3]], -1), *(f[pick] for f in fields[3:])
 
 
 def each_or_none(f: Callable[..., np.ndarray], *stacks: np.ndarray) -> np.ndarray:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.rings import ring_nearest
+
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column, p: float = 2) -> Column:
     if p == 2:
@@ -97,25 +99,14 @@ def _ranked(pairs: DataFrame, nmax: int, order: list) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= nmax)
 
 
-def nearest(points: DataFrame, data: DataFrame, nmax: int, dmax_s: float, dmax_t: float | None = None, ratio: float = 0.0, exclude_same: bool = False) -> DataFrame:
+def nearest(points: DataFrame, data: DataFrame, nmax: int, dmax_s: float, dmax_t: float | None = None, ratio: float = 0.0, exclude_same: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(k_id, h_id, d, rank): up to nmax data nearest in (x, y, ratio * t), nearer than the sphere's radius.
 
     ``points`` has k_id, x, y, t, ``data`` h_id, x, y, t; ties go to the smaller h_id.
-    Without ``dmax_t`` the time is left out.
+    Without ``dmax_t`` the time is left out.  ``carry`` names columns of the data that go along.
     """
     radius = dmax_s if dmax_t is None else sphere_radius(dmax_s, dmax_t, ratio)
-    a = points.select("k_id", *(F.col(c).alias(f"a_{c}") for c in "xyt"))
-    b = data.select("h_id", *(F.col(c).alias(f"b_{c}") for c in "xyt"))
-    radii = {"x": radius, "y": radius}
-    if dmax_t is not None and ratio > 0:
-        radii["t"] = radius / ratio
-    both = within(a, b, radii)
-    if exclude_same:
-        both = both.where("k_id <> h_id")
-    dx, dy, dt = (F.col(f"a_{c}") - F.col(f"b_{c}") for c in "xyt")
-    square = dx * dx + dy * dy + (0.0 if dmax_t is None else dt * dt * F.lit(float(ratio) ** 2))
-    near = both.select("k_id", "h_id", F.sqrt(square).alias("d")).where(F.col("d") < radius)
-    return _ranked(near, nmax, ["d", "h_id"])
+    return ring_nearest(points, data, nmax, radius, None if dmax_t is None or ratio <= 0 else ratio, exclude_same, carry)
 
 
 def nearest_prism(points: DataFrame, data: DataFrame, nmax: int, dmax_s: float, dmax_t: float, ratio: float) -> DataFrame:

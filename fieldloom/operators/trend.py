@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.farfield import far_sums, inverse_power
 from fieldloom.operators.neighbours import within
+from fieldloom.operators.stages import cut
 
 CELL = ["x", "y", "t"]
 
@@ -58,10 +60,8 @@ def interpolate_times(mt: DataFrame, at: DataFrame, value: str = "mt", method: s
 
 def idw_all(known: DataFrame, at: DataFrame, value: str, power: float = 2.0) -> DataFrame:
     """(x, y, value) at distinct sites, by weights 1 / (d + 1e-10)**power of all known sites."""
-    k = known.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
-    w = 1 / F.pow(d + 1e-10, F.lit(power))
-    return at.select("x", "y").distinct().crossJoin(k).groupBy("x", "y").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(value))
+    own = known.select("x", "y", F.col(value).alias("z"))
+    return far_sums(own, at, inverse_power(power)).select("x", "y", (F.col("wz") / F.col("w")).alias(value))
 
 
 def stmean_at(cells: DataFrame, points: DataFrame, times: str = "linear") -> DataFrame:
@@ -101,11 +101,6 @@ def _kernel_weight(r2: Column, kernel: str) -> Column:
     return F.exp(-3 * r2) if kernel == "gaussian" else F.greatest(1 - r2, F.lit(0.0))
 
 
-def _pairs(cells: DataFrame, points: DataFrame) -> DataFrame:
-    data = cells.where("z is not null").select(*(F.col(c).alias(f"b_{c}") for c in CELL), F.col("z").alias("b_z"))
-    return points.select(*(F.col(c).alias(f"a_{c}") for c in CELL)).distinct().crossJoin(data)
-
-
 def _scaled(bs: float, bt: float) -> Column:
     ds2 = (F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2
     return ds2 / F.lit(bs**2) + (F.col("a_t") - F.col("b_t")) ** 2 / F.lit(bt**2)
@@ -115,15 +110,42 @@ def _smooth(pairs: DataFrame, w: Column) -> DataFrame:
     return pairs.withColumn("w", w).groupBy("a_x", "a_y", "a_t").agg(F.try_divide(F.sum(F.col("w") * F.col("b_z")), F.sum("w")).alias("tr")).select(*(F.col(f"a_{c}").alias(c) for c in CELL), "tr")
 
 
-def kernel_at(cells: DataFrame, points: DataFrame, bs: float, bt: float, kernel: str = "gaussian") -> DataFrame:
-    """Weighted mean of all cells at points; the weights reach every cell, as the definition has it.
+def kernel_at(cells: DataFrame, points: DataFrame, bs: float, bt: float, kernel: str = "gaussian", error: float = 1e-12) -> DataFrame:
+    """Weighted mean of all cells at points, all but a share of ``error`` of the weights.
 
-    A Gaussian weight beyond sqrt(r2) of 5 is below 1e-32 of the centre's; ``kernel_cut`` leaves such cells out.
-    The quadratic kernel ends at one bandwidth, so it is a bucketed join; points out of reach of all cells are null.
+    Gaussian weights are summed over the cells within some bandwidths first; a point is settled once all cells
+    beyond could not add more than ``error`` of its sum, and else goes on with a wider ring, up to where weights are
+    0 in doubles.  The quadratic kernel ends at one bandwidth; points out of reach of all cells are null.
     """
     if kernel != "gaussian":
         return kernel_cut(cells, points, bs, bt, 1.0, kernel)
-    return points.join(_smooth(_pairs(cells, points), _kernel_weight(_scaled(bs, bt), kernel)), CELL, "left")
+    n, out, left = cells.where("z is not null").count(), None, points.select(*CELL).distinct()
+    for reach in (4.0, 8.0, 16.0):
+        sums = _gaussian_sums(cells, left, bs, bt, reach)
+        if reach == 16.0:
+            done = sums
+        else:
+            beyond = F.exp(F.lit(-3.0 * reach**2)) * n
+            sums = cut(left.join(sums, CELL, "left"))
+            settled = F.coalesce(beyond <= error * F.col("w"), F.lit(False))
+            done, left = sums.where(settled), sums.where(~settled).select(*CELL)
+        out = done if out is None else out.union(done)
+        if reach < 16.0 and left.isEmpty():
+            break
+    return points.join(out.select(*CELL, F.try_divide("wz", "w").alias("tr")), CELL, "left")
+
+
+def _gaussian_sums(cells: DataFrame, points: DataFrame, bs: float, bt: float, reach: float) -> DataFrame:
+    """(x, y, t, wz, w) of points: a Gaussian weight is one of time times one of space, so sites first sum over time, points over sites."""
+    data = cells.where("z is not null").select(*(F.col(c).alias(f"b_{c}") for c in CELL), F.col("z").alias("b_z"))
+    at = points.select(*(F.col(c).alias(f"a_{c}") for c in CELL)).distinct()
+    w = F.exp(-3 * (F.col("a_t") - F.col("b_t")) ** 2 / F.lit(float(bt) ** 2))
+    by_time = within(at.select("a_t").distinct(), data, {"t": reach * bt}).withColumn("w", w)
+    by_time = by_time.groupBy("b_x", "b_y", F.col("a_t").alias("b_t")).agg(F.sum(F.col("w") * F.col("b_z")).alias("wz"), F.sum("w").alias("w"))
+    near = within(at, by_time, {"x": reach * bs, "y": reach * bs, "t": 0})
+    v = F.exp(-3 * ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2) / F.lit(float(bs) ** 2))
+    near = near.withColumn("v", v).groupBy(*(F.col(f"a_{c}").alias(c) for c in CELL))
+    return near.agg(F.sum(F.col("v") * F.col("wz")).alias("wz"), F.sum(F.col("v") * F.col("w")).alias("w"))
 
 
 def kernel_cut(cells: DataFrame, points: DataFrame, bs: float, bt: float, reach: float = 3.5, kernel: str = "gaussian") -> DataFrame:
@@ -136,14 +158,8 @@ def kernel_cut(cells: DataFrame, points: DataFrame, bs: float, bt: float, reach:
     if kernel != "gaussian":
         near = within(at, data, {"x": reach * bs, "y": reach * bs, "t": reach * bt})
         return points.join(_smooth(near, _kernel_weight(_scaled(bs, bt), kernel)), CELL, "left")
-    # a Gaussian weight is one of time times one of space: sites first sum over time, points over sites
-    w = F.exp(-3 * (F.col("a_t") - F.col("b_t")) ** 2 / F.lit(float(bt) ** 2))
-    by_time = within(at.select("a_t").distinct(), data, {"t": reach * bt}).withColumn("w", w)
-    by_time = by_time.groupBy("b_x", "b_y", F.col("a_t").alias("b_t")).agg(F.sum(F.col("w") * F.col("b_z")).alias("wz"), F.sum("w").alias("w"))
-    near = within(at, by_time, {"x": reach * bs, "y": reach * bs, "t": 0})
-    v = F.exp(-3 * ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2) / F.lit(float(bs) ** 2))
-    sums = near.withColumn("v", v).groupBy(*(F.col(f"a_{c}").alias(c) for c in CELL)).agg((F.sum(F.col("v") * F.col("wz")) / F.sum(F.col("v") * F.col("w"))).alias("tr"))
-    return points.join(sums, CELL, "left")
+    sums = _gaussian_sums(cells, points, bs, bt, reach)
+    return points.join(sums.select(*CELL, (F.col("wz") / F.col("w")).alias("tr")), CELL, "left")
 
 
 def kernel(cells: DataFrame, bs: float, bt: float, kernel: str = "gaussian") -> DataFrame:
