@@ -35,6 +35,8 @@ class Options:
     rel_tol: float = 1e-3
     abs_tol: float = 1e-4
     kept_variance: float = 0.999
+    assimilate: bool = False  # merge data that add nothing of their own into those that are kept
+    budget: int | None = None  # data kept at most when assimilating
 
 
 def lattice_points(n: int, dim: int, skip: int = 0) -> np.ndarray:
@@ -260,6 +262,70 @@ def relevant(model: list[Component], at: np.ndarray, data: np.ndarray, n: int) -
     return chosen
 
 
+def kept_data(k: np.ndarray, relevance: np.ndarray, budget: int, least: float = 1e-8) -> list[int]:
+    """Data in the order in which each has the largest product of relevance and variance left by those before it.
+
+    It ends at the budget, or where the product falls below ``least`` of the first.
+    """
+    rest, basis, kept = np.maximum(np.diag(k), 0.0), np.zeros((len(k), 0)), []
+    start = None
+    while len(kept) < min(budget, len(k)):
+        worth = rest * relevance
+        worth[kept] = -1.0
+        i = int(worth.argmax())
+        start = worth[i] if start is None and worth[i] > 0 else start or 1.0
+        if worth[i] < least * start:
+            break
+        column = (k[:, i] - basis @ basis[i]) / math.sqrt(max(rest[i], 1e-300))
+        basis, rest = np.column_stack([basis, column]), np.maximum(rest - column**2, 0.0)
+        kept.append(i)
+    return kept
+
+
+def assimilated(model: list[Component], at: np.ndarray, hard: list[dict], soft: list[dict], budget: int | None = None, least: float = 1e-6) -> tuple[list[dict], list[dict]]:
+    """(exact, soft) data of a neighbourhood without those that the kept ones make redundant, which are merged into them.
+
+    Kept are the data of ``kept_data``, relevance being the size of the covariance with the point; each
+    other goes to the kept one of largest covariance.  What meets at a place becomes one datum: several exact
+    values a Gaussian of their mean and population variance (``least`` more); one exact value with soft data
+    the exact value; soft data the Gaussian of the moments of their even mixture.
+    """
+    both = [*hard, *soft]
+    if len(both) < 2:
+        return hard, soft
+    where = np.array([[d[c] for c in CELL] for d in both], float)
+    k = covariance_matrix(model, where, where)
+    relevance = np.abs(covariance_matrix(model, at[None], where)[0])
+    kept = kept_data(k, relevance, budget or len(both))
+    if len(kept) == len(both) or not kept:
+        return hard, soft
+    groups = {i: [i] for i in sorted(kept)}
+    for i in set(range(len(both))) - set(kept):
+        groups[kept[int(np.abs(k[i, kept]).argmax())]].append(i)
+    out_hard, out_soft = [], []
+    for first, own in groups.items():
+        exact = [both[i] for i in own if i < len(hard)]
+        if len(own) == 1:
+            (out_hard if exact else out_soft).append(both[first])
+        elif len(exact) == 1:
+            out_hard.append(exact[0])
+        elif exact:
+            z = np.array([d["z"] for d in exact], float)
+            place = {c: exact[0][c] for c in CELL}  # the kept one's if that is exact
+            out_soft.append(place | {"pdf_type": 10, "limi": None, "probdens": None, "mean": float(z.mean()), "var": float(z.var()) + least})
+        else:
+            moments = [soft_moments(both[i]) for i in own]
+            fine = np.array([m for m in moments if np.isfinite(m).all() and m[1] > 0])
+            if not len(fine):
+                out_soft.append(both[first])
+                continue
+            mean = float(fine[:, 0].mean())
+            var = float((fine[:, 1] + fine[:, 0] ** 2).mean()) - mean**2
+            place = {c: both[first][c] for c in CELL}
+            out_soft.append(place | {"pdf_type": 10, "limi": None, "probdens": None, "mean": mean, "var": max(var, least)})
+    return out_hard, out_soft
+
+
 def near_duplicate(model: list[Component], at: np.ndarray, data: np.ndarray) -> int | None:
     """The datum at the point itself, or whose covariances go with the point's all but exactly."""
     same = np.flatnonzero((data == at).all(1))
@@ -277,6 +343,8 @@ def near_duplicate(model: list[Component], at: np.ndarray, data: np.ndarray) ->
 def _one(model: list[Component], o: Options, mesh: int | None, at: np.ndarray, hard: list, soft: list) -> tuple:
     """(moments, mesh, densities) at one point; NaN and empty where the neighbourhood cannot be solved."""
     try:
+        if o.assimilate:
+            hard, soft = assimilated(model, at, hard, soft, o.budget)
         known = np.array([[h[c] for c in CELL] for h in hard], float).reshape(-1, 3)
         where = np.array([[s[c] for c in CELL] for s in soft], float).reshape(-1, 3)
         if (same := near_duplicate(model, at, np.concatenate([known, where]))) is not None and same >= len(known):
@@ -322,8 +390,8 @@ def _rows(model: list[Component], o: Options, mesh: int | None):
             out = np.full((b.num_rows, 3), np.nan)
             xs, ps = [[]] * b.num_rows, [[]] * b.num_rows
             count, known = (pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy() for c in ("soft", "hard"))
-            soft = count > 0
-            easy = np.flatnonzero(soft & (known == 0) & _all_normal(b.column("soft"), count))
+            soft = (count > 0) | (o.assimilate & (known > 1))
+            easy = np.flatnonzero((not o.assimilate) & soft & (known == 0) & _all_normal(b.column("soft"), count))
             for rows, at, where, mean, var in neighbour_stacks(b.take(pa.array(easy)), "soft", ("mean", "var")) if len(easy) else ():
                 out[easy[rows]] = each_or_none(normal, at, where, mean, var)
             for i in easy[~np.isnan(out[easy, 0])].tolist() if mesh else []:
@@ -339,7 +407,7 @@ def _rows(model: list[Component], o: Options, mesh: int | None):
             soft[easy] = False
             mixed, own = b.filter(pa.array(soft)), np.flatnonzero(soft).tolist()
             for i, x, y, t, h, g in zip(own, *(mixed.column(c).to_pylist() for c in (*CELL, "hard", "soft")), strict=True):
-                out[i], xs[i], ps[i] = _one(model, o, mesh, np.array([x, y, t], float), h or [], g)
+                out[i], xs[i], ps[i] = _one(model, o, mesh, np.array([x, y, t], float), h or [], g or [])
             cols = [pa.array(c, from_pandas=True) for c in out.T]  # NaN becomes null
             more = [pa.array(xs, pa.list_(pa.float64())), pa.array(ps, pa.list_(pa.float64()))] if mesh else []
             keep = ["k_id", *CELL]

@@ -9,13 +9,14 @@ lag.  A pair of sites counts in the order of their coordinates, each site with i
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.neighbours import within
+from fieldloom.operators.neighbours import pairs_between_radii, within
 
 Bins = list[tuple[float, float]]
 
@@ -178,6 +179,14 @@ def empirical_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: st
     return _from_sums(lag_sums(cells, value, sp, lags_t, bins, ["lag_s"]), "lag_s", "lag_t")
 
 
+def annulus_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: str = "residual") -> DataFrame:
+    """As ``empirical_covariance`` with closed bins, the pairs of each bin searched between its two radii alone."""
+    own = cells.select("x", "y").distinct().select(F.struct("x", "y").alias("si"), "x", "y")
+    found = [pairs_between_radii(own, max(lag - tol, 0.0), lag + tol).withColumn("lag_s", F.lit(float(lag))) for lag, tol in lags_s]
+    sp = reduce(DataFrame.union, found).select(*(F.col(f"{s}_si.{c}").alias(f"{s}_{c}") for s in "ab" for c in "xy"), "ds", "lag_s")
+    return _from_sums(lag_sums(cells, value, sp, lags_t, "closed", ["lag_s"]), "lag_s", "lag_t")
+
+
 def symmetric_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: str = "residual") -> DataFrame:
     """Closed bins and both orientations, about the square of the pooled mean."""
     sp = with_lag(site_pairs(cells, _reach(lags_s)), F.col("ds"), lags_s, "closed", "lag_s")

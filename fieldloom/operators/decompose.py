@@ -121,6 +121,19 @@ def lag_embedding(series: DataFrame, window: int) -> DataFrame:
     return series.select("id", "t", v.alias("v")).where(~F.exists("v", lambda c: c.isNull()))
 
 
+def lag_gram(series: DataFrame, window: int) -> DataFrame:
+    """(i, j, g), i <= j: the products of lags of all complete windows, summed without making the windows.
+
+    Every value is read once with the ones after it, so the sums are plain aggregates of products at two lags.
+    """
+    after = Window.partitionBy("id").orderBy("t")
+    whole = F.count("z").over(after.rowsBetween(0, window - 1)) == window
+    ahead = series.select(*(F.lead("z", k).over(after).alias(f"_{k}") for k in range(window)), whole.alias("_whole")).where("_whole")
+    pairs = [(i, j) for i in range(window) for j in range(i, window)]
+    sums = ahead.agg(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"g{n}") for n, (i, j) in enumerate(pairs)))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{n}").alias("g")) for n, (i, j) in enumerate(pairs)))).alias("p")).select("p.*")
+
+
 def extended_eof(series: DataFrame, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(rotated loadings, rotation) of the lag-embedded series."""
     return rotated_eof(lag_embedding(series, window), n)
@@ -257,6 +270,53 @@ def mode_gram(tensor: DataFrame, mode: str, value: str = "v") -> DataFrame:
     return a.join(b, rest).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
+#: Indices of a mode beyond which its Gram matrix is no matter for the driver.
+MODE_SIZE = 4096
+
+
+def hosvd_long(tensor: DataFrame, value: str = "v", keep: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(core, factors) of a tensor in long form: one index column per mode and a value; entries not listed are 0.
+
+    A mode's factor (index, k, u) holds the eigenvectors of its Gram matrix, ``keep[mode]`` of them or all with
+    weight; the core has an index column k per mode.  Each product with a factor is a join on the mode's index and a sum;
+    only Gram matrices, of at most ``MODE_SIZE`` indices, leave the cluster.
+    """
+    spark, modes = tensor.sparkSession, [c for c in tensor.columns if c != value]
+    factors, core = {}, tensor
+    for mode in modes:
+        got = mode_gram(tensor, mode, value).collect() if tensor.select(mode).distinct().count() <= MODE_SIZE else None
+        if got is None:
+            raise ValueError(f"mode {mode} has more than {MODE_SIZE} indices")
+        index = sorted({r.i for r in got} | {r.j for r in got})
+        at, g = {x: n for n, x in enumerate(index)}, np.zeros((len(index), len(index)))
+        for r in got:
+            g[at[r.i], at[r.j]] = g[at[r.j], at[r.i]] = r.g
+        weight, axes = np.linalg.eigh(g)
+        order = [n for n in np.argsort(-weight, kind="stable") if weight[n] > 1e-12 * max(weight.max(initial=0), 1e-300)][: (keep or {}).get(mode)]
+        axes = fix_signs(axes[:, order]) if order else axes[:, :0]
+        kind = dict(tensor.dtypes)[mode]
+        factors[mode] = spark.createDataFrame([(x, k, float(axes[n, k])) for n, x in enumerate(index) for k in range(axes.shape[1])], f"{mode} {kind}, k int, u double")
+    for mode, factor in factors.items():
+        core = times_matrix(core, factor, mode, "k", value)
+    return core, factors
+
+
+def times_matrix(tensor: DataFrame, factor: DataFrame, mode: str, to: str, value: str = "v") -> DataFrame:
+    """The tensor times a matrix along a mode: ``factor`` (mode, to, u) sends each index to those of ``to``, which takes the mode's name."""
+    rest = [c for c in tensor.columns if c not in (mode, value)]
+    both = tensor.join(factor.select(F.col(mode), F.col(to).alias("_to"), "u"), mode)
+    return both.groupBy(*rest, F.col("_to").alias(mode)).agg(F.sum(F.col(value) * F.col("u")).alias(value)).select(*tensor.columns)
+
+
+def rebuilt(core: DataFrame, factors: dict[str, DataFrame], value: str = "v") -> DataFrame:
+    """The tensor in long form from its core and factors."""
+    out = core
+    for mode, factor in factors.items():
+        back = factor.select(F.col("k").alias(mode), F.col(mode).alias("_index"), "u")
+        out = times_matrix(out, back, mode, "_index", value)
+    return out
+
+
 def gram_schmidt(vectors: np.ndarray) -> np.ndarray:
     """Orthonormal rows from rows, in order; dependent ones are left out."""
     out: list[np.ndarray] = []

@@ -79,6 +79,34 @@ def pairs_between(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return both.select("a_id", "b_id", F.sqrt(dx * dx + dy * dy).alias("ds"), F.atan2(dy, dx).alias("azimuth")).where(F.col("ds") <= radius)
 
 
+def ring_offsets(low: float, high: float, side: float) -> list[tuple[int, int]]:
+    """Steps from a cell to those that can hold a point between ``low`` and ``high`` away from one of its own."""
+    reach, out = int(high // side) + 1, []
+    for i in range(-reach, reach + 1):
+        for j in range(-reach, reach + 1):
+            near = (max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2) ** 0.5 * side
+            far = ((abs(i) + 1) ** 2 + (abs(j) + 1) ** 2) ** 0.5 * side
+            if near <= high and far >= low:
+                out.append((i, j))
+    return out
+
+
+def pairs_between_radii(sites: DataFrame, low: float, high: float, cells: int = 6) -> DataFrame:
+    """(a_si, b_si, ds): unordered pairs of sites (si, x, y) whose distance is ``low`` to ``high``, both included.
+
+    Cells are ``cells`` to the larger radius, and a site meets only those that the ring between the radii
+    passes, so sites nearer than the ring are not looked at.
+    """
+    side = high / cells
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring_offsets(low, high, side))))
+    a = sites.select(F.col("si").alias("a_si"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), _cell(F.col("x"), side).alias("_i"), _cell(F.col("y"), side).alias("_j"))
+    b = sites.select(F.col("si").alias("b_si"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), _cell(F.col("x"), side).alias("_ci"), _cell(F.col("y"), side).alias("_cj"), steps.alias("_s"))
+    b = b.withColumns({"_i": F.col("_ci") + F.col("_s.i"), "_j": F.col("_cj") + F.col("_s.j")}).drop("_ci", "_cj", "_s")
+    dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+    ds = F.sqrt(dx * dx + dy * dy)
+    return a.join(b, ["_i", "_j"]).where("a_si <= b_si").select("a_si", "b_si", ds.alias("ds")).where((F.col("ds") >= low) & (F.col("ds") <= high))
+
+
 def pair_products(rows: DataFrame, keys: list[str], order: str, value: str, include: bool = True) -> DataFrame:
     """(keys, a_order, b_order, product) of all pairs of values of one key, with themselves too if ``include``.
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.neighbours import within
+from fieldloom.operators.rings import ring_nearest
+from fieldloom.operators.stages import cut
 
 
 def flag_series(t: np.ndarray, z: np.ndarray, freq: float, bandwidth: float, k: float = 3.0) -> np.ndarray:
@@ -72,3 +74,63 @@ def z_scores(series: DataFrame) -> DataFrame:
     w = Window.partitionBy("id")
     std = F.coalesce(F.nullif(F.stddev_samp("z").over(w), F.lit(0.0)), F.lit(1.0))
     return series.withColumn("score", (F.col("z") - F.avg("z").over(w)) / std)
+
+
+def past_windows(data: DataFrame, freq: float, first: float, step: float, last: float, enough: int, flagged: DataFrame | None = None) -> DataFrame:
+    """(bucket, _lo, _hi): the past that each bucket of times may use, everything after ``_lo`` and before ``_hi``.
+
+    ``_hi`` is the bucket's earliest time.  The window grows from ``first`` by ``step`` until it holds
+    ``enough`` unflagged data or has passed ``last``.  Counts are made per time, and joined per bucket.
+    """
+    bucket = F.floor(F.col("t") / freq).cast("long")
+    heads = data.groupBy(bucket.alias("bucket")).agg(F.min("t").alias("_hi"))
+    widths, w = [], first
+    while True:  # at least one step is made
+        w += step
+        widths.append(w)
+        if w > last:
+            break
+    pool = data if flagged is None else data.join(flagged, "h_id", "left_anti")
+    times = pool.groupBy("t").agg(F.count("*").alias("_n")).select(F.col("t").alias("b_t"), "_n")
+    near = within(heads.select(F.col("_hi").alias("a_t")), times, {"t": widths[-1]}).where("b_t < a_t")
+    held = near.groupBy("a_t").agg(*(F.sum(F.when(F.col("b_t") > F.col("a_t") - v, F.col("_n"))).alias(f"_{i}") for i, v in enumerate(widths)))
+    width = F.lit(float(widths[-1]))
+    for i in range(len(widths) - 2, -1, -1):
+        width = F.when(F.coalesce(F.col(f"_{i}"), F.lit(0)) >= enough, F.lit(float(widths[i]))).otherwise(width)
+    return heads.join(held.withColumnRenamed("a_t", "_hi"), "_hi", "left").select("bucket", (F.col("_hi") - width).alias("_lo"), "_hi")
+
+
+def _causal(data: DataFrame, flagged: DataFrame | None, freq: float, window: tuple[float, float, float, int], nmax: int, dmax_s: float, dmax_t: float, ratio: float, k: float, power: float) -> DataFrame:
+    limits = past_windows(data, freq, *window, flagged)
+    points = data.withColumn("bucket", F.floor(F.col("t") / freq).cast("long")).join(limits, "bucket").select(F.col("h_id").alias("k_id"), "x", "y", "t", "_lo", "_hi")
+    pool = data if flagged is None else data.join(flagged, "h_id", "left_anti")
+    radius = (dmax_s**2 + (dmax_t * ratio) ** 2) ** 0.5
+    near = ring_nearest(points, pool, nmax, radius, ratio, carry=("t", "score"), between="t")
+    w = 1 / F.pow(F.greatest("d", F.lit(1e-10)), F.lit(power))
+    found = near.groupBy("k_id").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("expected"))
+    out = data.join(found.withColumnRenamed("k_id", "h_id"), "h_id", "left")
+    return out.withColumn("outlier", F.coalesce(F.abs(F.col("score") - F.col("expected")) > k, F.lit(False)))
+
+
+def causal_outliers(data: DataFrame, freq: float, window: tuple[float, float, float, int], nmax: int, dmax_s: float, dmax_t: float, ratio: float, k: float = 3.0, power: float = 2.0, feedback: bool = True) -> DataFrame:
+    """Data (id, h_id, x, y, t, z) with ``score``, ``expected`` and ``outlier``: each against what the past says of its place.
+
+    Values are scores within their id.  A datum of a bucket of ``freq`` is expected to be the inverse-distance mean of
+    its ``nmax`` nearest data in (x, y, ratio * t) that are earlier than its bucket, within the past of
+    ``window`` (first, step, last, enough); it is flagged where it is more than ``k`` off, and not where nothing is near.
+
+    With ``feedback`` flagged data say nothing of later ones.  As flags only act forward in time, repeating the
+    whole with the flags found last, until none changes, gives what bucket after bucket would: after n
+    rounds the first n buckets are right, and few chains of flags are long.
+    """
+    own = z_scores(data.where("z is not null"))
+    flagged = None
+    while True:
+        found = cut(_causal(own, flagged, freq, window, nmax, dmax_s, dmax_t, ratio, k, power)) if feedback else _causal(own, None, freq, window, nmax, dmax_s, dmax_t, ratio, k, power)
+        if not feedback:
+            return found
+        now = found.where("outlier").select("h_id")
+        changed = now if flagged is None else now.join(flagged, "h_id", "left_anti").union(flagged.join(now, "h_id", "left_anti"))
+        if changed.isEmpty():
+            return found
+        flagged = now

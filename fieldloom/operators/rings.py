@@ -49,15 +49,15 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def _levels(points: DataFrame, data: DataFrame, nmax: int, radius: float, ratio: float | None, crowd: int) -> tuple[list[DataFrame], DataFrame]:
-    """(points of each level, data without what no point can need)."""
+def _levels(points: DataFrame, data: DataFrame, nmax: int, radius: float, ratio: float | None, crowd: int, alike: bool) -> tuple[list[DataFrame], DataFrame]:
+    """(points of each level, data without what no point can need); ``alike``: data of one place differ by their key alone."""
     keys, out, level, left = _axes(ratio), [], 0, points
     while level < DEEPEST:
         side = radius * _SLACK / 2**level
         crowded = _crowded(data, keys, side, ratio, crowd)
         if crowded.isEmpty():
             break
-        if not level:  # of equal coordinates the first are enough
+        if not level and alike:  # of equal coordinates the first are enough
             place = Window.partitionBy("x", "y", "t").orderBy("h_id")
             data = cut(data.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= nmax + 1).drop("_rank"))
             crowded = _crowded(data, keys, side, ratio, crowd)
@@ -78,7 +78,7 @@ def _columns(table: pa.Table, names: list[str]) -> list[np.ndarray]:
     return [table[n].to_numpy() for n in names]
 
 
-def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settled: float, carry: list[str], schema: pa.Schema):
+def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settled: float, carry: list[str], schema: pa.Schema, between: str | None = None):
     """Rows of the nearest data of each point of a cube, and whether the point is settled."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -90,6 +90,7 @@ def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settl
         order = np.argsort(keys, kind="stable")  # ties go to the smaller key
         keys, hx, hy, ht = keys[order], hx[order], hy[order], ht[order]
         points, data, dist, rank, done = [], [], [], [], []
+        value_of, lo_of, hi_of = (None,) * 3 if between is None else (right[between].to_numpy()[order], *_columns(left, ["_lo", "_hi"]))
         step = max(1, SLICE // max(1, len(keys)))
         for lo in range(0, n, step):
             at = slice(lo, min(n, lo + step))
@@ -102,6 +103,8 @@ def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settl
             out = ~(d < radius)
             if same:
                 out |= ids[at, None] == keys[None]
+            if between is not None:
+                out |= ~((value_of[None] > lo_of[at, None]) & (value_of[None] < hi_of[at, None]))
             d[out] = np.inf
             m = d.shape[1]
             if m > 4 * nmax:  # all up to the distance of the last one wanted, ties too
@@ -134,7 +137,7 @@ def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settl
         if not len(rest):
             return both
         again = left.take(pa.array(rest))
-        return pa.concat_tables([both, pa.table({f.name: again[f.name.lstrip("_")].cast(f.type) if f.name in ("k_id", "_x", "_y", "_t") else pa.nulls(len(rest), f.type) for f in schema}, schema)])
+        return pa.concat_tables([both, pa.table({f.name: again[f.name.lstrip("_")].cast(f.type) if f.name in ("k_id", "_x", "_y", "_t", "_lo", "_hi") else pa.nulls(len(rest), f.type) for f in schema}, schema)])
 
     return run
 
@@ -147,9 +150,12 @@ def _fine(df: DataFrame, ratio: float | None) -> DataFrame:
     return df.where(ok)
 
 
-def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, ratio: float | None, exclude_same: bool = False, carry: tuple[str, ...] = (), crowd: int | None = None) -> DataFrame:
+def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, ratio: float | None, exclude_same: bool = False, carry: tuple[str, ...] = (), crowd: int | None = None, between: str | None = None) -> DataFrame:
     """(k_id, h_id, d, rank and ``carry``): up to ``nmax`` data nearest to each point, nearer than ``radius``.
 
+    With ``between``, a column of the data, a point only takes data whose value is above its own ``_lo`` and
+    below its ``_hi``, so neighbours can be the earlier ones in time or in any order.
+
     ``points`` has k_id, x, y, t, ``data`` h_id, x, y, t and the carried columns; the distance is that
     of (x, y, ratio * t), or of (x, y) where ``ratio`` is None.  Ties go to the smaller h_id.  Points without
     neighbours give no row; rows with a coordinate that is null or not finite take no part.
@@ -157,10 +163,12 @@ def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, r
     crowd = crowd or max(2048, 64 * nmax)
     axes, scale = _axes(ratio), None if ratio is None else float(ratio)
     double = lambda df, key, *more: df.select(key, *(F.col(c).cast("double").alias(c) for c in XYT), *more)
-    points, data = _fine(double(points, "k_id"), ratio), _fine(double(data, "h_id", *(c for c in carry if c not in XYT)), ratio)
-    levels, data = _levels(points, data, nmax, radius, scale, crowd)
+    limits = () if between is None else ("_lo", "_hi")
+    more = {c for c in (*carry, *(() if between is None else (between,))) if c not in XYT}
+    points, data = _fine(double(points, "k_id", *limits), ratio), _fine(double(data, "h_id", *sorted(more)), ratio)
+    levels, data = _levels(points, data, nmax, radius, scale, crowd, between is None)
     kinds = {f.name: f.dataType for f in (*points.schema.fields, *data.schema.fields)}
-    schema = T.StructType([T.StructField(n, k) for n, k in (("k_id", kinds["k_id"]), ("h_id", kinds["h_id"]), ("d", T.DoubleType()), ("rank", T.IntegerType()), *((c, kinds[c]) for c in carry), *((f"_{c}", T.DoubleType()) for c in XYT))])
+    schema = T.StructType([T.StructField(n, k) for n, k in (("k_id", kinds["k_id"]), ("h_id", kinds["h_id"]), ("d", T.DoubleType()), ("rank", T.IntegerType()), *((c, kinds[c]) for c in carry), *((f"_{c}", T.DoubleType()) for c in XYT), *((c, kinds[c]) for c in limits))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     found, waiting = [], None
@@ -179,11 +187,11 @@ def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, r
         else:
             left, right = left.withColumn("_part", parts), right.withColumn("_part", parts)
         keys = [*axes, "_part"]
-        run = _nearest_of(nmax, radius, scale, exclude_same, settled, list(carry), to_arrow_schema(schema))
+        run = _nearest_of(nmax, radius, scale, exclude_same, settled, list(carry), to_arrow_schema(schema), between)
         near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
         if level:
             near = cut(near)
-            waiting = near.where("h_id is null").select("k_id", *(F.col(f"_{c}").alias(c) for c in XYT))
+            waiting = near.where("h_id is null").select("k_id", *(F.col(f"_{c}").alias(c) for c in XYT), *limits)
         found.append(near.where("h_id is not null").select("k_id", "h_id", "d", "rank", *carry) if level else near.select("k_id", "h_id", "d", "rank", *carry))
     out = found[0]
     for f in found[1:]:

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, correlation_np, covariance_matrix, covariance_np
+from fieldloom.operators.interpolate import covariance_stack, each_or_none, krige_many, neighbour_stacks
+from fieldloom.operators.neighbours import sphere_radius
+from fieldloom.operators.rings import ring_nearest
+from fieldloom.operators.stages import cut
 
 
 def weights(cov: np.ndarray, n: np.ndarray, sill: float) -> np.ndarray:
@@ -215,3 +219,62 @@ def fit_likelihood(cells: DataFrame, kinds: list[tuple[str, str]], value: str =
         return build(p), -v
     finally:
         blocks.unpersist()
+
+
+def conditioned(cells: DataFrame, m: int, dmax_s: float, dmax_t: float, ratio: float, order: str | None = None) -> DataFrame:
+    """(k_id, x, y, t, z, hard): every cell (h_id, x, y, t, z) with its up to ``m`` nearest among those before it.
+
+    Cells stand in the order of the column ``order``, by default that of a hash, which scatters them; equal
+    values are neither's earlier.  The search is that of growing rings, so a cell meets a bounded number of others.
+    """
+    own = cells.where("z is not null").select("h_id", "x", "y", "t", F.col("z").cast("double").alias("z"), (F.xxhash64("h_id", "x", "y", "t") if order is None else F.col(order)).cast("long").alias("_order"))
+    points = own.select(F.col("h_id").alias("k_id"), "x", "y", "t", F.lit(-(1 << 63)).cast("long").alias("_lo"), F.col("_order").alias("_hi"))
+    near = ring_nearest(points, own, m, sphere_radius(dmax_s, dmax_t, ratio), ratio, True, ("x", "y", "t", "z"), between="_order")
+    hard = near.groupBy("k_id").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "t", "z"))).alias("hard"))
+    return own.select(F.col("h_id").alias("k_id"), "x", "y", "t", "z").join(hard, "k_id", "left")
+
+
+def conditional_terms(rows: DataFrame, models: list[list[Component]]) -> DataFrame:
+    """(k_id, model, mean, variance, term): what each cell of ``conditioned`` adds to the log-likelihood of each model.
+
+    The product of the conditional densities is the joint one if every cell is conditioned on all before it,
+    and close to it with few, for the near ones screen the others.  Values have zero mean.
+    """
+
+    def run(batches):
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in "xyt"], 1) if b.num_rows else np.empty((0, 3))
+            z = b.column("z").to_numpy()
+            for i, model in enumerate(models):
+                mean = np.zeros(len(z))
+                var = covariance_stack(model, at[:, None], at[:, None])[:, 0, 0] if len(z) else np.zeros(0)
+                for own, points, known, values in neighbour_stacks(b, "hard"):
+                    found = each_or_none(lambda p, k, v, model=model: np.column_stack(krige_many(model, p, k, v, None)[:2]), points, known, values)
+                    mean[own], var[own] = found.T
+                var = np.maximum(var, 1e-12)
+                term = -0.5 * (np.log(2 * math.pi * var) + (z - mean) ** 2 / var)
+                yield pa.RecordBatch.from_arrays([b.column("k_id"), pa.array(np.full(len(z), i), pa.int32()), pa.array(mean), pa.array(var), pa.array(term, from_pandas=True)], ["k_id", "model", "mean", "variance", "term"])
+
+    return rows.mapInArrow(run, "k_id long, model int, mean double, variance double, term double")
+
+
+def conditional_likelihood(rows: DataFrame, models: list[list[Component]]) -> np.ndarray:
+    """The log-likelihood of every model, in one pass over all cells of ``conditioned``."""
+    out = np.full(len(models), -math.inf)
+    for r in conditional_terms(rows, models).groupBy("model").agg(F.sum("term").alias("v")).collect():
+        out[r.model] = r.v
+    return out
+
+
+def fit_conditional(cells: DataFrame, kinds: list[tuple[str, str]], m: int, dmax_s: float, dmax_t: float, ratio: float, particles: int = 20, rounds: int = 6, seed: int = 1) -> tuple[list[Component], float]:
+    """Maximum likelihood over all cells (h_id, x, y, t, z), each conditioned on ``m`` earlier neighbours.
+
+    Neighbours are searched once; a round of the swarm is one pass that tries all its particles.
+    """
+    rows = cut(conditioned(cells, m, dmax_s, dmax_t, ratio))
+    own = rows.agg(F.var_pop("z"), F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("t") - F.min("t")).first()
+    sill, rs, rt = float(own[0]), max(own[1], own[2], 1e-6) / 2, float(own[3]) / 2
+    low, high = np.tile([0.01 * sill, 0.01 * rs, 0.01 * max(rt, 1)], len(kinds)), np.tile([3 * sill, 4 * rs, 4 * max(rt, 1)], len(kinds))
+    build = lambda p: [Component(float(p[3 * i]), s, float(p[3 * i + 1]), t, float(p[3 * i + 2])) for i, (s, t) in enumerate(kinds)]
+    p, v = pso(lambda x: -conditional_likelihood(rows, [build(q) for q in x]), low, high, particles=particles, rounds=rounds, seed=seed, together=True)
+    return build(p), -v

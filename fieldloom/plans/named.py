@@ -549,6 +549,18 @@ def C2_closed_bins(spark, d):
     return rounded(covariance.empirical_covariance(resid(spark, d), a, b, bins="closed"), 3)
 
 
+@query(SQL["C2_closed_bins"])
+def C3_annulus(spark, d):
+    """The same sums, the pairs of each bin searched between its radii."""
+    a, b = covariance.lag_bins(LAGS_S[:5], 0.6), covariance.lag_bins(LAGS_T[:4], 0.6)
+    return rounded(covariance.annulus_covariance(resid(spark, d), a, b), 3)
+
+
+@query(SITES + ", n AS (SELECT row_number() OVER (ORDER BY x, y) AS si, x, y FROM sites) SELECT a.si AS a_si, b.si AS b_si, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS ds FROM n a, n b WHERE a.si <= b.si AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) BETWEEN 2.5 AND 4.1")
+def C3_annulus_pairs(spark, d):
+    return rounded(neighbours.pairs_between_radii(grid.sites(cells(spark, d)), 2.5, 4.1), 6)
+
+
 @query(RESID + LAGS + ", own AS (SELECT *, dense_rank() OVER (ORDER BY x, y) AS si FROM resid), pair AS (SELECT a.r AS l, b.r AS r, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS ds, abs(b.t - a.t) AS dt FROM own a JOIN own b ON (a.si < b.si OR (a.si = b.si AND a.t <= b.t)) AND abs(b.t - a.t) <= 2.5 AND abs(a.x - b.x) <= 3.5 AND abs(a.y - b.y) <= 3.5) SELECT s AS lag_s, q AS lag_t, 2 * count(*) AS n, round((sum(l) + sum(r)) / (2 * count(*)), 3) AS m, round(avg(l * r) - ((sum(l) + sum(r)) / (2 * count(*))) ** 2, 3) AS cov FROM pair JOIN ls ON ds >= s - 0.5 AND ds <= s + 0.5 JOIN lt ON dt >= q - 0.5 AND dt <= q + 0.5 WHERE s < 4 AND q < 3 GROUP BY s, q")
 def C5_symmetric(spark, d):
     a, b = covariance.lag_bins(LAGS_S[:4], 0.5), covariance.lag_bins(LAGS_T[:3], 0.5)
@@ -697,6 +709,18 @@ def all_residuals(spark, d):
     return h.select(F.col("h_id").alias("k_id"), "x", "y", "t"), h
 
 
+ORDERED = RES_KNN.replace("0 AS var FROM resid)", f"0 AS var, CAST('0x' || substr(md5(CAST({KEY} AS VARCHAR)), 1, 15) AS BIGINT) AS place FROM resid)").replace("x, y, t FROM h)", "x, y, t, place FROM h)")
+
+
+@query(ORDERED + NEAR.format(" AND k_id <> h_id AND h.place < k.place") + TWO + ", m AS (SELECT h.h_id AS k_id, h.hz, coalesce(w1 * z1 + w2 * coalesce(z2, 0), 0) AS m, coalesce(2300 - w1 * c1 - w2 * coalesce(c2, 0), 2300) AS v FROM h LEFT JOIN wt ON wt.k_id = h.h_id) SELECT k_id, round(m, 3) AS mean, round(v, 3) AS variance, round(-0.5 * (ln(2 * pi() * v) + (hz - m) * (hz - m) / v), 4) AS term FROM m")
+def F10_conditional_likelihood(spark, d):
+    """What each cell, given its two nearest earlier ones in a scattered order, adds to the log-likelihood of the model."""
+    place = F.conv(F.substring(F.md5(F.col("h_id").cast("string")), 1, 15), 16, 10).cast("long")
+    h = keyed(resid(spark, d)).select("h_id", "x", "y", "t", F.col("residual").alias("z")).withColumn("place", place)
+    terms = fit.conditional_terms(fit.conditioned(h, 2, 3.2, 2.5, 1.3, "place"), [MODEL])
+    return terms.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3), r("term", "term"))
+
+
 @query(RES_KNN + NEAR_OTHER + " SELECT k_id, round(c / 2300 * hz, 4) AS zk, round(2300 - c * c / 2300, 3) AS vk FROM o WHERE rank = 1")
 def I5_kriging_one(spark, d):
     points, data = all_residuals(spark, d)
@@ -797,6 +821,55 @@ def B7_pdf_hard(spark, d):
     return b.select("k_id", F.col("i").cast("long").alias("i"), r("p.pdf_x", "pdf_x", 3), r("p.pdf_p", "pdf_p", 7))
 
 
+COINCIDING = SOFT + f", v AS (SELECT {KEY} AS k_id, mean - 75 AS m1, var AS v1, (low + up) / 2 - 75 AS m2, (up - low) * (up - low) / 12 AS v2, low - 75 AS a, up - 75 AS b FROM soft)"
+
+
+def own_soft(spark, d):
+    """(points on the soft places, soft cells with their keys)"""
+    s = keyed(soft(spark, d))
+    return s.select(F.col("h_id").alias("k_id"), "x", "y", "t"), s
+
+
+@query(COINCIDING + " SELECT k_id, round((m1 / v1 + m2 / v2) / (1 / 2300.0 + 1 / v1 + 1 / v2), 3) AS mean, round(1 / (1 / 2300.0 + 1 / v1 + 1 / v2), 3) AS variance FROM v")
+def B4_bme_coinciding(spark, d):
+    """Two Gaussian soft data at one place, which is the point's own."""
+    points, s = own_soft(spark, d)
+    none = F.lit(None).cast("array<double>")
+    kind = [F.lit(10).alias("pdf_type"), none.alias("limi"), none.alias("probdens")]
+    first = s.select("h_id", "x", "y", "t", *kind, (F.col("mean") - 75).alias("mean"), "var")
+    second = s.select((-F.col("h_id") - 1).alias("h_id"), "x", "y", "t", *kind, ((F.col("low") + F.col("up")) / 2 - 75).alias("mean"), ((F.col("up") - F.col("low")) ** 2 / 12).alias("var"))
+    b = bme.predict(points, None, first.union(second), MODEL, 0, 2, 0.5, 0.3, 1.3)
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
+
+
+C_NEXT = MODEL_SQL.format(ds="0.4", dt="0.0")
+
+
+@query(COINCIDING + f", w AS (SELECT k_id, (a + b) / 2 AS m, (b - a) * (b - a) / 4 + 1e-6 AS v, {C_NEXT} AS c FROM v) SELECT k_id, round(c / (2300 + v) * m, 3) AS mean, round(2300 - c * c / (2300 + v), 3) AS variance FROM w")
+def B8_bme_assimilated(spark, d):
+    """Two exact data at one place contradict each other; assimilated they are a Gaussian of their mean and spread."""
+    points, s = own_soft(spark, d)
+    both = s.select("h_id", "x", "y", "t", (F.col("low") - 75).alias("z")).union(s.select((-F.col("h_id") - 1).alias("h_id"), "x", "y", "t", (F.col("up") - 75).alias("z")))
+    points = points.withColumn("x", F.col("x") + 0.4)
+    b = bme.predict(points, both, None, MODEL, 2, 0, 0.5, 0.3, 1.3, options=bme.Options(assimilate=True))
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
+
+
+WIDE = [Component(250_000.0, "exponential", 6.0, "exponential", 4.0)]
+SIMPSON = ", p AS (SELECT k_id, a + (b - a) * i.range / 400 AS x, (CASE WHEN i.range IN (0, 400) THEN 1 WHEN i.range % 2 = 1 THEN 4 ELSE 2 END) AS w FROM v, range(401) i), e AS (SELECT k_id, sum(w * exp(-x * x / 5e5) * x) / sum(w * exp(-x * x / 5e5)) AS m1, sum(w * exp(-x * x / 5e5) * x * x) / sum(w * exp(-x * x / 5e5)) AS m2 FROM p GROUP BY k_id)"
+
+
+@query(COINCIDING + SIMPSON + " SELECT k_id, round(exp(-0.2) * m1, 2) AS mean, round((250000 * (1 - exp(-0.4)) + exp(-0.4) * (m2 - m1 * m1)) / 100, 2) AS variance FROM e")
+def B3_bme_uniform(spark, d):
+    """One uniform soft datum beside the point: a truncated normal passed on by the covariance."""
+    points, s = own_soft(spark, d)
+    low, up = F.col("low") - 75, F.col("up") - 75
+    limits, density = softdata.uniform_two_nodes(low, up)
+    s = s.select("h_id", "x", "y", "t", F.lit(2).alias("pdf_type"), limits.alias("limi"), density.alias("probdens"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("var"))
+    b = bme.predict(points.withColumn("x", F.col("x") + 0.4), None, s, WIDE, 0, 1, 0.5, 0.3, 1.3)
+    return b.select("k_id", r("mean", "mean", 2), r(F.col("variance") / 100, "variance", 2))
+
+
 _PHI = "(CASE WHEN z > 0 THEN 1 - q ELSE q END)"
 
 
@@ -913,6 +986,30 @@ def O3_space_time_outliers(spark, d):
     return outliers.space_time_outliers(h, 1.0, 5.0, 4.3)
 
 
+CAUSAL = (
+    CELLS
+    + f", q AS (SELECT {KEY} AS h_id, x, y, t, (z - avg(z) OVER w) / coalesce(nullif(stddev_samp(z) OVER w, 0), 1) AS score FROM cells WINDOW w AS (PARTITION BY x, y)), n AS (SELECT t, count(*) AS n FROM q GROUP BY t),"
+    " wd AS (SELECT a.t AS hi, CASE WHEN coalesce(sum(b.n) FILTER (b.t > a.t - 2.5), 0) >= 400 THEN 2.5 WHEN coalesce(sum(b.n) FILTER (b.t > a.t - 3.5), 0) >= 400 THEN 3.5 ELSE 4.5 END AS w FROM n a LEFT JOIN n b ON b.t < a.t AND b.t > a.t - 4.5 GROUP BY a.t),"
+    " p AS (SELECT k.h_id AS k_id, h.h_id, h.score, sqrt((k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) * 1.0) AS d FROM q k JOIN wd ON wd.hi = k.t JOIN q h ON h.t < k.t AND h.t > k.t - wd.w AND abs(h.x - k.x) < 5 AND abs(h.y - k.y) < 5 WHERE (k.x - h.x) * (k.x - h.x) + (k.y - h.y) * (k.y - h.y) + (k.t - h.t) * (k.t - h.t) < 25),"
+    " o AS (SELECT *, row_number() OVER (PARTITION BY k_id ORDER BY round(d, 9), h_id) AS rank FROM p), e AS (SELECT k_id, sum(score / (d * d)) / sum(1 / (d * d)) AS expected FROM o WHERE rank <= 20 GROUP BY k_id)"
+)
+
+
+@query(CAUSAL + " SELECT q.h_id, round(score, 4) AS score, round(expected, 4) AS expected, coalesce(abs(score - expected) > 2.5, false) AS outlier FROM q LEFT JOIN e ON e.k_id = q.h_id")
+def O4_causal(spark, d):
+    """Scores against what earlier days say of their place, flagged data among them."""
+    s = keyed(cells(spark, d)).withColumn("id", (F.col("y") * 15 + F.col("x")).cast("long"))
+    found = outliers.causal_outliers(s, 1.0, (1.5, 1.0, 4.0, 400), 20, 4.0, 3.0, 1.0, 2.5, feedback=False)
+    return rounded(found.select("h_id", "score", "expected", "outlier"))
+
+
+@query()
+def O4_causal_feedback(spark, d):
+    """The same, flagged data saying nothing of later days."""
+    s = keyed(cells(spark, d)).withColumn("id", (F.col("y") * 15 + F.col("x")).cast("long"))
+    return outliers.causal_outliers(s, 1.0, (1.5, 1.0, 4.0, 400), 20, 4.0, 3.0, 1.0, 2.5).select("h_id", "score", "expected", "outlier")
+
+
 @query(CELLS + " SELECT x, y, t, round((z - avg(z) OVER w) / coalesce(nullif(stddev_samp(z) OVER w, 0), 1), 4) AS score FROM cells WINDOW w AS (PARTITION BY x, y)")
 def O4_z_scores(spark, d):
     s = cells(spark, d).withColumn("id", (F.col("y") * 15 + F.col("x")).cast("long"))
@@ -969,6 +1066,32 @@ def E9_mode_gram(spark, d):
     return rounded(decompose.mode_gram(t, "x"), 4)
 
 
+def tensor(spark, d):
+    return cells(spark, d).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("t").cast("int").alias("t"), F.col("z").alias("v"))
+
+
+@query(CELLS + " SELECT round(sum(z * z), 2) AS total FROM cells")
+def E9_hosvd_core(spark, d):
+    """The core holds the weight of all cells."""
+    core, _ = decompose.hosvd_long(tensor(spark, d))
+    return core.agg(r(F.sum(F.col("v") * F.col("v")), "total", 2))
+
+
+@query(CELLS + " SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(t AS INT) AS t, round(z, 4) AS v FROM cells")
+def E9_hosvd_rebuilt(spark, d):
+    """Core times factors gives the cells again."""
+    own = tensor(spark, d)
+    core, factors = decompose.hosvd_long(own)
+    return rounded(decompose.rebuilt(core, factors).join(own.select("x", "y", "t"), ["x", "y", "t"]).select("x", "y", "t", "v"))
+
+
+@query(CELLS + ", s AS (SELECT y AS id, t, avg(z) AS z FROM cells GROUP BY y, t), l AS (SELECT lag(z, 2) OVER w AS v0, lag(z, 1) OVER w AS v1, z AS v2 FROM s WINDOW w AS (PARTITION BY id ORDER BY t)), g AS (SELECT * FROM l WHERE v0 IS NOT NULL) SELECT 0 AS i, 0 AS j, round(sum(v0 * v0), 3) AS g FROM g UNION ALL SELECT 0, 1, round(sum(v0 * v1), 3) FROM g UNION ALL SELECT 0, 2, round(sum(v0 * v2), 3) FROM g UNION ALL SELECT 1, 1, round(sum(v1 * v1), 3) FROM g UNION ALL SELECT 1, 2, round(sum(v1 * v2), 3) FROM g UNION ALL SELECT 2, 2, round(sum(v2 * v2), 3) FROM g")
+def E2_lag_gram(spark, d):
+    """Products of lags of the daily means of lattice rows, without their windows."""
+    s = cells(spark, d).groupBy(F.col("y").cast("long").alias("id"), "t").agg(F.avg("z").alias("z"))
+    return rounded(decompose.lag_gram(s, 3), 3)
+
+
 # Information
 
 
