@@ -266,8 +266,8 @@ def hosvd(tensor: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 def mode_gram(tensor: DataFrame, mode: str, value: str = "v") -> DataFrame:
     """(i, j, g) of a mode's unfolding for a tensor in long form (one index column per mode, value)."""
     rest = [c for c in tensor.columns if c not in (mode, value)]
-    a, b = tensor.withColumnsRenamed({mode: "i", value: "a"}), tensor.withColumnsRenamed({mode: "j", value: "b"})
-    return a.join(b, rest).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+    a, b = tensor.withColumnsRenamed({mode: "_i", value: "_a"}), tensor.withColumnsRenamed({mode: "_j", value: "_b"})
+    return a.join(b, rest).where("_i <= _j").groupBy(F.col("_i").alias("i"), F.col("_j").alias("j")).agg(F.sum(F.col("_a") * F.col("_b")).alias("g"))
 
 
 #: Indices of a mode beyond which its Gram matrix is no matter for the driver.
