@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,17 @@ def conditional_density(joint: np.ndarray, x: np.ndarray, at: int) -> np.ndarray
     return p / np.trapezoid(p, x)
 
 
+#: Points whose covariance matrix is factored on the driver at most.
+DENSE_POINTS = 4096
+
+
 def simulate(spark: SparkSession, points: np.ndarray, model: list[Component], replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, k_id, x, y, t, z): seeded Gaussian fields by a Cholesky factor, one replicate a row of work."""
+    """(replicate, k_id, x, y, t, z): seeded Gaussian fields by a Cholesky factor, one replicate a row of work.
+
+    For ``DENSE_POINTS`` points at most; ``simulate_spectral`` has no such bound.
+    """
+    if len(points) > DENSE_POINTS:
+        raise ValueError(f"more than {DENSE_POINTS} points: use simulate_spectral")
     k = covariance_matrix(model, points, points)
     root = np.linalg.cholesky(k + 1e-10 * k.max() * np.eye(len(points)))
     sent = spark.sparkContext.broadcast((points, root))
@@ -135,3 +145,48 @@ def simulate(spark: SparkSession, points: np.ndarray, model: list[Component], re
                 yield pd.DataFrame({"replicate": int(i), "k_id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "t": p[:, 2], "z": z})
 
     return spark.range(replicates).mapInPandas(one, "replicate long, k_id long, x double, y double, t double, z double")
+
+
+def _waves(c: Component, n: int, rng: np.random.Generator) -> np.ndarray:
+    """(n, 3) frequencies in x, y and t whose spectrum is that of a component."""
+
+    def axes(name: str, a: float, dims: int) -> np.ndarray:
+        w = rng.standard_normal((n, dims))
+        if name == "gaussian":
+            return w * math.sqrt(6) / a
+        if name == "exponential":  # the spectrum is a Cauchy distribution: a normal one over another's size
+            return 3 / a * w / np.abs(rng.standard_normal((n, 1)))
+        raise ValueError(f"no spectrum for {name!r}")
+
+    time = axes(c.time, c.range_t, 1) if c.time else np.zeros((n, 1))
+    return np.concatenate([axes(c.space, c.range_s, 2), time], 1)
+
+
+def simulate_spectral(points: DataFrame, model: list[Component], replicates: int, waves: int = 1024, seed: int = 1) -> DataFrame:
+    """(replicate, k_id, x, y, t, z): seeded Gaussian fields at ``points`` (k_id, x, y, t) as sums of ``waves`` cosines.
+
+    Frequencies are drawn from the spectrum of each exponential or Gaussian component, so the covariance is the model's
+    on average over seeds; a nugget is a normal number made of each key's hash.  Points are only mapped, so
+    there may be any number of them; the fields are normal up to terms of one over ``waves``.
+    """
+    sent = []
+    for i in range(replicates):
+        rng = np.random.default_rng([seed, i])
+        parts = [(c.sill, _waves(c, waves, rng), rng.uniform(0, 2 * math.pi, waves)) for c in model if c.space != "nugget"]
+        sent.append((parts, sum(c.sill for c in model if c.space == "nugget")))
+
+    def run(batches):
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xyt"], 1) if b.num_rows else np.empty((0, 3))
+            for i, (parts, nugget) in enumerate(sent):
+                u, v = (b.column(f"{c}{i}").to_numpy(zero_copy_only=False).astype(float) for c in "uv")
+                z = math.sqrt(nugget) * np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v)
+                for lo in range(0, len(at), 2048):
+                    for sill, w, phase in parts:
+                        z[lo : lo + 2048] += math.sqrt(2 * sill / waves) * np.cos(at[lo : lo + 2048] @ w.T + phase).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), *(b.column(c) for c in ("k_id", "x", "y", "t")), pa.array(z, from_pandas=True)], ["replicate", "k_id", "x", "y", "t", "z"])
+
+    unit = lambda n: (F.shiftrightunsigned(F.xxhash64("k_id", F.lit(seed), F.lit(n)), 11) + 1) / F.lit(float(1 << 53))
+    own = points.select("k_id", *(F.col(c).cast("double").alias(c) for c in "xyt"), *(unit(2 * i + n).alias(f"{c}{i}") for i in range(replicates) for n, c in enumerate("uv")))
+    kind = dict(points.dtypes)["k_id"]
+    return own.mapInArrow(run, f"replicate long, k_id {kind}, x double, y double, t double, z double")

@@ -225,9 +225,11 @@ def R19_envelope(spark, d):
 # Sources and sinks
 
 
-@query("WITH i AS (SELECT range AS k_id FROM range(420)) SELECT k_id, CAST(2.0 * (k_id % 7) AS DOUBLE) AS x, CAST(1.5 * ((k_id // 7) % 6) AS DOUBLE) AS y, CAST(5.0 + 2.5 * (k_id // 42) AS DOUBLE) AS t FROM i")
+@query(CELLS + ", e AS (SELECT min(x) AS x0, max(x) - min(x) AS lx, min(y) AS y0, max(y) - min(y) AS ly, min(t) AS t0, max(t) - min(t) AS lt FROM cells) SELECT range AS k_id, round(x0 + range % 7 * (lx / 6), 6) AS x, round(y0 + range // 7 % 6 * (ly / 5), 6) AS y, round(t0 + range // 42 * (lt / 9), 6) AS t FROM range(420), e")
 def S10_grid_generator(spark, d):
-    return rounded(observations.generate_grid(spark, (0, 12, 7), (0, 7.5, 6), (5, 27.5, 10)), 6)
+    """A grid over the extent of all cells."""
+    e = grid.extent(cells(spark, d)).first()
+    return rounded(observations.generate_grid(spark, (e.x_min, e.x_max, 7), (e.y_min, e.y_max, 6), (e.t_min, e.t_max, 10)), 6)
 
 
 @query(SOFT + ", b AS (SELECT x, y, t, z FROM obs UNION ALL SELECT x, y, t, mean FROM soft) SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(t) AS t_min, max(t) AS t_max FROM b")
@@ -589,19 +591,26 @@ def C8_covariance_map(spark, d):
     return m.groupBy("dx", "dy").agg(F.count("*").alias("n"), F.round(F.sum("product"), 1).alias("s"))
 
 
-MESH = "WITH m AS (SELECT CAST(0.25 * range AS DOUBLE) AS d FROM range(81)) SELECT d, round({}, 6) AS c FROM m"
+# Models on the lags of all near pairs of sites; a site's time is its first day
+FIRST = CELLS + ", n AS (SELECT row_number() OVER (ORDER BY x, y) AS si, x, y, min(t) AS t0 FROM cells GROUP BY x, y), m AS (SELECT a.si AS a_si, b.si AS b_si, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, abs(a.t0 - b.t0) AS dt, atan2(b.y - a.y, b.x - a.x) AS phi FROM n a JOIN n b ON a.si <= b.si AND abs(a.x - b.x) <= 8.3 AND abs(a.y - b.y) <= 8.3 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8.3)"
 
 
-def _mesh(spark):
-    return spark.range(81).select((F.col("id") * 0.25).alias("d"))
+def near_lags(spark, d):
+    """(a_si, b_si, ds, dt, azimuth) of the pairs of sites at most 8.3 apart."""
+    c = cells(spark, d)
+    own = grid.sites(c)
+    t0 = own.join(c.groupBy("x", "y").agg(F.min("t").alias("t0")), ["x", "y"]).select("si", "t0")
+    p = neighbours.pairs_within(own, 8.3, azimuth=True)
+    p = p.join(t0.select(F.col("si").alias("a_si"), F.col("t0").alias("_a")), "a_si").join(t0.select(F.col("si").alias("b_si"), F.col("t0").alias("_b")), "b_si")
+    return p.select("a_si", "b_si", "ds", F.abs(F.col("_a") - F.col("_b")).alias("dt"), "azimuth")
 
 
 def _model_query(name: str, kind: str, sql: str, shape: float | None = None):
     def run(spark, d):
-        return _mesh(spark).select("d", r(2.5 * models.correlation(kind, F.col("d"), 7.0, shape), "c", 6))
+        return near_lags(spark, d).select("a_si", "b_si", r("ds", "d", 5), r(2.5 * models.correlation(kind, F.col("ds"), 7.0, shape), "c", 5))
 
     run.__name__ = name
-    query(MESH.format(sql))(run)
+    query(FIRST + f" SELECT a_si, b_si, round(d, 5) AS d, round({sql}, 5) AS c FROM m")(run)
 
 
 _model_query("M1_exponential", "exponential", "2.5 * exp(-3 * d / 7)")
@@ -612,22 +621,33 @@ _model_query("M5_nugget", "nugget", "CAST(CASE WHEN d = 0 THEN 2.5 ELSE 0.0 END
 _model_query("M6_matern", "matern", "2.5 * (1 + sqrt(18.0) * power(1.5, 1 / 6.0) * d / 7) * exp(-sqrt(18.0) * power(1.5, 1 / 6.0) * d / 7)", 1.5)
 
 
-@query("WITH m AS (SELECT CAST(0.5 * (range % 20) AS DOUBLE) AS ds, CAST(0.5 * (range // 20) AS DOUBLE) AS dt FROM range(400)) SELECT ds, dt, round(" + MODEL_SQL.format(ds="ds", dt="dt") + ", 4) AS cov FROM m")
+@query(FIRST + " SELECT a_si, b_si, round(" + MODEL_SQL.format(ds="d", dt="dt") + ", 4) AS cov FROM m")
 def M7_nested(spark, d):
-    mesh = spark.range(400).select((F.col("id") % 20 * 0.5).alias("ds"), (F.floor(F.col("id") / 20) * 0.5).alias("dt"))
-    return mesh.select("ds", "dt", r(models.covariance(MODEL, F.col("ds"), F.col("dt")), "cov"))
+    return near_lags(spark, d).select("a_si", "b_si", r(models.covariance(MODEL, F.col("ds"), F.col("dt")), "cov"))
 
 
-@query("WITH m AS (SELECT CAST(0.5 * (range % 20) AS DOUBLE) AS ds, CAST(0.5 * (range // 20) AS DOUBLE) AS dt FROM range(400)) SELECT ds, dt, round(900 * exp(-3 * (ds + 1.5 * dt) / 8), 4) AS cov FROM m")
+@query(FIRST + " SELECT a_si, b_si, round(900 * exp(-3 * (d + 1.5 * dt) / 8), 4) AS cov FROM m")
 def M7_metric(spark, d):
-    mesh = spark.range(400).select((F.col("id") % 20 * 0.5).alias("ds"), (F.floor(F.col("id") / 20) * 0.5).alias("dt"))
     model = [models.parse("exponentialCST", (900.0, 8.0, 1.5))]
-    return mesh.select("ds", "dt", r(models.covariance(model, F.col("ds"), F.col("dt")), "cov"))
+    return near_lags(spark, d).select("a_si", "b_si", r(models.covariance(model, F.col("ds"), F.col("dt")), "cov"))
 
 
 C1_SQL = PAIRS + LAGS + ", emp AS (SELECT s AS lag_s, q AS lag_t, count(*) AS n, covar_pop(l, r) AS cov FROM pair JOIN ls ON ds >= s - 0.5 AND ds < s + 0.5 JOIN lt ON dt >= q - 0.5 AND dt < q + 0.5 GROUP BY s, q)"
 
 
+@query(C1_SQL + ", w AS (SELECT *, n / ((SELECT cov FROM emp WHERE lag_s = 0 AND lag_t = 0) ** 2 + cov ** 2) AS w FROM emp) SELECT round(sum(w * (" + MODEL_SQL.format(ds="lag_s", dt="lag_t") + " - cov) ** 2) / sum(w), 2) AS objective FROM w")
+def F1_wls_objective(spark, d):
+    return rounded(fit.objective_frame(c1(spark, d), MODEL), 2)
+
+
+@query(CELLS + ", e AS (SELECT max(x) - min(x) AS ls, max(t) - min(t) AS lt FROM cells), m AS (SELECT ls / 29 * (range % 30) AS lag_s, lt / 29 * (range // 30) AS lag_t FROM range(900), e) SELECT round(lag_s, 4) AS lag_s, round(lag_t, 4) AS lag_t, round(" + MODEL_SQL.format(ds="lag_s", dt="lag_t") + ", 3) AS cov FROM m")
+def F2_surface(spark, d):
+    """The model over all lags up to the width and the duration of the cells."""
+    e = grid.extent(cells(spark, d)).first()
+    s = fit.surface(spark, MODEL, e.x_max - e.x_min, e.t_max - e.t_min)
+    return s.select(r("lag_s", "lag_s"), r("lag_t", "lag_t"), r("cov", "cov", 3))
+
+
 @query(C1_SQL + ", w AS (SELECT *, n / ((SELECT cov FROM emp WHERE lag_s = 0 AND lag_t = 0) ** 2 + cov ** 2) AS w FROM emp) SELECT round(sum(w * (" + MODEL_SQL.format(ds="lag_s", dt="lag_t") + " - cov) ** 2) / sum(w), 2) AS objective FROM w")
 def F1_wls_objective(spark, d):
     return rounded(fit.objective_frame(c1(spark, d), MODEL), 2)
@@ -652,10 +672,10 @@ def F4_fit(spark, d):
     return spark.createDataFrame([(*map(float, (c.sill, c.range_s, c.range_t)), value) for c in model], "sill double, range_s double, range_t double, objective double")
 
 
-@query("WITH m AS (SELECT pi() / 24 * range AS phi FROM range(48)) SELECT round(phi, 5) AS phi, round(6.0 * 0.6 / sqrt(0.36 * cos(phi - 0.4) ** 2 + sin(phi - 0.4) ** 2), 5) AS a FROM m")
+@query(FIRST + " SELECT a_si, b_si, round(6.0 * 0.6 / sqrt(0.36 * cos(phi - 0.4) ** 2 + sin(phi - 0.4) ** 2), 5) AS a FROM m")
 def F8_anisotropic_range(spark, d):
-    m = spark.range(48).select((F.col("id") * (3.141592653589793 / 24)).alias("phi"))
-    return m.select(r("phi", "phi", 5), r(models.anisotropic_range(6.0, 0.6, 0.4, F.col("phi")), "a", 5))
+    """The range in the direction of each near pair of sites."""
+    return near_lags(spark, d).select("a_si", "b_si", r(models.anisotropic_range(6.0, 0.6, 0.4, F.col("azimuth")), "a", 5))
 
 
 @query(SITES + " SELECT x, y, round(x * cos(radians(30)) + y * sin(radians(30)), 5) AS u, round((y * cos(radians(30)) - x * sin(radians(30))) / 0.5, 5) AS v FROM sites")
@@ -1141,8 +1161,6 @@ def X4_maximum_entropy(spark, d):
 
 @query()
 def X6_simulation(spark, d):
-    """Four seeded fields on a lattice of 6 x 6 x 4."""
-    import numpy as np
-
-    pts = np.array([(x, y, t) for t in range(4) for y in range(6) for x in range(6)], float)
-    return information.simulate(spark, pts, [Component(1.0, "exponential", 5.0, "exponential", 4.0), Component(0.1, "nugget", 1.0)], 4)
+    """Four seeded fields at every cell."""
+    points = keyed(cells(spark, d), "k_id").select("k_id", "x", "y", "t")
+    return information.simulate_spectral(points, [Component(1.0, "exponential", 5.0, "exponential", 4.0), Component(0.1, "nugget", 1.0)], 4)

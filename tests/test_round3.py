@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix
-from fieldloom.operators import bme, decompose, neighbours, outliers
+from fieldloom.operators import bme, decompose, information, neighbours, outliers
 from fieldloom.plans import fit
 
 MODEL = [Component(2.0, "exponential", 3.0, "exponential", 4.0), Component(0.5, "spherical", 5.0, "gaussian", 6.0)]
@@ -239,3 +239,23 @@ def test_annuli_meet_only_their_cells(spark):
     assert ring < 0.65 * disc
     fine = len(neighbours.ring_offsets(9.5, 10.0, 0.05))  # in fine cells the ring's share of the area, 1 - 0.95**2, and its borders
     assert fine < 0.13 * len(neighbours.ring_offsets(0.0, 10.0, 0.05))
+
+
+def test_spectral_fields_have_the_model_s_covariance(spark):
+    """Over many seeded fields products of values average to the covariances; the same seed gives the same fields."""
+    p = [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.5, 2.0), (3, 4.0, 4.0, 0.0)]
+    model = [Component(2.0, "exponential", 5.0, "exponential", 4.0), Component(1.0, "gaussian", 6.0, "gaussian", 5.0), Component(0.5, "nugget", 1.0)]
+    points = spark.createDataFrame(p, "k_id long, x double, y double, t double")
+    rows = information.simulate_spectral(points, model, 1500, waves=64).collect()
+    z = np.zeros((1500, 4))
+    for r in rows:
+        z[r.replicate, r.k_id] = r.z
+    at = np.array([q[1:] for q in p])
+    want = covariance_matrix(model, at, at)
+    assert np.abs(z.T @ z / 1500 - want).max() < 0.45 and np.abs(z.mean(0)).max() < 0.2
+    again = {(r.replicate, r.k_id): r.z for r in information.simulate_spectral(points.repartition(3), model, 2, waves=64).collect()}
+    assert all(z[i, k] == pytest.approx(v) for (i, k), v in again.items())
+    with pytest.raises(ValueError, match="spectrum"):
+        information.simulate_spectral(points, [Component(1.0, "spherical", 5.0)], 1)
+    with pytest.raises(ValueError, match="simulate_spectral"):
+        information.simulate(spark, np.zeros((information.DENSE_POINTS + 1, 3)), model, 1)
