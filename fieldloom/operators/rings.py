@@ -136,8 +136,8 @@ def _nearest_of(nmax: int, radius: float, ratio: float | None, same: bool, settl
         both = pa.table({f.name: pa.array(found[f.name], f.type) if f.name in found else moved[f.name].cast(f.type) if f.name in carry else pa.nulls(len(data), f.type) for f in schema}, schema)
         if not len(rest):
             return both
-        again = left.take(pa.array(rest))
-        return pa.concat_tables([both, pa.table({f.name: again[f.name.lstrip("_")].cast(f.type) if f.name in ("k_id", "_x", "_y", "_t", "_lo", "_hi") else pa.nulls(len(rest), f.type) for f in schema}, schema)])
+        again, given = left.take(pa.array(rest)), {n: n for n in ("k_id", "_lo", "_hi")} | {f"_{c}": c for c in XYT}
+        return pa.concat_tables([both, pa.table({f.name: again[given[f.name]].cast(f.type) if f.name in given else pa.nulls(len(rest), f.type) for f in schema}, schema)])
 
     return run
 

@@ -25,7 +25,7 @@ def brute_nearest(points, data, nmax, radius, ratio, same):
     return out
 
 
-@pytest.mark.parametrize(("crowd", "ratio", "same"), [(60, 1.3, True), (10**6, 0.5, False), (60, None, False)])
+@pytest.mark.parametrize(("crowd", "ratio", "same"), [(200, 1.3, True), (10**6, 0.5, False), (200, None, False)])
 def test_rings_by_brute_force(spark, crowd, ratio, same):
     """Clusters, places with many data, empty plane, odd coordinates; several levels and one."""
     rng = np.random.default_rng(3)
@@ -59,6 +59,22 @@ def test_rings_meet_as_many_data_however_dense(spark):
     assert per_point[30_000][1] <= 500 < 30_000 * (3 * 4.0) ** 2 / 100
 
 
+def test_rings_of_earlier_data(spark):
+    """Neighbours whose order is between a point's bounds, over several levels; what a bound leaves out is looked for farther off."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, v), int(o)) for i, (v, o) in enumerate(zip(np.r_[rng.normal(0, 0.2, (200, 3)), rng.uniform(-4, 4, (100, 3))], rng.permutation(300), strict=True))]
+    data = spark.createDataFrame(rows, ROWS + ", place long")
+    points = data.select(F.col("h_id").alias("k_id"), "x", "y", "t", (F.col("place") - 150).alias("_lo"), F.col("place").alias("_hi"))
+    got: dict = {}
+    for r in sorted(rings.ring_nearest(points, data, 4, 3.0, 1.0, True, ("place",), 120, "place").collect(), key=lambda r: (r.k_id, r["rank"])):
+        got.setdefault(r.k_id, []).append((r.h_id, r.d))
+        assert r.place == rows[r.h_id][4]
+    want = {}
+    for k, *c, o in rows:
+        want |= brute_nearest([(k, *c)], [r[:4] for r in rows if o - 150 < r[4] < o] or [(-1, 99.0, 99.0, 99.0)], 4, 3.0, 1.0, True)
+    assert got == want
+
+
 def test_rings_of_small_tables(spark):
     none = spark.createDataFrame([], ROWS)
     one = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], ROWS)
