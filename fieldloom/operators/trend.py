@@ -272,23 +272,89 @@ def additive_fit(rows: DataFrame, target: str, linear: list[str] = (), smooth: d
         terms += spline_basis(F.col(c).cast("double"), knots)
     for c, levels in (factors or {}).items():
         terms += [(F.col(c) == level).cast("double") for level in levels[1:]]
-    k = len(terms)
-    named = rows.select(*(t.alias(f"_b{i}") for i, t in enumerate(terms)), F.col(target).cast("double").alias("_z")).where("_z is not null")
-    sums = named.agg(*(F.sum(F.col(f"_b{i}") * F.col(f"_b{j}")) for i in range(k) for j in range(i, k)), *(F.sum(F.col(f"_b{i}") * F.col("_z")) for i in range(k))).first()
-    gram, at = np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = sums[at]
-            at += 1
-    beta = np.linalg.solve(gram + ridge * np.diag(np.diag(gram)), np.array(sums[at:], float))
+    gram, right, _, _ = _normal_equations(rows, terms, target)
+    beta = np.linalg.solve(gram + ridge * np.diag(np.diag(gram)), right)
+    return beta, _predictor(beta, terms)
+
 
+def _normal_equations(rows: DataFrame, terms: list[Column], target: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(X'X, X'z, z'z, n) over the rows that have the target and all terms, in one pass."""
+    k = len(terms)
+    named = rows.select(*(t.alias(f"_b{i}") for i, t in enumerate(terms)), F.col(target).cast("double").alias("_z")).na.drop()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = named.agg(*(F.sum(F.col(f"_b{i}") * F.col(f"_b{j}")) for i, j in pairs), *(F.sum(F.col(f"_b{i}") * F.col("_z")) for i in range(k)), F.sum(F.col("_z") * F.col("_z")), F.count("*")).first()
+    if not sums[-1]:
+        raise ValueError("no row has the target and all terms")
+    gram = np.zeros((k, k))
+    for (i, j), v in zip(pairs, sums, strict=False):
+        gram[i, j] = gram[j, i] = v
+    return gram, np.array(sums[len(pairs) : len(pairs) + k], float), float(sums[-2]), int(sums[-1])
+
+
+def _predictor(beta: np.ndarray, terms: list[Column]):
     def predict(df: DataFrame) -> DataFrame:
         total = F.lit(0.0)
         for b, t in zip(beta.tolist(), terms, strict=True):
             total = total + F.lit(b) * t
         return df.withColumn("fit", total)
 
-    return beta, predict
+    return predict
+
+
+def _roughness(knots: list[float], degree: int) -> np.ndarray:
+    """Penalty of a spline's terms on [0, 1]: the integral of its second derivative's square, or of degree 1 the sum of its bends' squares."""
+    if degree == 1:
+        return np.diag([0.0, *np.ones(len(knots))])
+    at = np.unique([0.0, *(k for k in knots if 0 < k < 1), 1.0])
+    node, w = np.polynomial.legendre.leggauss(3)
+    half = np.diff(at)[:, None] / 2
+    u, w = (at[:-1, None] + half * (1 + node)).ravel(), (half * w).ravel()
+    second = np.stack([np.zeros_like(u), np.full_like(u, 2.0), 6 * u, *(6 * np.maximum(u - k, 0) for k in knots)])
+    return (second * w) @ second.T
+
+
+def additive_penalised(rows: DataFrame, target: str, smooth: dict[str, list[float]], linear: list[str] = (), factors: dict[str, list] | None = None, weights: dict[str, float] | None = None, degree: int = 3):
+    """Additive model whose splines are penalised for their roughness; returns (coefficients, predictor, figures).
+
+    A column of ``smooth`` is scaled to [0, 1] over the rows, as its knots are, and enters as a spline of degree 3 or
+    1.  ``weights`` fixes the penalties' weights; those not given are chosen by generalised cross-validation,
+    n RSS / (n - degrees of freedom)**2.  Both follow from sums over all rows that one pass makes, so
+    trying a weight costs nothing but a small system.  ``figures`` has weights, edf, rss, gcv and n.
+    """
+    if degree not in (1, 3):
+        raise ValueError("splines are of degree 1 or 3")
+    ends = rows.where(F.col(target).isNotNull()).agg(*(f(F.col(c).cast("double")) for c in smooth for f in (F.min, F.max))).first()
+    terms: list[Column] = [F.lit(1.0), *(F.col(c).cast("double") for c in linear)]
+    blocks: dict[str, tuple[slice, np.ndarray]] = {}
+    for n, (c, knots) in enumerate(smooth.items()):
+        low, high = ends[2 * n] or 0.0, ends[2 * n + 1] or 0.0
+        width = high - low or 1.0
+        u, own = (F.col(c).cast("double") - F.lit(float(low))) / F.lit(float(width)), [(k - low) / width for k in knots]
+        basis = spline_basis(u, own) if degree == 3 else [u, *(F.greatest(u - F.lit(float(k)), F.lit(0.0)) for k in own)]
+        blocks[c] = slice(len(terms), len(terms) + len(basis)), _roughness(own, degree)
+        terms += basis
+    for c, levels in (factors or {}).items():
+        terms += [(F.col(c) == level).cast("double") for level in levels[1:]]
+    gram, right, square, n = _normal_equations(rows, terms, target)
+
+    def solved(w: dict[str, float]) -> tuple[np.ndarray, float, float, float]:
+        full = gram.copy()
+        for c, (at, rough) in blocks.items():
+            full[at, at] += w[c] * rough
+        inverse = np.linalg.pinv(full, hermitian=True)
+        beta = inverse @ right
+        rss, edf = max(square - 2 * beta @ right + beta @ gram @ beta, 0.0), float(np.trace(inverse @ gram))
+        return beta, rss, edf, n * rss / max(n - edf, 1e-9) ** 2
+
+    own = dict(weights or {})
+    free = [c for c in smooth if c not in own]
+    unit = {c: max(np.trace(gram[blocks[c][0], blocks[c][0]]), 1e-12) / max(np.trace(blocks[c][1]), 1e-12) for c in free}
+    own |= unit
+    for _ in range(3 if len(free) > 1 else 1):  # one column after the other
+        for c in free:
+            own[c] = min((unit[c] * 10.0**e for e in np.arange(-10, 5, 0.5)), key=lambda v, c=c: solved(own | {c: v})[3])
+    beta, rss, edf, gcv = solved(own)
+    return beta, _predictor(beta, terms), {"weights": own, "edf": edf, "rss": rss, "gcv": gcv, "n": n}
 
 
 def cross_basis(series: DataFrame, value: str, max_lag: int, knots: list[float], lag_degree: int = 2) -> DataFrame:

@@ -513,6 +513,21 @@ def T15_additive_factor(spark, d):
     return rounded(trend.additive_fit(c, "z", factors={"day": list(range(7))}, ridge=0.0)[1](c).select("x", "y", "t", "fit"), 3)
 
 
+@query(
+    CELLS
+    + ", e AS (SELECT min(t) AS t0, max(t) - min(t) AS lt FROM cells), b AS (SELECT x, y, t, z, (t - t0) / lt AS u, greatest((t - t0) / lt - (14.5 - t0) / lt, 0) AS h FROM cells, e),"
+    " g AS (SELECT count(*)::DOUBLE AS n, sum(u) AS su, sum(h) AS sh, sum(u * u) AS uu, sum(u * h) AS uh, sum(h * h) + 20 AS hh, sum(z) AS sz, sum(u * z) AS uz, sum(h * z) AS hz FROM b),"
+    " d AS (SELECT *, n * (uu * hh - uh * uh) - su * (su * hh - uh * sh) + sh * (su * uh - uu * sh) AS det FROM g),"
+    " c AS (SELECT (sz * (uu * hh - uh * uh) - su * (uz * hh - uh * hz) + sh * (uz * uh - uu * hz)) / det AS b0, (n * (uz * hh - uh * hz) - sz * (su * hh - uh * sh) + sh * (su * hz - uz * sh)) / det AS b1, (n * (uu * hz - uz * uh) - su * (su * hz - uz * sh) + sz * (su * uh - uu * sh)) / det AS b2 FROM d)"
+    " SELECT x, y, t, round(b0 + b1 * u + b2 * h, 3) AS fit FROM b, c"
+)
+def T15_additive_spline(spark, d):
+    """A spline of degree 1 over time with one bend, penalised with a weight of 20."""
+    c = cells(spark, d)
+    fit_of = trend.additive_penalised(c, "z", {"t": [14.5]}, weights={"t": 20.0}, degree=1)[1]
+    return rounded(fit_of(c).select("x", "y", "t", "fit"), 3)
+
+
 _BASIS_SQL = ("{v}", "{v} * {v}", "{v} * {v} * {v}", "power(greatest({v} - 0.5, 0), 3)")
 _CROSS_SQL = ", ".join("round(" + " + ".join(f"{f.format(v=f'l{k}')} * {float((k / 2) ** j)}" for k in range(3)) + f", 5) AS cb_{i}_{j}" for j in range(3) for i, f in enumerate(_BASIS_SQL))
 

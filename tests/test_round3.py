@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix
-from fieldloom.operators import bme, decompose, information, neighbours, outliers
+from fieldloom.operators import bme, decompose, information, neighbours, outliers, trend
 from fieldloom.plans import fit
 
 MODEL = [Component(2.0, "exponential", 3.0, "exponential", 4.0), Component(0.5, "spherical", 5.0, "gaussian", 6.0)]
@@ -259,3 +259,38 @@ def test_spectral_fields_have_the_model_s_covariance(spark):
         information.simulate_spectral(points, [Component(1.0, "spherical", 5.0)], 1)
     with pytest.raises(ValueError, match="simulate_spectral"):
         information.simulate(spark, np.zeros((information.DENSE_POINTS + 1, 3)), model, 1)
+
+
+def test_penalised_splines_against_dense_algebra(spark):
+    """Coefficients, degrees of freedom and the cross-validated choice by matrices of all rows."""
+    rng = np.random.default_rng(13)
+    x, v = rng.uniform(2, 12, 240), rng.integers(0, 3, 240)
+    z = np.sin(x) + 0.5 * v + 0.2 * rng.normal(size=240)
+    rows = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(x, v, z, strict=True)] + [(3.0, 1, None)], "x double, v int, z double")
+    knots = [3.0, 5.0, 7.0, 9.0, 11.0]
+    low, high = x.min(), x.max()
+    u, k = (x - low) / (high - low), [(q - low) / (high - low) for q in knots]
+    m = np.column_stack([np.ones(240), u, u**2, u**3, *(np.maximum(u - q, 0) ** 3 for q in k), v == 1, v == 2])
+    fine = np.linspace(0, 1, 200_001)
+    second = np.stack([0 * fine, 2 + 0 * fine, 6 * fine, *(6 * np.maximum(fine - q, 0) for q in k)])
+    rough = np.zeros((11, 11))
+    rough[1:9, 1:9] = np.trapezoid(second[:, None] * second[None], fine, axis=2)
+
+    def dense(w):
+        h = m @ np.linalg.pinv(m.T @ m + w * rough) @ m.T
+        return h @ z, np.trace(h), 240 * ((z - h @ z) ** 2).sum() / (240 - np.trace(h)) ** 2
+
+    factors = {"v": [0, 1, 2]}
+    _, predict, figures = trend.additive_penalised(rows, "z", {"x": knots}, factors=factors, weights={"x": 1e-4})
+    fit_of, edf, gcv = dense(1e-4)
+    got = [r.fit for r in predict(rows.where("z is not null")).collect()]
+    assert np.allclose(got, fit_of, atol=1e-6) and figures["edf"] == pytest.approx(edf, rel=1e-5) and figures["gcv"] == pytest.approx(gcv, rel=1e-6) and figures["n"] == 240
+    _, _, chosen = trend.additive_penalised(rows, "z", {"x": knots}, factors=factors)
+    unit = chosen["weights"]["x"]
+    assert all(chosen["gcv"] <= dense(unit * 10.0**e)[2] * (1 + 1e-6) for e in (-1, -0.5, 0.5, 1))
+    noise = rows.withColumn("z", F.when(F.col("z").isNotNull(), F.randn(4)))
+    assert trend.additive_penalised(noise, "z", {"x": knots}, factors=factors)[2]["edf"] < chosen["edf"]  # nothing to follow: smoother
+    with pytest.raises(ValueError, match="no row"):
+        trend.additive_penalised(rows.limit(0), "z", {"x": knots})
+    with pytest.raises(ValueError, match="degree"):
+        trend.additive_penalised(rows, "z", {"x": knots}, degree=2)
