@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.neighbours import pairs_between_radii, within
+from fieldloom.operators.stages import cut
 
 Bins = list[tuple[float, float]]
 
@@ -141,12 +142,36 @@ def _lag_sums(keys: list[str], bins: Bins, kind: str, both: bool):
     return run
 
 
+#: Cells of one site in a block of time, about, where sites have more.
+BLOCK_CELLS = 4096
+
+
+def block_width(cells: DataFrame, reach: float) -> float | None:
+    """Length of blocks of time that leave some ``BLOCK_CELLS`` of the largest site in one, at least ``reach``; None where one block does."""
+    counts = cells.groupBy("x", "y").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    most = counts.agg(F.max(F.struct("n", "span"))).first()[0]
+    if most is None or most.n <= BLOCK_CELLS:
+        return None
+    return max(float(reach), float(most.span) * BLOCK_CELLS / most.n, 1e-300) * (1 + 1e-9)
+
+
 def lag_sums(cells: DataFrame, value: str, sp: DataFrame, lags_t: Bins, kind: str, keys: list[str], both: bool = False) -> DataFrame:
     """(keys, lag_t, n, sl, sr, slr): numbers of pairs of cells, sums of the left and right values and
-    of their products, over the pairs of sites ``sp`` (a_x, a_y, b_x, b_y, ds, keys)."""
-    series = cells.where(F.col(value).isNotNull()).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("_p"))
-    sides = [series.select(F.col("x").alias(f"{k}_x"), F.col("y").alias(f"{k}_y"), F.col("_p.t").alias(f"{k}_t"), F.col("_p.v").alias(f"{k}_v")) for k in "ab"]
-    both_sides = sp.join(sides[0], ["a_x", "a_y"]).join(sides[1], ["b_x", "b_y"])
+    of their products, over the pairs of sites ``sp`` (a_x, a_y, b_x, b_y, ds, keys).
+
+    A site's series travels in blocks of time, none shorter than the largest lag, so that a block meets its own
+    and the next of another site (with ``both`` the one before, too) and a site of many times is many rows.
+    """
+    own = cells.where(F.col(value).isNotNull())
+    width = block_width(own, _reach(lags_t))
+    block = F.lit(0) if width is None else F.floor(F.col("t") / F.lit(width)).cast("long")
+    series = own.groupBy("x", "y", block.alias("_k")).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("_p"))
+    sides = [series.select(F.col("x").alias(f"{k}_x"), F.col("y").alias(f"{k}_y"), "_k", F.col("_p.t").alias(f"{k}_t"), F.col("_p.v").alias(f"{k}_v")) for k in "ab"]
+    if width is not None:  # the left blocks that a right one meets; of one site each pair of cells counts once
+        sides[0] = sides[0].withColumn("_k", F.explode(F.array(*(F.col("_k") + n for n in ((-1, 0, 1) if both else (0, 1))))))
+    both_sides = sp.join(sides[0], ["a_x", "a_y"]).join(sides[1], ["b_x", "b_y", "_k"])
+    if width is not None and both:
+        both_sides = both_sides.where((F.col("ds") > 0) | (F.floor(F.col("a_t")[0] / F.lit(width)) <= F.col("_k")))
     rows = both_sides.select(*keys, (F.col("ds") == 0).alias("same"), "a_t", "a_v", "b_t", "b_v")
     names = ", ".join(f"{k} double" for k in keys)
     sums = rows.mapInArrow(_lag_sums(keys, lags_t, kind, both), f"{names}, lag_t double, n long, sl double, sr double, slr double")
@@ -172,6 +197,7 @@ def empirical_covariance(cells: DataFrame, lags_s: Bins, lags_t: Bins, value: st
 
     ``azimuth`` (degrees, tolerance) keeps pairs of sites of that direction, and sites with themselves.
     """
+    cells = cut(cells.select("x", "y", "t", value))  # read by the pairs of sites and by both sides
     sp = site_pairs(cells, _reach(lags_s))
     if azimuth is not None:
         sp = sp.where((F.abs(_azimuth_off(F.lit(azimuth[0]))) <= azimuth[1] + 1e-9) | (F.col("ds") == 0))

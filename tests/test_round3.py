@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.models import Component, covariance_matrix
-from fieldloom.operators import bme, decompose, information, neighbours, outliers, trend
+from fieldloom.operators import bme, covariance, decompose, information, neighbours, outliers, trend
 from fieldloom.plans import fit
 
 MODEL = [Component(2.0, "exponential", 3.0, "exponential", 4.0), Component(0.5, "spherical", 5.0, "gaussian", 6.0)]
@@ -294,3 +294,18 @@ def test_penalised_splines_against_dense_algebra(spark):
         trend.additive_penalised(rows.limit(0), "z", {"x": knots})
     with pytest.raises(ValueError, match="degree"):
         trend.additive_penalised(rows, "z", {"x": knots}, degree=2)
+
+
+@pytest.mark.parametrize("kind", ["half", "closed", "both"])
+def test_covariance_in_blocks_of_time(spark, monkeypatch, kind):
+    """A site with most of all times, cut into blocks, gives the sums of all pairs."""
+    rng = np.random.default_rng(14)
+    cells = [(0.0, 0.0, float(t), float(rng.normal())) for t in np.unique(rng.integers(0, 2000, 300)) / 4]
+    cells += [(float(x), float(y), float(t), float(rng.normal())) for x in range(3) for y in range(2) for t in range(0, 500, 50) if (x, y) != (0, 0)]
+    df = spark.createDataFrame(cells, "x double, y double, t double, residual double")
+    run = (lambda: covariance.symmetric_covariance(df, covariance.lag_bins([0.0, 1.0, 2.0], 0.5), covariance.lag_bins([0.0, 2.0, 5.0], 1.0))) if kind == "both" else (lambda: covariance.empirical_covariance(df, covariance.lag_bins([0.0, 1.0, 2.0], 0.5), covariance.lag_bins([0.0, 2.0, 5.0], 1.0), bins=kind))
+    whole = {(r.lag_s, r.lag_t): (r.n, r.cov) for r in run().collect()}
+    monkeypatch.setattr(covariance, "BLOCK_CELLS", 10)
+    assert 6 <= covariance.block_width(df, 6.0) < 40
+    got = {(r.lag_s, r.lag_t): (r.n, r.cov) for r in run().collect()}
+    assert set(got) == set(whole) and all(got[k] == (n, pytest.approx(c)) for k, (n, c) in whole.items())
