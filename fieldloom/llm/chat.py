@@ -8,7 +8,7 @@ A turn's size is the tokens of its role and escaped text by the given tokenizer,
 for the template.  A conversation is cut at turns.  With the running sum of turn tokens, a window
 ends before the first turn at which the sum since the window's start, and what it repeats, passes
 the budget.  Every later window opens with the conversation's system turn (its first turn, if that
-is one and takes at most half of the budget), then repeats the last ``history`` turns as far as half
+is one; of a longer one the head that takes at most half of the budget), then repeats the last ``history`` turns as far as half
 of the budget and the coming turn allow.  Loss spans cover the texts of assistant turns in the one
 window where they are new; what is repeated is masked.
 
@@ -18,9 +18,10 @@ opens its window, which is marked ``continues``.  Only a role that is longer tha
 can make a window longer.
 
 Tasks.  A task streams conversations in the order of their turns and keeps no more than the current
-window, the system turn and the history.  A conversation of more than ``section`` turns is cut into
-sections of so many turns, which are formatted apart: its turns are ranked by a range sort, a
-section gets the system turn and the history before it as carried rows, and starts a window.
+window, the system turn and the history.  A conversation of more than ``section`` turns is dealt in
+sections to several tasks, which changes no window: its turns are ranked by a range sort and sized, one
+scan over the sizes alone finds where windows start, and a section begins at the first start in each
+run of so many turns; it gets the system turn and the history before it as carried rows.
 
 Edge cases: null texts and roles are empty; a null conv_id is a conversation of its own; repeated
 turn numbers follow by role and text; repeated rows are turns each; other columns of the input,
@@ -121,19 +122,28 @@ class Windows:
         self.sum = 0  # tokens of all new turns so far
         self.start = 0  # the sum at which the window's budget is counted from
 
-    def carry(self, kind: int, turn: Turn) -> None:
+    def carry(self, kind: int, turn: Turn, pieces: Pieces = None) -> None:
         """The system turn or a turn of the history from before this section."""
         if kind == SYSTEM:
-            self.system = turn
+            self.system = self._head(*turn, pieces)
         else:
-            self.past.append(turn)
+            room = self.budget - sum(t[2] for t in self._kept())
+            self.past.extend([turn] if turn[2] <= room else self._parts(turn[0], turn[1], room, pieces))
 
     def _kept(self) -> list[Turn]:
-        return [self.system] if self.system and self.system[2] <= self.budget // 2 else []
+        return [self.system] if self.system else []
+
+    def _head(self, role: str, text: str, size: int, pieces: Pieces) -> Turn:
+        """What is retained of a system turn."""
+        return (role, text, size) if size <= self.budget // 2 else self._parts(role, text, self.budget // 2, pieces)[0]
 
     def add(self, role: str, text: str, size: int, pieces: Pieces = None) -> list[tuple]:
         """The windows that this turn closes; ``pieces`` are those of a long text, if they are known."""
-        room, out = self.budget - sum(t[2] for t in self._kept()), []
+        first = self.section == 0 and self.number == 0 and not self.new
+        if first and role == "system":
+            self.system = self._head(role, text, size, pieces)
+        whole = first and self.system and self.system[2] == size
+        room, out = self.budget - (0 if whole else sum(t[2] for t in self._kept())), []
         parts = [(role, text, size)] if size <= room else self._parts(role, text, room, pieces)
         for k, turn in enumerate(parts):
             if k or (self.new and self.sum + turn[2] - self.start > self.budget):
@@ -141,12 +151,9 @@ class Windows:
             if not self.new and (self.number or self.section):
                 self._repeat(turn[2])
                 self.continues = k > 0
-            first = self.section == 0 and self.number == 0 and not self.new
             self.new.append(turn)
             self.sum += turn[2]
-            if first and role == "system" and len(parts) == 1:
-                self.system = turn
-            else:
+            if k or not (first and role == "system"):
                 self.past.append(turn)
         return out
 
@@ -207,6 +214,25 @@ class Windows:
         return row
 
 
+class Sizes(Windows):
+    """The same windows from sizes alone: an over-long turn comes with the sizes of its last parts."""
+
+    def fill(self, role: str, size: int, parts: list[int]) -> bool:
+        """Whether a window starts at this turn."""
+        self.parts, before = parts, self.number
+        if parts and role == "system" and not (self.number or self.new):
+            self.head = parts[0]
+            self.parts = parts[1:]
+        self.add(role, "", size)
+        return self.number > before and len(self.new) == 1 and not self.parts
+
+    def _head(self, role: str, text: str, size: int, pieces: Pieces) -> Turn:
+        return (role, "", min(size, self.head if size > self.budget // 2 else size))
+
+    def _parts(self, role: str, text: str, room: int, pieces: Pieces) -> list[Turn]:
+        return [(role, "", n) for n in self.parts]
+
+
 def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TYPES)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
@@ -231,7 +257,7 @@ def _format(budget: int, history: int, tokenizer: str):
                 if kind == OWN:
                     rows += w.add(role, text, size, pieces.get(i))
                 else:
-                    w.carry(kind, (role, text, size))
+                    w.carry(kind, (role, text, size), pieces.get(i))
                 held += len(text)
                 if rows and held > 4 << 20:
                     yield _window_batch(rows)
@@ -255,7 +281,7 @@ def _ranked(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("conv_id", "role", "text")), pa.array([task] * len(at), pa.int64()), pa.array(at, pa.int64())], ["conv_id", "role", "text", "task", "at"])
 
 
-def _in_sections(turns: DataFrame, history: int, section: int, scratch: Scratch) -> DataFrame:
+def _in_sections(turns: DataFrame, budget: int, history: int, tokenizer: str, section: int, scratch: Scratch) -> DataFrame:
     """conv_id, section, kind, rank, turn, role, text; ``turns`` as they are where none is long."""
     plain = turns.select("conv_id", F.lit(0).cast("long").alias("section"), F.lit(OWN).alias("kind"), F.lit(0).cast("long").alias("rank"), "turn", "role", "text")
     long = scratch.table(turns.groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > section), "long")
@@ -268,16 +294,93 @@ def _in_sections(turns: DataFrame, history: int, section: int, scratch: Scratch)
     rows = scratch.table(rows.mapInArrow(_ranked, "conv_id long, role string, text string, task long, at long"), "ranked")
     counts = rows.groupBy("conv_id", "task").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
-    counts = counts.select(F.col("conv_id").alias("_c"), F.col("task").alias("_t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("_all"))
-    rank = F.col("at") + F.col("_before")
-    rows = rows.join(counts, rows["conv_id"].eqNullSafe(F.col("_c")) & (F.col("task") == F.col("_t"))).withColumn("rank", rank)
-    place = F.floor(F.col("rank") / section)
-    last = F.floor((F.col("_all") - 1) / section)
+    counts = counts.select(F.col("conv_id").alias("_c"), F.col("task").alias("_t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    rank = (F.col("at") + F.col("_before")).cast("long")
+    rows = rows.join(counts, rows["conv_id"].eqNullSafe(F.col("_c")) & (F.col("task") == F.col("_t"))).select("conv_id", "role", "text", rank.alias("rank"))
+    rows = scratch.table(rows, "in-order")
+    kept = rows.where((F.col("rank") == 0) & (F.col("role") == "system")).mapInArrow(_heads(budget, history, tokenizer), "conv_id long, head int, cut boolean")
+    kept = kept.select(F.col("conv_id").alias("_k"), "head", "cut")
+    sized = rows.join(kept, rows["conv_id"].eqNullSafe(F.col("_k")), "left").drop("_k")
+    sized = sized.mapInArrow(_sized(budget, history, tokenizer), "conv_id long, rank long, system boolean, size int, parts array<int>")
+    spark = turns.sparkSession
+    scanned = sized.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "rank").mapInArrow(_starts(budget, history, section), "conv_id long, block long, start long")
+    starts = scratch.table(scanned, "starts")  # at most one a run of ``section`` turns, and one for each run's first turn
+    runs = starts.groupBy("conv_id", "block").agg(F.max("start").alias("start"))
+    before = F.max(F.when(F.col("start").isNotNull(), F.col("block"))).over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    runs = scratch.table(runs.select(F.col("conv_id").alias("_c"), F.col("block").alias("_block"), "start", before.alias("_before")), "runs")
+    block = F.floor(F.col("rank") / section).cast("long")
+    placed = rows.join(runs, rows["conv_id"].eqNullSafe(F.col("_c")) & (block == F.col("_block")))
+    own_section = F.when(F.col("rank") >= F.col("start"), F.col("_block")).otherwise(F.col("_before"))
     shape = lambda df, at, kind: df.select("conv_id", at.cast("long").alias("section"), F.lit(kind).alias("kind"), "rank", F.lit(None).cast("long").alias("turn"), "role", "text")
-    own = shape(rows, place, OWN)
-    before = shape(rows.where((F.col("rank") % section >= section - history) & (place < last)), place + 1, HISTORY)
-    system = rows.where((F.col("rank") == 0) & (F.col("role") == "system")).withColumn("_s", F.explode(F.sequence(F.lit(1), last)))
-    return plain.join(long, plain["conv_id"].eqNullSafe(long["conv_id"]), "left_anti").union(own).union(before).union(shape(system, F.col("_s"), SYSTEM))
+    own = shape(placed, own_section, OWN)
+    cuts = runs.where("start > 0").select("_c", "_block", F.explode(F.sequence(F.greatest(F.col("start") - history, F.lit(0)), F.col("start") - 1)).alias("_rank")) if history else runs.limit(0).select("_c", "_block", F.col("start").alias("_rank"))
+    has_system = kept.select(F.col("_k"), F.lit(True).alias("_s"))
+    past = rows.join(cuts, rows["conv_id"].eqNullSafe(F.col("_c")) & (F.col("rank") == F.col("_rank"))).join(has_system, rows["conv_id"].eqNullSafe(F.col("_k")), "left")
+    past = shape(past.where((F.col("rank") > 0) | F.col("_s").isNull()), F.col("_block"), HISTORY)
+    first = rows.where((F.col("rank") == 0) & (F.col("role") == "system"))
+    system = shape(first.join(runs.where("start > 0"), first["conv_id"].eqNullSafe(F.col("_c"))), F.col("_block"), SYSTEM)
+    return plain.join(long, plain["conv_id"].eqNullSafe(long["conv_id"]), "left_anti").union(own).union(past).union(system)
+
+
+def _heads(budget: int, history: int, tokenizer: str):
+    """What is retained of system turns, in tokens, and whether that is less than the turn."""
+
+    def run(batches):
+        count = token_counter(tokenizer)
+        w = Windows(budget, history, count)
+        for b in batches:
+            turns = [(r or "", t or "") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            sizes = turn_sizes(turns, count)
+            pieces = [count.pieces([escape(t)])[0] if n > budget // 2 else None for (_, t), n in zip(turns, sizes, strict=True)]
+            heads = [w._head(r, t, n, p)[2] for (r, t), n, p in zip(turns, sizes, pieces, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(heads, pa.int32()), pa.array([h < n for h, n in zip(heads, sizes, strict=True)], pa.bool_())], ["conv_id", "head", "cut"])
+
+    return run
+
+
+def _sized(budget: int, history: int, tokenizer: str):
+    """Tokens of each turn and of the last parts of one too long for its window; a cut system turn's begin with its head."""
+
+    def run(batches):
+        count = token_counter(tokenizer)
+        w = Windows(budget, history, count)
+        for b in batches:
+            turns = [(r or "", t or "") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            sizes, parts = turn_sizes(turns, count), []
+            system = []
+            for (role, text), n, rank, head, cut in zip(turns, sizes, *(b.column(c).to_pylist() for c in ("rank", "head", "cut")), strict=True):
+                mine = rank == 0 and role == "system"
+                room = budget - (0 if head is None or (mine and not cut) else head)
+                own = [t[2] for t in w._parts(role, text, room, count.pieces([escape(text)])[0])][-max(history, 1) - 1 :] if n > room else []
+                parts.append([head, *own] if mine and cut else own)
+                system.append(mine)
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("rank"), pa.array(system, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["conv_id", "rank", "system", "size", "parts"])
+
+    return run
+
+
+def _starts(budget: int, history: int, section: int):
+    """Per conversation and run of ``section`` turns the first turn at which a window starts, if there is one, and a row without."""
+
+    def run(batches):
+        w, last, done = Sizes(budget, history, lambda texts: [0] * len(texts)), None, -1
+        for b in batches:
+            out: list[tuple] = []
+            for conv, rank, system, size, parts in zip(*(b.column(c).to_pylist() for c in ("conv_id", "rank", "system", "size", "parts")), strict=True):
+                if last != (conv,):
+                    w.begin(conv)
+                    last, done = (conv,), -1
+                started = w.fill("system" if system else "", size, parts) or rank == 0
+                block = rank // section
+                if rank % section == 0:
+                    out.append((conv, block, None))
+                if started and block > done:
+                    out.append((conv, block, rank))
+                    done = block
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["conv_id", "block", "start"])
+
+    return run
 
 
 def format_chats(turns: DataFrame, tokenizer: str, budget: int = 2048, history: int = 2, section: int = SECTION, scratch: Scratch | None = None) -> DataFrame:
@@ -287,7 +390,7 @@ def format_chats(turns: DataFrame, tokenizer: str, budget: int = 2048, history:
     if budget < 64:
         raise ValueError("a budget of 64 tokens or more is needed")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = _in_sections(rows, history, section, scratch or Scratch(turns.sparkSession, "chat"))
+    rows = _in_sections(rows, budget, history, tokenizer, section, scratch or Scratch(turns.sparkSession, "chat"))
     dealt = rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id", "section")
     dealt = dealt.sortWithinPartitions("conv_id", "section", "kind", "rank", "turn", "role", "text")
     return dealt.select("conv_id", "section", "kind", "role", "text").mapInArrow(_format(budget, history, tokenizer), _WINDOW)

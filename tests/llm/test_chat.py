@@ -45,7 +45,9 @@ def test_spans_repeats_and_masks(shape, budget, history):
     """Budget, greedy ends, the system turn, the longest history that fits, and the loss, by brute force."""
     turns = [(r, "".join(chr(97 + (i * 7 + k) % 26) for k in range(n))) for i, (r, n) in enumerate(shape)]
     size = lambda role, text: chat.turn_sizes([(role, text)], by_bytes)[0]
-    system = turns[0] if turns[0][0] == "system" and size(*turns[0]) <= budget // 2 else None
+    system = turns[0] if turns[0][0] == "system" else None
+    if system and size(*system) > budget // 2:  # its longest head within half of the budget
+        system = max(((system[0], system[1][:n]) for n in range(1, len(system[1])) if size(system[0], system[1][:n]) <= budget // 2), key=lambda t: len(t[1]))
     past, back, loss, before = [], [], "", None
     for number, (_, _, at, continues, n_repeated, n_turns, tokens, text, spans) in enumerate(windows_of(turns, budget, history)):
         got = chat.parse_window(text)
@@ -68,7 +70,7 @@ def test_spans_repeats_and_masks(shape, budget, history):
                 back[-1] = (back[-1][0], back[-1][1] + t[1])
             else:
                 back.append(t)
-            if not (number == 0 and i == 0 and system):
+            if not (number == 0 and i == 0 and system):  # the retained turn, or the first part of a cut one
                 past.append(t)
         own = [text[s["start"] : s["end"]] for s in spans]
         assert own == [t for r, t in new if r == "assistant"]
@@ -98,13 +100,27 @@ def test_chat_windows(spark):
             loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
             assert (back[c].n_turns, back[c].turns_sha256) == (len(own), hashlib.sha256(want.encode()).hexdigest())
             assert (back[c].loss_chars, back[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    sections = {(w.conv_id, w.section) for w in cut.collect()}
-    assert {s for c, s in sections if c == 1} == {0, 1, 2, 3, 4} and {s for c, s in sections if c != 1} == {0}
-    starts = {w.section: w for w in cut.collect() if w.conv_id == 1 and w.window == 0}
-    ordered = [(r[2], r[3]) for r in rows if r[0] == 1]
-    for s, w in starts.items():
-        turns = chat.parse_window(w.text)
-        assert turns[w.n_repeated] == ordered[8 * s] and (not s or turns[1 : w.n_repeated] == ordered[8 * s - w.n_repeated + 1 : 8 * s])
+    shown = lambda df: [(w.text, w.tokens, w.n_repeated, w.continues) for w in sorted(df.collect(), key=lambda w: (str(w.conv_id), w.section, w.window))]
+    assert shown(cut) == shown(plain) and len({w.section for w in cut.collect() if w.conv_id == 1}) > 3
+
+
+@pytest.mark.parametrize("history", [0, 1, 3])
+def test_sections_change_no_window(spark, history):
+    """Conversations with turns of all sizes, cut system turns and runs of over-long turns: the same windows with and without sections."""
+    rng = np.random.default_rng(history)
+    rows = []
+    for c, system in [(1, 5), (2, 160), (3, 900), (4, None), (None, 20)]:
+        n = 60 if c != 4 else 45
+        for i in range(n):
+            role = "system" if i == 0 and system is not None else ["user", "assistant"][i % 2]
+            length = system if i == 0 and system is not None else int(rng.choice([0, 3, 20, 60, 150, 400]))
+            if 20 <= i < 32 and c == 3:
+                length = 500
+            rows.append((c, i, role, " ".join(f"w{int(k)}" for k in rng.integers(0, 99, length // 2))))
+    df = spark.createDataFrame(rows, CHAT)
+    run = lambda section: [(str(w.conv_id), w.text, w.tokens, w.n_repeated, w.continues) for w in sorted(chat.format_chats(df, registry.tokenizer_path(), budget=200, history=history, section=section).collect(), key=lambda w: (str(w.conv_id), w.section, w.window))]
+    whole = run(10**6)
+    assert max(w[2] for w in whole) <= 200 and run(8) == whole and run(17) == whole
 
 
 def test_no_conversations(spark):
