@@ -29,7 +29,8 @@ words share one more word's chance each.  Texts start in a context of their own
 token.
 
 Edge cases: null and empty texts are one end token; texts of any length are read whole, in runs;
-repeated rows count each and are scored each; a null doc_id is scored like any other; without
+repeated rows count each and are scored each; a null doc_id is scored like any other
+(its fold is null in the query, so it trains nothing there); without
 training texts every count is zero and scores are those of the uniform distribution over the one
 unknown word (0); an empty table gives no rows; other columns, whatever their names, are not read.
 """

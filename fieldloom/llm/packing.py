@@ -22,6 +22,10 @@ Tokens: a text is cut before each run of ASCII white space, where the tokenizer'
 never joins, and each distinct piece is encoded once per task.  Texts with other Unicode white
 space or with an added token's string are encoded whole, for there such cuts could differ.
 
+Ids are those of ``tokenizers`` for the given file.  Of a plain byte-level file the pieces between white
+spaces are encoded by ``tiktoken`` with that file's vocabulary, which tests compare with ``tokenizers``; what could
+differ (added tokens, spaces of several bytes) and every other kind of file goes to ``tokenizers`` itself.
+
 Edge cases: null and empty texts are one piece of the final id alone, a null doc_id stays null;
 a text of any length is encoded whole and cut into full pieces from its end; repeated rows are
 packed each for itself and pieces of one length are told apart by their rank, so ties cannot

@@ -15,9 +15,9 @@ input; a hash met twice within a run is known to be repeated, so the run answers
 documents and sends one occurrence on.  A very common passage thus reaches a reducer once per
 run, not once per document.
 
-Windows are told apart by 64-bit hashes of their words, anchors first and windows then, so two
-different windows count as equal with a probability of about 2**-64 a pair that already shares an
-anchor's hash; rows by a 64-bit hash of doc_id and text, and starts beyond a text are left out.
+Windows are told apart by 64-bit hashes of their words, anchors first and windows then: only windows
+that hold an anchor that really or by its hash stands twice are compared, and two such that differ count
+as equal with a probability of about 2**-64 a pair (n of them: n**2 / 2**65 false pairs in all); rows by a 64-bit hash of doc_id and text, and starts beyond a text are left out.
 
 Edge cases: null and empty texts, and texts with fewer words than a window, keep all words; texts
 of any length are taken whole; repeated rows (even of one doc_id, or of none) repeat each other's

@@ -13,8 +13,8 @@ every document, whole texts of any length, and nothing but its text.
 Edge cases: null and empty texts have all features zero and get the score of such a text;
 with no labels every score is 0, with labels of one kind it is that kind; several labels of
 one document count as their majority (toxic on a tie); null labels are ignored; of several
-texts of one labelled doc_id the first in their order is learned from; repeated rows are scored
-each; columns named score and predicted are replaced, all others stay; an empty table gives no rows.
+texts of one labelled doc_id the first in their order is learned from; a null doc_id has no label and is
+in no fold (null), its text is scored; repeated rows are scored each; columns named score and predicted are replaced, all others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
