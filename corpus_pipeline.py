@@ -1,4 +1,12 @@
-"""Corpus pipeline: each stage is one operator of fieldloom.llm over all that the stage before kept."""
+"""Corpus pipeline: each stage is one operator of fieldloom.llm over all that the stage before kept.
+
+Edge cases, of all stages: null and empty texts are documents like others (not toxic unless the model says so,
+near copies of nothing, without passages or hits) and end as a piece of the final id alone; texts of any length are
+taken whole; a null doc_id stays null, has no label, and its row stays unless its group of near copies has one with
+an id; equal rows are judged alike (of near copies all rows of the kept doc_id stay), ties go to the smaller
+doc_id; columns besides those of documents are not read and end at the first stage, whatever their names; an
+empty table passes through as one.
+"""
 
 from __future__ import annotations
 
