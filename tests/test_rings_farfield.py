@@ -50,7 +50,7 @@ def test_rings_meet_as_many_data_however_dense(spark):
         places = rng.uniform(0, 10, (n, 2))
         data = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate(places)], ROWS)
         points = data.limit(200).withColumnRenamed("h_id", "k_id")
-        levels, kept = rings._levels(points, data, 5, 4.0, None, 500)
+        levels, kept = rings._levels(points, data, 5, 4.0, None, 500, True)
         side = 4.0 / 2 ** (len(levels) - 1)
         per_point[n] = (len(levels), n * (3 * side) ** 2 / 100)
         got = rings.ring_nearest(points, data, 5, 4.0, None, crowd=500)
