@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint: what follows neither plans nor, after a loss, computes again what led to them."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    _shared(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from fieldloom.functions import models, normal, softdata
 from fieldloom.functions.models import Component
 from fieldloom.operators import bme, covariance, decompose, grid, information, interpolate, neighbours, outliers, trend
+from fieldloom.operators.stages import shared_path
 from fieldloom.plans import fit, validate
 from fieldloom.sources import observations
+from fieldloom.streaming import site_sums
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1127,6 +1129,133 @@ def E2_lag_gram(spark, d):
     return rounded(decompose.lag_gram(s, 3), 3)
 
 
+# Files: tables written to the shared folder and read back
+
+
+def written(spark, df, sep: str, name: str) -> str:
+    path = shared_path(spark, name)
+    df.write.csv(path, sep=sep, header=True)
+    return path
+
+
+@query(OBS + " SELECT x, y, t, round(z, 6) AS z FROM obs")
+def S1_delimited(spark, d):
+    """All observations as text between bars, each file with a header."""
+    path = written(spark, obs(spark, d).select("z", "x", "y", "t"), "|", "delimited")
+    return rounded(observations.read_delimited(spark, path, {"x": 1, "y": 2, "t": 3, "z": 0}, sep="|", header=True).drop("row_id"), 6)
+
+
+@query(OBS + " SELECT x, y, t, round(z, 6) AS z FROM obs")
+def S7_start_row(spark, d):
+    """The same between blanks, from the second line of every file."""
+    path = written(spark, obs(spark, d).select("x", "y", "t", "z"), " ", "blanks")
+    return rounded(observations.read_delimited(spark, path, {"x": 0, "y": 1, "t": 2, "z": 3}, sep=" ", skip=1).drop("row_id"), 6)
+
+
+@query(OBS + " SELECT true AS title, count(*) AS n FROM obs")
+def S6_sniff(spark, d):
+    title, _, n = observations.sniff(spark, written(spark, obs(spark, d).select("x", "y", "t", "z"), ",", "sniff"))
+    return spark.createDataFrame([(title, n)], "title boolean, n long")
+
+
+def soft_moments(loaded: DataFrame) -> DataFrame:
+    return loaded.select("x", "y", "t", r("pdf.mean", "mean", 5), r("pdf.var", "variance", 2))
+
+
+@query(SQL["P4_moments"])
+def S4_soft_gaussian(spark, d):
+    """Means and variances from a file, as normalised densities."""
+    path = written(spark, soft(spark, d).select("x", "y", "t", "mean", "var"), ",", "gaussian")
+    return soft_moments(observations.load_soft(spark, path, "gaussian", header=True))
+
+
+@query(SOFT + " SELECT x, y, t, round((low + up) / 2, 5) AS mean, round((up - low) * (up - low) / 12, 2) AS variance FROM soft")
+def S4_soft_uniform(spark, d):
+    path = written(spark, soft(spark, d).select("x", "y", "t", "low", "up"), ";", "uniform")
+    return soft_moments(observations.load_soft(spark, path, "uniform", sep=";", header=True))
+
+
+@query(SQL["P4_moments"])
+def S5_soft_ragged(spark, d):
+    """Limits and densities in lines of their own length."""
+    s, path = polygons(spark, d), shared_path(spark, "ragged")
+    s.select(F.concat_ws(",", *(F.col(c).cast("string") for c in "xyt"), (F.size("limi") - 1).cast("string"), F.col("limi").cast("array<string>"), F.col("probdens").cast("array<string>"))).write.text(path)
+    return soft_moments(observations.load_soft(spark, path, "user"))
+
+
+def soft_result(spark, d):
+    return soft(spark, d).select("x", "y", "t", "mean", F.col("var").alias("variance"))
+
+
+@query(SOFT + " SELECT x, y, t, round(mean, 6) AS mean, round(var, 6) AS variance FROM soft")
+def S12_export(spark, d):
+    path = shared_path(spark, "export")
+    observations.write_result(soft_result(spark, d), path)
+    return rounded(observations.read_delimited(spark, path, {c: i for i, c in enumerate(("x", "y", "t", "mean", "variance"))}, header=True).drop("row_id"), 6)
+
+
+@query(CELLS + " SELECT x, y, t, round(z, 6) AS z, 'day' AS unit FROM cells")
+def S17_project(spark, d):
+    """Tables and settings of a saved project."""
+    path = shared_path(spark, "project")
+    observations.save_project({"cells": cells(spark, d), "soft": soft(spark, d)}, {"unit": "day"}, path)
+    tables, settings = observations.load_project(spark, path)
+    return rounded(tables["cells"].select("x", "y", "t", "z", F.lit(settings["unit"]).alias("unit")), 6)
+
+
+@query(OBS + " SELECT x, y, count(z) AS n, round(sum(z), 4) AS s, round(sum(z * z), 2) AS ss FROM obs GROUP BY x, y")
+def ST1_site_sums(spark, d):
+    """The running sums of sites after all events have streamed by."""
+    table, out = spark.read.parquet(f"{d}/events.parquet"), shared_path(spark, "stream")
+    stream = observations.from_events(spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]"))
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/sums")
+    run = site_sums(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/sums").select("x", "y", "n", r("s", "s"), r("ss", "ss", 2))
+
+
+# Trends by name, maps
+
+
+@query(CELLS + " SELECT x, y, t, CAST(0 AS DOUBLE) AS tr FROM cells")
+def T1_none(spark, d):
+    return trend.estimate("nd", cells(spark, d)).select("x", "y", "t", "tr")
+
+
+@query(SQL["T3_stmean_est"])
+def T13_by_name(spark, d):
+    """The separable trend at points, chosen by its name."""
+    return rounded(trend.estimate("stm", cells(spark, d), grid7(spark)).select("k_id", "tr"))
+
+
+@query(CELLS + " SELECT x, y, t, round(avg(z) OVER (PARTITION BY x), 4) AS tr FROM cells")
+def T12_user(spark, d):
+    """A trend of the user's own: the mean of each lattice column."""
+    own = lambda c, p: c.join(c.groupBy("x").agg(F.avg("z").alias("tr")), "x")
+    return rounded(trend.estimate("ud", cells(spark, d), user=own).select("x", "y", "t", "tr"))
+
+
+@query(CELLS + " SELECT x, y, t, round(z, 5) AS z FROM cells")
+def F11_round_trip(spark, d):
+    """To the principal axes of an ellipsoid and back."""
+    turned = models.to_isotropic_3d(F.col("x"), F.col("y"), F.col("t"), (30.0, 20.0, 10.0), (0.5, 0.25))
+    c = cells(spark, d).select(*(v.alias(n) for v, n in zip(turned, "uvw", strict=True)), "z")
+    back = models.to_anisotropic_3d(F.col("u"), F.col("v"), F.col("w"), (30.0, 20.0, 10.0), (0.5, 0.25))
+    return c.select(*((F.round(v, 5) + 0.0).alias(n) for v, n in zip(back, "xyt", strict=True)), r("z", "z", 5))
+
+
+@query(SOFT + " SELECT x, y, round(mean, 4) AS mean, round(var, 3) AS variance FROM soft WHERE t = 10")
+def V8_map(spark, d):
+    """The map of one day."""
+    return validate.map_at(soft_result(spark, d), 10.0).select("x", "y", r("mean", "mean"), r("variance", "variance", 3))
+
+
+@query(SOFT + " SELECT t, round(mean, 4) AS mean, round(var, 3) AS variance FROM soft WHERE x = 7 AND y = 0")
+def V8_series(spark, d):
+    """The series of one site."""
+    return validate.series(soft_result(spark, d), 7.0, 0.0).select("t", r("mean", "mean"), r("variance", "variance", 3))
+
+
 # Information
 
 

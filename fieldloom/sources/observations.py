@@ -64,7 +64,7 @@ def _quoted(sep: str) -> str:
 
 
 def sniff(spark: SparkSession, path: str, sep: str = ",") -> tuple[bool, list[list[str]], int]:
-    """(whether the first line is a title, its first 50 rows, number of rows)."""
+    """(whether the first line is a title, its first 50 rows, number of rows); a title may stand in every file."""
     lines = spark.read.text(path)
     top = [r.value.split(sep) for r in lines.limit(51).collect()]
 
@@ -76,7 +76,8 @@ def sniff(spark: SparkSession, path: str, sep: str = ",") -> tuple[bool, list[li
         return True
 
     title = bool(top) and not number(top[0][0])
-    return title, top[int(title) :][:50], lines.count() - int(title)
+    rows = lines.where(F.col("value") != sep.join(top[0])) if title else lines
+    return title, top[int(title) :][:50], rows.count()
 
 
 def read_user_defined_soft(spark: SparkSession, path: str, sep: str = ",", header: bool = False, skip: int = 0) -> DataFrame:
