@@ -460,6 +460,13 @@ def T3_stmean_est(spark, d):
     return rounded(trend.stmean_at(cells(spark, d), grid7(spark)).select("k_id", "tr"))
 
 
+@query(CELLS + ", mt AS (SELECT t, avg(z) AS m, lead(t) OVER (ORDER BY t) AS t1, lead(avg(z)) OVER (ORDER BY t) AS m1 FROM cells GROUP BY t), " + GRID7 + " SELECT DISTINCT CAST(round(g.t, 6) AS DOUBLE) AS t, round(CASE WHEN (g.t - mt.t) / (mt.t1 - mt.t) <= 0.5 THEN mt.m ELSE mt.m1 END, 4) AS mt FROM g JOIN mt ON g.t >= mt.t AND g.t < mt.t1")
+def T6_times_nearest(spark, d):
+    """Means of the days nearest to times between them."""
+    found = trend.interpolate_times(trend.st_means(cells(spark, d))[1], grid7(spark), method="nearest")
+    return found.select(r("t", "t", 6), r("mt", "mt"))
+
+
 @query(SITES + " SELECT a.x, a.y, round(sum(power(1 - power(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4.0, 3), 3) * b.z) / sum(power(1 - power(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4.0, 3), 3)), 4) AS mss FROM sites a, sites b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3.3 GROUP BY a.x, a.y")
 def T4_stmean_smoothed(spark, d):
     return rounded(trend.stmean_smoothed(cells(spark, d), 3.3, 4.0, 4.0, 5.0)[0].select("x", "y", "mss"))
@@ -801,6 +808,25 @@ def B4_bme_hard(spark, d):
     return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
 
 
+NEAR_FEW = NEAR_OTHER.replace("sqrt(3.2 * 3.2 + 2.5 * 1.3 * 2.5 * 1.3)", "sqrt(0.9 * 0.9 + 0.6 * 1.3 * 0.6 * 1.3)")
+
+
+@query(RES_KNN + NEAR_FEW + TWO + " SELECT k.k_id, round(w1 * z1 + w2 * coalesce(z2, 0), 3) AS mean, CASE WHEN wt.k_id IS NOT NULL THEN round(greatest(2300 - w1 * c1 - w2 * coalesce(c2, 0), 0), 3) END AS variance FROM k LEFT JOIN wt ON wt.k_id = k.k_id")
+def B2_null_rows(spark, d):
+    """Within little more than one step some cells have no neighbour: their rows stay, without moments."""
+    points, data = all_residuals(spark, d)
+    b = bme.predict(points, data, None, MODEL, 2, 0, 0.9, 0.6, 1.3, exclude="hard")
+    return b.select("k_id", r("mean", "mean", 3), r("variance", "variance", 3))
+
+
+@query(RES_KNN + NEAR_FEW + TWO + " SELECT k.k_id, round(w1 * z1 + w2 * coalesce(z2, 0), 3) AS zk, CASE WHEN wt.k_id IS NOT NULL THEN round(2300 - w1 * c1 - w2 * coalesce(c2, 0), 3) END AS vk FROM k LEFT JOIN wt ON wt.k_id = k.k_id")
+def I5_null_rows(spark, d):
+    """Simple kriging of the same; points without neighbours have null estimates."""
+    points, data = all_residuals(spark, d)
+    k = interpolate.kriging(data, points, MODEL, 2, 0.9, 0.6, 1.3, exclude_same=True)
+    return k.select("k_id", r("zk", "zk", 3), r("vk", "vk", 3))
+
+
 def all_gaussian_soft(spark, d):
     s = keyed(soft(spark, d))
     none = F.lit(None).cast("array<double>")
@@ -1107,6 +1133,23 @@ def tensor(spark, d):
     return cells(spark, d).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("t").cast("int").alias("t"), F.col("z").alias("v"))
 
 
+@query(LONG + " SELECT vec_id, round(sum(v * v), 6) AS size FROM e GROUP BY vec_id")
+def E1_projected(spark, d):
+    """Coefficients on all orthogonal functions keep every vector's length."""
+    own = vectors(spark, d)
+    _, _, eofs = decompose.eof_vectors(own)
+    found = decompose.project(own, eofs, "vec_id")
+    return found.select("vec_id", r(F.aggregate("ecs", F.lit(0.0), lambda s, c: s + c * c), "size", 6))
+
+
+@query(CELLS + " SELECT CAST(x AS INT) % 2 AS x, CAST(y AS INT) AS y, CAST(t AS INT) AS t, round(sum(z * (x + 1)), 3) AS v FROM cells GROUP BY 1, 2, 3")
+def E8_mode_product(spark, d):
+    """Cells times a matrix along x, which sums even and odd columns with weights."""
+    own = tensor(spark, d)
+    factor = own.select("x").distinct().select("x", (F.col("x") % 2).alias("k"), (F.col("x") + 1.0).alias("u"))
+    return rounded(decompose.times_matrix(own, factor, "x", "k"), 3)
+
+
 @query(CELLS + " SELECT round(sum(z * z), 2) AS total FROM cells")
 def E9_hosvd_core(spark, d):
     """The core holds the weight of all cells."""
