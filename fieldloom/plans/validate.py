@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import bme, interpolate
 from fieldloom.operators.grid import bounding_box
+from fieldloom.operators.stages import cut
 
 CELL = ["x", "y", "t"]
 
@@ -105,7 +106,7 @@ def error_statistics(errors: DataFrame, *by: str, most: int = 100_000) -> DataFr
     if by:
         quantiles = {k: F.percentile(e, q) for k, q in names.items()}
     else:
-        errors = errors.select("error")
+        errors = cut(errors.select("error"))  # several passes read them
         quantiles = {k: F.lit(v).cast("double") for k, v in zip(names, exact_quantiles(errors, "error", tuple(names.values()), most), strict=True)}
     stats = [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max")]
     order = ["rmse", "mean", "std", "p25", "median", "p75", "min", "max"]
