@@ -119,6 +119,18 @@ def site_summary(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*SITE).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("variance"))
 
 
+def running_variance(values: Column) -> Column:
+    """Population variance of an array, by updates of the mean and the squares in the order of the array."""
+
+    def add(s: Column, v: Column) -> Column:
+        n, off = s["n"] + 1, v - s["mean"]
+        mean = s["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + off * (v - mean)).alias("squares"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(values, none, add, lambda s: F.try_divide(s["squares"], s["n"]))
+
+
 def extent(*parts: DataFrame) -> DataFrame:
     """One row: numbers of sites and times, extents of x, y, t and z over all parts."""
     both = parts[0].select(*CELL, "z")

@@ -79,9 +79,23 @@ def site_means(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).groupBy("x", "y").agg(F.avg("z").alias("z"))
 
 
+#: Variance that a cell of soft data passes, and how near to it rounding can decide.
+LEAST_VARIANCE, BORDER = 0.01, 1e-6
+
+
 def soft(spark: SparkSession, d: str) -> DataFrame:
-    g = obs(spark, d).groupBy("x", "y", "t").agg(F.avg("z").alias("mean"), F.var_pop("z").alias("var"), F.min("z").alias("low"), F.max("z").alias("up"), F.count("*").alias("n"))
-    return g.where("n >= 2 and var > 0.01").drop("n")
+    """Cells of several values and some variance.
+
+    Values in hundredths make variances of exactly the limit, on either side of which their sum falls by the order of
+    adding.  So the few cells at the limit take the variance of their values one after another, as SQL adds them.
+    """
+    o = obs(spark, d)
+    g = o.groupBy("x", "y", "t").agg(F.avg("z").alias("mean"), F.var_pop("z").alias("var"), F.min("z").alias("low"), F.max("z").alias("up"), F.count("*").alias("n"))
+    g = g.where((F.col("n") >= 2) & (F.col("var") > LEAST_VARIANCE - BORDER))
+    border = g.where(F.col("var") <= LEAST_VARIANCE + BORDER).select("x", "y", "t")
+    values = o.join(border, ["x", "y", "t"], "left_semi").where("z is not null").groupBy("x", "y", "t").agg(F.sort_array(F.collect_list(F.struct("row_id", "z"))).alias("_z"))
+    own = values.select("x", "y", "t", grid.running_variance(F.transform("_z", lambda v: v["z"])).alias("_own"))
+    return g.join(own, ["x", "y", "t"], "left").where(F.coalesce("_own", "var") > LEAST_VARIANCE).drop("n", "_own")
 
 
 def polygons(spark: SparkSession, d: str) -> DataFrame:
