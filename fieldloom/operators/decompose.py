@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.stages import cut
+
 CELL = ["x", "y", "t"]
 
 
@@ -61,11 +63,11 @@ def covariance(vectors: DataFrame, column: str = "v") -> DataFrame:
 
 
 def _matrix(rows: DataFrame, value: str) -> np.ndarray:
-    got = rows.collect()  # columns by columns
-    d = max((r.j for r in got), default=-1) + 1
+    got = rows.select("i", "j", value).toArrow()  # columns by columns
+    i, j, v = (c.to_numpy() for c in got.columns)
+    d = int(j.max(initial=-1)) + 1
     m = np.zeros((d, d))
-    for r in got:
-        m[r.i, r.j] = m[r.j, r.i] = r[value]
+    m[i, j] = m[j, i] = v
     return m
 
 
@@ -272,32 +274,122 @@ def mode_gram(tensor: DataFrame, mode: str, value: str = "v") -> DataFrame:
 
 #: Indices of a mode beyond which its Gram matrix is no matter for the driver.
 MODE_SIZE = 4096
+#: Weights below this share of the largest are none.
+_NO_WEIGHT = 1e-12
+
+
+def _weighty(g: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, eigenvectors) of a Gram matrix that have weight, largest first, n at most."""
+    weight, axes = np.linalg.eigh(g)
+    order = [k for k in np.argsort(-weight, kind="stable") if weight[k] > _NO_WEIGHT * max(weight.max(initial=0), 1e-300)][:n]
+    return weight[order], axes[:, order]
+
+
+def _fibres(tensor: DataFrame, mode: str, value: str, limit: int) -> tuple[DataFrame, list] | None:
+    """((mode, v): a row an index, dense over the other modes' indices; these), or None where they are more than ``limit``."""
+    rest = [c for c in tensor.columns if c not in (mode, value)]
+    seen = tensor.select(*rest).distinct().limit(limit + 1).collect()
+    if len(seen) > limit:
+        return None
+    seen = sorted(map(tuple, seen))
+    kinds = dict(tensor.dtypes)
+    place = tensor.sparkSession.createDataFrame([(*r, n) for n, r in enumerate(seen)], ", ".join(f"{c} {kinds[c]}" for c in rest) + ", _p int")
+    own = tensor.join(F.broadcast(place), rest).groupBy(F.col(mode).alias("_id")).agg(F.collect_list("_p").alias("_p"), F.collect_list(value).alias("_v"))
+
+    def run(batches):
+        for b in batches:
+            count = np.diff(b.column(1).offsets.to_numpy())
+            dense = np.zeros((b.num_rows, len(seen)))
+            np.add.at(dense, (np.repeat(np.arange(b.num_rows), count), b.column(1).flatten().to_numpy()), b.column(2).flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(dense)], [mode, "v"])
+
+    return own.mapInArrow(run, f"{mode} {kinds[mode]}, v array<double>"), seen
+
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """A matrix as lists, one a row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(m.shape[0] + 1, dtype=np.int32) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
-def hosvd_long(tensor: DataFrame, value: str = "v", keep: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+
+def _tall(tensor: DataFrame, mode: str, value: str, keep: int | None) -> tuple[DataFrame, DataFrame]:
+    """(factor (mode, k, u), core) of a mode with more indices than the other modes' together.
+
+    The other side's Gram matrix has the same weights; a row of the factor is the row's product with its
+    eigenvectors over their lengths.  A second Gram matrix, of these products, makes them orthonormal to rounding.
+    """
+    found = _fibres(tensor, mode, value, MODE_SIZE)
+    if found is None:
+        raise ValueError(f"mode {mode} and the other modes have more than {MODE_SIZE} indices")
+    rows, seen = cut(found[0]), found[1]
+    weight, axes = _weighty(_matrix(gram(rows), "g"), keep)
+    if not len(weight):
+        raise ValueError("a tensor without weight")
+    side, kind = axes / np.sqrt(weight), dict(tensor.dtypes)[mode]
+
+    def products(by: np.ndarray) -> DataFrame:
+        own = tensor.sparkSession.sparkContext.broadcast(by)
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), _lists(_dense(b.column(1)) @ own.value)], [mode, "v"])
+
+        return rows.mapInArrow(run, f"{mode} {kind}, v array<double>")
+
+    size, turn = np.linalg.eigh(_matrix(gram(products(side)), "g"))
+    side = side @ (turn / np.sqrt(size)) @ turn.T  # the orthonormal columns nearest to them
+    top = products(side).select(F.posexplode("v").alias("k", "u")).groupBy("k").agg(F.max_by("u", F.abs("u")).alias("u")).toArrow()
+    signs = np.ones(side.shape[1])
+    signs[top["k"].to_numpy()] = np.sign(top["u"].to_numpy())
+    side = side * signs
+    factor = products(side).select(mode, F.posexplode("v").alias("k", "u"))
+    own = tensor.sparkSession.sparkContext.broadcast(side)
+
+    def share(batches):
+        total = np.zeros(own.value.shape[::-1])
+        for b in batches:
+            if b.num_rows:
+                m = _dense(b.column(1))
+                total += (m @ own.value).T @ m
+        k, p = (i.ravel() for i in np.indices(total.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(total.ravel())], ["_k", "_p", "_v"])
+
+    rest, kinds = [c for c in tensor.columns if c not in (mode, value)], dict(tensor.dtypes)
+    place = tensor.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(seen)], "_p int, " + ", ".join(f"{c} {kinds[c]}" for c in rest))
+    sums = rows.mapInArrow(share, "_k int, _p int, _v double").groupBy("_k", "_p").agg(F.sum("_v").alias("_v"))
+    core = sums.join(F.broadcast(place), "_p").withColumnsRenamed({"_k": mode, "_v": value}).select(*tensor.columns)
+    return factor, core
+
+
+def hosvd_long(tensor: DataFrame, value: str = "v", keep: dict[str, int] | None = None, tall: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(core, factors) of a tensor in long form: one index column per mode and a value; entries not listed are 0.
 
     A mode's factor (index, k, u) holds the eigenvectors of its Gram matrix, ``keep[mode]`` of them or all with
     weight; the core has an index column k per mode.  Each product with a factor is a join on the mode's index and a sum;
-    only Gram matrices, of at most ``MODE_SIZE`` indices, leave the cluster.
+    only Gram matrices, of at most ``MODE_SIZE`` indices, leave the cluster.  With ``tall`` a mode may have any number of
+    indices, if the other modes' together have no more than that: its factor and its product come from the other side.
     """
     spark, modes = tensor.sparkSession, [c for c in tensor.columns if c != value]
-    factors, core = {}, tensor
+    factors, core, high = {}, tensor, None
     for mode in modes:
-        got = mode_gram(tensor, mode, value).collect() if tensor.select(mode).distinct().count() <= MODE_SIZE else None
-        if got is None:
-            raise ValueError(f"mode {mode} has more than {MODE_SIZE} indices")
-        index = sorted({r.i for r in got} | {r.j for r in got})
-        at, g = {x: n for n, x in enumerate(index)}, np.zeros((len(index), len(index)))
-        for r in got:
-            g[at[r.i], at[r.j]] = g[at[r.j], at[r.i]] = r.g
-        weight, axes = np.linalg.eigh(g)
-        order = [n for n in np.argsort(-weight, kind="stable") if weight[n] > 1e-12 * max(weight.max(initial=0), 1e-300)][: (keep or {}).get(mode)]
-        axes = fix_signs(axes[:, order]) if order else axes[:, :0]
+        if tensor.select(mode).distinct().limit(MODE_SIZE + 1).count() > MODE_SIZE:
+            if not tall:
+                raise ValueError(f"mode {mode} has more than {MODE_SIZE} indices")
+            factors[mode], core = _tall(tensor, mode, value, (keep or {}).get(mode))
+            core, high = cut(core), mode
+            continue
+        got = mode_gram(tensor, mode, value).toArrow()
+        i, j, v = (got[c].to_numpy(zero_copy_only=False) for c in "ijg")
+        index = np.unique(np.r_[i, j])
+        at, g = lambda x: np.searchsorted(index, x), np.zeros((len(index), len(index)))  # noqa: B023, E731
+        g[at(i), at(j)] = g[at(j), at(i)] = v
+        axes = _weighty(g, (keep or {}).get(mode))[1]
+        axes = fix_signs(axes) if axes.shape[1] else axes
         kind = dict(tensor.dtypes)[mode]
-        factors[mode] = spark.createDataFrame([(x, k, float(axes[n, k])) for n, x in enumerate(index) for k in range(axes.shape[1])], f"{mode} {kind}, k int, u double")
+        factors[mode] = spark.createDataFrame([(x, k, float(axes[n, k])) for n, x in enumerate(index.tolist()) for k in range(axes.shape[1])], f"{mode} {kind}, k int, u double")
     for mode, factor in factors.items():
-        core = times_matrix(core, factor, mode, "k", value)
+        if mode != high:
+            core = times_matrix(core, factor, mode, "k", value)
     return core, factors
 
 
@@ -308,10 +400,52 @@ def times_matrix(tensor: DataFrame, factor: DataFrame, mode: str, to: str, value
     return both.groupBy(*rest, F.col("_to").alias(mode)).agg(F.sum(F.col(value) * F.col("u")).alias(value)).select(*tensor.columns)
 
 
+#: Entries of a core that go to every task, where a mode has more indices than ``MODE_SIZE``.
+CORE_ENTRIES = 1 << 22
+
+
+def _rebuilt_tall(core: DataFrame, factor: DataFrame, mode: str, value: str) -> DataFrame | None:
+    """The product with a factor of many indices, each index's row times the core as a matrix; None where that is too large."""
+    rest, kinds = [c for c in core.columns if c not in (mode, value)], dict(core.dtypes)
+    got = core.limit(CORE_ENTRIES + 1).toArrow()
+    ks = np.unique(got[mode].to_numpy(zero_copy_only=False))
+    others, place = np.unique(np.stack([got[c].to_numpy(zero_copy_only=False) for c in rest], 1), axis=0, return_inverse=True)
+    if got.num_rows > CORE_ENTRIES or len(ks) * len(others) > CORE_ENTRIES:
+        return None
+    m = np.zeros((int(ks.max(initial=-1)) + 1, len(others)))
+    np.add.at(m, (got[mode].to_numpy(zero_copy_only=False), place.ravel()), got[value].to_numpy())
+    own, kind = core.sparkSession.sparkContext.broadcast((m, others)), dict(factor.dtypes)[mode]
+
+    def run(batches):
+        m, others = own.value
+        for b in batches:
+            step = max(1, (1 << 20) // max(len(others), 1))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                count = np.diff(part.column(1).offsets.to_numpy())
+                u = np.zeros((part.num_rows, len(m)))
+                k = part.column(1).flatten().to_numpy()
+                known = k < len(m)
+                u[np.repeat(np.arange(part.num_rows), count)[known], k[known]] = part.column(2).flatten().to_numpy()[known]
+                index = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(others))))
+                other = [pa.array(np.tile(o, part.num_rows)) for o in others.T]
+                yield pa.RecordBatch.from_arrays([index, *other, pa.array((u @ m).ravel())], [mode, *rest, value])
+
+    rows = factor.groupBy(mode).agg(F.collect_list("k").alias("_k"), F.collect_list("u").alias("_u"))
+    schema = f"{mode} {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in rest) + f", {value} double"
+    return rows.mapInArrow(run, schema).select(*core.columns)
+
+
 def rebuilt(core: DataFrame, factors: dict[str, DataFrame], value: str = "v") -> DataFrame:
-    """The tensor in long form from its core and factors."""
+    """The tensor in long form from its core and factors; a mode of more than ``MODE_SIZE`` indices comes last."""
+    many = {m: f.select(m).distinct().limit(MODE_SIZE + 1).count() > MODE_SIZE for m, f in factors.items()}
     out = core
-    for mode, factor in factors.items():
+    for mode, factor in sorted(factors.items(), key=lambda f: many[f[0]]):
+        if many[mode]:
+            out = cut(out)
+            if (found := _rebuilt_tall(out, factor, mode, value)) is not None:
+                out = found
+                continue
         back = factor.select(F.col("k").alias(mode), F.col(mode).alias("_index"), "u")
         out = times_matrix(out, back, mode, "_index", value)
     return out

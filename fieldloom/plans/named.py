@@ -1167,7 +1167,7 @@ def E8_mode_product(spark, d):
 @query(CELLS + " SELECT round(sum(z * z), 2) AS total FROM cells")
 def E9_hosvd_core(spark, d):
     """The core holds the weight of all cells."""
-    core, _ = decompose.hosvd_long(tensor(spark, d))
+    core, _ = decompose.hosvd_long(tensor(spark, d), tall=True)
     return core.agg(r(F.sum(F.col("v") * F.col("v")), "total", 2))
 
 
@@ -1175,7 +1175,7 @@ def E9_hosvd_core(spark, d):
 def E9_hosvd_rebuilt(spark, d):
     """Core times factors gives the cells again."""
     own = tensor(spark, d)
-    core, factors = decompose.hosvd_long(own)
+    core, factors = decompose.hosvd_long(own, tall=True)
     return rounded(decompose.rebuilt(core, factors).join(own.select("x", "y", "t"), ["x", "y", "t"]).select("x", "y", "t", "v"))
 
 
