@@ -6,8 +6,11 @@ point starts on the coarsest level on which its 27 cubes hold at most ``crowd``
 found by counting, and only what is still crowded is counted again.  A round takes all points of a
 level to the data of their 27 cubes and keeps the nearest: a point is settled if it has all the
 neighbours it wants nearer than the side of a cube, which is the radius of the ball that these cubes
-hold for sure, or if the level is 0; the others go on to the level above, whose ring is twice as
-wide.  So a point meets some ``crowd`` data however dense they are, not all within the radius.
+hold for sure, or if the side is at least the radius; the others go on to the level above, whose ring is
+twice as wide.  So a point meets some ``crowd`` data however dense they are, not all within the radius.
+
+Where the data are sparse for the radius, level 0 has cubes that are wider by a power of two, so that a task's
+group is worth its overhead; from cubes wider than the radius a datum goes only to those that its radius reaches.
 
 Data of equal coordinates differ only by their key, so where a level is crowded only the first
 ``nmax + 1`` of each place are looked at; that is exact, and bounds cells that no cut can thin out.
@@ -28,6 +31,8 @@ from fieldloom.operators.stages import cut
 
 #: Points of a cube that one task takes, and distances it holds at a time.
 GROUP_POINTS, SLICE = 1 << 15, 1 << 21
+#: Data of 27 cubes up to which they are not cut finer.
+CROWD = 8192
 DEEPEST = 24
 XYT = ("x", "y", "t")
 _SLACK = 1 + 1e-9  # keeps what lies on a border, to rounding, inside
@@ -49,6 +54,27 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def _reached(df: DataFrame, side: float, ratio: float | None, radius: float) -> DataFrame:
+    """Every row once for each of the cubes, wider than the radius, that are within the radius on every axis."""
+    at = [F.col("x"), F.col("y")] + ([] if ratio is None else [F.col("t") * F.lit(float(ratio))])
+    index = lambda c: F.floor(c / F.lit(side)).cast("long")
+    reach = F.lit(radius * _SLACK)
+    for i, c in enumerate(at):
+        df = df.withColumn(f"_{i}", F.explode(F.sequence(index(c - reach), index(c + reach))))
+    return df
+
+
+def _widening(data: DataFrame, radius: float, ratio: float | None, crowd: int) -> int:
+    """Power of two by which cubes of the radius may be wider and still hold, on average, half of ``crowd`` with those around them."""
+    keys = _axes(ratio)
+    counts = _cube(data, radius * _SLACK, ratio).groupBy(*keys).agg(F.count("*").alias("_n"))
+    cubes, n = counts.agg(F.count("*"), F.sum("_n")).first()
+    power, room = 0, crowd / 2 / 3 ** len(keys)
+    while cubes and power < DEEPEST and n / cubes * 2 ** (len(keys) * (power + 1)) <= room:
+        power += 1
+    return power
+
+
 def _levels(points: DataFrame, data: DataFrame, nmax: int, radius: float, ratio: float | None, crowd: int, alike: bool) -> tuple[list[DataFrame], DataFrame]:
     """(points of each level, data without what no point can need); ``alike``: data of one place differ by their key alone."""
     keys, out, level, left = _axes(ratio), [], 0, points
@@ -160,23 +186,26 @@ def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, r
     of (x, y, ratio * t), or of (x, y) where ``ratio`` is None.  Ties go to the smaller h_id.  Points without
     neighbours give no row; rows with a coordinate that is null or not finite take no part.
     """
-    crowd = crowd or max(2048, 64 * nmax)
+    crowd = crowd or max(CROWD, 64 * nmax)
     axes, scale = _axes(ratio), None if ratio is None else float(ratio)
     double = lambda df, key, *more: df.select(key, *(F.col(c).cast("double").alias(c) for c in XYT), *more)
     limits = () if between is None else ("_lo", "_hi")
     more = {c for c in (*carry, *(() if between is None else (between,))) if c not in XYT}
     points, data = _fine(double(points, "k_id", *limits), ratio), _fine(double(data, "h_id", *sorted(more)), ratio)
-    levels, data = _levels(points, data, nmax, radius, scale, crowd, between is None)
+    widest = radius * 2 ** _widening(data, radius, scale, crowd)
+    levels, data = _levels(points, data, nmax, widest, scale, crowd, between is None)
     kinds = {f.name: f.dataType for f in (*points.schema.fields, *data.schema.fields)}
     schema = T.StructType([T.StructField(n, k) for n, k in (("k_id", kinds["k_id"]), ("h_id", kinds["h_id"]), ("d", T.DoubleType()), ("rank", T.IntegerType()), *((c, kinds[c]) for c in carry), *((f"_{c}", T.DoubleType()) for c in XYT), *((c, kinds[c]) for c in limits))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    found, waiting = [], None
+    found, waiting = [], None  # what waits is met on the next level up, which is whole if it is the last to be so
     for level in range(len(levels) - 1, -1, -1):
-        side = radius * _SLACK / 2**level
+        side = widest * _SLACK / 2**level
         own = levels[level] if waiting is None else levels[level].union(waiting)
-        settled = radius if not level else side / _SLACK**2
-        left, right = _cube(own, side, scale), _spread(_cube(data, side, scale), axes)
+        whole = widest / 2**level >= radius  # the cubes around hold all within the radius
+        settled = radius if whole else side / _SLACK**2
+        left = _cube(own, side, scale)
+        right = _reached(data, side, scale, radius) if whole else _spread(_cube(data, side, scale), axes)
         parts = F.lit(0)
         crowded = left.groupBy(*axes).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_POINTS)
         if level or len(levels) > 1 or not crowded.isEmpty():
@@ -189,10 +218,12 @@ def ring_nearest(points: DataFrame, data: DataFrame, nmax: int, radius: float, r
         keys = [*axes, "_part"]
         run = _nearest_of(nmax, radius, scale, exclude_same, settled, list(carry), to_arrow_schema(schema), between)
         near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
-        if level:
+        if not whole:
             near = cut(near)
             waiting = near.where("h_id is null").select("k_id", *(F.col(f"_{c}").alias(c) for c in XYT), *limits)
-        found.append(near.where("h_id is not null").select("k_id", "h_id", "d", "rank", *carry) if level else near.select("k_id", "h_id", "d", "rank", *carry))
+        if whole:
+            waiting = None
+        found.append(near.where("h_id is not null").select("k_id", "h_id", "d", "rank", *carry) if not whole else near.select("k_id", "h_id", "d", "rank", *carry))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
