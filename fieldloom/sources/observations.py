@@ -186,8 +186,13 @@ def mask(rows: DataFrame, ring: list[tuple[float, float]], value: str = "mean")
 
 
 def colour_class(v, low: float, high: float, classes: int = 63):
-    """Class 1 to ``classes`` of a value, the top value in the last."""
-    return F.least(F.width_bucket(v, F.lit(low), F.lit(high), F.lit(classes)), F.lit(classes).cast("long"))
+    """Class 1 to ``classes`` of a value, the top value in the last; 0 below ``low``, none for what is no number.
+
+    The value's share of the range comes first and then the classes, for on a border the order of rounding decides.
+    """
+    share = (v - F.lit(float(low))) / F.lit(float(high - low))
+    own = F.when(v < low, F.lit(0).cast("long")).otherwise(F.least(F.floor(share * classes) + 1, F.lit(classes).cast("long")))
+    return F.when(v.isNotNull() & ~F.isnan(v), own)
 
 
 def save_project(tables: dict[str, DataFrame], settings: dict, path: str) -> None:
