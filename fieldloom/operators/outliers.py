@@ -124,6 +124,8 @@ def causal_outliers(data: DataFrame, freq: float, window: tuple[float, float, fl
     rounds the first n buckets are right, and few chains of flags are long.
     """
     own = z_scores(data.where("z is not null"))
+    if feedback:
+        own = cut(own)  # every round reads the scores several times
     flagged = None
     while True:
         found = cut(_causal(own, flagged, freq, window, nmax, dmax_s, dmax_t, ratio, k, power)) if feedback else _causal(own, None, freq, window, nmax, dmax_s, dmax_t, ratio, k, power)
