@@ -94,6 +94,7 @@ def map_arrays(path: str) -> list[np.ndarray]:
                     f.write(block)
             f.flush()
             raw = np.memmap(f.name, np.uint8, "r")
+    raw = np.asarray(raw)  # a plain view of the map, which is quicker to index
     n = int(raw[:8].view(np.int64)[0])
     shape = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2).tolist()
     out, at = [None] * n, 8 + 16 * n
@@ -128,15 +129,13 @@ def _find(begin: np.ndarray, low: np.ndarray, h: np.ndarray) -> np.ndarray:
     bits = (len(begin) - 1).bit_length() - 1
     lead = (h >> tk.U64(63 - bits) >> tk.U64(1)).astype(np.int64)
     want = ((h << tk.U64(bits)) >> tk.U64(32)).astype(np.uint32)
-    lo, hi = begin[lead].astype(np.int64), begin[lead + 1].astype(np.int64)
+    at, end = begin[lead].astype(np.int64), begin[lead + 1].astype(np.int64)
     if not len(low) or not len(h):
         return np.full(len(h), -1)
-    end = hi.copy()
-    for _ in range(int((hi - lo).max()).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    return np.where((lo < end) & (low[np.minimum(lo, len(low) - 1)] == want), lo, -1)
+    for k in range(int((end - at).max()).bit_length() - 1, -1, -1):  # as far as the rows before are less
+        last = at + ((1 << k) - 1)
+        at += ((last < end) & (low.take(last, mode="clip") < want)) * np.int64(1 << k)
+    return np.where((at < end) & (low.take(at, mode="clip") == want), at, -1)
 
 
 def look_up(table: list[np.ndarray], h: np.ndarray) -> list[np.ndarray]:
@@ -155,6 +154,26 @@ def look_up(table: list[np.ndarray], h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _grouped(b: np.ndarray) -> np.ndarray:
+    """Order by small numbers, kept within equal ones."""
+    return np.argsort(b.astype(_least(int(b.max(initial=0)) + 1)), kind="stable")
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order; where one of each stands; the place of each value among them; counts.
+
+    As np.unique, with whichever of equal values the sort, which need not be stable, has first.
+    """
+    order = np.argsort(h)
+    ordered = h[order]
+    new = np.ones(len(h), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    begin = np.flatnonzero(new)
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[begin], order[begin], of, np.diff(begin, append=len(h))
+
+
 def _range_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> tk.U64(32)) * tk.U64(buckets)) >> tk.U64(32)).astype(np.int64)
 
@@ -188,7 +207,9 @@ def _frequent(order: int, share: int):
         for _, c in tk.batch_chunks(batches):
             columns, off = token_columns(c, order)
             for n in range(2, order + 1):
-                u, count = np.unique(_joined(columns[order - n : -1]), return_counts=True)
+                u = np.sort(_joined(columns[order - n : -1]))
+                begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                u, count = u[begin], np.diff(begin, append=len(u))
                 often = count > max(16, int(off[-1]) // share)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), n), pa.int32()), pa.array(u[often].view(np.int64)), pa.array(count[often])], ["level", "u", "n"])
 
@@ -204,15 +225,26 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+def _sorted_by(numbers: list[np.ndarray], size: int) -> np.ndarray:
+    """Order of distinct rows of numbers below ``size``, the first the most weighty."""
+    bits = size.bit_length()
+    if bits * len(numbers) > 64:
+        return np.lexsort(numbers[::-1])
+    key = np.zeros(len(numbers[0]), tk.U64)
+    for x in numbers:
+        key = (key << tk.U64(bits)) | x.astype(tk.U64)
+    return np.argsort(key)
+
+
 def _pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
     """n-grams, sorted from the context's last word on, as numbers in the list of their words' hashes
     (the commonest first), and counts; compressed."""
-    words, number, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-    by_count = np.argsort(-often, kind="stable")
+    words, _, number, often = _distinct(np.concatenate(columns))
+    by_count = _grouped(often.max(initial=0) - often)
     rank = np.empty(len(words), np.int64)
     rank[by_count] = np.arange(len(words))
     number = rank[number].reshape(len(columns), -1)
-    order = np.lexsort([number[-1], *number[:-1]])
+    order = _sorted_by([*number[-2::-1], number[-1]], len(words))
     kind, count_kind = _least(len(words)), _least(int(count.max(initial=0)))
     head = np.array([len(count), len(columns), len(words), np.dtype(kind).itemsize, np.dtype(count_kind).itemsize], np.int64)
     body = b"".join((_planes(words[by_count]), *(_planes(x[order].astype(kind)) for x in number), _planes(count[order].astype(count_kind))))
@@ -251,7 +283,7 @@ def home(columns: list[np.ndarray], buckets: int, hot: dict[int, np.ndarray]) ->
 
 def _blobs(level: int, columns: list[np.ndarray], count: np.ndarray, b: np.ndarray) -> list[tuple]:
     """Rows of the ranges ``b`` that n-grams (or words, by themselves) go to."""
-    order = np.argsort(b, kind="stable")
+    order = _grouped(b)
     columns, count, b = [c[order] for c in columns], count[order], b[order]
     cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
     return [(int(b[i]), level, 0, None, None, _pack([c[i:j] for c in columns], count[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -268,7 +300,7 @@ def _count(order: int, buckets: int, hot: dict[int, np.ndarray]):
 
     def flush(held):
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        _, first, n = np.unique(_joined(columns), return_index=True, return_counts=True)
+        _, first, _, n = _distinct(_joined(columns))
         columns = [c[first] for c in columns]
         return pa.RecordBatch.from_arrays(_rows(_blobs(order, columns, n, home(columns, buckets, hot))), _NAMES)
 
@@ -293,14 +325,14 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
 
 def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct n-grams, their summed counts and joint hashes."""
-    key, first, of = np.unique(_joined(columns), return_index=True, return_inverse=True)
+    key, first, of, _ = _distinct(_joined(columns))
     return [c[first] for c in columns], np.bincount(of, n, len(key)).astype(np.int64), key
 
 
 def _write_order(level: int, bucket: int, base: str, columns: list[np.ndarray], n: np.ndarray, key: np.ndarray) -> list[tuple]:
     """Writes the n-grams of one order and their contexts; the rows that name the files."""
     u = _joined(columns[:-1])
-    order = np.argsort(u, kind="stable")
+    order = np.argsort(u)
     begin = np.flatnonzero(np.r_[True, u[order][1:] != u[order][:-1]])
     per = [np.add.reduceat(x[order].astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)]
     single, contexts = per[0] == 1, u[order][begin]
@@ -315,7 +347,7 @@ def _write_home(order: int, base: str, buckets: int, hot: dict[int, np.ndarray])
     def run(table: pa.Table) -> pa.Table:
         bucket, out = table["bucket"][0].as_py(), []
         columns, n, key = _summed(*_all_of([x.as_buffer() for x in table["blob"]]))
-        word, of = np.unique(columns[-1], return_inverse=True)
+        word, _, of, _ = _distinct(columns[-1])
         out += _blobs(0, [word], np.bincount(of, n, len(word)).astype(np.int64), _range_of(word, buckets))
         del word, of
         for level in range(order, 1, -1):
@@ -398,7 +430,7 @@ class Model:
     def _look_up(self, level: int, kind: int, columns: int, b: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
         """Columns of the tables of ranges ``b`` at hashes."""
         out = [np.zeros(len(h), np.int64) for _ in range(columns)]
-        order = np.argsort(b, kind="stable")
+        order = _grouped(b)
         cut = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]]) if len(b) else []
         for at in np.split(order, cut[1:]) if len(b) else []:
             if own := self._file(level, kind, int(b[at[0]])):
@@ -452,7 +484,7 @@ class Model:
     def score(self, c: tk.Chunk) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
         columns, off = token_columns(c, self.order)
-        word, first, of = np.unique(columns[-1], return_index=True, return_inverse=True)
+        word, first, of, _ = _distinct(columns[-1])
         contexts, count = self.words(word)
         p, at_key = self.word_probability(contexts)[of], of
         head = np.zeros(off[-1], bool)
@@ -462,7 +494,7 @@ class Model:
             before = [np.append(x[first], START_HASH) for x in columns[self.order - n + 1 :]]
             at_u = np.where(head, len(first), np.r_[0, at_key[:-1]])
             own = columns[self.order - n :]
-            key, first, at_key = np.unique(_joined(own), return_index=True, return_inverse=True)
+            key, first, at_key, _ = _distinct(_joined(own))
             total, n1, n2, n3 = self.contexts(n, before, _joined(before))
             known = np.flatnonzero(total[at_u[first]] > 0)  # n-grams of other contexts have no count
             n_key = np.zeros(len(key), np.int64)
