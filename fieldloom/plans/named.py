@@ -83,6 +83,12 @@ def site_means(spark: SparkSession, d: str) -> DataFrame:
 LEAST_VARIANCE, BORDER = 0.01, 1e-6
 
 
+def in_order(o: DataFrame, few: DataFrame) -> DataFrame:
+    """The values of a few cells in the order of rows."""
+    values = o.join(few, ["x", "y", "t"], "left_semi").where("z is not null").groupBy("x", "y", "t").agg(F.sort_array(F.collect_list(F.struct("row_id", "z"))).alias("_z"))
+    return values.withColumn("_z", F.transform("_z", lambda v: v["z"]))
+
+
 def soft(spark: SparkSession, d: str) -> DataFrame:
     """Cells of several values and some variance.
 
@@ -93,8 +99,7 @@ def soft(spark: SparkSession, d: str) -> DataFrame:
     g = o.groupBy("x", "y", "t").agg(F.avg("z").alias("mean"), F.var_pop("z").alias("var"), F.min("z").alias("low"), F.max("z").alias("up"), F.count("*").alias("n"))
     g = g.where((F.col("n") >= 2) & (F.col("var") > LEAST_VARIANCE - BORDER))
     border = g.where(F.col("var") <= LEAST_VARIANCE + BORDER).select("x", "y", "t")
-    values = o.join(border, ["x", "y", "t"], "left_semi").where("z is not null").groupBy("x", "y", "t").agg(F.sort_array(F.collect_list(F.struct("row_id", "z"))).alias("_z"))
-    own = values.select("x", "y", "t", grid.running_variance(F.transform("_z", lambda v: v["z"])).alias("_own"))
+    own = in_order(o, border).select("x", "y", "t", grid.running_variance(F.col("_z")).alias("_own"))
     return g.join(own, ["x", "y", "t"], "left").where(F.coalesce("_own", "var") > LEAST_VARIANCE).drop("n", "_own")
 
 
@@ -362,9 +367,15 @@ def P8_density(spark, d):
 
 @query(SOFT + ", v AS (SELECT *, low + (up - low) * (x - 2) / 10 AS v FROM soft) SELECT x, y, t, round(CASE WHEN v < low OR v > up THEN 0 WHEN v < mean THEN 0.4 / (mean - low) ELSE 0.6 / (up - mean) END, 5) AS density FROM v")
 def P8_density_histogram(spark, d):
-    """Type 1 densities, constant between the limits."""
+    """Type 1 densities, constant between the limits.
+
+    Where the value falls on the mean, rounding says which side it is on; those cells add their values one after another.
+    """
     low, up, mean = F.col("low"), F.col("up"), F.col("mean")
     s = soft(spark, d).withColumn("v", low + (up - low) * (F.col("x") - 2) / 10)
+    at_mean = s.where(F.abs(F.col("v") - mean) <= 1e-9 * F.greatest(F.abs(low), F.abs(up))).select("x", "y", "t")
+    own = in_order(obs(spark, d), at_mean).select("x", "y", "t", (F.aggregate("_z", F.lit(0.0), lambda a, z: a + z) / F.size("_z")).alias("_own"))
+    s = s.join(own, ["x", "y", "t"], "left").withColumn("mean", F.coalesce("_own", mean))
     return s.select("x", "y", "t", r(softdata.density_at(F.array(low, mean, up), F.array(0.4 / (mean - low), 0.6 / (up - mean)), F.col("v"), kind=1), "density", 5))
 
 
