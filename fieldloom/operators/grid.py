@@ -114,6 +114,13 @@ def significant_digits(v: Column, digits: int) -> Column:
     return F.when(v == 0, F.lit(0.0)).otherwise(F.round(v * scale) / scale)
 
 
+def exact_mean(c: str) -> Column:
+    """Mean of values as they are written in decimals, whatever the order of adding; the plain one where these don't hold them."""
+    written = F.col(c).try_cast("decimal(38,18)")
+    exact = F.try_divide(F.try_sum(written).cast("double"), F.count(c))
+    return F.coalesce(F.when(F.count(written) == F.count(c), exact), F.avg(c))
+
+
 def site_summary(cells: DataFrame) -> DataFrame:
     """Per site: occupied cells, mean and population variance."""
     return cells.groupBy(*SITE).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("variance"))

@@ -278,8 +278,9 @@ def S15_polygon_mask(spark, d):
 
 @query(SITES + " SELECT x, y, CASE WHEN z < 60 THEN 0 ELSE least(1 + CAST(floor((z - 60.0) / 30.0 * 63) AS BIGINT), 63) END AS class FROM sites")
 def S19_colour_class(spark, d):
-    """Site means below, in and above the range of the classes."""
-    return site_means(spark, d).select("x", "y", observations.colour_class(F.col("z"), 60.0, 90.0).alias("class"))
+    """Site means below, in and above the range of the classes; those on a border are exact, for any sum would put them on either side."""
+    means = cells(spark, d).groupBy("x", "y").agg(grid.exact_mean("z").alias("z"))
+    return means.select("x", "y", observations.colour_class(F.col("z"), 60.0, 90.0).alias("class"))
 
 
 @query(
